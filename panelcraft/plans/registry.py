@@ -12,6 +12,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import count_distinct
 from ..params import FIXTURE_STUDY, FIXTURE_STUDY_B, FIXTURE_WIDE
 from ..sources import Sources, fixture_sources
 from . import cohort as co
@@ -84,7 +85,7 @@ QUERIES: dict[str, Callable[[Sources], DataFrame]] = {
     "fan_bounds": lambda s: sa.fan_bounds(wide(s, WIDE_FOR["two_stage"]), _ledger(s)),
     "equal_width_level": lambda s: sa.items_with_level(wide(s, WIDE_FOR["two_stage"]), _ledger(s), FIXTURE_WIDE.levels),
     "two_stage_sample": lambda s: sa.two_stage(wide(s, WIDE_FOR["two_stage"]), _ledger(s), FIXTURE_WIDE),
-    "sampled_item_count": lambda s: sa.sampled_ids(_single(s)).groupBy().count().withColumnRenamed("count", "n_items"),
+    "sampled_item_count": lambda s: count_distinct(_single(s), "item_id", out="n_items"),
     # cohort
     "item_day_panel": lambda s: co.Cohort(s, FIXTURE_STUDY).panel,
     "first_sale_date": lambda s: co.Cohort(s, FIXTURE_STUDY).t0,
