@@ -123,27 +123,27 @@ class Cohort:
     def __init__(self, src: Sources, p: StudyParams):
         self.src, self.p = src, p
 
-    @property
+    @cached_property
     def panel(self) -> DataFrame:
         return item_day(self.src.daily, self.p)
 
-    @property
+    @cached_property
     def t0(self) -> DataFrame:
         return first_sale(self.panel)
 
-    @property
+    @cached_property
     def g(self) -> DataFrame:
         return first_image(self.src.comments, self.p)
 
-    @property
+    @cached_property
     def coverage(self) -> DataFrame:
         return panel_coverage(self.g, self.t0, self.panel, self.p)
 
-    @property
+    @cached_property
     def treated(self) -> DataFrame:
         return eligible_treated(self.coverage, self.p)
 
-    @property
+    @cached_property
     def control(self) -> DataFrame:
         return eligible_control(self.panel, self.t0, self.p, self.treated)
 

@@ -97,28 +97,28 @@ QUERIES: dict[str, Callable[[Sources], DataFrame]] = {
     "eligible_universe": lambda s: co.Cohort(s, FIXTURE_STUDY).universe,
     "eligible_universe_exclusive": _exclusive_universe,
     # multistage sample and checks
-    "shop_sales_recent": lambda s: _study(s).shop_sales(),
-    "shop_size_tercile": lambda s: _study(s).shop_size(),
-    "sampled_shops": lambda s: _study(s).sampled_shops(),
-    "shop_cell_stats": lambda s: _study(s).cells(),
-    "sampled_cells_a": lambda s: _study(s, "A").sampled_cells(),
-    "sampled_cells_b": lambda s: _study(s, "B").sampled_cells(),
-    "sampled_items_a": lambda s: _study(s, "A").sampled_items(),
-    "sampled_items_b": lambda s: _study(s, "B").sampled_items(),
-    "check_sample_size": lambda s: st.check_sample_size(_study(s).sampled_items()),
+    "shop_sales_recent": lambda s: _study(s).shop_sales,
+    "shop_size_tercile": lambda s: _study(s).shop_size,
+    "sampled_shops": lambda s: _study(s).sampled_shops,
+    "shop_cell_stats": lambda s: _study(s).cells,
+    "sampled_cells_a": lambda s: _study(s, "A").sampled_cells,
+    "sampled_cells_b": lambda s: _study(s, "B").sampled_cells,
+    "sampled_items_a": lambda s: _study(s, "A").sampled_items,
+    "sampled_items_b": lambda s: _study(s, "B").sampled_items,
+    "check_sample_size": lambda s: st.check_sample_size(_study(s).sampled_items),
     "check_cells_per_shop": lambda s: st.check_count(
-        _study(s).sampled_cells(), ["shop_id"], FIXTURE_STUDY.cells_per_shop, "n_cells"
+        _study(s).sampled_cells, ["shop_id"], FIXTURE_STUDY.cells_per_shop, "n_cells"
     ),
     "check_items_per_cell": lambda s: st.check_count(
-        _study(s).sampled_items(), st.CELL, FIXTURE_STUDY.pin + FIXTURE_STUDY.fill, "n_items"
+        _study(s).sampled_items, st.CELL, FIXTURE_STUDY.pin + FIXTURE_STUDY.fill, "n_items"
     ),
     # final tables
-    "anchor_snapshot": lambda s: _study(s).snapshot(),
-    "final_item": lambda s: _study(s).final_item(),
-    "final_shop": lambda s: _study(s).final_shop(),
-    "final_item_comment": lambda s: _study(s).final_item_comment(),
+    "anchor_snapshot": lambda s: _study(s).snapshot,
+    "final_item": lambda s: _study(s).final_item,
+    "final_shop": lambda s: _study(s).final_shop,
+    "final_item_comment": lambda s: _study(s).final_item_comment,
     "daily_comment_count": lambda s: st.daily_comments(s.comments),
-    "final_item_day": lambda s: _study(s).final_item_day(),
+    "final_item_day": lambda s: _study(s).final_item_day,
     # profiling
     "shops_by_rank_type": lambda s: pr.shops_by_rank_type(wide(s, WIDE_FOR["shops_by_rank_type"])),
     "first_image_time_range": lambda s: pr.first_image_time_range(

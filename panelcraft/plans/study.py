@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from ..operators import (
 )
 from ..functions.labels import size_label
 from ..params import SIZE_LABELS, StudyParams
+from ..session import freeze
 from .cohort import Cohort
 
 CELL = ["shop_id", "category_id", "price_band"]
@@ -292,42 +294,60 @@ def final_item_day(c: Cohort, fi: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 
 class Study:
-    """The multistage sample and final tables of one design (A: zero-sales cells last; B: unit weight)."""
+    """The multistage sample and final tables of one design (A: zero-sales cells last; B: unit weight).
 
-    def __init__(self, cohort: Cohort, design: str = "A"):
+    Each step is built once per instance.  The drawn items and the final item table are
+    small (bounded by n_shops x cells x (pin + fill)) and read by several later steps, so
+    they are written to the checkpoint folder once instead of recomputing the whole chain
+    for every consumer.
+    """
+
+    def __init__(self, cohort: Cohort, design: str = "A", keep=None):
         self.c = cohort
         self.p = cohort.p
         self.design = design
+        self.keep = keep if keep is not None else freeze
 
+    @cached_property
     def shop_sales(self) -> DataFrame:
         return shop_sales(self.c.panel, self.c.universe, self.p)
 
+    @cached_property
     def shop_size(self) -> DataFrame:
-        return shop_size(self.shop_sales())
+        return shop_size(self.shop_sales)
 
+    @cached_property
     def sampled_shops(self) -> DataFrame:
-        return sample_shops(self.shop_size(), self.p)
+        return sample_shops(self.shop_size, self.p)
 
+    @cached_property
     def cells(self) -> DataFrame:
         return shop_cells(self.c.panel, self.c.universe, self.c.treated, self.p)
 
+    @cached_property
     def sampled_cells(self) -> DataFrame:
-        return sample_cells(self.cells(), self.sampled_shops(), self.p, zero="last" if self.design == "A" else "unit")
+        return sample_cells(self.cells, self.sampled_shops, self.p, zero="last" if self.design == "A" else "unit")
 
+    @cached_property
     def sampled_items(self) -> DataFrame:
-        return sample_items(self.c.universe, self.sampled_cells(), self.c.treated, self.p)
+        return self.keep(sample_items(self.c.universe, self.sampled_cells, self.c.treated, self.p))
 
+    @cached_property
     def snapshot(self) -> DataFrame:
-        return anchor_snapshot(self.sampled_items(), self.c.treated, self.c.src.daily, self.p)
+        return anchor_snapshot(self.sampled_items, self.c.treated, self.c.src.daily, self.p)
 
+    @cached_property
     def final_item(self) -> DataFrame:
-        return final_item(self.snapshot(), self.c.src.items, self.p.final_bands)
+        return self.keep(final_item(self.snapshot, self.c.src.items, self.p.final_bands))
 
+    @cached_property
     def final_shop(self) -> DataFrame:
-        return final_shop(self.final_item(), self.c.src.shops)
+        return final_shop(self.final_item, self.c.src.shops)
 
+    @cached_property
     def final_item_comment(self) -> DataFrame:
-        return final_item_comment(self.c.src.comments, self.final_item(), self.c.treated, self.c.src.items, self.p.window)
+        return final_item_comment(self.c.src.comments, self.final_item, self.c.treated, self.c.src.items, self.p.window)
 
+    @cached_property
     def final_item_day(self) -> DataFrame:
-        return final_item_day(self.c, self.final_item(), self.snapshot())
+        return final_item_day(self.c, self.final_item, self.snapshot)
