@@ -39,6 +39,19 @@ def first_sale(panel: DataFrame) -> DataFrame:
     return panel.where(F.col("day_sales_volume") > 0).groupBy("item_id").agg(F.min("pt").alias("t0"))
 
 
+def item_panel_stats(panel: DataFrame) -> DataFrame:
+    """One pass over the panel per item: t0, panel rows and the truncated average price.
+
+    The same three per-item aggregates as ``first_sale``, the control pool's row count and
+    ``price_fallback``, computed in one shuffle instead of three.
+    """
+    return panel.groupBy("item_id").agg(
+        F.min(F.when(F.col("day_sales_volume") > 0, F.col("pt"))).alias("t0"),
+        F.count(F.lit(1)).cast("bigint").alias("day_rows"),
+        avg_bigint("cprice").alias("avg_cprice_y1"),
+    )
+
+
 def first_image(comments: DataFrame, p: StudyParams) -> DataFrame:
     """g: per item, the first day in the window with a picture review (variant ``raw_n``)."""
     c = comments.where(
@@ -69,11 +82,14 @@ def eligible_treated(coverage: DataFrame, p: StudyParams) -> DataFrame:
     ).select("item_id", "g", "t0")
 
 
-def eligible_control(panel: DataFrame, t0: DataFrame, p: StudyParams, treated: DataFrame | None = None) -> DataFrame:
-    """At least ``min_rows`` panel rows and t0 <= E - W.  With ``p.exclusive`` treated items are removed."""
-    day_rows = panel.groupBy("item_id").agg(F.count(F.lit(1)).cast("bigint").alias("day_rows"))
-    out = t0.join(day_rows, "item_id").where(
-        (F.col("day_rows") >= p.min_rows) & (F.col("t0") <= F.lit(p.end - dt.timedelta(days=p.window)))
+def eligible_control(stats: DataFrame, p: StudyParams, treated: DataFrame | None = None) -> DataFrame:
+    """At least ``min_rows`` panel rows and t0 <= E - W (``stats`` from ``item_panel_stats``).
+
+    With ``p.exclusive`` treated items are removed."""
+    out = stats.where(
+        F.col("t0").isNotNull()
+        & (F.col("day_rows") >= p.min_rows)
+        & (F.col("t0") <= F.lit(p.end - dt.timedelta(days=p.window)))
     )
     if p.exclusive and treated is not None:
         out = exclude(out, treated, "item_id")
@@ -85,9 +101,10 @@ def price_fallback(panel: DataFrame) -> DataFrame:
     return panel.groupBy("item_id").agg(avg_bigint("cprice").alias("avg_cprice_y1"))
 
 
-def price_reference(items: DataFrame, panel: DataFrame) -> DataFrame:
-    """Per item: ``coalesce(usual_cprice, cprice, panel average price)``."""
-    pf = price_fallback(panel)
+def price_reference(items: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Per item: ``coalesce(usual_cprice, cprice, panel average price)`` (``fallback`` from
+    ``price_fallback`` or ``item_panel_stats``)."""
+    pf = fallback.select("item_id", "avg_cprice_y1")
     return items.select("item_id", "usual_cprice", "cprice").join(pf, "item_id", "left").select(
         "item_id",
         "usual_cprice",
@@ -97,7 +114,7 @@ def price_reference(items: DataFrame, panel: DataFrame) -> DataFrame:
     )
 
 
-def eligible_universe(treated: DataFrame, control: DataFrame, items: DataFrame, panel: DataFrame, bands: int) -> DataFrame:
+def eligible_universe(treated: DataFrame, control: DataFrame, items: DataFrame, fallback: DataFrame, bands: int) -> DataFrame:
     """Tagged union of treated and control items with shop, category, reference price and price band.
 
     The price band is ``NTILE(bands)`` inside the category by reference price (ties broken
@@ -107,8 +124,7 @@ def eligible_universe(treated: DataFrame, control: DataFrame, items: DataFrame,
         control.select("item_id", F.lit("control").alias("elig_type"))
     )
     it = items.select("item_id", "shop_id", "category_id", "category_name", "usual_cprice", "cprice")
-    pf = price_fallback(panel)
-    u = u0.join(it, "item_id").join(pf, "item_id", "left")
+    u = u0.join(it, "item_id").join(fallback.select("item_id", "avg_cprice_y1"), "item_id", "left")
     price = F.coalesce("usual_cprice", "cprice", "avg_cprice_y1")
     u = u.where(F.col("shop_id").isNotNull() & F.col("category_id").isNotNull() & price.isNotNull()).select(
         "item_id", "elig_type", "shop_id", "category_id", "category_name", price.alias("price_ref")
@@ -127,9 +143,13 @@ class Cohort:
     def panel(self) -> DataFrame:
         return item_day(self.src.daily, self.p)
 
+    @cached_property
+    def stats(self) -> DataFrame:
+        return item_panel_stats(self.panel)
+
     @cached_property
     def t0(self) -> DataFrame:
-        return first_sale(self.panel)
+        return self.stats.where(F.col("t0").isNotNull()).select("item_id", "t0")
 
     @cached_property
     def g(self) -> DataFrame:
@@ -145,9 +165,9 @@ class Cohort:
 
     @cached_property
     def control(self) -> DataFrame:
-        return eligible_control(self.panel, self.t0, self.p, self.treated)
+        return eligible_control(self.stats, self.p, self.treated)
 
     @cached_property
     def universe(self) -> DataFrame:
         # Cached on the instance: the price band numbering freezes its layout once.
-        return eligible_universe(self.treated, self.control, self.src.items, self.panel, self.p.bands)
+        return eligible_universe(self.treated, self.control, self.src.items, self.stats, self.p.bands)

@@ -93,7 +93,7 @@ QUERIES: dict[str, Callable[[Sources], DataFrame]] = {
     "panel_coverage": lambda s: co.Cohort(s, FIXTURE_STUDY).coverage,
     "eligible_treated": lambda s: co.Cohort(s, FIXTURE_STUDY).treated,
     "eligible_control": lambda s: co.Cohort(s, FIXTURE_STUDY).control,
-    "price_reference": lambda s: co.price_reference(s.items, co.Cohort(s, FIXTURE_STUDY).panel),
+    "price_reference": lambda s: co.price_reference(s.items, co.Cohort(s, FIXTURE_STUDY).stats),
     "eligible_universe": lambda s: co.Cohort(s, FIXTURE_STUDY).universe,
     "eligible_universe_exclusive": _exclusive_universe,
     # multistage sample and checks

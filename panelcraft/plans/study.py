@@ -87,7 +87,10 @@ def sample_cells(cells: DataFrame, shops: DataFrame, p: StudyParams, zero: str =
     """Per sampled shop, ``cells_per_shop`` cells drawn by recent-sales weight among cells with
     enough treated rows.  ``zero='last'`` (design A) puts zero-sales cells last; ``'unit'``
     (design B) gives them weight 1."""
-    cand = keep_in(cells, shops, "shop_id").where(F.col("eligible_treated_cnt") >= p.min_treated_in_cell)
+    # the sampled shops are at most n_shops rows: a proven bound, so broadcast
+    cand = keep_in(cells, F.broadcast(shops.select("shop_id")), "shop_id").where(
+        F.col("eligible_treated_cnt") >= p.min_treated_in_cell
+    )
     stage = "cells_a" if zero == "last" else "cells_b"
     out = sample_weighted_topk(
         cand, ["shop_id"], "cell_sales_3m", p.cells_per_shop, p.seed, stage, ["category_id", "price_band"], zero=zero
@@ -97,7 +100,8 @@ def sample_cells(cells: DataFrame, shops: DataFrame, p: StudyParams, zero: str =
 
 def sample_items(universe: DataFrame, cells: DataFrame, treated: DataFrame, p: StudyParams) -> DataFrame:
     """Per sampled cell: ``pin`` random treated rows, then ``fill`` random rows from the rest."""
-    ci = cell_items_flagged(universe, treated).join(cells.select(*CELL), CELL)
+    # the sampled cells are at most n_shops x cells_per_shop rows: broadcast
+    ci = cell_items_flagged(universe, treated).join(F.broadcast(cells.select(*CELL)), CELL)
     out = pin_then_fill(ci, CELL, "is_eligible_treated", p.pin, p.fill, p.seed, ["item_id", "elig_type"], key="item_id")
     return out.select("item_id", *CELL)
 
@@ -296,10 +300,9 @@ def final_item_day(c: Cohort, fi: DataFrame, snapshot: DataFrame) -> DataFrame:
 class Study:
     """The multistage sample and final tables of one design (A: zero-sales cells last; B: unit weight).
 
-    Each step is built once per instance.  The drawn items and the final item table are
-    small (bounded by n_shops x cells x (pin + fill)) and read by several later steps, so
-    they are written to the checkpoint folder once instead of recomputing the whole chain
-    for every consumer.
+    Each step is built once per instance.  The drawn items are small (bounded by
+    n_shops x cells x (pin + fill)) and read by every final table, so they are written to
+    the checkpoint folder once instead of recomputing the sampling chain for every consumer.
     """
 
     def __init__(self, cohort: Cohort, design: str = "A", keep=None):
@@ -338,7 +341,7 @@ class Study:
 
     @cached_property
     def final_item(self) -> DataFrame:
-        return self.keep(final_item(self.snapshot, self.c.src.items, self.p.final_bands))
+        return final_item(self.snapshot, self.c.src.items, self.p.final_bands)
 
     @cached_property
     def final_shop(self) -> DataFrame:
