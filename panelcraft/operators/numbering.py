@@ -59,17 +59,16 @@ def number_within(df: DataFrame, by: list[str], order, rn: str = "_rn", size: st
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before"),
         F.sum("_cnt").over(whole).alias(size),
     )
-    # The offset table has at most (#partitions + #groups) rows.  Without groups that bound
-    # is known (one row per partition); with groups, count it and broadcast only when small,
-    # else let the planner shuffle-join it.
-    n_parts = frozen.rdd.getNumPartitions()
+    # The offset table has at most (#partitions + #groups) rows.  Without groups it has one
+    # row per partition; with groups, count it and broadcast only when small, else let the
+    # planner shuffle-join it.
     if by:
         # cached only to avoid recomputing it for the broadcast; a lost block is recomputed
         # from the frozen checkpoint with the same result
         offsets = offsets.persist()
         small = offsets.count() <= BROADCAST_OFFSET_ROWS
     else:
-        small = n_parts <= BROADCAST_OFFSET_ROWS
+        small = True  # one row per partition
     side = F.broadcast(offsets) if small else offsets
     o = side.alias("_o")
     t = tagged.alias("_t")

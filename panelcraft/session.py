@@ -32,7 +32,10 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared checkpoint folder the cluster names; pick a scratch one only when unset (tests)."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's own checkpoint folder applies
+        return
     if sc.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)

@@ -12,7 +12,7 @@ from .readers import (
     read_shops,
     read_sources,
 )
-from .sinks import append_into, cast_to, create_table, materialize, overwrite_into, write_bucketed, write_partitioned
+from .sinks import append_into, cast_to, create_table, materialize, overwrite_into, typed_schema, write_bucketed, write_partitioned
 
 __all__ = [
     "Sources",
@@ -31,6 +31,7 @@ __all__ = [
     "read_items",
     "read_shops",
     "read_sources",
+    "typed_schema",
     "view_sql",
     "write_bucketed",
     "write_partitioned",

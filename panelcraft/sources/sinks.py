@@ -35,6 +35,20 @@ def cast_to(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
 
 
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(), "timestamp": T.TimestampType()}
+
+
+def typed_schema(df: DataFrame, types: dict[str, str], comments: dict[str, str] | None = None) -> T.StructType:
+    """Schema of ``df`` with the declared types of a typed sink (e.g. ids STRING, money DOUBLE)."""
+    comments = comments or {}
+    fields = []
+    for f in df.schema.fields:
+        dtype = _TYPES[types[f.name]] if f.name in types else f.dataType
+        meta = {"comment": comments[f.name]} if f.name in comments else {}
+        fields.append(T.StructField(f.name, dtype, True, meta))
+    return T.StructType(fields)
+
+
 def overwrite_into(df: DataFrame, name: str) -> None:
     """``INSERT OVERWRITE TABLE name SELECT ...``: positional, with store-assignment casts."""
     df.write.insertInto(name, overwrite=True)

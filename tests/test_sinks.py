@@ -49,3 +49,20 @@ def test_partitioned_layout_and_latest_partition(spark, scratch):
     assert {r.pt for r in latest.collect()} == {"20250103"}
     plan = latest._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(pt" in plan
+
+
+def test_typed_wide_table_overwrite(spark):
+    from panelcraft.plans.registry import wide
+    from panelcraft.sources import cast_to, fixture_sources, overwrite_into, typed_schema
+    from panelcraft.sources.schemas import WIDE_TABLE_TYPES
+
+    w = wide(fixture_sources(spark, "/root/testdata/sf0.001"), 3)
+    spark.sql("DROP TABLE IF EXISTS t_wide_typed")
+    create_table(spark, "t_wide_typed", typed_schema(w, WIDE_TABLE_TYPES, {"days_diff": "days from sale start"}), comment="wide items")
+    overwrite_into(cast_to(w, WIDE_TABLE_TYPES), "t_wide_typed")
+    overwrite_into(cast_to(w, WIDE_TABLE_TYPES), "t_wide_typed")  # overwrite, not append
+    t = spark.table("t_wide_typed")
+    types = dict(t.dtypes)
+    assert types["item_id"] == "string" and types["item_cprice"] == "double" and types["days_diff"] == "bigint"
+    assert t.count() == w.count()
+    spark.sql("DROP TABLE t_wide_typed")
