@@ -261,7 +261,9 @@ def daily_comments(comments: DataFrame) -> DataFrame:
     )
 
 
-def final_item_day(c: Cohort, fi: DataFrame, snapshot: DataFrame) -> DataFrame:
+def final_item_day(
+    panel: DataFrame, t0: DataFrame, g: DataFrame, comments: DataFrame, fi: DataFrame, snapshot: DataFrame, p: StudyParams
+) -> DataFrame:
     """Full panel of the sampled items with t0, g, event time, item age, outcome, price,
     anchor snapshot and comment count (0-filled).
 
@@ -269,17 +271,16 @@ def final_item_day(c: Cohort, fi: DataFrame, snapshot: DataFrame) -> DataFrame:
     t0, g, comments) is first reduced to the sampled items with a broadcast semi-join on
     the bounded id list.
     """
-    p = c.p
     ids = fi.select("item_id").distinct()
     mult = fi.groupBy("item_id").agg(F.count(F.lit(1)).alias("_m"))
-    panel = c.panel.where(date_between("pt", p.start, p.end)).join(F.broadcast(mult), "item_id")
+    panel = panel.where(date_between("pt", p.start, p.end)).join(F.broadcast(mult), "item_id")
     panel = replicate(panel, "_m").select(
         "item_id", "shop_id", "pt", "day_sales_volume", F.col("cprice").alias("price")
     )
-    t0 = keep_in(c.t0, F.broadcast(ids), "item_id")
-    g = keep_in(c.g, F.broadcast(ids), "item_id")
+    t0 = keep_in(t0, F.broadcast(ids), "item_id")
+    g = keep_in(g, F.broadcast(ids), "item_id")
     snap = snapshot.select("item_id", "day_30_sales_volume_gm1", "add_volume_gm1")
-    dc = daily_comments(keep_in(c.src.comments, F.broadcast(ids), "item_id"))
+    dc = daily_comments(keep_in(comments, F.broadcast(ids), "item_id"))
     out = panel.join(t0, "item_id", "left").join(g, "item_id", "left").join(snap, "item_id", "left")
     out = out.join(dc, ["item_id", "pt"], "left")
     return out.select(
@@ -353,4 +354,5 @@ class Study:
 
     @cached_property
     def final_item_day(self) -> DataFrame:
-        return final_item_day(self.c, self.final_item, self.snapshot)
+        c = self.c
+        return final_item_day(c.panel, c.t0, c.g, c.src.comments, self.final_item, self.snapshot, self.p)

@@ -7,14 +7,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "panelcraft") -> SparkSession:
+def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "panelcraft", extra: dict | None = None) -> SparkSession:
     """A session with the settings the library is designed for.
 
     On a cluster, keep the cluster's own master and checkpoint directory; size
     ``spark.sql.shuffle.partitions`` so one shuffle partition holds about 128-256 MB.
     """
+    builder = SparkSession.builder
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -11,7 +11,8 @@ from panelcraft.session import build_session, ensure_checkpoint_dir  # noqa: E40
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", shuffle_partitions=8, app="panelcraft-tests")
+    warehouse = tempfile.mkdtemp(prefix="panelcraft-warehouse-")
+    s = build_session("local[4]", shuffle_partitions=8, app="panelcraft-tests", extra={"spark.sql.warehouse.dir": warehouse})
     ensure_checkpoint_dir(s)
     yield s
     s.stop()
