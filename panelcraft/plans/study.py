@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import add_days, date_between, days_between
+from ..functions import add_days, date_between, day_range, days_between
 from ..operators import (
     equal_freq_band,
     flag_in,
@@ -142,10 +142,14 @@ def anchor_snapshot(sampled: DataFrame, treated: DataFrame, daily: DataFrame, p:
         F.when(F.col("g").isNotNull(), add_days("g", -1)).otherwise(F.lit(p.end - dt.timedelta(days=1))).alias("anchor_date"),
     )
     keys = base.select("item_id", "anchor_date").distinct()
+    # The join only matches crawl days between the earliest and latest anchor day: that range,
+    # written on the raw timestamp, is implied by the join (so exact) and reaches the scan,
+    # where file statistics skip everything outside it.
+    bounds = keys.agg(F.min("anchor_date").alias("lo"), F.max("anchor_date").alias("hi")).first()
     d = daily
-    if pt_slack_days is not None:
-        bounds = keys.agg(F.min("anchor_date").alias("lo"), F.max("anchor_date").alias("hi")).first()
-        if bounds["lo"] is not None:
+    if bounds is not None and bounds["lo"] is not None:
+        d = d.where(day_range("insert_time", bounds["lo"], bounds["hi"]))
+        if pt_slack_days is not None:
             lo = (bounds["lo"] - dt.timedelta(days=pt_slack_days)).strftime("%Y%m%d")
             hi = (bounds["hi"] + dt.timedelta(days=pt_slack_days)).strftime("%Y%m%d")
             d = d.where(F.col("pt").between(lo, hi))
@@ -234,6 +238,12 @@ def final_item_comment(comments: DataFrame, fi: DataFrame, treated: DataFrame, i
     """
     ts = fi.select("item_id").join(treated.select("item_id", "g"), "item_id")
     ts = ts.groupBy("item_id", "g").agg(F.count(F.lit(1)).alias("_m"))
+    # exact range implied by the window condition, pushed to the comment scan
+    bounds = ts.agg(F.min("g").alias("lo"), F.max("g").alias("hi")).first()
+    if bounds is not None and bounds["lo"] is not None:
+        comments = comments.where(
+            day_range("comment_time", bounds["lo"] - dt.timedelta(days=window), bounds["hi"] + dt.timedelta(days=window))
+        )
     c = comments.join(F.broadcast(ts), "item_id").where(
         F.to_date("comment_time").between(add_days("g", -window), add_days("g", window))
     )
@@ -280,7 +290,8 @@ def final_item_day(
     t0 = keep_in(t0, F.broadcast(ids), "item_id")
     g = keep_in(g, F.broadcast(ids), "item_id")
     snap = snapshot.select("item_id", "day_30_sales_volume_gm1", "add_volume_gm1")
-    dc = daily_comments(keep_in(comments, F.broadcast(ids), "item_id"))
+    # only comment days inside the panel window can meet a panel row
+    dc = daily_comments(keep_in(comments.where(day_range("comment_time", p.start, p.end)), F.broadcast(ids), "item_id"))
     out = panel.join(t0, "item_id", "left").join(g, "item_id", "left").join(snap, "item_id", "left")
     out = out.join(dc, ["item_id", "pt"], "left")
     return out.select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +47,19 @@ def read_sources(spark: SparkSession, items: str, daily: str, comments: str, sho
 def latest_partition_value(df: DataFrame, col: str = "pt") -> str | None:
     """Largest value of the partition column (one value reaches the driver).
 
-    On a partitioned file source the aggregate reads only partition values; the literal
-    it returns is then used as a static filter so the scan prunes to one directory.
+    For a directory-partitioned file source the value comes from the file listing alone
+    (``col=value`` path segments), as ``MAX_PT`` reads partition metadata; otherwise from an
+    aggregate.  The literal is then used as a static filter, so the scan prunes to one
+    directory.
     """
+    pattern = re.compile(rf"/{re.escape(col)}=([^/]+)/")
+    try:
+        files = df.inputFiles()
+    except Exception:
+        files = []
+    values = [m.group(1) for f in files if (m := pattern.search(f))]
+    if files and len(values) == len(files):
+        return unquote(max(values))
     row = df.agg(F.max(col).alias("m")).first()
     return row["m"] if row else None
 
