@@ -60,50 +60,59 @@ def value_range(df: DataFrame, col: str, lo: str = "min_value", hi: str = "max_v
     return df.agg(F.min(col).alias(lo), F.max(col).alias(hi))
 
 
-def exact_percentiles(df: DataFrame, col: str, ps: dict[str, float], scale: int = 6) -> DataFrame:
-    """One row with the exact (interpolated) percentile of ``col`` for each ``name: p``.
+def _numbered_values(df: DataFrame, col: str) -> DataFrame:
+    vals = df.select(F.col(col).cast("double").alias("_v"), F.col(col).alias("_x")).where(F.col("_v").isNotNull())
+    return number_within(vals, [], [F.col("_v").asc()], rn="_rn", size="_n")
 
-    Same definition as SQL ``PERCENTILE``/``quantile_cont``: position ``h = p * (n - 1)``,
-    interpolate between the values at ranks ``floor(h)`` and ``ceil(h)``.  Rows are numbered
-    in value order across many tasks; only the 2 x len(ps) rows at the needed ranks reach
-    the final one-row aggregation.  Results are rounded to ``scale`` decimals.
-    """
-    vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    numbered = number_within(vals, [], [F.col("_v").asc()], rn="_rn", size="_n")
+
+def _percentile_aggs(ps: dict[str, float], scale: int) -> tuple[Column, list[Column]]:
+    """(row filter for the needed ranks, one aggregate per percentile) over numbered values."""
     i = F.col("_rn") - 1
     n = F.col("_n")
     wanted = None
-    aggs = []
+    out = []
     for name, p in ps.items():
         h = F.lit(float(p)) * (n - 1).cast("double")
         lo, hi = F.floor(h), F.ceil(h)
         cond = (i == lo) | (i == hi)
         wanted = cond if wanted is None else wanted | cond
-        aggs.append((name, h, lo, hi))
-    picked = numbered.where(wanted)
-    out = []
-    for name, h, lo, hi in aggs:
         v_lo = F.max(F.when(i == lo, F.col("_v")))
         v_hi = F.max(F.when(i == hi, F.col("_v")))
-        frac = F.max(h - lo)
+        frac = F.max(F.when(cond, h - lo))
         out.append(F.round(v_lo + frac * (v_hi - v_lo), scale).alias(name))
-    return picked.agg(*out)
+    return wanted, out
+
+
+def exact_percentiles(df: DataFrame, col: str, ps: dict[str, float], scale: int = 6) -> DataFrame:
+    """One row with the exact (interpolated) percentile of ``col`` for each ``name: p``.
+
+    Same definition as SQL ``PERCENTILE``/``quantile_cont``: position ``h = p * (n - 1)``,
+    interpolate between the values at ranks ``floor(h)`` and ``ceil(h)``.  Rows are numbered
+    in value order across many tasks; only the 2 x len(ps) rows at the needed ranks reach
+    the final one-row aggregation.  Results are rounded to ``scale`` decimals.
+    """
+    wanted, aggs = _percentile_aggs(ps, scale)
+    return _numbered_values(df, col).where(wanted).agg(*aggs)
 
 
 def distribution(df: DataFrame, col: str, scale: int = 6) -> DataFrame:
-    """count, sum, avg, exact median, max, min, population stddev of ``col`` (one row)."""
-    c = F.col(col)
-    basic = df.agg(
+    """count, sum, avg, exact median, max, min, population stddev of ``col`` (one row).
+
+    One aggregation over the numbered values: the algebraic statistics combine map-side,
+    the median picks its two ranks with conditional aggregates.
+    """
+    x = F.col("_x")
+    _, med = _percentile_aggs({"median_fans": 0.5}, scale)
+    numbered = _numbered_values(df, col)
+    return numbered.agg(
         F.count(F.lit(1)).cast("bigint").alias("total_shops"),
-        F.sum(c).cast("bigint").alias("total_fans"),
-        F.round(F.avg(c), scale).alias("avg_fans"),
-        F.max(c).alias("max_fans"),
-        F.min(c).alias("min_fans"),
-        F.round(F.stddev_pop(c), scale).alias("std_fans"),
+        F.sum(x).cast("bigint").alias("total_fans"),
+        F.round(F.avg(x), scale).alias("avg_fans"),
+        *med,
+        F.max(x).alias("max_fans"),
+        F.min(x).alias("min_fans"),
+        F.round(F.stddev_pop(x), scale).alias("std_fans"),
     )
-    med = exact_percentiles(df, col, {"median_fans": 0.5}, scale)
-    # Two one-row results side by side: a join on a constant key, both sides one row.
-    return basic.withColumn("_k", F.lit(1)).join(med.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def share_of_total(df: DataFrame, by: str, col: str, total: str, grand: str, pct: str, scale: int = 4) -> DataFrame:

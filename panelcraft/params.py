@@ -24,6 +24,32 @@ REFERENCE_FAN_QUOTAS = (9796, 77, 27, 100)
 ZERO_SALES_KEY = 999999999
 # Shop-size labels of the three sales terciles, largest first.
 SIZE_LABELS = ("big", "mid", "small")
+# Names of the stored step tables, as the original scripts name them (so existing readers of
+# those tables keep working).
+TABLE_NAMES = {
+    "panel": "tmp_item_day_y1",
+    "t0": "tmp_item_t0",
+    "g": "tmp_item_g",
+    "treated": "tmp_eligible_treated",
+    "control": "tmp_eligible_control",
+    "universe": "tmp_eligible_universe",
+    "sampled_shops": "tmp_sampled_shops",
+    "cells": "tmp_shop_cell_stats",
+    "sampled_cells": "tmp_sampled_shop_cells",
+    "sampled_items": "tmp_sampled_items",
+    "snapshot": "final_item_anchor_snapshot",
+    "final_item": "final_item",
+    "final_shop": "final_shop",
+    "final_item_comment": "final_item_comment",
+    "final_item_day": "final_item_day",
+    "wide": "tmp_item_full_info_with_first_img_comment_{n}",
+    "single_sample": "tmp_sampled_items_10k_{n}",
+    "sample_history": "tmp_daily_all_records_for_sampled_items",
+    "sample_comments": "tmp_comments_for_sampled_items",
+    "ledger": "tmp_accumulated_item_ids",
+    "two_stage_sample": "tmp_sampled_items_10k_{n}",
+    "control_wide": "tmp_item_no_early_img_comment",
+}
 # --- end of fixed values ------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..params import TABLE_NAMES as N
 from ..params import StudyParams, WideParams
 from ..sources import Sources, append_into, create_table, materialize
 from . import cohort as co
@@ -32,35 +33,35 @@ def run_study(src: Sources, p: StudyParams, design: str = "A", mode: str = "igno
     """Cohort, multistage sample and final tables (``step0`` -> ``step1-4`` -> ``stepfinal``)."""
     store = _store(prefix, mode)
     zero = "last" if design == "A" else "unit"
-    panel = store(co.item_day(src.daily, p), "tmp_item_day_y1")
+    panel = store(co.item_day(src.daily, p), N["panel"])
     stats = co.item_panel_stats(panel)
-    t0 = store(stats.where(F.col("t0").isNotNull()).select("item_id", "t0"), "tmp_item_t0")
-    g = store(co.first_image(src.comments, p), "tmp_item_g")
-    treated = store(co.eligible_treated(co.panel_coverage(g, t0, panel, p), p), "tmp_eligible_treated")
-    control = store(co.eligible_control(stats, p, treated), "tmp_eligible_control")
-    universe = store(co.eligible_universe(treated, control, src.items, stats, p.bands), "tmp_eligible_universe")
-    shops = store(st.sample_shops(st.shop_size(st.shop_sales(panel, universe, p)), p), "tmp_sampled_shops")
-    cells = store(st.shop_cells(panel, universe, treated, p), "tmp_shop_cell_stats")
-    picked_cells = store(st.sample_cells(cells, shops, p, zero=zero), "tmp_sampled_shop_cells")
-    items = store(st.sample_items(universe, picked_cells, treated, p), "tmp_sampled_items")
-    snapshot = store(st.anchor_snapshot(items, treated, src.daily, p), "final_item_anchor_snapshot")
-    fi = store(st.final_item(snapshot, src.items, p.final_bands), "final_item")
+    t0 = store(stats.where(F.col("t0").isNotNull()).select("item_id", "t0"), N["t0"])
+    g = store(co.first_image(src.comments, p), N["g"])
+    treated = store(co.eligible_treated(co.panel_coverage(g, t0, panel, p), p), N["treated"])
+    control = store(co.eligible_control(stats, p, treated), N["control"])
+    universe = store(co.eligible_universe(treated, control, src.items, stats, p.bands), N["universe"])
+    shops = store(st.sample_shops(st.shop_size(st.shop_sales(panel, universe, p)), p), N["sampled_shops"])
+    cells = store(st.shop_cells(panel, universe, treated, p), N["cells"])
+    picked_cells = store(st.sample_cells(cells, shops, p, zero=zero), N["sampled_cells"])
+    items = store(st.sample_items(universe, picked_cells, treated, p), N["sampled_items"])
+    snapshot = store(st.anchor_snapshot(items, treated, src.daily, p), N["snapshot"])
+    fi = store(st.final_item(snapshot, src.items, p.final_bands), N["final_item"])
     return {
-        "tmp_item_day_y1": panel,
-        "tmp_item_t0": t0,
-        "tmp_item_g": g,
-        "tmp_eligible_treated": treated,
-        "tmp_eligible_control": control,
-        "tmp_eligible_universe": universe,
-        "tmp_sampled_shops": shops,
-        "tmp_shop_cell_stats": cells,
-        "tmp_sampled_shop_cells": picked_cells,
-        "tmp_sampled_items": items,
-        "final_item_anchor_snapshot": snapshot,
-        "final_item": fi,
-        "final_shop": store(st.final_shop(fi, src.shops), "final_shop"),
-        "final_item_comment": store(st.final_item_comment(src.comments, fi, treated, src.items, p.window), "final_item_comment"),
-        "final_item_day": store(st.final_item_day(panel, t0, g, src.comments, fi, snapshot, p), "final_item_day"),
+        N["panel"]: panel,
+        N["t0"]: t0,
+        N["g"]: g,
+        N["treated"]: treated,
+        N["control"]: control,
+        N["universe"]: universe,
+        N["sampled_shops"]: shops,
+        N["cells"]: cells,
+        N["sampled_cells"]: picked_cells,
+        N["sampled_items"]: items,
+        N["snapshot"]: snapshot,
+        N["final_item"]: fi,
+        N["final_shop"]: store(st.final_shop(fi, src.shops), N["final_shop"]),
+        N["final_item_comment"]: store(st.final_item_comment(src.comments, fi, treated, src.items, p.window), N["final_item_comment"]),
+        N["final_item_day"]: store(st.final_item_day(panel, t0, g, src.comments, fi, snapshot, p), N["final_item_day"]),
     }
 
 
@@ -69,7 +70,7 @@ def run_sampling(
     wp: WideParams,
     mode: str = "ignore",
     prefix: str = "",
-    ledger: str = "tmp_accumulated_item_ids",
+    ledger: str = N["ledger"],
     pt_lo: str = "20170101",
     pt_hi: str = "20261231",
 ) -> dict[str, DataFrame]:
@@ -80,16 +81,16 @@ def run_sampling(
     """
     spark = src.items.sparkSession
     store = _store(prefix, mode)
-    wide = {n: store(wi.wide_items(src, replace(wp, min_days=n)), f"tmp_item_full_info_with_first_img_comment_{n}") for n in (3, 30)}
-    single = store(sa.stratified_quota_sample(wide[3], wp), "tmp_sampled_items_10k_3")
+    wide = {n: store(wi.wide_items(src, replace(wp, min_days=n)), N["wide"].format(n=n)) for n in (3, 30)}
+    single = store(sa.stratified_quota_sample(wide[3], wp), N["single_sample"].format(n=3))
     ids = sa.sampled_ids(single)
-    history = store(sa.daily_history(src.daily, ids, pt_lo, pt_hi), "tmp_daily_all_records_for_sampled_items")
-    comments = store(sa.comments_of(src.comments, ids), "tmp_comments_for_sampled_items")
+    history = store(sa.daily_history(src.daily, ids, pt_lo, pt_hi), N["sample_history"])
+    comments = store(sa.comments_of(src.comments, ids), N["sample_comments"])
     create_table(spark, prefix + ledger, ids.schema, comment="item ids already drawn")
     append_into(sa.ledger_rows(single), prefix + ledger)
     excluded = spark.table(prefix + ledger)
-    two = store(sa.two_stage(wide[30], excluded, wp), "tmp_sampled_items_10k_30")
-    control = store(wi.control_items(src, wp), "tmp_item_no_early_img_comment")
+    two = store(sa.two_stage(wide[30], excluded, wp), N["two_stage_sample"].format(n=30))
+    control = store(wi.control_items(src, wp), N["control_wide"])
     return {
         "wide_3": wide[3],
         "wide_30": wide[30],
