@@ -25,12 +25,17 @@ def rank_latest(df: DataFrame, key: str, order: list, out: str = "rn_desc") -> D
 def number_duplicates(df: DataFrame, key: str, order: list, limit: int, out: str = "rn") -> DataFrame:
     """``ROW_NUMBER() OVER (PARTITION BY key ...)`` then ``ORDER BY key, rn LIMIT limit``.
 
-    Only rows with ``rn <= limit`` can appear in the result, so the numbering keeps at most
-    ``limit`` rows per group, as a partial top-k before the shuffle.
+    The keys in the answer are exactly the keys of the first ``limit`` rows in key order, so
+    a per-partition top-n (no full shuffle) finds them - at most ``limit`` keys, broadcast into
+    a semi-join.  Only those keys' rows are numbered, and only ``rn <= limit`` can appear in
+    the result, so the numbering keeps at most ``limit`` rows per key as a partial top-k
+    before its shuffle.
     """
     raise_group_limit_threshold(df.sparkSession, limit)
+    first = df.select(key).orderBy(F.col(key).asc_nulls_first()).limit(limit).distinct().alias("_f")
+    rows = df.alias("_d").join(F.broadcast(first), F.col(f"_d.{key}").eqNullSafe(F.col(f"_f.{key}")), "left_semi")
     w = Window.partitionBy(key).orderBy(*_cols(order))
-    numbered = df.withColumn(out, F.row_number().over(w).cast("bigint")).where(F.col(out) <= F.lit(limit))
+    numbered = rows.withColumn(out, F.row_number().over(w).cast("bigint")).where(F.col(out) <= F.lit(limit))
     return numbered.orderBy(F.col(key).asc_nulls_first(), F.col(out)).limit(limit)
 
 
