@@ -68,6 +68,10 @@ def _exclusive_universe(src: Sources) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[Sources], DataFrame]] = {
+    # source column subsets
+    "item_master_columns": lambda s: wi.item_master_columns(s.items),
+    "shop_columns": lambda s: wi.shop_columns(s.shops),
+    "comments_with_images": lambda s: wi.comments_with_images(s.comments),
     # timing counts and wide tables
     "date_mismatch_count": lambda s: wi.date_mismatch_count(s),
     "late_image_count": lambda s: wi.late_image_count(s, FIXTURE_WIDE),

@@ -37,6 +37,26 @@ WIDE_COLUMNS = [("item_shop_id" if c == "shop_id" else "item_cprice" if c == "cp
 ]
 
 
+SHOP_SUBSET = ["shop_id", *[c for c, _ in SHOP_COLUMNS]]
+COMMENT_SUBSET = ["item_id", "seller_id", "comment_id", "comment_content", "comment_images", "comment_sku", "comment_time"]
+
+
+def item_master_columns(items: DataFrame) -> DataFrame:
+    """The 31 item-master columns the wide tables carry (column pruning reaches the scan)."""
+    return items.select(*WIDE_ITEM_COLUMNS)
+
+
+def shop_columns(shops: DataFrame) -> DataFrame:
+    """The 14 shop columns the wide tables carry."""
+    return shops.select(*SHOP_SUBSET)
+
+
+def comments_with_images(comments: DataFrame) -> DataFrame:
+    """The 7 comment columns, picture reviews only (the unfinished ``WHERE comment_images`` read
+    as the default picture test)."""
+    return comments.select(*COMMENT_SUBSET).where(has_image("comment_images", "trimmed_n"))
+
+
 def first_image_time(comments: DataFrame, variant: str) -> DataFrame:
     """Per item, the earliest comment carrying pictures."""
     return (

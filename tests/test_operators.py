@@ -34,3 +34,31 @@ def test_lookup_and_ordered_head(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(20)], "id long, k long")
     assert {r.id for r in lookup(df, k=1).collect()} == {i for i in range(20) if i % 3 == 1}
     assert [r.id for r in ordered_head(df, [F.col("id").desc()], 3).collect()] == [19, 18, 17]
+
+
+def test_equal_width_level_zero_and_flat(spark):
+    from panelcraft.operators import equal_width_level
+
+    df = spark.createDataFrame([(0,), (5,), (10,), (99,)], "x long")
+    lv = [r[0] for r in df.select(equal_width_level(F.col("x"), 0, 99, 4)).collect()]
+    assert lv == [0, 1, 1, 4]  # the minimum gets level 0 (levels run 0..4)
+    flat = {r[0] for r in df.select(equal_width_level(F.col("x"), 7, 7, 4)).collect()}
+    assert flat == {1}
+
+
+def test_shop_quotas_round_half_up_small_takes_rest():
+    from panelcraft.params import StudyParams
+
+    assert StudyParams(n_shops=1000).quotas() == (300, 500, 200)
+    assert StudyParams(n_shops=6).quotas() == (2, 3, 1)
+    assert StudyParams(n_shops=7).quotas() == (2, 4, 1)  # 3.5 rounds up
+    assert StudyParams(n_shops=5).quotas() == (2, 3, 0)  # 1.5 and 2.5 round up
+
+
+def test_image_and_no_image_partition_all_comments(spark):
+    from panelcraft.plans.wide import comment_image_stats
+    from panelcraft.sources import fixture_sources
+
+    c = fixture_sources(spark, "/root/testdata/sf0.001").comments
+    t = comment_image_stats(c).agg(F.sum("img_comment_cnt").alias("a"), F.sum("no_img_comment_cnt").alias("b")).first()
+    assert t.a + t.b == c.count()
