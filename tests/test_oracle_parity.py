@@ -30,4 +30,6 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() >= 0
-    assert "days_diff" in df.columns and len(df.columns) == 49
+    from panelcraft.plans.wide import WIDE_COLUMNS
+
+    assert df.columns == WIDE_COLUMNS and len(df.columns) == 49
