@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import add_days, date_between, day_range, has_image
 from ..operators import avg_bigint, count_where, equal_freq_band, exclude
 from ..params import StudyParams
+from ..session import freeze
 from ..sources import Sources, partition_range
 
 
@@ -134,10 +135,17 @@ def eligible_universe(treated: DataFrame, control: DataFrame, items: DataFrame,
 
 
 class Cohort:
-    """The cohort tables of one study, built lazily from the sources."""
+    """The cohort tables of one study, built lazily from the sources.
 
-    def __init__(self, src: Sources, p: StudyParams):
+    The per-item panel statistics and the treated items are item-level tables read by most
+    later steps; they are written once to the checkpoint folder (``keep``) instead of
+    re-running the panel scan, join and aggregation for every consumer.  The panel itself is
+    fact-level and stays a pushed-down rescan of the source.
+    """
+
+    def __init__(self, src: Sources, p: StudyParams, keep=None):
         self.src, self.p = src, p
+        self.keep = keep if keep is not None else freeze
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -145,7 +153,7 @@ class Cohort:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return item_panel_stats(self.panel)
+        return self.keep(item_panel_stats(self.panel))
 
     @cached_property
     def t0(self) -> DataFrame:
@@ -161,7 +169,7 @@ class Cohort:
 
     @cached_property
     def treated(self) -> DataFrame:
-        return eligible_treated(self.coverage, self.p)
+        return self.keep(eligible_treated(self.coverage, self.p))
 
     @cached_property
     def control(self) -> DataFrame:
