@@ -60,9 +60,9 @@ def value_range(df: DataFrame, col: str, lo: str = "min_value", hi: str = "max_v
     return df.agg(F.min(col).alias(lo), F.max(col).alias(hi))
 
 
-def _numbered_values(df: DataFrame, col: str) -> DataFrame:
+def _numbered_values(df: DataFrame, col: str, max_group_rows: int | None = None) -> DataFrame:
     vals = df.select(F.col(col).cast("double").alias("_v"), F.col(col).alias("_x")).where(F.col("_v").isNotNull())
-    return number_within(vals, [], [F.col("_v").asc()], rn="_rn", size="_n")
+    return number_within(vals, [], [F.col("_v").asc()], rn="_rn", size="_n", max_group_rows=max_group_rows)
 
 
 def _percentile_aggs(ps: dict[str, float], scale: int) -> tuple[Column, list[Column]]:
@@ -83,19 +83,19 @@ def _percentile_aggs(ps: dict[str, float], scale: int) -> tuple[Column, list[Col
     return wanted, out
 
 
-def exact_percentiles(df: DataFrame, col: str, ps: dict[str, float], scale: int = 6) -> DataFrame:
+def exact_percentiles(df: DataFrame, col: str, ps: dict[str, float], scale: int = 6, max_group_rows: int | None = None) -> DataFrame:
     """One row with the exact (interpolated) percentile of ``col`` for each ``name: p``.
 
     Same definition as SQL ``PERCENTILE``/``quantile_cont``: position ``h = p * (n - 1)``,
     interpolate between the values at ranks ``floor(h)`` and ``ceil(h)``.  Rows are numbered
-    in value order across many tasks; only the 2 x len(ps) rows at the needed ranks reach
-    the final one-row aggregation.  Results are rounded to ``scale`` decimals.
+    in value order (across many tasks above ``max_group_rows`` values); only the 2 x len(ps)
+    rows at the needed ranks reach the final one-row aggregation.  Results are rounded to ``scale`` decimals.
     """
     wanted, aggs = _percentile_aggs(ps, scale)
-    return _numbered_values(df, col).where(wanted).agg(*aggs)
+    return _numbered_values(df, col, max_group_rows).where(wanted).agg(*aggs)
 
 
-def distribution(df: DataFrame, col: str, scale: int = 6) -> DataFrame:
+def distribution(df: DataFrame, col: str, scale: int = 6, max_group_rows: int | None = None) -> DataFrame:
     """count, sum, avg, exact median, max, min, population stddev of ``col`` (one row).
 
     One aggregation over the numbered values: the algebraic statistics combine map-side,
@@ -103,7 +103,7 @@ def distribution(df: DataFrame, col: str, scale: int = 6) -> DataFrame:
     """
     x = F.col("_x")
     _, med = _percentile_aggs({"median_fans": 0.5}, scale)
-    numbered = _numbered_values(df, col)
+    numbered = _numbered_values(df, col, max_group_rows)
     return numbered.agg(
         F.count(F.lit(1)).cast("bigint").alias("total_shops"),
         F.sum(x).cast("bigint").alias("total_fans"),

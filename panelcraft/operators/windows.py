@@ -13,13 +13,13 @@ def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
-def rank_latest(df: DataFrame, key: str, order: list, out: str = "rn_desc") -> DataFrame:
+def rank_latest(df: DataFrame, key: str, order: list, out: str = "rn_desc", max_group_rows: int | None = None) -> DataFrame:
     """Number every row inside its ``key`` group in ``order`` (newest first), keeping all rows.
 
     A group may be arbitrarily large, so the numbering is spread over tasks
     (``number_within``) instead of a one-task-per-group window.
     """
-    return number_within(df, [key], _cols(order), rn=out, size="_n").drop("_n")
+    return number_within(df, [key], _cols(order), rn=out, size="_n", max_group_rows=max_group_rows).drop("_n")
 
 
 def number_duplicates(df: DataFrame, key: str, order: list, limit: int, out: str = "rn") -> DataFrame:
