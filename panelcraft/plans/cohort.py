@@ -137,9 +137,9 @@ def eligible_universe(treated: DataFrame, control: DataFrame, items: DataFrame,
 class Cohort:
     """The cohort tables of one study, built lazily from the sources.
 
-    The per-item panel statistics and the treated items are item-level tables read by most
-    later steps; they are written once to the checkpoint folder (``keep``) instead of
-    re-running the panel scan, join and aggregation for every consumer.  The panel itself is
+    The per-item panel statistics, the treated items and the universe are item-level tables
+    read by most later steps; they are written once to the checkpoint folder (``keep``)
+    instead of re-running the panel scan, joins and aggregations for every consumer.  The panel itself is
     fact-level and stays a pushed-down rescan of the source.
     """
 
@@ -177,5 +177,4 @@ class Cohort:
 
     @cached_property
     def universe(self) -> DataFrame:
-        # Cached on the instance: the price band numbering freezes its layout once.
-        return eligible_universe(self.treated, self.control, self.src.items, self.stats, self.p.bands)
+        return self.keep(eligible_universe(self.treated, self.control, self.src.items, self.stats, self.p.bands))

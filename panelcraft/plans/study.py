@@ -312,9 +312,10 @@ def final_item_day(
 class Study:
     """The multistage sample and final tables of one design (A: zero-sales cells last; B: unit weight).
 
-    Each step is built once per instance.  The drawn items are small (bounded by
-    n_shops x cells x (pin + fill)) and read by every final table, so they are written to
-    the checkpoint folder once instead of recomputing the sampling chain for every consumer.
+    Each step is built once per instance.  The drawn items and the final item table are
+    small (bounded by n_shops x cells x (pin + fill)) and read by several later steps, so
+    they are written to the checkpoint folder once instead of recomputing the chain for
+    every consumer.
     """
 
     def __init__(self, cohort: Cohort, design: str = "A", keep=None):
@@ -353,7 +354,7 @@ class Study:
 
     @cached_property
     def final_item(self) -> DataFrame:
-        return final_item(self.snapshot, self.c.src.items, self.p.final_bands)
+        return self.keep(final_item(self.snapshot, self.c.src.items, self.p.final_bands))
 
     @cached_property
     def final_shop(self) -> DataFrame:
