@@ -66,3 +66,18 @@ def test_final_item_comment_repeats_comments_per_copy(spark):
     )
     out = final_item_comment(comments, fi, treated, items, 60).collect()
     assert sorted(r.comment_id for r in out) == [11, 11]
+
+
+def test_same_seed_same_sample_under_any_shuffle_partitions(spark, src):
+    from panelcraft.plans.registry import queries
+
+    q = queries()["sampled_items_a"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for n in ("1", "4", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted(map(tuple, q(spark, SF).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] == results[2] and results[0]
