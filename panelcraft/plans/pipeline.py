@@ -30,7 +30,7 @@ def _store(prefix: str, mode: str):
 
 
 def run_study(src: Sources, p: StudyParams, design: str = "A", mode: str = "ignore", prefix: str = "") -> dict[str, DataFrame]:
-    """Cohort, multistage sample and final tables (``step0`` -> ``step1-4`` -> ``stepfinal``)."""
+    """Cohort, then the multistage sample, then the final study tables, each stored in turn."""
     store = _store(prefix, mode)
     zero = "last" if design == "A" else "unit"
     panel = store(co.item_day(src.daily, p), N["panel"])
