@@ -76,7 +76,8 @@ def two_stage_sample(
     """
     clusters = df.select(level, cluster).distinct()
     picked = sample_topk(clusters, [level], k1, seed, "clusters", [cluster]).select(level, cluster)
-    inside = df.join(picked, [level, cluster], "left_semi")
+    # at most k1 clusters per level: a bounded list, broadcast into the semi-join
+    inside = df.join(F.broadcast(picked), [level, cluster], "left_semi")
     return sample_topk(inside, [level, cluster], k2, seed, "members", ids, rn=rn_item)
 
 
