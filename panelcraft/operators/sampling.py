@@ -26,10 +26,56 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], rn: str = "rn")
     return df.withColumn(rn, F.row_number().over(w).cast("bigint"))
 
 
+# Draws of more than LARGE_K rows per group pre-filter large groups by key threshold.
+LARGE_K = 1000
+KEY_SPACE = 2**52
+THRESHOLD_MARGIN = 2.0  # expected survivors = margin x k
+BROADCAST_GROUP_ROWS = 2_000_000
+
+
+def _prefilter_large_groups(df: DataFrame, keys: list[str], k_of: Column, key: Column, margin: float | None = None) -> DataFrame:
+    """Drop rows that cannot be among the ``k`` smallest keys of their group, exactly.
+
+    The partial top-k before the shuffle keeps up to k rows per group *per input partition*,
+    so for a large k the final step of a group spread over many partitions would still sort
+    k x partitions rows.  The keys are uniform over [0, 2^52), so in a group of n rows the
+    k smallest lie below about k/n of the range: keep keys under ``margin * k / n`` of it
+    (about margin x k rows per group, filtered map-side).  Then check that every group kept
+    at least min(k, n) rows; a group that did not (improbable for large k) keeps all its
+    rows.  The result is the same as without the filter.
+    """
+    margin = THRESHOLD_MARGIN if margin is None else margin
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    thr = sizes.select(
+        *keys,
+        "_n",
+        F.when(F.col("_n") <= k_of * F.lit(2 * margin), F.lit(KEY_SPACE))
+        .otherwise(F.ceil(F.lit(float(KEY_SPACE) * margin) * k_of / F.col("_n")))
+        .cast("bigint")
+        .alias("_t"),
+    )
+    thr = thr.persist()  # groups x 3 columns; recomputed from the input if lost
+    n_groups = thr.count()
+    side = F.broadcast(thr) if n_groups <= BROADCAST_GROUP_ROWS else thr
+    tagged = df.withColumn("_key", key).join(side, keys)
+    kept = tagged.where(F.col("_key") < F.col("_t"))
+    per_group = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_kept"))
+    need = F.least(k_of, F.col("_n"))
+    short = thr.join(per_group, keys, "left").where(F.coalesce(F.col("_kept"), F.lit(0)) < need).select(*keys)
+    short = short.persist()
+    if short.count() > 0:
+        extra = tagged.where(F.col("_key") >= F.col("_t")).join(F.broadcast(short), keys, "left_semi")
+        kept = kept.unionByName(extra)
+    return kept.drop("_key", "_t", "_n")
+
+
 def sample_topk(df: DataFrame, keys: list[str], k: int, seed: int, stage: str, ids: list[str], rn: str = "rn") -> DataFrame:
     """Up to ``k`` rows per group drawn uniformly without replacement (``ORDER BY RAND()`` top-k)."""
     raise_group_limit_threshold(df.sparkSession, k)
-    order = [draw_key(seed, stage, *keys, *ids), *_cols(ids)]
+    key = draw_key(seed, stage, *keys, *ids)
+    if k > LARGE_K:
+        df = _prefilter_large_groups(df, keys, F.lit(k), key)
+    order = [key, *_cols(ids)]
     return ranked(df, keys, order, rn).where(F.col(rn) <= F.lit(k))
 
 
@@ -37,12 +83,17 @@ def sample_quota(df: DataFrame, stratum: str, quotas: dict, seed: int, stage: st
     """Per-stratum quota draw: keep ``rn <= quotas[stratum]``; strata without a quota keep nothing.
 
     The literal ``rn <= max(quotas)`` lets the partial top-k run before the shuffle; the
-    exact per-stratum quota is then a map lookup, with no join to a quota table.
+    exact per-stratum quota is then a map lookup, with no join to a quota table.  Quotas
+    above ``LARGE_K`` first thin large strata by key threshold (``_prefilter_large_groups``).
     """
     kmax = max(quotas.values())
     raise_group_limit_threshold(df.sparkSession, kmax)
-    order = [draw_key(seed, stage, stratum, *ids), *_cols(ids)]
+    key = draw_key(seed, stage, stratum, *ids)
     qmap = F.create_map(*[x for s, q in quotas.items() for x in (F.lit(s), F.lit(q))])
+    if kmax > LARGE_K:
+        df = df.where(F.col(stratum).isin(list(quotas)))
+        df = _prefilter_large_groups(df, [stratum], F.element_at(qmap, F.col(stratum)), key)
+    order = [key, *_cols(ids)]
     out = ranked(df, [stratum], order, rn).where(F.col(rn) <= F.lit(kmax))
     return out.where(F.col(rn) <= F.element_at(qmap, F.col(stratum)))
 

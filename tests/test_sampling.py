@@ -89,3 +89,22 @@ def test_pin_then_fill(items):
         assert len(rs) == 7
         assert len({r.item_id for r in rs}) == 7  # pinned rows are excluded from the fill
         assert sum(r.flag for r in rs) >= 2
+
+
+@pytest.mark.parametrize("margin", [2.0, 0.05])
+def test_large_k_prefilter_is_exact(spark, monkeypatch, margin):
+    """The key-threshold pre-filter gives the same draw; a tiny margin forces the fallback."""
+    from panelcraft.operators import sampling
+
+    rows = [(i, 0 if i % 2 else 1 + i % 3) for i in range(20000)]  # group 0 holds half the rows
+    df = spark.createDataFrame(rows, "item_id long, grp long")
+    quotas = {0: 2000, 1: 5, 2: 3000}
+    monkeypatch.setattr(sampling, "LARGE_K", 10**9)  # baseline without the pre-filter
+    plain = sorted(r.item_id for r in sample_topk(df, ["grp"], 1500, 9, "s", ["item_id"]).collect())
+    q_plain = sorted(r.item_id for r in sample_quota(df, "grp", quotas, 9, "q", ["item_id"]).collect())
+    monkeypatch.setattr(sampling, "LARGE_K", 100)
+    monkeypatch.setattr(sampling, "THRESHOLD_MARGIN", margin)
+    thinned = sorted(r.item_id for r in sample_topk(df, ["grp"], 1500, 9, "s", ["item_id"]).collect())
+    q_thin = sorted(r.item_id for r in sample_quota(df, "grp", quotas, 9, "q", ["item_id"]).collect())
+    assert thinned == plain and len(plain) == 4 * 1500
+    assert q_thin == q_plain
