@@ -8,6 +8,8 @@ partition across the network.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ THRESHOLD_MARGIN = 2.0  # expected survivors = margin x k
 BROADCAST_GROUP_ROWS = 2_000_000
 
 
+def _same(left: list[str], right: list[str]) -> Column:
+    """Null-safe equality of two key lists (a window groups NULL keys together)."""
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
+
+
 def _prefilter_large_groups(df: DataFrame, keys: list[str], k_of: Column, key: Column, margin: float | None = None) -> DataFrame:
     """Drop rows that cannot be among the ``k`` smallest keys of their group, exactly.
 
@@ -42,31 +49,39 @@ def _prefilter_large_groups(df: DataFrame, keys: list[str], k_of: Column, key: C
     k smallest lie below about k/n of the range: keep keys under ``margin * k / n`` of it
     (about margin x k rows per group, filtered map-side).  Then check that every group kept
     at least min(k, n) rows; a group that did not (improbable for large k) keeps all its
-    rows.  The result is the same as without the filter.
+    rows.  The result is the same as without the filter.  ``k_of`` is the group's k, as an
+    expression of the group keys.
     """
     margin = THRESHOLD_MARGIN if margin is None else margin
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    g = [f"_g_{k}" for k in keys]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", k_of.cast("bigint"))
     thr = sizes.select(
-        *keys,
+        *[F.col(k).alias(c) for k, c in zip(keys, g)],
         "_n",
-        F.when(F.col("_n") <= k_of * F.lit(2 * margin), F.lit(KEY_SPACE))
-        .otherwise(F.ceil(F.lit(float(KEY_SPACE) * margin) * k_of / F.col("_n")))
+        "_k",
+        F.when(F.col("_n") <= F.col("_k") * F.lit(2 * margin), F.lit(KEY_SPACE))
+        .otherwise(F.ceil(F.lit(float(KEY_SPACE) * margin) * F.col("_k") / F.col("_n")))
         .cast("bigint")
         .alias("_t"),
     )
-    thr = thr.persist()  # groups x 3 columns; recomputed from the input if lost
-    n_groups = thr.count()
-    side = F.broadcast(thr) if n_groups <= BROADCAST_GROUP_ROWS else thr
-    tagged = df.withColumn("_key", key).join(side, keys)
+    thr = thr.persist()  # one row per group; recomputed from the input if lost
+    side = F.broadcast(thr) if thr.count() <= BROADCAST_GROUP_ROWS else thr
+    tagged = df.withColumn("_key", key).join(side, _same(keys, g))
     kept = tagged.where(F.col("_key") < F.col("_t"))
-    per_group = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_kept"))
-    need = F.least(k_of, F.col("_n"))
-    short = thr.join(per_group, keys, "left").where(F.coalesce(F.col("_kept"), F.lit(0)) < need).select(*keys)
-    short = short.persist()
-    if short.count() > 0:
-        extra = tagged.where(F.col("_key") >= F.col("_t")).join(F.broadcast(short), keys, "left_semi")
+    p = [f"_p{c}" for c in g]
+    per_group = kept.groupBy(*g).agg(F.count(F.lit(1)).alias("_kept")).select(*[F.col(c).alias(x) for c, x in zip(g, p)], "_kept")
+    short = (
+        thr.join(per_group, _same(g, p), "left")
+        .where(F.coalesce(F.col("_kept"), F.lit(0)) < F.least(F.col("_k"), F.col("_n")))
+        .select(*[F.col(c).alias(f"_s{c}") for c in g])
+        .persist()
+    )
+    n_short = short.count()
+    if n_short > 0:
+        s_side = F.broadcast(short) if n_short <= BROADCAST_GROUP_ROWS else short
+        extra = tagged.where(F.col("_key") >= F.col("_t")).join(s_side, _same(g, [f"_s{c}" for c in g]), "left_semi")
         kept = kept.unionByName(extra)
-    return kept.drop("_key", "_t", "_n")
+    return kept.drop("_key", "_t", "_n", "_k", *g)
 
 
 def sample_topk(df: DataFrame, keys: list[str], k: int, seed: int, stage: str, ids: list[str], rn: str = "rn") -> DataFrame:

@@ -108,3 +108,15 @@ def test_large_k_prefilter_is_exact(spark, monkeypatch, margin):
     q_thin = sorted(r.item_id for r in sample_quota(df, "grp", quotas, 9, "q", ["item_id"]).collect())
     assert thinned == plain and len(plain) == 4 * 1500
     assert q_thin == q_plain
+
+
+def test_large_k_prefilter_keeps_null_group(spark, monkeypatch):
+    from panelcraft.operators import sampling
+
+    rows = [(i, None if i % 2 else 1) for i in range(6000)]
+    df = spark.createDataFrame(rows, "item_id long, grp long")
+    monkeypatch.setattr(sampling, "LARGE_K", 10**9)
+    plain = sorted(r.item_id for r in sample_topk(df, ["grp"], 1200, 5, "s", ["item_id"]).collect())
+    monkeypatch.setattr(sampling, "LARGE_K", 10)
+    thinned = sorted(r.item_id for r in sample_topk(df, ["grp"], 1200, 5, "s", ["item_id"]).collect())
+    assert thinned == plain and len(plain) == 2400
