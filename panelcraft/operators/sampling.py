@@ -65,7 +65,10 @@ def _prefilter_large_groups(df: DataFrame, keys: list[str], k_of: Column, key: C
         .alias("_t"),
     )
     thr = thr.persist()  # one row per group; recomputed from the input if lost
-    side = F.broadcast(thr) if thr.count() <= BROADCAST_GROUP_ROWS else thr
+    n_groups = thr.count()
+    if thr.where(F.col("_t") < F.lit(KEY_SPACE)).count() == 0:
+        return df  # no group is large enough to thin
+    side = F.broadcast(thr) if n_groups <= BROADCAST_GROUP_ROWS else thr
     tagged = df.withColumn("_key", key).join(side, _same(keys, g))
     kept = tagged.where(F.col("_key") < F.col("_t"))
     p = [f"_p{c}" for c in g]
