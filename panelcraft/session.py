@@ -7,7 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "panelcraft", extra: dict | None = None) -> SparkSession:
+def build_session(
+    master: str | None = "local[*]", shuffle_partitions: int | None = 8, app: str = "panelcraft", extra: dict | None = None
+) -> SparkSession:
     """A session with the settings the library is designed for.
 
     On a cluster, keep the cluster's own master and checkpoint directory; size
@@ -16,12 +18,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     builder = SparkSession.builder
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
+    if master:  # None: keep the master given by spark-submit / the cluster
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (
-        builder.master(master)
-        .appName(app)
+        builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -32,3 +32,11 @@ def test_run_sampling_ledger_excludes_previous_draws(spark):
     assert _rows(out["two_stage"]) == _rows(q["two_stage_sample"](spark, SF))
     drawn = {r.item_id for r in out["ledger"].collect()}
     assert drawn and not drawn & {r.item_id for r in out["two_stage"].collect()}
+
+
+def test_cli_study_on_fixture(spark):
+    from panelcraft.__main__ import main
+
+    summary = main(["study", "--fixture-dir", SF, "--prefix", "cli_", "--mode", "overwrite"])
+    assert summary["final_item_day"] > 0 and summary["tmp_sampled_items"] > 0
+    assert spark.table("cli_final_item_day").count() == summary["final_item_day"]
