@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import add_days, date_between, day_range, has_image
+from ..functions import add_days, date_between, day_range, gap_at_least, has_image
 from ..operators import avg_bigint, count_where, equal_freq_band, exclude
 from ..params import StudyParams
 from ..session import freeze
@@ -77,7 +77,7 @@ def eligible_treated(coverage: DataFrame, p: StudyParams) -> DataFrame:
     hi = p.end - dt.timedelta(days=p.window)
     return coverage.where(
         date_between("g", lo, hi)
-        & (F.datediff("g", "t0") >= p.min_gap)
+        & gap_at_least("g", "t0", p.min_gap)
         & (F.col("pre_days") >= p.min_pre)
         & (F.col("post_days") >= p.min_post)
     ).select("item_id", "g", "t0")

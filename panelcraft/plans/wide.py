@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import day_string, days_between, has_image, never_or_after, no_image, parse_day, str_date_le, valid_sale_start
+from ..functions import (
+    day_string,
+    days_between,
+    gap_at_least,
+    has_image,
+    never_or_after,
+    no_image,
+    parse_day,
+    str_date_le,
+    valid_sale_start,
+)
 from ..operators import count_where, min_where, row_count
 from ..params import WideParams
 from ..sources import Sources
@@ -82,7 +92,7 @@ def late_image_count(src: Sources, wp: WideParams) -> DataFrame:
     t = v.join(f, "item_id").select("item_id", sale.alias("first_actual_sale_date"), "first_img_comment_time")
     t = t.where(
         (F.col("first_img_comment_time") >= F.col("first_actual_sale_date"))
-        & (days_between("first_img_comment_time", "first_actual_sale_date") >= wp.late_days)
+        & gap_at_least("first_img_comment_time", "first_actual_sale_date", wp.late_days)
     )
     return row_count(t, "item_count")
 
@@ -123,7 +133,7 @@ def wide_items(src: Sources, wp: WideParams) -> DataFrame:
         & (F.trim(F.col("i.start_sell_date")) != "")
         & first.isNotNull()
         & (first >= sale)
-        & (days_between(first, sale) >= wp.min_days)
+        & gap_at_least(first, sale, wp.min_days)
     )
     return filtered.select(
         *_item_cols(),
