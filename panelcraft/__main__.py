@@ -16,7 +16,7 @@ import datetime as dt
 import json
 
 from .params import FIXTURE_STUDY, FIXTURE_WIDE, StudyParams, WideParams
-from .plans.pipeline import run_sampling, run_study
+from .plans.workflow import run_sampling, run_study
 from .session import build_session
 from .sources import fixture_sources, read_sources
 

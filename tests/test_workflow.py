@@ -2,7 +2,7 @@
 
 from panelcraft.params import FIXTURE_STUDY, FIXTURE_WIDE
 from panelcraft.plans import registry
-from panelcraft.plans.pipeline import run_sampling, run_study
+from panelcraft.plans.workflow import run_sampling, run_study
 from panelcraft.sources import fixture_sources
 
 SF = "/root/testdata/sf0.001"
