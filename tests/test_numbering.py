@@ -76,3 +76,13 @@ def test_exact_percentiles_hot_value(spark):
     ours = exact_percentiles(df, "v", {"m": 0.5, "p": 0.9}, max_group_rows=0).first()
     ref = df.agg(F.round(F.median("v"), 6).alias("m"), F.round(F.percentile("v", 0.9), 6).alias("p")).first()
     assert (ours.m, ours.p) == (ref.m, ref.p)
+
+
+@pytest.mark.parametrize("max_rows", [None, 0])
+@pytest.mark.parametrize("values", [[7] * 10, [3], [None, None, 1], [2, 2, 1, 1]])
+def test_bands_edge_cases(spark, values, max_rows):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v long").withColumn("g", F.lit(1))
+    order = [F.col("v").asc_nulls_first(), F.col("id").asc()]
+    ours = equal_freq_band(df, ["g"], order, 4, out="b", max_group_rows=max_rows).select("id", "b")
+    ref = equal_freq_band(df, ["g"], order, 4, out="b", distributed=False).select("id", "b")
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.collect()))

@@ -87,3 +87,12 @@ def test_day_range_is_pushed_to_scan(spark, scratch):
     spark.createDataFrame([(dt.datetime(2025, 1, 2),)], "t timestamp_ntz").write.parquet(path)
     plan = spark.read.parquet(path).where(day_range("t", dt.date(2025, 1, 1), dt.date(2025, 1, 31)))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(t), GreaterThanOrEqual(t," in plan
+
+
+def test_never_or_after_counts_the_cutoff_day_after_midnight(spark):
+    from panelcraft.functions import never_or_after
+
+    ts = [None, dt.datetime(2025, 12, 31, 0, 0, 0), dt.datetime(2025, 12, 31, 0, 0, 1), dt.datetime(2025, 12, 30, 23, 0)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "i int, t timestamp_ntz")
+    kept = sorted(r.i for r in df.where(never_or_after("t", dt.date(2025, 12, 31))).collect())
+    assert kept == [0, 2]  # never, or after midnight of the cutoff day (quirk Q7)

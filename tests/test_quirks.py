@@ -37,7 +37,9 @@ def test_universe_band_counts(src):
 
 def test_anchor_snapshot_keeps_every_crawl_of_the_day(spark):
     p = FIXTURE_STUDY
-    sampled = spark.createDataFrame([(1, 10, 3, 1), (2, 10, 3, 1)], "item_id long, shop_id long, category_id long, price_band long")
+    sampled = spark.createDataFrame(
+        [(1, 10, 3, 1), (2, 10, 3, 1), (3, 10, 3, 1)], "item_id long, shop_id long, category_id long, price_band long"
+    )  # item 3 has no crawl on its anchor day
     treated = spark.createDataFrame([(1, dt.date(2000, 5, 2))], "item_id long, g date")
     daily = spark.createDataFrame(
         [
@@ -50,7 +52,12 @@ def test_anchor_snapshot_keeps_every_crawl_of_the_day(spark):
     ).withColumn("pt", F.date_format("insert_time", "yyyyMMdd"))
     snap = anchor_snapshot(sampled, treated, daily, p).collect()
     got = sorted((r.item_id, r.anchor_date, r.anchor_price) for r in snap)
-    assert got == [(1, dt.date(2000, 5, 1), 100), (1, dt.date(2000, 5, 1), 110), (2, dt.date(2001, 12, 30), 50)]
+    assert got == [
+        (1, dt.date(2000, 5, 1), 100),
+        (1, dt.date(2000, 5, 1), 110),
+        (2, dt.date(2001, 12, 30), 50),
+        (3, dt.date(2001, 12, 30), None),
+    ]
     # optional partition pruning gives the same rows
     pruned = anchor_snapshot(sampled, treated, daily, p, pt_slack_days=1).collect()
     assert sorted((r.item_id, r.anchor_date, r.anchor_price) for r in pruned) == got
@@ -81,3 +88,17 @@ def test_same_seed_same_sample_under_any_shuffle_partitions(spark, src):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1] == results[2] and results[0]
+
+
+def test_ledger_empty_and_full(spark, src):
+    from panelcraft.params import FIXTURE_WIDE
+    from panelcraft.plans.registry import wide
+    from panelcraft.plans.sample import fan_bounds, two_stage
+
+    w30 = wide(src, 30)
+    empty = spark.createDataFrame([], "item_id bigint")
+    full = w30.select("item_id")
+    assert two_stage(w30, empty, FIXTURE_WIDE).count() > 0
+    assert two_stage(w30, full, FIXTURE_WIDE).count() == 0
+    b = fan_bounds(w30, full).first()
+    assert b.min_fan is None and b.max_fan is None
