@@ -115,11 +115,15 @@ def price_reference(items: DataFrame, fallback: DataFrame) -> DataFrame:
     )
 
 
-def eligible_universe(treated: DataFrame, control: DataFrame, items: DataFrame, fallback: DataFrame, bands: int) -> DataFrame:
+def eligible_universe(
+    treated: DataFrame, control: DataFrame, items: DataFrame, fallback: DataFrame, bands: int, keep=None
+) -> DataFrame:
     """Tagged union of treated and control items with shop, category, reference price and price band.
 
     The price band is ``NTILE(bands)`` inside the category by reference price (ties broken
     by item and tag), numbered across tasks so a large category is not one task's work.
+    ``keep`` (e.g. ``freeze``) stores the unbanded rows first, so sizing the categories and
+    banding read the stored rows instead of recomputing the joins.
     """
     u0 = treated.select("item_id", F.lit("treated").alias("elig_type")).unionByName(
         control.select("item_id", F.lit("control").alias("elig_type"))
@@ -130,6 +134,8 @@ def eligible_universe(treated: DataFrame, control: DataFrame, items: DataFrame,
     u = u.where(F.col("shop_id").isNotNull() & F.col("category_id").isNotNull() & price.isNotNull()).select(
         "item_id", "elig_type", "shop_id", "category_id", "category_name", price.alias("price_ref")
     )
+    if keep is not None:
+        u = keep(u)
     order = [F.col("price_ref").asc_nulls_first(), F.col("item_id").asc(), F.col("elig_type").asc()]
     return equal_freq_band(u, ["category_id"], order, bands, out="price_band")
 
@@ -177,4 +183,4 @@ class Cohort:
 
     @cached_property
     def universe(self) -> DataFrame:
-        return self.keep(eligible_universe(self.treated, self.control, self.src.items, self.stats, self.p.bands))
+        return self.keep(eligible_universe(self.treated, self.control, self.src.items, self.stats, self.p.bands, keep=self.keep))

@@ -184,11 +184,12 @@ FINAL_ITEM_COLUMNS = [
 ]
 
 
-def final_item(snapshot: DataFrame, items: DataFrame, bands: int) -> DataFrame:
+def final_item(snapshot: DataFrame, items: DataFrame, bands: int, keep=None) -> DataFrame:
     """Item attributes with the price band re-cut on the anchor price inside the category.
 
     Missing anchor prices sort first (quirk Q8).  The item master is reduced to the sampled
-    items by a broadcast semi-join before the join.
+    items by a broadcast semi-join before the join.  ``keep`` stores the joined rows before
+    banding (read by the sizing and the banding).
     """
     ids = snapshot.select("item_id").distinct()
     it = keep_in(items, F.broadcast(ids), "item_id").select(
@@ -207,6 +208,8 @@ def final_item(snapshot: DataFrame, items: DataFrame, bands: int) -> DataFrame:
         "sale_time",
     )
     joined = snapshot.select("item_id", "anchor_price").join(it, "item_id")
+    if keep is not None:
+        joined = keep(joined)
     order = [F.col("anchor_price").asc_nulls_first(), F.col("item_id").asc()]
     banded = equal_freq_band(joined, ["category_id"], order, bands, out="price_band")
     return banded.select(*FINAL_ITEM_COLUMNS)
@@ -354,7 +357,7 @@ class Study:
 
     @cached_property
     def final_item(self) -> DataFrame:
-        return self.keep(final_item(self.snapshot, self.c.src.items, self.p.final_bands))
+        return self.keep(final_item(self.snapshot, self.c.src.items, self.p.final_bands, keep=self.keep))
 
     @cached_property
     def final_shop(self) -> DataFrame:
