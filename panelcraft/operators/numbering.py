@@ -34,8 +34,10 @@ from ..session import freeze
 _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position in partition
 _POS_MASK = (1 << _POS_BITS) - 1
 BROADCAST_OFFSET_ROWS = 2_000_000
-# Largest group numbered by one task with the plain window (a few hundred MB of rows).
+# Largest group numbered by one task with the plain window (a few hundred MB of rows);
+# a session may override it with the conf key below.
 SMALL_GROUP_ROWS = 2_000_000
+GROUP_ROWS_CONF = "panelcraft.numbering.maxGroupRows"
 
 
 def _order_cols(order) -> list[Column]:
@@ -49,11 +51,14 @@ def number_within(
 
     ``order`` should be a total order (append id columns) for a reproducible result; ties
     get distinct numbers in an arbitrary but consistent way, as with ``row_number``.
-    Groups above ``max_group_rows`` rows (default ``SMALL_GROUP_ROWS``) are numbered across
+    Groups above ``max_group_rows`` rows (default: the session conf
+    ``panelcraft.numbering.maxGroupRows``, else ``SMALL_GROUP_ROWS``) are numbered across
     tasks; ``0`` sends every group that way.
     """
     by = list(by)
-    limit = SMALL_GROUP_ROWS if max_group_rows is None else max_group_rows
+    if max_group_rows is None:
+        max_group_rows = int(df.sparkSession.conf.get(GROUP_ROWS_CONF, str(SMALL_GROUP_ROWS)))
+    limit = max_group_rows
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_gsize"))
     hot = sizes.where(F.col("_gsize") > limit).select(*by)
     n_hot = hot.count()

@@ -28,8 +28,10 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], rn: str = "rn")
     return df.withColumn(rn, F.row_number().over(w).cast("bigint"))
 
 
-# Draws of more than LARGE_K rows per group pre-filter large groups by key threshold.
+# Draws of more than LARGE_K rows per group pre-filter large groups by key threshold; a
+# session may override it with the conf key below.
 LARGE_K = 1000
+LARGE_K_CONF = "panelcraft.sampling.largeK"
 KEY_SPACE = 2**52
 THRESHOLD_MARGIN = 2.0  # expected survivors = margin x k
 BROADCAST_GROUP_ROWS = 2_000_000
@@ -87,11 +89,15 @@ def _prefilter_large_groups(df: DataFrame, keys: list[str], k_of: Column, key: C
     return kept.drop("_key", "_t", "_n", "_k", *g)
 
 
+def _large_k(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(LARGE_K_CONF, str(LARGE_K)))
+
+
 def sample_topk(df: DataFrame, keys: list[str], k: int, seed: int, stage: str, ids: list[str], rn: str = "rn") -> DataFrame:
     """Up to ``k`` rows per group drawn uniformly without replacement (``ORDER BY RAND()`` top-k)."""
     raise_group_limit_threshold(df.sparkSession, k)
     key = draw_key(seed, stage, *keys, *ids)
-    if k > LARGE_K:
+    if k > _large_k(df):
         df = _prefilter_large_groups(df, keys, F.lit(k), key)
     order = [key, *_cols(ids)]
     return ranked(df, keys, order, rn).where(F.col(rn) <= F.lit(k))
@@ -108,7 +114,7 @@ def sample_quota(df: DataFrame, stratum: str, quotas: dict, seed: int, stage: st
     raise_group_limit_threshold(df.sparkSession, kmax)
     key = draw_key(seed, stage, stratum, *ids)
     qmap = F.create_map(*[x for s, q in quotas.items() for x in (F.lit(s), F.lit(q))])
-    if kmax > LARGE_K:
+    if kmax > _large_k(df):
         df = df.where(F.col(stratum).isin(list(quotas)))
         df = _prefilter_large_groups(df, [stratum], F.element_at(qmap, F.col(stratum)), key)
     order = [key, *_cols(ids)]

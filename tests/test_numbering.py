@@ -86,3 +86,13 @@ def test_bands_edge_cases(spark, values, max_rows):
     ours = equal_freq_band(df, ["g"], order, 4, out="b", max_group_rows=max_rows).select("id", "b")
     ref = equal_freq_band(df, ["g"], order, 4, out="b", distributed=False).select("id", "b")
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.collect()))
+
+
+def test_group_threshold_from_session_conf(spark, skewed):
+    order = [F.col("v").asc_nulls_first(), F.col("id").asc()]
+    spark.conf.set("panelcraft.numbering.maxGroupRows", "500")
+    try:
+        plan = number_within(skewed, ["g"], order)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("panelcraft.numbering.maxGroupRows")
+    assert "Scan ExistingRDD" in plan  # the hot group took the spread path
