@@ -107,7 +107,7 @@ def comment_image_stats(comments: DataFrame) -> DataFrame:
     )
 
 
-def _item_cols(i: str = "i") -> list:
+def _item_cols(i: str = "item") -> list:
     out = []
     for c in WIDE_ITEM_COLUMNS:
         alias = "item_shop_id" if c == "shop_id" else "item_cprice" if c == "cprice" else c
@@ -115,30 +115,32 @@ def _item_cols(i: str = "i") -> list:
     return out
 
 
-def _shop_cols(s: str = "s") -> list:
+def _shop_cols(s: str = "shop") -> list:
     return [F.col(f"{s}.{c}").alias(a) for c, a in SHOP_COLUMNS]
 
 
 def wide_items(src: Sources, wp: WideParams) -> DataFrame:
     """49-column wide table: items with a first picture review ``min_days`` or more after the sale start."""
-    stats = comment_image_stats(src.comments).alias("c")
-    i = src.items.alias("i")
-    s = src.shops.alias("s")
-    sale = parse_day(F.col("i.start_sell_date"), wp.sale_date_format)
-    first = F.col("c.first_img_comment_time")
-    joined = i.join(stats, F.col("i.item_id") == F.col("c.item_id")).join(s, F.col("i.shop_id") == F.col("s.shop_id"))
+    stats = comment_image_stats(src.comments).alias("st")
+    item = src.items.alias("item")
+    shop = src.shops.alias("shop")
+    sale = parse_day(F.col("item.start_sell_date"), wp.sale_date_format)
+    first = F.col("st.first_img_comment_time")
+    joined = item.join(stats, F.col("item.item_id") == F.col("st.item_id")).join(
+        shop, F.col("item.shop_id") == F.col("shop.shop_id")
+    )
     filtered = joined.where(
-        (F.col("i.start_sell_volume") > 0)
-        & F.col("i.start_sell_date").isNotNull()
-        & (F.trim(F.col("i.start_sell_date")) != "")
+        (F.col("item.start_sell_volume") > 0)
+        & F.col("item.start_sell_date").isNotNull()
+        & (F.trim(F.col("item.start_sell_date")) != "")
         & first.isNotNull()
         & (first >= sale)
         & gap_at_least(first, sale, wp.min_days)
     )
     return filtered.select(
         *_item_cols(),
-        F.col("c.img_comment_cnt"),
-        F.col("c.no_img_comment_cnt"),
+        F.col("st.img_comment_cnt"),
+        F.col("st.no_img_comment_cnt"),
         first.alias("first_img_comment_time"),
         *_shop_cols(),
         day_string(first).alias("first_img_comment_date_str"),
@@ -152,23 +154,23 @@ def control_items(src: Sources, wp: WideParams) -> DataFrame:
     One pass over the comments gives both the first picture time and the counts (the
     original scans the comments twice); outer-joined, with counts zero-filled.
     """
-    stats = comment_image_stats(src.comments).alias("c")
-    i = src.items.alias("i")
-    s = src.shops.alias("s")
-    first = F.col("c.first_img_comment_time")
-    joined = i.join(s, F.col("i.shop_id") == F.col("s.shop_id")).join(
-        stats, F.col("i.item_id") == F.col("c.item_id"), "left"
+    stats = comment_image_stats(src.comments).alias("st")
+    item = src.items.alias("item")
+    shop = src.shops.alias("shop")
+    first = F.col("st.first_img_comment_time")
+    joined = item.join(shop, F.col("item.shop_id") == F.col("shop.shop_id")).join(
+        stats, F.col("item.item_id") == F.col("st.item_id"), "left"
     )
     filtered = joined.where(
-        F.col("i.start_sell_date").isNotNull()
-        & str_date_le(F.col("i.start_sell_date"), wp.sale_by)
+        F.col("item.start_sell_date").isNotNull()
+        & str_date_le(F.col("item.start_sell_date"), wp.sale_by)
         & never_or_after(first, wp.cutoff)
     )
-    sale = parse_day(F.col("i.start_sell_date"), wp.sale_date_format)
+    sale = parse_day(F.col("item.start_sell_date"), wp.sale_date_format)
     return filtered.select(
         *_item_cols(),
-        F.coalesce(F.col("c.img_comment_cnt"), F.lit(0)).cast("bigint").alias("img_comment_cnt"),
-        F.coalesce(F.col("c.no_img_comment_cnt"), F.lit(0)).cast("bigint").alias("no_img_comment_cnt"),
+        F.coalesce(F.col("st.img_comment_cnt"), F.lit(0)).cast("bigint").alias("img_comment_cnt"),
+        F.coalesce(F.col("st.no_img_comment_cnt"), F.lit(0)).cast("bigint").alias("no_img_comment_cnt"),
         first.alias("first_img_comment_time"),
         *_shop_cols(),
         day_string(first).alias("first_img_comment_date_str"),
