@@ -22,3 +22,17 @@ def test_streaming_stats_equal_batch(spark, scratch):
         q.stop()
     want = sorted(map(tuple, comment_image_stats(comments).collect()))
     assert got == want and len(got) > 0
+
+
+def test_streaming_available_now_with_foreach_batch(spark, scratch):
+    comments = fixture_sources(spark, SF).comments.select(*COMMENT.fieldNames())
+    log = f"{scratch}/comments"
+    comments.write.parquet(log)
+    seen = []
+
+    def sink(batch, epoch_id):
+        seen.append(batch.count())
+
+    q = start_comment_stats(spark, log, sink, query_name="cstats_fb", checkpoint=f"{scratch}/ckpt", trigger_once=True)
+    q.awaitTermination(120)
+    assert sum(seen) == comment_image_stats(comments).count()

@@ -40,3 +40,10 @@ def test_cli_study_on_fixture(spark):
     summary = main(["study", "--fixture-dir", SF, "--prefix", "cli_", "--mode", "overwrite"])
     assert summary["final_item_day"] > 0 and summary["tmp_sampled_items"] > 0
     assert spark.table("cli_final_item_day").count() == summary["final_item_day"]
+
+
+def test_cli_sampling_on_fixture(spark):
+    from panelcraft.__main__ import main
+
+    summary = main(["sampling", "--fixture-dir", SF, "--prefix", "clis_", "--mode", "overwrite"])
+    assert summary["single"] > 0 and summary["ledger"] == summary["single"]
