@@ -44,6 +44,7 @@ def main(argv: list[str] | None = None) -> dict:
     ap.add_argument("--n-shops", type=int)
     ap.add_argument("--exclusive", action="store_true", help="remove treated items from the control pool")
     ap.add_argument("--min-days", type=int)
+    ap.add_argument("--buckets", type=int, help="store panel, t0 and g bucketed by item (shuffle-free coverage join)")
     a = ap.parse_args(argv)
 
     spark = build_session(master=a.master, shuffle_partitions=None, app=f"panelcraft-{a.command}")
@@ -67,7 +68,7 @@ def main(argv: list[str] | None = None) -> dict:
         wide = WideParams(**{**wide.__dict__, "min_days": a.min_days})
 
     if a.command == "study":
-        tables = run_study(src, study, design=a.design, mode=a.mode, prefix=a.prefix)
+        tables = run_study(src, study, design=a.design, mode=a.mode, prefix=a.prefix, buckets=a.buckets)
     else:
         tables = run_sampling(src, wide, mode=a.mode, prefix=a.prefix, pt_lo=study.pt_lo, pt_hi=study.pt_hi)
     summary = {name: df.count() for name, df in tables.items()}

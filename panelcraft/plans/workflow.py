@@ -23,20 +23,27 @@ from . import wide as wi
 
 
 def _store(prefix: str, mode: str):
-    def store(df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, prefix + name, mode=mode)
+    def store(df: DataFrame, name: str, buckets: int | None = None) -> DataFrame:
+        return materialize(df, prefix + name, mode=mode, buckets=buckets, key="item_id" if buckets else None)
 
     return store
 
 
-def run_study(src: Sources, p: StudyParams, design: str = "A", mode: str = "ignore", prefix: str = "") -> dict[str, DataFrame]:
-    """Cohort, then the multistage sample, then the final study tables, each stored in turn."""
+def run_study(
+    src: Sources, p: StudyParams, design: str = "A", mode: str = "ignore", prefix: str = "", buckets: int | None = None
+) -> dict[str, DataFrame]:
+    """Cohort, then the multistage sample, then the final study tables, each stored in turn.
+
+    ``buckets``: store the panel, t0 and g bucketed by item with that many buckets, so the
+    coverage join and the per-item aggregates over the (fact-level) panel run without a
+    shuffle of the panel.
+    """
     store = _store(prefix, mode)
     zero = "last" if design == "A" else "unit"
-    panel = store(co.item_day(src.daily, p), N["panel"])
+    panel = store(co.item_day(src.daily, p), N["panel"], buckets)
     stats = co.item_panel_stats(panel)
-    t0 = store(stats.where(F.col("t0").isNotNull()).select("item_id", "t0"), N["t0"])
-    g = store(co.first_image(src.comments, p), N["g"])
+    t0 = store(stats.where(F.col("t0").isNotNull()).select("item_id", "t0"), N["t0"], buckets)
+    g = store(co.first_image(src.comments, p), N["g"], buckets)
     treated = store(co.eligible_treated(co.panel_coverage(g, t0, panel, p), p), N["treated"])
     control = store(co.eligible_control(stats, p, treated), N["control"])
     universe = store(co.eligible_universe(treated, control, src.items, stats, p.bands), N["universe"])

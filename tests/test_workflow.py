@@ -47,3 +47,19 @@ def test_cli_sampling_on_fixture(spark):
 
     summary = main(["sampling", "--fixture-dir", SF, "--prefix", "clis_", "--mode", "overwrite"])
     assert summary["single"] > 0 and summary["ledger"] == summary["single"]
+
+
+def test_bucketed_panel_joins_without_shuffle(spark):
+    from panelcraft.plans.cohort import panel_coverage
+
+    src = fixture_sources(spark, SF)
+    out = run_study(src, FIXTURE_STUDY, prefix="pb_", mode="overwrite", buckets=4)
+    q = registry.queries()
+    assert _rows(out["tmp_eligible_treated"]) == _rows(q["eligible_treated"](spark, SF))
+    panel, t0, g = spark.table("pb_tmp_item_day_y1"), spark.table("pb_tmp_item_t0"), spark.table("pb_tmp_item_g")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = panel_coverage(g, t0, panel, FIXTURE_STUDY)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
