@@ -139,9 +139,20 @@ def _project(df: DataFrame, exprs: dict) -> DataFrame:
     return df.select(*[F.expr(e.format(ts="timestamp_ntz")).alias(c) for c, e in exprs.items()])
 
 
+_SCANS: dict = {}
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """The (lazy) parquet scan of a read-only driver table, listed once per session."""
+    key = (id(spark), path)
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(path)
+    return _SCANS[key]
+
+
 def fixture_sources(spark: SparkSession, sf_dir: str) -> Sources:
     """Lazily project the driver's parquet tables into the four source tables."""
     out = {}
     for view, table, exprs in VIEWS:
-        out[view] = _project(spark.read.parquet(f"{sf_dir}/{table}.parquet"), exprs)
+        out[view] = _project(_scan(spark, f"{sf_dir}/{table}.parquet"), exprs)
     return Sources(**out)
