@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
-    master: str | None = "local[*]", shuffle_partitions: int | None = 8, app: str = "panelcraft", extra: dict | None = None
+    master: str | None = None, shuffle_partitions: int | None = None, app: str = "panelcraft", extra: dict | None = None
 ) -> SparkSession:
     """A session with the settings the library is designed for.
 
-    On a cluster, keep the cluster's own master and checkpoint directory; size
-    ``spark.sql.shuffle.partitions`` so one shuffle partition holds about 128-256 MB.
+    By default the master, memory and ``spark.sql.shuffle.partitions`` stay as ``spark-submit``
+    or the cluster gives them (size shuffle partitions to about 128-256 MB each); pass
+    ``master`` and ``shuffle_partitions`` for local work.
     """
     builder = SparkSession.builder
     for k, v in (extra or {}).items():
@@ -32,7 +34,6 @@ def build_session(
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(256 * 1024 * 1024))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
-        .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,15 +41,22 @@ def build_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder the cluster names; pick a scratch one only when unset (tests)."""
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect: the server's own checkpoint folder applies
-        return
+    """Use the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+
+    A scratch folder is picked only under a ``local`` master, where driver and executors are
+    one process; elsewhere a machine-local folder could not be read by the other executors,
+    so a missing setting is an error.
+    """
+    sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="panelcraft-ckpt-"))
+    if configured:
+        sc.setCheckpointDir(configured)
+    elif re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelcraft-ckpt-"))
+    else:
+        raise ValueError(f"spark.checkpoint.dir is not set: master {sc.master} needs a folder that all executors share")
 
 
 def freeze(df: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from panelcraft.plans import registry
+from panelcraft.plans.oracle import oracle_sql
 from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = oracle_sql()
 
 
 @pytest.fixture(scope="module")
