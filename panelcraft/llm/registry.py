@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op3_decontaminate
 from .near_dedup import op1_dart_minhash
 from .packing import op2_pack
+from .pii import op5_personal_data
 from .shipping import ship_package
 
-QUERIES = [op1_dart_minhash, op2_pack, op3_decontaminate]
+QUERIES = [op1_dart_minhash, op2_pack, op3_decontaminate, op5_personal_data]
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
