@@ -75,6 +75,7 @@ class WordBlock:
     hashes: np.ndarray  # uint64 hash of every word
     bounds: np.ndarray  # words of row i: bounds[i] .. bounds[i + 1]
     offsets: np.ndarray  # bytes of row i: offsets[i] .. offsets[i + 1]
+    total: np.ndarray  # running sum of byte * BASE**position
 
     def word(self, i: int) -> bytes:
         return self.low[self.starts[i] : self.ends[i]].tobytes()
@@ -90,6 +91,13 @@ class WordBlock:
         """The row (within the block) of every word."""
         return np.repeat(np.arange(self.rows), self.counts())
 
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash) of the first n bytes of every word that is longer than n bytes."""
+        word = np.flatnonzero(self.ends - self.starts > n)
+        at = self.starts[word]
+        _, down = _powers(len(self.total))
+        return word, mix((self.total[at + n] - self.total[at]) * down[at] + U(n << 32))
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(start word, hash) of every k-gram that lies within one row."""
         n = len(self.hashes) - k + 1
@@ -133,7 +141,7 @@ def _block(raw: np.ndarray, offs: np.ndarray, first: int, rows: int) -> WordBloc
     total = np.zeros(n + 1, U)
     np.cumsum(low.astype(U) * up[:n], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
-    return WordBlock(first, rows, low, starts, ends, hashes, np.searchsorted(starts, offs), offs)
+    return WordBlock(first, rows, low, starts, ends, hashes, np.searchsorted(starts, offs), offs, total)
 
 
 def words_hash(words: bytes) -> int:
