@@ -8,13 +8,15 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op3_decontaminate
+from .fingerprints import op6_fingerprints
+from .licenses import op8_licenses
 from .near_dedup import op1_dart_minhash
 from .packing import op2_pack
 from .pii import op5_personal_data
 from .shipping import ship_package
 from .toxicity import op10_toxicity
 
-QUERIES = [op1_dart_minhash, op2_pack, op3_decontaminate, op5_personal_data, op10_toxicity]
+QUERIES = [op1_dart_minhash, op2_pack, op3_decontaminate, op5_personal_data, op6_fingerprints, op8_licenses, op10_toxicity]
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
