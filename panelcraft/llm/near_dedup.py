@@ -15,13 +15,13 @@ for that document.  Two signatures agree in a coordinate with probability = simi
 Banded joining without all pairs: exact copies are collapsed first; texts that share a band
 value are a bucket; every member of a bucket is compared (exactly, by its elements) with the
 bucket's first ``leaders`` members, which covers all pairs of small buckets.  Members of larger
-buckets that matched no leader are dealt again by the bucket and one further band, until none
-is left.  Classes are the connected components of the verified links.
+buckets that are in no leader's component are dealt again by the bucket and one further band,
+until none is left.  Classes are the connected components of the verified links.
 
 With 20 bands of 5 rows a pair at similarity 0.8 shares a band with probability 0.9996 (more
-above).  Beyond that, a link can be missed only if in every shared bucket larger than
-``leaders + 1`` one of the two texts matched a leader that the other did not match and no
-other text connects them.
+above).  Beyond that, a link can be missed only if every bucket that the two texts share is
+larger than ``leaders + 1``, in each of them one text joined a leader's component without the
+other, and no other text connects them.
 
 Scale: texts are shuffled once (candidates only are shingled a second time); hot copies are
 collapsed by partial aggregation; buckets meet their leaders in a skew-splittable join;
@@ -192,11 +192,11 @@ def near_duplicates(
     reps = sketch.groupBy("key").agg(named, F.first("bands").alias("bands"))
     reps = freeze(reps.select(F.monotonically_increasing_id().alias("rep"), "key", F.col("named.doc_id").alias("doc_id"), "bands"))
 
-    members = reps.select("rep", F.explode("bands").alias("bucket"), F.array().cast("array<long>").alias("used"))
-    members = members.withColumn("used", F.array("bucket"))
-    elements, links = None, None
+    members = reps.select("rep", F.explode("bands").alias("bucket")).withColumn("used", F.array("bucket"))
+    elements = links = comps = None
     while True:
-        met = _meet(members, leaders)
+        heads = _heads(members, leaders)
+        met = freeze(members.join(heads, "bucket"))
         if elements is None:
             wanted = met.select("rep").distinct().join(reps, "rep").select("rep", F.col("key").alias("k"), F.col("doc_id").alias("d"))
             texts = base.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
@@ -207,24 +207,32 @@ def near_duplicates(
             pairs = pairs.join(links, ["a", "b"], "left_anti")
         verified = freeze(_verify(pairs, elements, similarity))
         links = verified if links is None else links.unionByName(verified)
-        left = freeze(_unmatched(met, links))
+        comps = components(links)
+        left = freeze(_apart(met, heads, comps))
         if left.isEmpty():
-            break
+            return _classes(sketch, reps, comps)
         deal = left.join(reps.select("rep", F.explode("bands").alias("band")), "rep").where(~F.array_contains("used", F.col("band")))
         deal = deal.select("rep", F.array_sort(F.array_append("used", F.col("band"))).alias("used")).distinct()
         members = deal.select("rep", F.xxhash64("used").alias("bucket"), "used")
-    return _classes(sketch, reps, components(links))
 
 
-def _meet(members: DataFrame, leaders: int) -> DataFrame:
-    """Members of buckets of two or more, with the bucket's first members as leaders.
-
-    ``large`` marks buckets in which pairs of members other than with a leader remain."""
+def _heads(members: DataFrame, leaders: int) -> DataFrame:
+    """The first members of every bucket of two or more; ``large`` marks buckets in which pairs
+    of members other than with a leader remain."""
     w = Window.partitionBy("bucket").orderBy("rep")
     heads = members.select("bucket", "rep", F.row_number().over(w).alias("rn")).where(F.col("rn") <= leaders + 2)
     heads = heads.groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("first")).where(F.size("first") > 1)
-    heads = freeze(heads.select("bucket", F.slice("first", 1, leaders).alias("leaders"), (F.size("first") > leaders + 1).alias("large")))
-    return freeze(members.join(heads, "bucket"))
+    return freeze(heads.select("bucket", F.slice("first", 1, leaders).alias("leaders"), (F.size("first") > leaders + 1).alias("large")))
+
+
+def _apart(met: DataFrame, heads: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of large buckets that are in no leader's component."""
+    named = comps.select(F.col("v").alias("leader"), F.col("comp"))
+    of_leaders = heads.where("large").select("bucket", F.explode("leaders").alias("leader")).join(named, "leader", "left")
+    of_leaders = freeze(of_leaders.groupBy("bucket").agg(F.collect_set(F.coalesce("comp", "leader")).alias("taken")))
+    rest = met.where("large").select("rep", "bucket", "used").join(comps.withColumnRenamed("v", "rep"), "rep", "left")
+    rest = rest.join(of_leaders, "bucket").where(~F.array_contains("taken", F.coalesce("comp", "rep")))
+    return rest.select("rep", "used")
 
 
 def _verify(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
@@ -235,14 +243,6 @@ def _verify(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataFra
     return both.where(common >= similarity * (F.size("ea") + F.size("eb") - common)).select("a", "b")
 
 
-def _unmatched(met: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of large buckets that are no leader there and matched none."""
-    rest = met.where(F.col("large") & ~F.array_contains("leaders", F.col("rep")))
-    each = rest.select("bucket", "used", F.col("rep").alias("a"), F.explode("leaders").alias("b"))
-    hit = each.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left")
-    return hit.groupBy(F.col("a").alias("rep"), "bucket", "used").agg(F.max("hit").alias("hit")).where("hit is null").select("rep", "used")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(v, comp): the smallest vertex of every vertex's connected component.
 

@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op9_chat_tree
 from .decontaminate import op3_decontaminate
 from .fingerprints import op6_fingerprints
 from .licenses import op8_licenses
@@ -16,7 +17,7 @@ from .pii import op5_personal_data
 from .shipping import ship_package
 from .toxicity import op10_toxicity
 
-QUERIES = [op1_dart_minhash, op2_pack, op3_decontaminate, op5_personal_data, op6_fingerprints, op8_licenses, op10_toxicity]
+QUERIES = [op1_dart_minhash, op2_pack, op3_decontaminate, op5_personal_data, op6_fingerprints, op8_licenses, op9_chat_tree, op10_toxicity]
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
