@@ -14,11 +14,23 @@ from .licenses import op8_licenses
 from .near_dedup import op1_dart_minhash
 from .packing import op2_pack
 from .pii import op5_personal_data
+from .pseudo_likelihood import op4_pseudo_likelihood
 from .shipping import ship_package
 from .token_counts import op7_token_counts
 from .toxicity import op10_toxicity
 
-QUERIES = [op1_dart_minhash, op2_pack, op3_decontaminate, op5_personal_data, op6_fingerprints, op7_token_counts, op8_licenses, op9_chat_tree, op10_toxicity]
+QUERIES = [
+    op1_dart_minhash,
+    op2_pack,
+    op3_decontaminate,
+    op4_pseudo_likelihood,
+    op5_personal_data,
+    op6_fingerprints,
+    op7_token_counts,
+    op8_licenses,
+    op9_chat_tree,
+    op10_toxicity,
+]
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
