@@ -14,6 +14,7 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import json
+from dataclasses import replace
 
 from .params import FIXTURE_STUDY, FIXTURE_WIDE, StudyParams, WideParams
 from .plans.workflow import run_sampling, run_study
@@ -44,6 +45,10 @@ def main(argv: list[str] | None = None) -> dict:
     ap.add_argument("--n-shops", type=int)
     ap.add_argument("--exclusive", action="store_true", help="remove treated items from the control pool")
     ap.add_argument("--min-days", type=int)
+    ap.add_argument("--pt-slack-days", type=int, help="read only partitions within this many days of the crawl days needed (checked first)")
+    ap.add_argument("--dedupe", action="store_true", help="one anchor snapshot row per item")
+    ap.add_argument("--distinct-days", action="store_true", help="coverage counts distinct days, not panel rows")
+    ap.add_argument("--zero-to-one", action="store_true", help="the minimum fan count is in level 1, not 0")
     ap.add_argument("--buckets", type=int, help="store panel, t0 and g bucketed by item (shuffle-free coverage join)")
     a = ap.parse_args(argv)
 
@@ -58,19 +63,15 @@ def main(argv: list[str] | None = None) -> dict:
         study, wide = StudyParams(), WideParams()
     if a.design == "B":
         study = study.with_(pin=2, fill=8)
-    overrides = {k: v for k, v in {"start": a.start, "end": a.end, "seed": a.seed, "n_shops": a.n_shops}.items() if v is not None}
-    if a.exclusive:
-        overrides["exclusive"] = True
-    study = study.with_(**overrides)
-    if a.seed is not None:
-        wide = WideParams(**{**wide.__dict__, "seed": a.seed})
-    if a.min_days is not None:
-        wide = WideParams(**{**wide.__dict__, "min_days": a.min_days})
+    overrides = {k: v for k, v in {"start": a.start, "end": a.end, "seed": a.seed, "n_shops": a.n_shops, "pt_slack_days": a.pt_slack_days}.items() if v is not None}
+    study = study.with_(**overrides, exclusive=a.exclusive, dedupe=a.dedupe, distinct_days=a.distinct_days)
+    chosen = {k: v for k, v in {"seed": a.seed, "min_days": a.min_days}.items() if v is not None}
+    wide = replace(wide, **chosen, zero_to_one=a.zero_to_one)
 
     if a.command == "study":
         tables = run_study(src, study, design=a.design, mode=a.mode, prefix=a.prefix, buckets=a.buckets)
     else:
-        tables = run_sampling(src, wide, mode=a.mode, prefix=a.prefix, pt_lo=study.pt_lo, pt_hi=study.pt_hi)
+        tables = run_sampling(src, wide, mode=a.mode, prefix=a.prefix)
     summary = {name: df.count() for name, df in tables.items()}
     print(json.dumps(summary))
     return summary

@@ -1,8 +1,8 @@
 """Column-level functions: predicates, dates, labels, hash draws."""
 
-from .dates import add_days, day_string, days_between, parse_day, yyyymmdd
+from .dates import add_days, day_string, days_between, parse_day
 from .hashing import draw_key, exp_key, uniform
-from .labels import label_order, marker_last_order, range_index, range_label, range_labels, size_label
+from .labels import label_order, marker_last_order, range_label, range_labels, size_label
 from .predicates import (
     HAS_IMAGE_VARIANTS,
     date_between,
@@ -31,12 +31,10 @@ __all__ = [
     "never_or_after",
     "no_image",
     "parse_day",
-    "range_index",
     "range_label",
     "range_labels",
     "size_label",
     "str_date_le",
     "uniform",
     "valid_sale_start",
-    "yyyymmdd",
 ]

@@ -7,8 +7,6 @@ every format here is the Spark pattern ``yyyy-MM-dd`` / ``yyyyMMdd``.  Parsing u
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,7 +33,3 @@ def add_days(date, n) -> Column:
 def days_between(late, early) -> Column:
     """``DATEDIFF(late, early, 'dd')``: calendar-day boundaries, as BIGINT."""
     return F.datediff(_c(late), _c(early)).cast("bigint")
-
-
-def yyyymmdd(d: dt.date) -> str:
-    return d.strftime("%Y%m%d")

@@ -34,11 +34,6 @@ def range_label(col, edges) -> Column:
     return _range_case(col, edges, [F.lit(s) for s in range_labels(edges)])
 
 
-def range_index(col, edges, outside: int = 999) -> Column:
-    """1-based index of the range ``col`` falls in; ``outside`` when in none."""
-    return _range_case(col, edges, [F.lit(i + 1) for i in range(len(edges) - 1)]).otherwise(F.lit(outside))
-
-
 def size_label(col, labels=("big", "mid", "small")) -> Column:
     """``CASE col WHEN 1 THEN labels[0] WHEN 2 THEN labels[1] ELSE labels[2]``."""
     c = _c(col)

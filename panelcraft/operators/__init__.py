@@ -2,9 +2,7 @@
 
 from .aggregates import (
     avg_bigint,
-    count_by,
     count_distinct,
-    count_non_null,
     count_where,
     distribution,
     exact_percentiles,
@@ -15,16 +13,15 @@ from .aggregates import (
     value_range,
 )
 from .bands import equal_freq_band, equal_width_level, global_ntile
-from .joins import exclude, flag_in, keep_in, replicate, window_join
+from .joins import broadcast_if_small, exclude, flag_in, keep_in, replicate
 from .numbering import ntile_of, number_within
 from .sampling import pin_then_fill, sample_quota, sample_topk, sample_weighted_topk, two_stage_sample, weighted_key
-from .windows import groups_larger_than, number_duplicates, ordered_head, preview, rank_latest
+from .windows import groups_larger_than, number_duplicates, rank_latest
 
 __all__ = [
     "avg_bigint",
-    "count_by",
+    "broadcast_if_small",
     "count_distinct",
-    "count_non_null",
     "count_where",
     "distribution",
     "equal_freq_band",
@@ -39,9 +36,7 @@ __all__ = [
     "ntile_of",
     "number_duplicates",
     "number_within",
-    "ordered_head",
     "pin_then_fill",
-    "preview",
     "rank_latest",
     "replicate",
     "row_count",
@@ -53,5 +48,4 @@ __all__ = [
     "two_stage_sample",
     "value_range",
     "weighted_key",
-    "window_join",
 ]

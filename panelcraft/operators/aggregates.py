@@ -2,8 +2,8 @@
 
 All of them are partial-then-final aggregations in Spark (a hot key is combined map-side
 before the shuffle).  The exact percentiles do not use ``percentile``/``median``, whose
-buffer holds every distinct value of the group in one task; they number the values with
-``number_within`` and pick the ranks needed.
+buffer holds every distinct value of the group in one task; they cumulate value counts over
+range partitions and read off the ranks needed.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numbering import number_within
+from .numbering import in_partitions
 
 
 def _c(col) -> Column:
@@ -32,15 +32,6 @@ def row_count(df: DataFrame, out: str = "row_count") -> DataFrame:
     return df.agg(F.count(F.lit(1)).cast("bigint").alias(out))
 
 
-def count_by(df: DataFrame, keys: list, out: str = "cnt") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias(out))
-
-
-def count_non_null(df: DataFrame, keys: list, col: str, out: str) -> DataFrame:
-    g = df.groupBy(*keys) if keys else df
-    return g.agg(F.count(col).cast("bigint").alias(out))
-
-
 def count_distinct(df: DataFrame, col: str, by: list | None = None, out: str = "n_distinct") -> DataFrame:
     g = df.groupBy(*by) if by else df
     return g.agg(F.countDistinct(col).cast("bigint").alias(out))
@@ -60,58 +51,70 @@ def value_range(df: DataFrame, col: str, lo: str = "min_value", hi: str = "max_v
     return df.agg(F.min(col).alias(lo), F.max(col).alias(hi))
 
 
-def _numbered_values(df: DataFrame, col: str, max_group_rows: int | None = None) -> DataFrame:
-    vals = df.select(F.col(col).cast("double").alias("_v"), F.col(col).alias("_x")).where(F.col("_v").isNotNull())
-    return number_within(vals, [], [F.col("_v").asc()], rn="_rn", size="_n", max_group_rows=max_group_rows)
+def _cumulated_values(df: DataFrame, col: str) -> DataFrame:
+    """One row per distinct value: ``v``, its rows ``c``, the rows of smaller values ``before``
+    and all rows ``n``.
+
+    Rows are first counted per value (map-side), so a value that most rows share is one row;
+    the distinct values are range-partitioned and cumulated over partitions.
+    """
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    tagged = in_partitions(counts, [F.col("v").asc()])
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tagged.groupBy("_pid").agg(F.sum("c").alias("_sum")).select(  # one row per partition
+        "_pid", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_off"), F.sum("_sum").over(Window.partitionBy()).alias("n")
+    )
+    inside = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    run = tagged.withColumn("_run", F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    return run.join(offsets, "_pid").select("v", "c", (F.col("_off") + F.col("_run")).alias("before"), "n")
 
 
 def _percentile_aggs(ps: dict[str, float], scale: int) -> tuple[Column, list[Column]]:
-    """(row filter for the needed ranks, one aggregate per percentile) over numbered values."""
-    i = F.col("_rn") - 1
-    n = F.col("_n")
-    wanted = None
-    out = []
+    """(filter of the values at the needed ranks, one aggregate per percentile)."""
+    n, v = F.col("n"), F.col("v").cast("double")
+    wanted, out = None, []
     for name, p in ps.items():
         h = F.lit(float(p)) * (n - 1).cast("double")
-        lo, hi = F.floor(h), F.ceil(h)
-        cond = (i == lo) | (i == hi)
+        at = [(F.col("before") <= r) & (r < F.col("before") + F.col("c")) for r in (F.floor(h), F.ceil(h))]
+        cond = at[0] | at[1]
         wanted = cond if wanted is None else wanted | cond
-        v_lo = F.max(F.when(i == lo, F.col("_v")))
-        v_hi = F.max(F.when(i == hi, F.col("_v")))
-        frac = F.max(F.when(cond, h - lo))
+        v_lo, v_hi = (F.max(F.when(x, v)) for x in at)
+        frac = F.max(F.when(cond, h - F.floor(h)))
         out.append(F.round(v_lo + frac * (v_hi - v_lo), scale).alias(name))
     return wanted, out
 
 
-def exact_percentiles(df: DataFrame, col: str, ps: dict[str, float], scale: int = 6, max_group_rows: int | None = None) -> DataFrame:
+def exact_percentiles(df: DataFrame, col: str, ps: dict[str, float], scale: int = 6) -> DataFrame:
     """One row with the exact (interpolated) percentile of ``col`` for each ``name: p``.
 
     Same definition as SQL ``PERCENTILE``/``quantile_cont``: position ``h = p * (n - 1)``,
-    interpolate between the values at ranks ``floor(h)`` and ``ceil(h)``.  Rows are numbered
-    in value order (across many tasks above ``max_group_rows`` values); only the 2 x len(ps)
-    rows at the needed ranks reach the final one-row aggregation.  Results are rounded to ``scale`` decimals.
+    interpolate between the values at ranks ``floor(h)`` and ``ceil(h)``, read off the
+    cumulated value counts; only the values at the needed ranks reach the final one-row
+    aggregation.  Results are rounded to ``scale`` decimals.
     """
     wanted, aggs = _percentile_aggs(ps, scale)
-    return _numbered_values(df, col, max_group_rows).where(wanted).agg(*aggs)
+    return _cumulated_values(df, col).where(wanted).agg(*aggs)
 
 
-def distribution(df: DataFrame, col: str, scale: int = 6, max_group_rows: int | None = None) -> DataFrame:
-    """count, sum, avg, exact median, max, min, population stddev of ``col`` (one row).
+def distribution(df: DataFrame, col: str, scale: int = 6) -> DataFrame:
+    """count, sum, avg, exact median, max, min, population stddev of an integer ``col`` (one row).
 
-    One aggregation over the numbered values: the algebraic statistics combine map-side,
-    the median picks its two ranks with conditional aggregates.
+    All from the cumulated value counts; the variance is summed in exact decimals.
     """
-    x = F.col("_x")
+    v, c = F.col("v"), F.col("c")
     _, med = _percentile_aggs({"median_fans": 0.5}, scale)
-    numbered = _numbered_values(df, col, max_group_rows)
-    return numbered.agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_shops"),
-        F.sum(x).cast("bigint").alias("total_fans"),
-        F.round(F.avg(x), scale).alias("avg_fans"),
+    n, s = F.sum(c), F.sum(v * c)
+    exact = v.cast("decimal(19,0)")
+    square = F.sum((exact * exact).cast("decimal(38,0)") * c.cast("decimal(19,0)"))
+    variance = (square.cast("decimal(38,0)") - (s.cast("decimal(38,6)") * s / n).cast("decimal(38,6)")).cast("double") / n
+    return _cumulated_values(df, col).agg(
+        F.coalesce(n, F.lit(0)).cast("bigint").alias("total_shops"),
+        s.cast("bigint").alias("total_fans"),
+        F.round(s / n, scale).alias("avg_fans"),
         *med,
-        F.max(x).alias("max_fans"),
-        F.min(x).alias("min_fans"),
-        F.round(F.stddev_pop(x), scale).alias("std_fans"),
+        F.max(v).alias("max_fans"),
+        F.min(v).alias("min_fans"),
+        F.round(F.sqrt(F.greatest(variance, F.lit(0.0))), scale).alias("std_fans"),
     )
 
 

@@ -8,37 +8,33 @@ from pyspark.sql import functions as F
 from .numbering import ntile_of, number_within
 
 
-def equal_freq_band(
-    df: DataFrame, by: list[str], order, n: int, out: str = "band", distributed: bool = True, max_group_rows: int | None = None
-) -> DataFrame:
+def equal_freq_band(df: DataFrame, by: list[str], order, n: int, out: str = "band", distributed: bool = True) -> DataFrame:
     """``NTILE(n) OVER (PARTITION BY by ORDER BY order)`` as BIGINT.
 
-    ``distributed=True`` numbers rows with ``number_within``, so a group above
-    ``max_group_rows`` rows is split over many tasks; ``False`` is the plain window (one task
-    per group), kept as the test double.
+    ``distributed=True`` numbers rows with ``number_within``, so a large group is split over
+    many tasks; ``False`` is the plain window (one task per group), kept as the test double.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     if not distributed:
         w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
         return df.withColumn(out, F.ntile(n).over(w).cast("bigint"))
-    numbered = number_within(df, by, order, rn="_rn", size="_n", max_group_rows=max_group_rows)
+    numbered = number_within(df, by, order, rn="_rn", size="_n")
     return numbered.withColumn(out, ntile_of(F.col("_rn"), F.col("_n"), n)).drop("_rn", "_n")
 
 
-def global_ntile(
-    df: DataFrame, order, n: int, out: str = "bucket", distributed: bool = True, max_group_rows: int | None = None
-) -> DataFrame:
-    """``NTILE(n) OVER (ORDER BY order)`` over all rows; above ``max_group_rows`` rows without
-    a single-partition exchange."""
-    return equal_freq_band(df, [], order, n, out=out, distributed=distributed, max_group_rows=max_group_rows)
+def global_ntile(df: DataFrame, order, n: int, out: str = "bucket", distributed: bool = True) -> DataFrame:
+    """``NTILE(n) OVER (ORDER BY order)`` over all rows without a single-partition exchange."""
+    return equal_freq_band(df, [], order, n, out=out, distributed=distributed)
 
 
-def equal_width_level(value: Column, lo, hi, n: int = 4) -> Column:
+def equal_width_level(value: Column, lo, hi, n: int = 4, zero_to_one: bool = False) -> Column:
     """``CASE WHEN hi = lo THEN 1 ELSE CEIL((value - lo) * n / (hi - lo + 1)) END`` as BIGINT.
 
     ``lo``/``hi`` are literals (the one-row bounds) so no join is planned.  The minimum value
-    gets level 0 (quirk Q4: levels run 0..n), as in the original.
+    gets level 0 (quirk Q4: levels run 0..n), as in the original, or level 1 with
+    ``zero_to_one``.
     """
     if hi == lo:
         return F.lit(1).cast("bigint")
-    return F.ceil((value - F.lit(lo)).cast("double") * F.lit(float(n)) / F.lit(float(hi - lo + 1))).cast("bigint")
+    level = F.ceil((value - F.lit(lo)).cast("double") * F.lit(float(n)) / F.lit(float(hi - lo + 1))).cast("bigint")
+    return F.greatest(level, F.lit(1).cast("bigint")) if zero_to_one else level

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import freeze
+
 
 def flag_in(df: DataFrame, ids: DataFrame, key: str, out: str) -> DataFrame:
     """``CASE WHEN r.key IS NOT NULL THEN 1 ELSE 0 END`` from a left join to distinct ids.
@@ -31,15 +33,12 @@ def replicate(df: DataFrame, times: str) -> DataFrame:
     return df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop("_rep", times)
 
 
-def window_join(events: DataFrame, anchors: DataFrame, key: str, day: str, center: str, before: int, after: int) -> DataFrame:
-    """Events whose ``day`` lies in [center - before, center + after] of their key's anchor row(s).
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``df`` (a few narrow columns), stored and counted, with a broadcast hint if its rows allow
+    it; otherwise for a shuffled join.
 
-    An equi-join on ``key`` with a residual range condition: planned as a hash join on the
-    key, never as a nested loop.
+    The planner cannot see that rows drawn from a large table are few: without this it may
+    scan the fact once more for a runtime filter on them.
     """
-    a = anchors.alias("_a")
-    e = events.alias("_e")
-    cond = (F.col(f"_e.{key}") == F.col(f"_a.{key}")) & F.col(f"_e.{day}").between(
-        F.date_sub(F.col(f"_a.{center}"), before), F.date_add(F.col(f"_a.{center}"), after)
-    )
-    return e.join(a, cond, "inner")
+    stored = freeze(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

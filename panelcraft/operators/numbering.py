@@ -1,25 +1,20 @@
-"""Row numbering inside groups without sending a large group to one task.
-
-``Window.partitionBy(g).orderBy(o)`` moves every row of a group to one task; a group
-holding a third of the data then sorts a third of the data alone, and a window without
-``partitionBy`` moves *all* rows to one task.  ``number_within`` first counts the rows of
-every group (a map-side-combined aggregate) and splits the input:
-
-* groups of at most ``max_group_rows`` rows are numbered with the plain window - each such
-  group is bounded, so one task per group is fine and costs nothing extra;
-* larger ("hot") groups are numbered across many tasks:
-
-  1. range-partition on (group, order) and sort inside each partition, so a hot group spans
-     many partitions while each partition holds a contiguous slice of the order;
-  2. freeze that layout in the checkpoint folder (the range bounds come from a sample, and a
-     recomputation must not move rows between partitions);
-  3. tag each row with its partition and position (``monotonically_increasing_id`` encodes
-     both), count rows per (partition, group) - at most partitions + groups rows - and turn
-     the counts into per-partition offsets with a window over that small table;
-  4. join the offsets back: broadcast when the offset table is provably small, otherwise a
-     plain join.
-
-  Row number = rows of the group in earlier partitions + position inside the partition.
+"""Row numbering inside groups without sending a group to one task.
+
+``Window.partitionBy(g).orderBy(o)`` moves every row of a group to one task; a group holding a
+third of the data then sorts a third of the data alone, and a window without ``partitionBy``
+moves *all* rows to one task.  ``number_within`` numbers across tasks, by the same plan at
+every size:
+
+1. range-partition on (group, order) and sort inside each partition, so a large group spans
+   many partitions while each partition holds a contiguous slice of the order;
+2. freeze that layout in the checkpoint folder (the range bounds come from a sample, and a
+   recomputation must not move rows between partitions);
+3. tag each row with its partition and position (``monotonically_increasing_id`` encodes
+   both), count rows per (partition, group) - at most partitions + groups rows - and turn the
+   counts into per-partition offsets with a window over that small table;
+4. join the offsets back (the planner broadcasts them when they are small).
+
+Row number = rows of the group in earlier partitions + position inside the partition.
 """
 
 from __future__ import annotations
@@ -33,99 +28,45 @@ from ..session import freeze
 
 _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position in partition
 _POS_MASK = (1 << _POS_BITS) - 1
-BROADCAST_OFFSET_ROWS = 2_000_000
-# Largest group numbered by one task with the plain window (a few hundred MB of rows);
-# a session may override it with the conf key below.
-SMALL_GROUP_ROWS = 2_000_000
-GROUP_ROWS_CONF = "panelcraft.numbering.maxGroupRows"
 
 
 def _order_cols(order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def number_within(
-    df: DataFrame, by: list[str], order, rn: str = "_rn", size: str = "_n", max_group_rows: int | None = None
-) -> DataFrame:
+def in_partitions(df: DataFrame, sort_cols: list[Column]) -> DataFrame:
+    """Rows range-partitioned and sorted by ``sort_cols``, frozen, with ``_pid`` (partition) and
+    ``_pos`` (position in it)."""
+    frozen = freeze(df.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols))
+    return frozen.withColumn("_mid", F.monotonically_increasing_id()).select(
+        *df.columns,
+        F.shiftright(F.col("_mid"), _POS_BITS).alias("_pid"),
+        F.col("_mid").bitwiseAND(F.lit(_POS_MASK)).alias("_pos"),
+    )
+
+
+def number_within(df: DataFrame, by: list[str], order, rn: str = "_rn", size: str = "_n") -> DataFrame:
     """Add ``rn`` (1-based position inside the group in ``order``) and ``size`` (group rows).
 
     ``order`` should be a total order (append id columns) for a reproducible result; ties
     get distinct numbers in an arbitrary but consistent way, as with ``row_number``.
-    Groups above ``max_group_rows`` rows (default: the session conf
-    ``panelcraft.numbering.maxGroupRows``, else ``SMALL_GROUP_ROWS``) are numbered across
-    tasks; ``0`` sends every group that way.
     """
     by = list(by)
-    if max_group_rows is None:
-        max_group_rows = int(df.sparkSession.conf.get(GROUP_ROWS_CONF, str(SMALL_GROUP_ROWS)))
-    limit = max_group_rows
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_gsize"))
-    hot = sizes.where(F.col("_gsize") > limit).select(*by)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return _window_numbering(df, by, order, rn, size)
-    if not by:
-        return _spread_numbering(df, by, order, rn, size)
-    # at most (total rows / max_group_rows) hot groups: broadcast that list when small
-    hot_side = F.broadcast(hot) if n_hot <= BROADCAST_OFFSET_ROWS else hot
-    cond = _null_safe(by)
-    small = df.alias("_d").join(hot_side.alias("_h"), cond, "left_anti")
-    large = df.alias("_d").join(hot_side.alias("_h"), cond, "left_semi")
-    return _window_numbering(small, by, order, rn, size).unionByName(_spread_numbering(large, by, order, rn, size))
-
-
-def _null_safe(by: list[str]):
-    return reduce(lambda a, b: a & b, [F.col(f"_d.{b}").eqNullSafe(F.col(f"_h.{b}")) for b in by])
-
-
-def _window_numbering(df: DataFrame, by: list[str], order, rn: str, size: str) -> DataFrame:
-    """Plain window numbering; only used for groups of bounded size."""
-    w = Window.partitionBy(*by).orderBy(*_order_cols(order))
-    return df.select(
-        *df.columns,
-        F.row_number().over(w).cast("bigint").alias(rn),
-        F.count(F.lit(1)).over(Window.partitionBy(*by)).cast("bigint").alias(size),
-    )
-
-
-def _spread_numbering(df: DataFrame, by: list[str], order, rn: str, size: str) -> DataFrame:
-    """Numbering of hot groups across tasks (range partition, freeze, per-partition offsets)."""
-    by = list(by)
-    sort_cols = [F.col(b).asc_nulls_first() for b in by] + _order_cols(order)
-    frozen = freeze(df.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols))
-    tagged = frozen.withColumn("_mid", F.monotonically_increasing_id()).select(
-        "*",
-        F.shiftright(F.col("_mid"), _POS_BITS).alias("_pid"),
-        F.col("_mid").bitwiseAND(F.lit(_POS_MASK)).alias("_pos"),
-    )
+    tagged = in_partitions(df, [F.col(b).asc_nulls_first() for b in by] + _order_cols(order))
     runs = tagged.groupBy("_pid", *by).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
     offsets = runs.select(
         "_pid",
         *by,
         "_first",
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before"),
-        F.sum("_cnt").over(whole).alias(size),
+        F.sum("_cnt").over(Window.partitionBy(*by)).alias(size),
     )
-    # The offset table has at most (#partitions + #groups) rows.  Without groups it has one
-    # row per partition; with groups, count it and broadcast only when small, else let the
-    # planner shuffle-join it.
-    if by:
-        # cached only to avoid recomputing it for the broadcast; a lost block is recomputed
-        # from the frozen checkpoint with the same result
-        offsets = offsets.persist()
-        small = offsets.count() <= BROADCAST_OFFSET_ROWS
-    else:
-        small = True  # one row per partition
-    side = F.broadcast(offsets) if small else offsets
-    o = side.alias("_o")
-    t = tagged.alias("_t")
+    t, o = tagged.alias("_t"), offsets.alias("_o")
     cond = [F.col("_t._pid") == F.col("_o._pid")] + [F.col(f"_t.{b}").eqNullSafe(F.col(f"_o.{b}")) for b in by]
     joined = t.join(o, reduce(lambda a, b: a & b, cond), "inner")
-    keep = [F.col(f"_t.{c}") for c in df.columns]
     return joined.select(
-        *keep,
+        *[F.col(f"_t.{c}") for c in df.columns],
         (F.col("_o._before") + F.col("_t._pos") - F.col("_o._first") + 1).cast("bigint").alias(rn),
         F.col(f"_o.{size}").cast("bigint").alias(size),
     )

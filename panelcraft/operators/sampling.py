@@ -8,14 +8,11 @@ partition across the network.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_key, exp_key
 from ..params import ZERO_SALES_KEY
-from ..session import raise_group_limit_threshold
 from .joins import exclude
 
 
@@ -28,98 +25,40 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], rn: str = "rn")
     return df.withColumn(rn, F.row_number().over(w).cast("bigint"))
 
 
-# Draws of more than LARGE_K rows per group pre-filter large groups by key threshold; a
-# session may override it with the conf key below.
-LARGE_K = 1000
-LARGE_K_CONF = "panelcraft.sampling.largeK"
-KEY_SPACE = 2**52
-THRESHOLD_MARGIN = 2.0  # expected survivors = margin x k
-BROADCAST_GROUP_ROWS = 2_000_000
-
-
-def _same(left: list[str], right: list[str]) -> Column:
-    """Null-safe equality of two key lists (a window groups NULL keys together)."""
-    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
-
-
-def _prefilter_large_groups(df: DataFrame, keys: list[str], k_of: Column, key: Column, margin: float | None = None) -> DataFrame:
-    """Drop rows that cannot be among the ``k`` smallest keys of their group, exactly.
-
-    The partial top-k before the shuffle keeps up to k rows per group *per input partition*,
-    so for a large k the final step of a group spread over many partitions would still sort
-    k x partitions rows.  The keys are uniform over [0, 2^52), so in a group of n rows the
-    k smallest lie below about k/n of the range: keep keys under ``margin * k / n`` of it
-    (about margin x k rows per group, filtered map-side).  Then check that every group kept
-    at least min(k, n) rows; a group that did not (improbable for large k) keeps all its
-    rows.  The result is the same as without the filter.  ``k_of`` is the group's k, as an
-    expression of the group keys.
-    """
-    margin = THRESHOLD_MARGIN if margin is None else margin
-    g = [f"_g_{k}" for k in keys]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", k_of.cast("bigint"))
-    thr = sizes.select(
-        *[F.col(k).alias(c) for k, c in zip(keys, g)],
-        "_n",
-        "_k",
-        F.when(F.col("_n") <= F.col("_k") * F.lit(2 * margin), F.lit(KEY_SPACE))
-        .otherwise(F.ceil(F.lit(float(KEY_SPACE) * margin) * F.col("_k") / F.col("_n")))
-        .cast("bigint")
-        .alias("_t"),
-    )
-    thr = thr.persist()  # one row per group; recomputed from the input if lost
-    n_groups = thr.count()
-    if thr.where(F.col("_t") < F.lit(KEY_SPACE)).count() == 0:
-        return df  # no group is large enough to thin
-    side = F.broadcast(thr) if n_groups <= BROADCAST_GROUP_ROWS else thr
-    tagged = df.withColumn("_key", key).join(side, _same(keys, g))
-    kept = tagged.where(F.col("_key") < F.col("_t"))
-    p = [f"_p{c}" for c in g]
-    per_group = kept.groupBy(*g).agg(F.count(F.lit(1)).alias("_kept")).select(*[F.col(c).alias(x) for c, x in zip(g, p)], "_kept")
-    short = (
-        thr.join(per_group, _same(g, p), "left")
-        .where(F.coalesce(F.col("_kept"), F.lit(0)) < F.least(F.col("_k"), F.col("_n")))
-        .select(*[F.col(c).alias(f"_s{c}") for c in g])
-        .persist()
-    )
-    n_short = short.count()
-    if n_short > 0:
-        s_side = F.broadcast(short) if n_short <= BROADCAST_GROUP_ROWS else short
-        extra = tagged.where(F.col("_key") >= F.col("_t")).join(s_side, _same(g, [f"_s{c}" for c in g]), "left_semi")
-        kept = kept.unionByName(extra)
-    return kept.drop("_key", "_t", "_n", "_k", *g)
-
-
-def _large_k(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(LARGE_K_CONF, str(LARGE_K)))
+KEY_BITS, HISTOGRAM_BITS = 52, 12
 
 
 def sample_topk(df: DataFrame, keys: list[str], k: int, seed: int, stage: str, ids: list[str], rn: str = "rn") -> DataFrame:
     """Up to ``k`` rows per group drawn uniformly without replacement (``ORDER BY RAND()`` top-k)."""
-    raise_group_limit_threshold(df.sparkSession, k)
-    key = draw_key(seed, stage, *keys, *ids)
-    if k > _large_k(df):
-        df = _prefilter_large_groups(df, keys, F.lit(k), key)
-    order = [key, *_cols(ids)]
+    order = [draw_key(seed, stage, *keys, *ids), *_cols(ids)]
     return ranked(df, keys, order, rn).where(F.col(rn) <= F.lit(k))
 
 
 def sample_quota(df: DataFrame, stratum: str, quotas: dict, seed: int, stage: str, ids: list[str], rn: str = "rn") -> DataFrame:
     """Per-stratum quota draw: keep ``rn <= quotas[stratum]``; strata without a quota keep nothing.
 
-    The literal ``rn <= max(quotas)`` lets the partial top-k run before the shuffle; the
-    exact per-stratum quota is then a map lookup, with no join to a quota table.  Quotas
-    above ``LARGE_K`` first thin large strata by key threshold (``_prefilter_large_groups``).
+    The partial top-k before the shuffle would keep up to a whole quota per stratum *and input
+    partition*.  So the draw keys are first counted in 4096 ranges per stratum (one
+    aggregation; strata x 4096 counts at most): the range in which a stratum's count reaches
+    its quota bounds the keys that can be drawn, exactly.  Rows above that bound are dropped
+    before the shuffle, and the rest, about one quota per stratum, is numbered.
     """
-    kmax = max(quotas.values())
-    raise_group_limit_threshold(df.sparkSession, kmax)
     key = draw_key(seed, stage, stratum, *ids)
+    df = df.where(F.col(stratum).isin(list(quotas)))
+    ranges = F.shiftright(key, KEY_BITS - HISTOGRAM_BITS)
+    counts = df.groupBy(F.col(stratum).alias("s"), ranges.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()
+    limit = None
+    for s, q in quotas.items():
+        total, top = 0, 0
+        for r, n in sorted((x["r"], x["n"]) for x in counts if x["s"] == s):
+            total, top = total + n, r
+            if total >= q:
+                break
+        below = F.lit((top + 1) << (KEY_BITS - HISTOGRAM_BITS))
+        limit = F.when(F.col(stratum) == F.lit(s), below) if limit is None else limit.when(F.col(stratum) == F.lit(s), below)
     qmap = F.create_map(*[x for s, q in quotas.items() for x in (F.lit(s), F.lit(q))])
-    if kmax > _large_k(df):
-        df = df.where(F.col(stratum).isin(list(quotas)))
-        df = _prefilter_large_groups(df, [stratum], F.element_at(qmap, F.col(stratum)), key)
-    order = [key, *_cols(ids)]
-    out = ranked(df, [stratum], order, rn).where(F.col(rn) <= F.lit(kmax))
-    return out.where(F.col(rn) <= F.element_at(qmap, F.col(stratum)))
+    out = ranked(df.where(key < limit), [stratum], [key, *_cols(ids)], rn)
+    return out.where(F.col(rn) <= F.lit(max(quotas.values()))).where(F.col(rn) <= F.element_at(qmap, F.col(stratum)))
 
 
 def weighted_key(weight: Column, seed: int, stage: str, keys: list, zero: str = "last") -> Column:
@@ -136,7 +75,6 @@ def sample_weighted_topk(
     df: DataFrame, keys: list[str], weight: str, k: int, seed: int, stage: str, ids: list[str], zero: str = "last", rn: str = "rn"
 ) -> DataFrame:
     """Up to ``k`` rows per group, drawn with probability proportional to ``weight`` without replacement."""
-    raise_group_limit_threshold(df.sparkSession, k)
     order = [weighted_key(F.col(weight), seed, stage, [*keys, *ids], zero), *_cols(ids)]
     return ranked(df, keys, order, rn).where(F.col(rn) <= F.lit(k))
 
@@ -151,8 +89,7 @@ def two_stage_sample(
     """
     clusters = df.select(level, cluster).distinct()
     picked = sample_topk(clusters, [level], k1, seed, "clusters", [cluster]).select(level, cluster)
-    # at most k1 clusters per level: a bounded list, broadcast into the semi-join
-    inside = df.join(F.broadcast(picked), [level, cluster], "left_semi")
+    inside = df.join(picked, [level, cluster], "left_semi")
     return sample_topk(inside, [level, cluster], k2, seed, "members", ids, rn=rn_item)
 
 

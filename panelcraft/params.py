@@ -51,6 +51,13 @@ TABLE_NAMES = {
     "control_wide": "tmp_item_no_early_img_comment",
 }
 # --- end of fixed values ------------------------------------------------------------
+# Tables of steps that have no name there.
+TABLE_NAMES |= {
+    "item_shop": "tmp_item_shop_stats",
+    "check_sample_size": "check_sample_size",
+    "check_cells_per_shop": "check_cells_per_shop",
+    "check_items_per_cell": "check_items_per_cell",
+}
 
 
 @dataclass(frozen=True)
@@ -74,9 +81,12 @@ class StudyParams:
     pin: int = 3  # treated items drawn first in a cell
     fill: int = 7  # further items drawn from the rest of the cell
     seed: int = 42
-    pt_lo: str = "20170101"  # partition range scanned for the panel (yyyymmdd)
-    pt_hi: str = "20261231"
+    # partitions of days outside [first - slack, last + slack] of a crawl-day range are not
+    # read; None reads all of them (no assumption on how far pt may lie from the crawl day)
+    pt_slack_days: int | None = None
     exclusive: bool = False  # True: treated items are removed from the control pool (quirk Q1)
+    dedupe: bool = False  # True: one snapshot row per item (quirk Q3)
+    distinct_days: bool = False  # True: coverage counts distinct days, not panel rows (quirk Q9)
 
     def quotas(self) -> tuple[int, int, int]:
         """big / mid / small shop quotas; SQL ROUND is half-up, small takes the remainder."""
@@ -85,6 +95,13 @@ class StudyParams:
         mid = int((n * Decimal(str(self.size_shares[1]))).quantize(Decimal(1), ROUND_HALF_UP))
         return big, mid, self.n_shops - big - mid
 
+    def pt_range(self, first: dt.date, last: dt.date) -> tuple[str, str] | None:
+        """Partition days (yyyymmdd) that can hold crawl days ``first`` .. ``last``."""
+        if self.pt_slack_days is None:
+            return None
+        slack = dt.timedelta(days=self.pt_slack_days)
+        return (first - slack).strftime("%Y%m%d"), (last + slack).strftime("%Y%m%d")
+
     def with_(self, **kw) -> StudyParams:
         return replace(self, **kw)
 
@@ -97,12 +114,15 @@ class WideParams:
     late_days: int = 7  # threshold of the scalar timing count
     sale_by: str = "20251031"  # control: start_sell_date <= sale_by (string comparison)
     cutoff: dt.date = dt.date(2025, 12, 31)  # control: no image review up to this date
-    sale_date_format: str = "yyyy-MM-dd"  # format of start_sell_date in the item master
+    sale_date_format: str = "yyyy-MM-dd"  # format in which the wide load reads start_sell_date
+    control_date_format: str = "yyyyMMdd"  # format in which the control load reads it
     fan_edges: tuple[int, ...] = REFERENCE_FAN_EDGES
     fan_quotas: tuple[int, ...] = REFERENCE_FAN_QUOTAS
     levels: int = 4  # equal-width levels of the two-stage sample
     shops_per_level: int = 250
     items_per_shop: int = 10
+    zero_to_one: bool = False  # True: the minimum fan count is in level 1, not 0 (quirk Q4)
+    history: tuple[str, str] | None = None  # partition days (yyyymmdd) of the sampled history; None: all
     seed: int = 42
 
 
@@ -123,8 +143,6 @@ FIXTURE_STUDY = StudyParams(
     pin=3,
     fill=7,
     seed=42,
-    pt_lo="19900101",
-    pt_hi="20261231",
 )
 FIXTURE_STUDY_B = FIXTURE_STUDY.with_(pin=2, fill=8)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import add_days, date_between, day_range, gap_at_least, has_image
-from ..operators import avg_bigint, count_where, equal_freq_band, exclude
+from ..operators import avg_bigint, count_where, equal_freq_band, exclude, sum_or_zero
 from ..params import StudyParams
 from ..session import freeze
 from ..sources import Sources, partition_range
@@ -19,10 +19,11 @@ def item_day(daily: DataFrame, p: StudyParams) -> DataFrame:
     """One-year item-day panel: crawl day as ``pt`` (DATE), sales, price, categories.
 
     Every crawl row is kept (an item may have several rows on a day, quirk Q9).  The day
-    range is written on the raw timestamp so it reaches the scan as a pushed filter, and the
-    ``pt`` text range prunes partitions.
+    range is written on the raw timestamp so it reaches the scan as a pushed filter; with
+    ``p.pt_slack_days`` a ``pt`` text range around it prunes partitions.
     """
-    d = partition_range(daily, p.pt_lo, p.pt_hi)
+    pt = p.pt_range(p.start, p.end)
+    d = partition_range(daily, *pt) if pt else daily
     d = d.where(F.col("item_id").isNotNull() & F.col("shop_id").isNotNull() & day_range("insert_time", p.start, p.end))
     return d.select(
         "item_id",
@@ -40,19 +41,35 @@ def first_sale(panel: DataFrame) -> DataFrame:
     return panel.where(F.col("day_sales_volume") > 0).groupBy("item_id").agg(F.min("pt").alias("t0"))
 
 
-def item_panel_stats(panel: DataFrame) -> DataFrame:
-    """One pass over the panel per item: t0, panel rows and the truncated average price.
-
-    The same three per-item aggregates as ``first_sale``, the control pool's row count and
-    ``price_fallback``, computed in one shuffle instead of three.
-    """
-    return panel.groupBy("item_id").agg(
+def item_shop_stats(panel: DataFrame, p: StudyParams) -> DataFrame:
+    """One pass over the panel per (item, shop): first sale, rows, price sum and count, and the
+    rows and sales of the last ``recent_days`` days - all that the cohort and the shop and
+    cell sales need of the panel."""
+    recent = date_between("pt", p.end - dt.timedelta(days=p.recent_days - 1), p.end)
+    return panel.groupBy("item_id", "shop_id").agg(
         F.min(F.when(F.col("day_sales_volume") > 0, F.col("pt"))).alias("t0"),
         F.count(F.lit(1)).cast("bigint").alias("day_rows"),
-        avg_bigint("cprice").alias("avg_cprice_y1"),
+        F.sum("cprice").alias("price_sum"),
+        F.count("cprice").alias("price_rows"),
+        count_where(recent).alias("recent_rows"),
+        sum_or_zero(F.when(recent, F.col("day_sales_volume"))).alias("recent_sales"),
+    )
+
+
+def item_panel_stats(item_shop: DataFrame) -> DataFrame:
+    """Per item, from ``item_shop_stats``: t0, panel rows and the truncated average price."""
+    return item_shop.groupBy("item_id").agg(
+        F.min("t0").alias("t0"),
+        F.sum("day_rows").cast("bigint").alias("day_rows"),
+        F.try_divide(F.sum("price_sum").cast("double"), F.sum("price_rows")).cast("bigint").alias("avg_cprice_y1"),
     )
 
 
+def count_days(panel: DataFrame) -> DataFrame:
+    """Per item, its distinct panel days (in place of its rows, quirk Q9)."""
+    return panel.select("item_id", "pt").distinct().groupBy("item_id").agg(F.count(F.lit(1)).cast("bigint").alias("day_rows"))
+
+
 def first_image(comments: DataFrame, p: StudyParams) -> DataFrame:
     """g: per item, the first day in the window with a picture review (variant ``raw_n``)."""
     c = comments.where(
@@ -62,9 +79,10 @@ def first_image(comments: DataFrame, p: StudyParams) -> DataFrame:
 
 
 def panel_coverage(g: DataFrame, t0: DataFrame, panel: DataFrame, p: StudyParams) -> DataFrame:
-    """Per item with g and t0: panel rows in [g-W, g-1] (pre_days) and [g, g+W] (post_days)."""
+    """Per item with g and t0: panel rows (days, with ``p.distinct_days``) in [g-W, g-1] (pre_days) and [g, g+W] (post_days)."""
     base = g.join(t0, "item_id")
-    rows = base.join(panel.select("item_id", "pt"), "item_id")
+    days = panel.select("item_id", "pt")
+    rows = base.join(days.distinct() if p.distinct_days else days, "item_id")
     gc = F.col("g")
     pre = F.col("pt").between(add_days(gc, -p.window), add_days(gc, -1))
     post = F.col("pt").between(gc, add_days(gc, p.window))
@@ -143,9 +161,9 @@ def eligible_universe(
 class Cohort:
     """The cohort tables of one study, built lazily from the sources.
 
-    The per-item panel statistics, the treated items and the universe are item-level tables
-    read by most later steps; they are written once to the checkpoint folder (``keep``)
-    instead of re-running the panel scan, joins and aggregations for every consumer.  The panel itself is
+    The per-item panel statistics, first review days, treated items and the universe are
+    item-level tables read by most later steps; they are written once to the checkpoint folder
+    (``keep``) instead of re-running the scans, joins and aggregations for every consumer.  The panel itself is
     fact-level and stays a pushed-down rescan of the source.
     """
 
@@ -157,9 +175,16 @@ class Cohort:
     def panel(self) -> DataFrame:
         return item_day(self.src.daily, self.p)
 
+    @cached_property
+    def item_shop(self) -> DataFrame:
+        return self.keep(item_shop_stats(self.panel, self.p))
+
     @cached_property
     def stats(self) -> DataFrame:
-        return self.keep(item_panel_stats(self.panel))
+        stats = item_panel_stats(self.item_shop)
+        if self.p.distinct_days:
+            stats = stats.drop("day_rows").join(count_days(self.panel), "item_id")
+        return self.keep(stats)
 
     @cached_property
     def t0(self) -> DataFrame:
@@ -167,7 +192,7 @@ class Cohort:
 
     @cached_property
     def g(self) -> DataFrame:
-        return first_image(self.src.comments, self.p)
+        return self.keep(first_image(self.src.comments, self.p))
 
     @cached_property
     def coverage(self) -> DataFrame:

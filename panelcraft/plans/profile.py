@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import has_image, label_order, marker_last_order, range_label, range_labels
 from ..operators import count_where, distribution, exact_percentiles, groups_larger_than, keep_in, number_duplicates, share_of_total
 from ..params import MISSING_MARKER
-from ..sources import latest_partition
+from ..sources import latest_partition, lookup
 from .sample import DAILY_HISTORY_COLUMNS
 
 
@@ -94,11 +94,22 @@ def fan_percentiles(wide: DataFrame) -> DataFrame:
     return exact_percentiles(_fans_ok(wide), "fans_num_no_unit", PERCENTILES)
 
 
-def oversized_groups(comments: DataFrame, n: int = 3, limit: int = 1000) -> DataFrame:
+def oversized_groups(wide: DataFrame, key: str = "item_shop_id", n: int = 3, limit: int = 1000) -> DataFrame:
+    """Wide rows of keys with more than ``n`` rows, first ``limit`` by (key, item)."""
+    return groups_larger_than(wide, key, n, [F.col(key).asc(), F.col("item_id").asc()], limit)
+
+
+def oversized_comment_groups(comments: DataFrame, n: int = 3, limit: int = 1000) -> DataFrame:
     """Comments of items with more than ``n`` comments, first ``limit`` by (item, comment id)."""
     return groups_larger_than(comments, "item_id", n, [F.col("item_id").asc(), F.col("comment_id").asc()], limit)
 
 
+def numbered_wide(wide: DataFrame, limit: int = 3000) -> DataFrame:
+    """Wide rows numbered inside each item, first ``limit`` by (item, number)."""
+    order = [F.col(c).asc() for c in ("first_img_comment_time", "item_shop_id", "start_sell_date", "shop_seller_id")]
+    return number_duplicates(wide, "item_id", order, limit)
+
+
 def numbered_duplicates(daily: DataFrame, limit: int = 3000) -> DataFrame:
     """Daily rows numbered inside each item (crawl order), first ``limit`` by (item, number)."""
     d = daily.select(*DAILY_HISTORY_COLUMNS)
@@ -115,6 +126,11 @@ def latest_daily_snapshot(daily: DataFrame) -> DataFrame:
     return latest_partition(daily.select(*DAILY_HISTORY_COLUMNS), "pt")
 
 
+def latest_daily_preview(daily: DataFrame, n: int = 100) -> DataFrame:
+    """The first ``n`` rows, by all columns, of the newest partition."""
+    return latest_daily_snapshot(daily).orderBy(*[F.col(c).asc() for c in DAILY_HISTORY_COLUMNS]).limit(n)
+
+
 def comments_at_time(comments: DataFrame, ts: dt.datetime) -> DataFrame:
     """Picture comments (non-empty text) at one exact timestamp."""
-    return comments.where((F.col("comment_time") == F.lit(ts.isoformat(sep=" "))) & has_image("comment_images", "nonempty"))
+    return lookup(comments, comment_time=ts.isoformat(sep=" ")).where(has_image("comment_images", "nonempty"))

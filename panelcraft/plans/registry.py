@@ -34,6 +34,7 @@ WIDE_FOR = {
     "missing_marker_audit": 7,
     "fan_distribution": 14,
     "fan_percentiles": 7,
+    "oversized": 7,
 }
 COMMENT_LOOKUP_TIME = dt.datetime(1997, 5, 28, 0, 0, 0)
 
@@ -63,10 +64,6 @@ def _q(fn: Callable[[Sources], DataFrame]) -> Callable[[SparkSession, str], Data
     return run
 
 
-def _exclusive_universe(src: Sources) -> DataFrame:
-    return co.Cohort(src, FIXTURE_STUDY.with_(exclusive=True)).universe
-
-
 QUERIES: dict[str, Callable[[Sources], DataFrame]] = {
     # source column subsets
     "item_master_columns": lambda s: wi.item_master_columns(s.items),
@@ -81,13 +78,12 @@ QUERIES: dict[str, Callable[[Sources], DataFrame]] = {
     # single-stage sample, ledger, two-stage sample
     "fan_range_histogram": lambda s: pr.range_histogram(wide(s, WIDE_FOR["fan_range_histogram"]), FIXTURE_WIDE.fan_edges),
     "stratified_quota_sample": _single,
-    "sample_daily_history": lambda s: sa.daily_history(
-        s.daily, sa.sampled_ids(_single(s)), FIXTURE_STUDY.pt_lo, FIXTURE_STUDY.pt_hi
-    ),
+    "sample_daily_history": lambda s: sa.daily_history(s.daily, sa.sampled_ids(_single(s))),
     "sample_comments": lambda s: sa.comments_of(s.comments, sa.sampled_ids(_single(s))),
     "sampled_id_ledger": _ledger,
     "fan_bounds": lambda s: sa.fan_bounds(wide(s, WIDE_FOR["two_stage"]), _ledger(s)),
     "equal_width_level": lambda s: sa.items_with_level(wide(s, WIDE_FOR["two_stage"]), _ledger(s), FIXTURE_WIDE.levels),
+    "equal_width_level_from_one": lambda s: sa.items_with_level(wide(s, WIDE_FOR["two_stage"]), _ledger(s), FIXTURE_WIDE.levels, True),
     "two_stage_sample": lambda s: sa.two_stage(wide(s, WIDE_FOR["two_stage"]), _ledger(s), FIXTURE_WIDE),
     "sampled_item_count": lambda s: count_distinct(_single(s), "item_id", out="n_items"),
     # cohort
@@ -99,7 +95,8 @@ QUERIES: dict[str, Callable[[Sources], DataFrame]] = {
     "eligible_control": lambda s: co.Cohort(s, FIXTURE_STUDY).control,
     "price_reference": lambda s: co.price_reference(s.items, co.Cohort(s, FIXTURE_STUDY).stats),
     "eligible_universe": lambda s: co.Cohort(s, FIXTURE_STUDY).universe,
-    "eligible_universe_exclusive": _exclusive_universe,
+    "eligible_universe_exclusive": lambda s: co.Cohort(s, FIXTURE_STUDY.with_(exclusive=True)).universe,
+    "eligible_universe_distinct_days": lambda s: co.Cohort(s, FIXTURE_STUDY.with_(distinct_days=True)).universe,
     # multistage sample and checks
     "shop_sales_recent": lambda s: _study(s).shop_sales,
     "shop_size_tercile": lambda s: _study(s).shop_size,
@@ -116,8 +113,16 @@ QUERIES: dict[str, Callable[[Sources], DataFrame]] = {
     "check_items_per_cell": lambda s: st.check_count(
         _study(s).sampled_items, st.CELL, FIXTURE_STUDY.pin + FIXTURE_STUDY.fill, "n_items"
     ),
+    # the same checks against one cell and one item more than there are: every group violates
+    "check_cells_per_shop_unmet": lambda s: st.check_count(
+        _study(s).sampled_cells, ["shop_id"], FIXTURE_STUDY.cells_per_shop + 1, "n_cells"
+    ),
+    "check_items_per_cell_unmet": lambda s: st.check_count(
+        _study(s).sampled_items, st.CELL, FIXTURE_STUDY.pin + FIXTURE_STUDY.fill + 1, "n_items"
+    ),
     # final tables
     "anchor_snapshot": lambda s: _study(s).snapshot,
+    "anchor_snapshot_one_row": lambda s: st.Study(co.Cohort(s, FIXTURE_STUDY.with_(dedupe=True))).snapshot,
     "final_item": lambda s: _study(s).final_item,
     "final_shop": lambda s: _study(s).final_shop,
     "final_item_comment": lambda s: _study(s).final_item_comment,
@@ -134,9 +139,12 @@ QUERIES: dict[str, Callable[[Sources], DataFrame]] = {
     "missing_marker_audit": lambda s: pr.marker_audit(wide(s, WIDE_FOR["missing_marker_audit"])),
     "fan_distribution": lambda s: pr.fan_distribution(wide(s, WIDE_FOR["fan_distribution"])),
     "fan_percentiles": lambda s: pr.fan_percentiles(wide(s, WIDE_FOR["fan_percentiles"])),
-    "oversized_groups": lambda s: pr.oversized_groups(s.comments),
+    "oversized_groups": lambda s: pr.oversized_comment_groups(s.comments),
+    "oversized_wide_shops": lambda s: pr.oversized_groups(wide(s, WIDE_FOR["oversized"])),
+    "numbered_wide_items": lambda s: pr.numbered_wide(wide(s, WIDE_FOR["oversized"])),
     "numbered_duplicates": lambda s: pr.numbered_duplicates(s.daily),
     "latest_daily_snapshot": lambda s: pr.latest_daily_snapshot(s.daily),
+    "latest_daily_preview": lambda s: pr.latest_daily_preview(s.daily),
     "comments_at_time": lambda s: pr.comments_at_time(s.comments, COMMENT_LOOKUP_TIME),
 }
 

@@ -44,13 +44,15 @@ DAILY_HISTORY_COLUMNS = [
 ]
 
 
-def daily_history(daily: DataFrame, ids: DataFrame, pt_lo: str, pt_hi: str) -> DataFrame:
-    """All daily rows of the sampled items in the partition range, numbered newest first.
+def daily_history(daily: DataFrame, ids: DataFrame, pt: tuple[str, str] | None = None) -> DataFrame:
+    """All daily rows of the sampled items (in the partition range, if one is given), numbered
+    newest first.
 
     Ties on (insert_time, pt) are broken by the remaining columns so the numbering is
-    reproducible.  The id list is a bounded sample, so the semi-join broadcasts it.
+    reproducible.
     """
-    d = keep_in(partition_range(daily, pt_lo, pt_hi).select(*DAILY_HISTORY_COLUMNS), F.broadcast(ids), "item_id")
+    rows = partition_range(daily, *pt) if pt else daily
+    d = keep_in(rows.select(*DAILY_HISTORY_COLUMNS), ids, "item_id")
     order = [
         F.col("insert_time").desc(),
         F.col("pt").desc(),
@@ -61,7 +63,7 @@ def daily_history(daily: DataFrame, ids: DataFrame, pt_lo: str, pt_hi: str) -> D
 
 def comments_of(comments: DataFrame, ids: DataFrame) -> DataFrame:
     """All comments of the sampled items."""
-    return keep_in(comments.where(F.col("item_id").isNotNull()), F.broadcast(ids), "item_id")
+    return keep_in(comments.where(F.col("item_id").isNotNull()), ids, "item_id")
 
 
 def ledger_rows(sample: DataFrame) -> DataFrame:
@@ -83,17 +85,17 @@ def fan_bounds(wide: DataFrame, ledger: DataFrame) -> DataFrame:
     return value_range(_eligible_for_levels(wide, ledger), "fans_num_no_unit", "min_fan", "max_fan")
 
 
-def items_with_level(wide: DataFrame, ledger: DataFrame, levels: int) -> DataFrame:
+def items_with_level(wide: DataFrame, ledger: DataFrame, levels: int, zero_to_one: bool = False) -> DataFrame:
     """Equal-width fan level of every row not yet sampled; the one-row bounds become literals."""
     eligible = _eligible_for_levels(wide, ledger)
     b = value_range(eligible, "fans_num_no_unit", "lo", "hi").first()
     if b is None or b["lo"] is None:
         return eligible.withColumn("fan_level", F.lit(None).cast("bigint"))
-    return eligible.withColumn("fan_level", equal_width_level(F.col("fans_num_no_unit"), b["lo"], b["hi"], levels))
+    return eligible.withColumn("fan_level", equal_width_level(F.col("fans_num_no_unit"), b["lo"], b["hi"], levels, zero_to_one))
 
 
 def two_stage(wide: DataFrame, ledger: DataFrame, wp: WideParams) -> DataFrame:
     """Per fan level ``shops_per_level`` random shops, then ``items_per_shop`` random items per shop."""
-    lv = items_with_level(wide, ledger, wp.levels)
+    lv = items_with_level(wide, ledger, wp.levels, wp.zero_to_one)
     return two_stage_sample(lv, "fan_level", "item_shop_id", wp.shops_per_level, wp.items_per_shop, wp.seed, ["item_id"])
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import add_days, date_between, day_range, days_between
 from ..operators import (
+    broadcast_if_small,
     equal_freq_band,
     flag_in,
     global_ntile,
@@ -18,7 +19,6 @@ from ..operators import (
     replicate,
     sample_quota,
     sample_weighted_topk,
-    sum_or_zero,
 )
 from ..functions.labels import size_label
 from ..params import SIZE_LABELS, StudyParams
@@ -28,23 +28,22 @@ from .cohort import Cohort
 CELL = ["shop_id", "category_id", "price_band"]
 
 
-def _recent(panel: DataFrame, p: StudyParams) -> DataFrame:
-    lo = p.end - dt.timedelta(days=p.recent_days - 1)
-    return panel.where(date_between("pt", lo, p.end))
+def _recent(item_shop: DataFrame) -> DataFrame:
+    """Recent sales per (item, shop) with recent panel rows, from ``item_shop_stats``."""
+    return item_shop.where(F.col("recent_rows") > 0).select("item_id", "shop_id", F.col("recent_sales").alias("_s"))
 
 
 def _item_multiplicity(universe: DataFrame) -> DataFrame:
     return universe.groupBy("item_id").agg(F.count(F.lit(1)).cast("bigint").alias("_m"))
 
 
-def shop_sales(panel: DataFrame, universe: DataFrame, p: StudyParams) -> DataFrame:
+def shop_sales(item_shop: DataFrame, universe: DataFrame) -> DataFrame:
     """Recent sales per shop over universe items; an item listed twice counts twice (quirk Q2).
 
-    The recent panel is first summed per (item, shop) - one row per item instead of one per
-    day - and only then joined to the universe's per-item multiplicity.
+    The panel was summed per (item, shop) - one row per item instead of one per day - and only
+    then meets the universe's per-item multiplicity.
     """
-    per_item = _recent(panel, p).groupBy("item_id", "shop_id").agg(sum_or_zero("day_sales_volume").alias("_s"))
-    joined = per_item.join(_item_multiplicity(universe), "item_id")
+    joined = _recent(item_shop).join(_item_multiplicity(universe), "item_id")
     return joined.groupBy("shop_id").agg(F.sum(F.col("_s") * F.col("_m")).cast("bigint").alias("sales_3m"))
 
 
@@ -66,16 +65,15 @@ def cell_items_flagged(universe: DataFrame, treated: DataFrame) -> DataFrame:
     return flag_in(universe, treated, "item_id", "is_eligible_treated")
 
 
-def shop_cells(panel: DataFrame, universe: DataFrame, treated: DataFrame, p: StudyParams) -> DataFrame:
+def shop_cells(item_shop: DataFrame, universe: DataFrame, treated: DataFrame) -> DataFrame:
     """Per shop x category x price band: recent sales and the count of eligible treated rows.
 
     Sales are keyed by the daily row's shop, counts by the item's shop (quirk Q12); the two
     meet in an inner join on the three keys.
     """
     u = cell_items_flagged(universe, treated)
-    per_item = _recent(panel, p).groupBy("item_id", "shop_id").agg(sum_or_zero("day_sales_volume").alias("_s"))
     cell_sales = (
-        per_item.join(u.select("item_id", "category_id", "price_band"), "item_id")
+        _recent(item_shop).join(u.select("item_id", "category_id", "price_band"), "item_id")
         .groupBy("shop_id", "category_id", "price_band")
         .agg(F.sum("_s").cast("bigint").alias("cell_sales_3m"))
     )
@@ -87,8 +85,7 @@ def sample_cells(cells: DataFrame, shops: DataFrame, p: StudyParams, zero: str =
     """Per sampled shop, ``cells_per_shop`` cells drawn by recent-sales weight among cells with
     enough treated rows.  ``zero='last'`` (design A) puts zero-sales cells last; ``'unit'``
     (design B) gives them weight 1."""
-    # the sampled shops are at most n_shops rows: a proven bound, so broadcast
-    cand = keep_in(cells, F.broadcast(shops.select("shop_id")), "shop_id").where(
+    cand = keep_in(cells, shops.select("shop_id"), "shop_id").where(
         F.col("eligible_treated_cnt") >= p.min_treated_in_cell
     )
     stage = "cells_a" if zero == "last" else "cells_b"
@@ -100,8 +97,7 @@ def sample_cells(cells: DataFrame, shops: DataFrame, p: StudyParams, zero: str =
 
 def sample_items(universe: DataFrame, cells: DataFrame, treated: DataFrame, p: StudyParams) -> DataFrame:
     """Per sampled cell: ``pin`` random treated rows, then ``fill`` random rows from the rest."""
-    # the sampled cells are at most n_shops x cells_per_shop rows: broadcast
-    ci = cell_items_flagged(universe, treated).join(F.broadcast(cells.select(*CELL)), CELL)
+    ci = cell_items_flagged(universe, treated).join(cells.select(*CELL), CELL)
     out = pin_then_fill(ci, CELL, "is_eligible_treated", p.pin, p.fill, p.seed, ["item_id", "elig_type"], key="item_id")
     return out.select("item_id", *CELL)
 
@@ -123,15 +119,14 @@ def check_count(df: DataFrame, keys: list[str], expected: int, out: str) -> Data
 # --- final tables ---------------------------------------------------------------------
 
 
-def anchor_snapshot(sampled: DataFrame, treated: DataFrame, daily: DataFrame, p: StudyParams, pt_slack_days: int | None = None) -> DataFrame:
+def anchor_snapshot(sampled: DataFrame, treated: DataFrame, daily: DataFrame, p: StudyParams) -> DataFrame:
     """Anchor day g-1 (treated) or E-1 (others); price and cumulative sales crawled on that day.
 
-    Every crawl row of the anchor day is kept (quirk Q3).  The daily table is huge and the
-    sample is small (bounded by n_shops x cells x (pin + fill)), so the distinct
-    (item, anchor day) keys are broadcast into an inner join with the daily table first; the
-    outer join then runs between two small tables.  ``pt_slack_days`` optionally adds a
-    partition filter around the anchor days (valid when ``pt`` is within that many days of
-    the crawl day).
+    Every crawl row of the anchor day is kept (quirk Q3), or one row per item with
+    ``p.dedupe``.  The daily table first meets the distinct (item, anchor day) keys in an inner
+    join (broadcast if their counted number is small); the outer join then runs between two
+    small tables.  With ``p.pt_slack_days`` only the partitions around the anchor days are
+    read.
     """
     base = sampled.join(treated.select("item_id", "g"), "item_id", "left").select(
         "item_id",
@@ -149,21 +144,33 @@ def anchor_snapshot(sampled: DataFrame, treated: DataFrame, daily: DataFrame, p:
     d = daily
     if bounds is not None and bounds["lo"] is not None:
         d = d.where(day_range("insert_time", bounds["lo"], bounds["hi"]))
-        if pt_slack_days is not None:
-            lo = (bounds["lo"] - dt.timedelta(days=pt_slack_days)).strftime("%Y%m%d")
-            hi = (bounds["hi"] + dt.timedelta(days=pt_slack_days)).strftime("%Y%m%d")
-            d = d.where(F.col("pt").between(lo, hi))
+        pt = p.pt_range(bounds["lo"], bounds["hi"])
+        if pt:
+            d = d.where(F.col("pt").between(*pt))
     hits = d.select(
         "item_id",
         F.to_date("insert_time").alias("anchor_date"),
         F.col("cprice").alias("anchor_price"),
         F.col("day_30_sales_volume").alias("day_30_sales_volume_gm1"),
         F.col("add_volume").alias("add_volume_gm1"),
-    ).join(F.broadcast(keys), ["item_id", "anchor_date"])
+    ).join(broadcast_if_small(keys), ["item_id", "anchor_date"])
     snap = base.join(hits, ["item_id", "anchor_date"], "left")
-    return snap.select(
+    snap = snap.select(
         "item_id", "shop_id", "category_id", "g", "anchor_date", "anchor_price", "day_30_sales_volume_gm1", "add_volume_gm1"
     )
+    if not p.dedupe:
+        return snap
+    rest = [c for c in snap.columns if c != "item_id"]  # NULL is the least of a struct field
+    one = snap.groupBy("item_id").agg(F.min(F.struct(*rest)).alias("_one"))
+    return one.select("item_id", *[F.col(f"_one.{c}") for c in rest])
+
+
+def crawl_rows_outside_slack(daily: DataFrame, p: StudyParams) -> int:
+    """Daily rows whose partition lies further than ``p.pt_slack_days`` from their crawl day (or
+    is not a day): 0 means that pruning partitions by the slack loses nothing."""
+    day = F.try_to_date("pt", "yyyyMMdd")
+    far = F.abs(F.datediff(F.to_date("insert_time"), day)) > p.pt_slack_days
+    return daily.where(F.coalesce(far, F.lit(True)) & F.col("insert_time").isNotNull()).count()
 
 
 FINAL_ITEM_COLUMNS = [
@@ -188,11 +195,11 @@ def final_item(snapshot: DataFrame, items: DataFrame, bands: int, keep=None) ->
     """Item attributes with the price band re-cut on the anchor price inside the category.
 
     Missing anchor prices sort first (quirk Q8).  The item master is reduced to the sampled
-    items by a broadcast semi-join before the join.  ``keep`` stores the joined rows before
+    items by a semi-join before the join.  ``keep`` stores the joined rows before
     banding (read by the sizing and the banding).
     """
-    ids = snapshot.select("item_id").distinct()
-    it = keep_in(items, F.broadcast(ids), "item_id").select(
+    ids = broadcast_if_small(snapshot.select("item_id").distinct())
+    it = keep_in(items, ids, "item_id").select(
         "item_id",
         "shop_id",
         "category_id",
@@ -234,24 +241,23 @@ def final_shop(fi: DataFrame, shops: DataFrame) -> DataFrame:
 def final_item_comment(comments: DataFrame, fi: DataFrame, treated: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """Comments of sampled treated items within g +- W, with item review statistics.
 
-    The sampled treated items are reduced to one row per (item, g) with its multiplicity
-    (bounded by the sample size), broadcast into the comment scan, and the multiplicity
-    is restored afterwards - the same rows as joining the duplicated list, without
-    shuffling the comment table.
+    The sampled treated items are reduced to one row per (item, g) with its multiplicity,
+    joined to the comments (broadcast if their counted number is small), and the multiplicity is
+    restored afterwards - the same rows as joining the duplicated list.
     """
     ts = fi.select("item_id").join(treated.select("item_id", "g"), "item_id")
-    ts = ts.groupBy("item_id", "g").agg(F.count(F.lit(1)).alias("_m"))
+    ts = broadcast_if_small(ts.groupBy("item_id", "g").agg(F.count(F.lit(1)).alias("_m")))
     # exact range implied by the window condition, pushed to the comment scan
     bounds = ts.agg(F.min("g").alias("lo"), F.max("g").alias("hi")).first()
     if bounds is not None and bounds["lo"] is not None:
         comments = comments.where(
             day_range("comment_time", bounds["lo"] - dt.timedelta(days=window), bounds["hi"] + dt.timedelta(days=window))
         )
-    c = comments.join(F.broadcast(ts), "item_id").where(
+    c = comments.join(ts, "item_id").where(
         F.to_date("comment_time").between(add_days("g", -window), add_days("g", window))
     )
     c = replicate(c, "_m")
-    stats = keep_in(items, F.broadcast(ts.select("item_id")), "item_id").select(
+    stats = keep_in(items, ts.select("item_id"), "item_id").select(
         "item_id", F.col("comment_count").alias("rcomment_count"), "max_bad_rate", "bad_rate"
     )
     return c.join(stats, "item_id", "left").select(
@@ -281,20 +287,19 @@ def final_item_day(
     anchor snapshot and comment count (0-filled).
 
     Rows multiply like the original's joins by item (quirk Q3).  Every large input (panel,
-    t0, g, comments) is first reduced to the sampled items with a broadcast semi-join on
-    the bounded id list.
+    t0, g, comments) is first reduced to the sampled items with a semi-join on the id list.
     """
-    ids = fi.select("item_id").distinct()
-    mult = fi.groupBy("item_id").agg(F.count(F.lit(1)).alias("_m"))
-    panel = panel.where(date_between("pt", p.start, p.end)).join(F.broadcast(mult), "item_id")
+    ids = broadcast_if_small(fi.select("item_id").distinct())
+    mult = broadcast_if_small(fi.groupBy("item_id").agg(F.count(F.lit(1)).alias("_m")))
+    panel = panel.where(date_between("pt", p.start, p.end)).join(mult, "item_id")
     panel = replicate(panel, "_m").select(
         "item_id", "shop_id", "pt", "day_sales_volume", F.col("cprice").alias("price")
     )
-    t0 = keep_in(t0, F.broadcast(ids), "item_id")
-    g = keep_in(g, F.broadcast(ids), "item_id")
+    t0 = keep_in(t0, ids, "item_id")
+    g = keep_in(g, ids, "item_id")
     snap = snapshot.select("item_id", "day_30_sales_volume_gm1", "add_volume_gm1")
     # only comment days inside the panel window can meet a panel row
-    dc = daily_comments(keep_in(comments.where(day_range("comment_time", p.start, p.end)), F.broadcast(ids), "item_id"))
+    dc = daily_comments(keep_in(comments.where(day_range("comment_time", p.start, p.end)), ids, "item_id"))
     out = panel.join(t0, "item_id", "left").join(g, "item_id", "left").join(snap, "item_id", "left")
     out = out.join(dc, ["item_id", "pt"], "left")
     return out.select(
@@ -315,10 +320,9 @@ def final_item_day(
 class Study:
     """The multistage sample and final tables of one design (A: zero-sales cells last; B: unit weight).
 
-    Each step is built once per instance.  The drawn items and the final item table are
-    small (bounded by n_shops x cells x (pin + fill)) and read by several later steps, so
-    they are written to the checkpoint folder once instead of recomputing the chain for
-    every consumer.
+    Each step is built once per instance.  Steps of one row per shop, cell or drawn item are
+    read by several later steps, so they are written to the checkpoint folder once (``keep``)
+    instead of recomputing the chain for every consumer.
     """
 
     def __init__(self, cohort: Cohort, design: str = "A", keep=None):
@@ -329,7 +333,7 @@ class Study:
 
     @cached_property
     def shop_sales(self) -> DataFrame:
-        return shop_sales(self.c.panel, self.c.universe, self.p)
+        return self.keep(shop_sales(self.c.item_shop, self.c.universe))
 
     @cached_property
     def shop_size(self) -> DataFrame:
@@ -337,15 +341,15 @@ class Study:
 
     @cached_property
     def sampled_shops(self) -> DataFrame:
-        return sample_shops(self.shop_size, self.p)
+        return self.keep(sample_shops(self.shop_size, self.p))
 
     @cached_property
     def cells(self) -> DataFrame:
-        return shop_cells(self.c.panel, self.c.universe, self.c.treated, self.p)
+        return self.keep(shop_cells(self.c.item_shop, self.c.universe, self.c.treated))
 
     @cached_property
     def sampled_cells(self) -> DataFrame:
-        return sample_cells(self.cells, self.sampled_shops, self.p, zero="last" if self.design == "A" else "unit")
+        return self.keep(sample_cells(self.cells, self.sampled_shops, self.p, zero="last" if self.design == "A" else "unit"))
 
     @cached_property
     def sampled_items(self) -> DataFrame:
@@ -353,7 +357,7 @@ class Study:
 
     @cached_property
     def snapshot(self) -> DataFrame:
-        return anchor_snapshot(self.sampled_items, self.c.treated, self.c.src.daily, self.p)
+        return self.keep(anchor_snapshot(self.sampled_items, self.c.treated, self.c.src.daily, self.p))
 
     @cached_property
     def final_item(self) -> DataFrame:

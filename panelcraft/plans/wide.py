@@ -166,7 +166,7 @@ def control_items(src: Sources, wp: WideParams) -> DataFrame:
         & str_date_le(F.col("item.start_sell_date"), wp.sale_by)
         & never_or_after(first, wp.cutoff)
     )
-    sale = parse_day(F.col("item.start_sell_date"), wp.sale_date_format)
+    sale = parse_day(F.col("item.start_sell_date"), wp.control_date_format)
     return filtered.select(
         *_item_cols(),
         F.coalesce(F.col("st.img_comment_cnt"), F.lit(0)).cast("bigint").alias("img_comment_cnt"),

@@ -1,13 +1,15 @@
 """End-to-end runs that store every step as a table, like the original scripts.
 
 Each step is written with ``materialize`` (``CREATE TABLE IF NOT EXISTS ... AS`` by default,
-``mode='overwrite'`` to refresh) under the table name the original scripts use, and the
-next step reads the stored table - so a long run resumes from finished steps, a lost executor
-never recomputes earlier steps, and every intermediate can be inspected.
+``mode='overwrite'`` to refresh) under the table name the original scripts use, followed by the
+design and a digest of the parameters, and the next step reads the stored table - so a long run
+resumes from finished steps, a run with other parameters never meets another run's tables, a
+lost executor never recomputes earlier steps, and every intermediate can be inspected.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -15,16 +17,24 @@ from pyspark.sql import functions as F
 
 from ..params import TABLE_NAMES as N
 from ..params import StudyParams, WideParams
-from ..sources import Sources, append_into, create_table, materialize
+from ..sources import Sources, append_into, cast_to, create_table, materialize, overwrite_into, typed_schema
+from ..sources.schemas import WIDE_TABLE_TYPES
 from . import cohort as co
 from . import sample as sa
 from . import study as st
 from . import wide as wi
 
+WIDE_VARIANTS = (3, 7, 14, 30)
 
-def _store(prefix: str, mode: str):
+
+def digest(params: StudyParams | WideParams) -> str:
+    """Eight hex digits of all parameter values."""
+    return hashlib.sha256(repr(params).encode()).hexdigest()[:8]
+
+
+def _store(prefix: str, suffix: str, mode: str):
     def store(df: DataFrame, name: str, buckets: int | None = None) -> DataFrame:
-        return materialize(df, prefix + name, mode=mode, buckets=buckets, key="item_id" if buckets else None)
+        return materialize(df, prefix + name + suffix, mode=mode, buckets=buckets, key="item_id" if buckets else None)
 
     return store
 
@@ -32,75 +42,83 @@ def _store(prefix: str, mode: str):
 def run_study(
     src: Sources, p: StudyParams, design: str = "A", mode: str = "ignore", prefix: str = "", buckets: int | None = None
 ) -> dict[str, DataFrame]:
-    """Cohort, then the multistage sample, then the final study tables, each stored in turn.
+    """Cohort, then the multistage sample with its post-condition checks, then the final study
+    tables, each stored in turn; returned by step name.
 
     ``buckets``: store the panel, t0 and g bucketed by item with that many buckets, so the
     coverage join and the per-item aggregates over the (fact-level) panel run without a
     shuffle of the panel.
     """
-    store = _store(prefix, mode)
+    if p.pt_slack_days is not None and (far := st.crawl_rows_outside_slack(src.daily, p)):
+        raise ValueError(f"{far} daily rows lie more than {p.pt_slack_days} days from their partition")
+    store = _store(prefix, f"_{design.lower()}_{digest(p)}", mode)
     zero = "last" if design == "A" else "unit"
-    panel = store(co.item_day(src.daily, p), N["panel"], buckets)
-    stats = co.item_panel_stats(panel)
-    t0 = store(stats.where(F.col("t0").isNotNull()).select("item_id", "t0"), N["t0"], buckets)
-    g = store(co.first_image(src.comments, p), N["g"], buckets)
-    treated = store(co.eligible_treated(co.panel_coverage(g, t0, panel, p), p), N["treated"])
-    control = store(co.eligible_control(stats, p, treated), N["control"])
-    universe = store(co.eligible_universe(treated, control, src.items, stats, p.bands), N["universe"])
-    shops = store(st.sample_shops(st.shop_size(st.shop_sales(panel, universe, p)), p), N["sampled_shops"])
-    cells = store(st.shop_cells(panel, universe, treated, p), N["cells"])
-    picked_cells = store(st.sample_cells(cells, shops, p, zero=zero), N["sampled_cells"])
-    items = store(st.sample_items(universe, picked_cells, treated, p), N["sampled_items"])
-    snapshot = store(st.anchor_snapshot(items, treated, src.daily, p), N["snapshot"])
-    fi = store(st.final_item(snapshot, src.items, p.final_bands), N["final_item"])
-    return {
-        N["panel"]: panel,
-        N["t0"]: t0,
-        N["g"]: g,
-        N["treated"]: treated,
-        N["control"]: control,
-        N["universe"]: universe,
-        N["sampled_shops"]: shops,
-        N["cells"]: cells,
-        N["sampled_cells"]: picked_cells,
-        N["sampled_items"]: items,
-        N["snapshot"]: snapshot,
-        N["final_item"]: fi,
-        N["final_shop"]: store(st.final_shop(fi, src.shops), N["final_shop"]),
-        N["final_item_comment"]: store(st.final_item_comment(src.comments, fi, treated, src.items, p.window), N["final_item_comment"]),
-        N["final_item_day"]: store(st.final_item_day(panel, t0, g, src.comments, fi, snapshot, p), N["final_item_day"]),
-    }
+    out: dict[str, DataFrame] = {}
 
+    def step(name: str, df: DataFrame, buckets: int | None = None) -> DataFrame:
+        out[N[name]] = store(df, N[name], buckets)
+        return out[N[name]]
 
-def run_sampling(
-    src: Sources,
-    wp: WideParams,
-    mode: str = "ignore",
-    prefix: str = "",
-    ledger: str = N["ledger"],
-    pt_lo: str = "20170101",
-    pt_hi: str = "20261231",
-) -> dict[str, DataFrame]:
+    panel = step("panel", co.item_day(src.daily, p), buckets)
+    item_shop = step("item_shop", co.item_shop_stats(panel, p))
+    stats = co.item_panel_stats(item_shop)
+    if p.distinct_days:
+        stats = stats.drop("day_rows").join(co.count_days(panel), "item_id")
+    t0 = step("t0", stats.where(F.col("t0").isNotNull()).select("item_id", "t0"), buckets)
+    g = step("g", co.first_image(src.comments, p), buckets)
+    treated = step("treated", co.eligible_treated(co.panel_coverage(g, t0, panel, p), p))
+    control = step("control", co.eligible_control(stats, p, treated))
+    universe = step("universe", co.eligible_universe(treated, control, src.items, stats, p.bands))
+    shops = step("sampled_shops", st.sample_shops(st.shop_size(st.shop_sales(item_shop, universe)), p))
+    cells = step("cells", st.shop_cells(item_shop, universe, treated))
+    picked_cells = step("sampled_cells", st.sample_cells(cells, shops, p, zero=zero))
+    items = step("sampled_items", st.sample_items(universe, picked_cells, treated, p))
+    step("check_sample_size", st.check_sample_size(items))
+    step("check_cells_per_shop", st.check_count(picked_cells, ["shop_id"], p.cells_per_shop, "n_cells"))
+    step("check_items_per_cell", st.check_count(items, st.CELL, p.pin + p.fill, "n_items"))
+    snapshot = step("snapshot", st.anchor_snapshot(items, treated, src.daily, p))
+    fi = step("final_item", st.final_item(snapshot, src.items, p.final_bands))
+    step("final_shop", st.final_shop(fi, src.shops))
+    step("final_item_comment", st.final_item_comment(src.comments, fi, treated, src.items, p.window))
+    step("final_item_day", st.final_item_day(panel, t0, g, src.comments, fi, snapshot, p))
+    return out
+
+
+def load_wide(df: DataFrame, name: str, mode: str) -> DataFrame:
+    """``INSERT OVERWRITE`` into the typed wide table (ids STRING, money DOUBLE), created if it is
+    absent; returned with the source's types, in which the later steps join."""
+    spark = df.sparkSession
+    if mode == "overwrite" or not spark.catalog.tableExists(name):
+        create_table(spark, name, typed_schema(df, WIDE_TABLE_TYPES), comment="wide items")
+        overwrite_into(cast_to(df, WIDE_TABLE_TYPES), name)
+    return cast_to(spark.table(name), dict(df.dtypes))
+
+
+def run_sampling(src: Sources, wp: WideParams, mode: str = "ignore", prefix: str = "", ledger: str = N["ledger"]) -> dict[str, DataFrame]:
     """Wide tables, single-stage sample with history and comments, ledger append, two-stage sample.
 
-    The ledger is the only state carried between runs: its ids are excluded from the two-stage
-    draw, and this run's single-stage sample is appended to it.
+    The single-stage sample is drawn from the wide table of ``wp.min_days``.  The ledger is the
+    only state carried between runs: its ids are excluded from the two-stage draw, and this
+    run's single-stage sample is appended to it (ids that it already has are not repeated).
     """
     spark = src.items.sparkSession
-    store = _store(prefix, mode)
-    wide = {n: store(wi.wide_items(src, replace(wp, min_days=n)), N["wide"].format(n=n)) for n in (3, 30)}
-    single = store(sa.stratified_quota_sample(wide[3], wp), N["single_sample"].format(n=3))
+    suffix = f"_{digest(wp)}"
+    store = _store(prefix, suffix, mode)
+    variants = sorted({*WIDE_VARIANTS, wp.min_days})
+    wide = {
+        n: load_wide(wi.wide_items(src, replace(wp, min_days=n)), prefix + N["wide"].format(n=n) + suffix, mode) for n in variants
+    }
+    single = store(sa.stratified_quota_sample(wide[wp.min_days], wp), N["single_sample"].format(n=wp.min_days))
     ids = sa.sampled_ids(single)
-    history = store(sa.daily_history(src.daily, ids, pt_lo, pt_hi), N["sample_history"])
+    history = store(sa.daily_history(src.daily, ids, wp.history), N["sample_history"])
     comments = store(sa.comments_of(src.comments, ids), N["sample_comments"])
     create_table(spark, prefix + ledger, ids.schema, comment="item ids already drawn")
-    append_into(sa.ledger_rows(single), prefix + ledger)
+    append_into(sa.ledger_rows(single).join(spark.table(prefix + ledger), "item_id", "left_anti"), prefix + ledger)
     excluded = spark.table(prefix + ledger)
-    two = store(sa.two_stage(wide[30], excluded, wp), N["two_stage_sample"].format(n=30))
+    two = store(sa.two_stage(wide[30], excluded, wp), N["two_stage_sample"].format(n=30) + "_two_stage")
     control = store(wi.control_items(src, wp), N["control_wide"])
-    return {
-        "wide_3": wide[3],
-        "wide_30": wide[30],
+    out = {f"wide_{n}": df for n, df in wide.items()}
+    return out | {
         "single": single,
         "history": history,
         "comments": comments,

@@ -32,6 +32,8 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(256 * 1024 * 1024))
+        # draws of up to this many rows per group are limited before their shuffle
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
         .getOrCreate()
@@ -68,14 +70,3 @@ def freeze(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def raise_group_limit_threshold(spark: SparkSession, k: int) -> None:
-    """Let ``row_number() <= k`` plan as a partial top-k before the shuffle for large ``k``.
-
-    Spark pushes a rank filter below the exchange (``WindowGroupLimit``) only while the
-    limit is at most ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default).
-    """
-    current = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k > current:
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(k))

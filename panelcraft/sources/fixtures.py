@@ -48,7 +48,8 @@ ITEM_EXPR = {
     "start_sell_volume": "case when p_partkey % 11 = 0 then null else p_partkey % 7 end",
     "start_sell_date": (
         "case when p_partkey % 17 = 0 then null when p_partkey % 13 = 0 then ' ' "
-        f"when p_partkey % 19 = 0 then '[]' else cast({_SALE_DATE} as string) end"
+        f"when p_partkey % 19 = 0 then '[]' when p_partkey % 23 = 0 then replace(cast({_SALE_DATE} as string), '-', '') "
+        f"else cast({_SALE_DATE} as string) end"
     ),
     "start_sell_amount": "p_partkey % 70",
     "usual_cprice": "case when p_partkey % 5 = 0 then null else cast(round(p_retailprice * 100) as bigint) end",
@@ -69,11 +70,11 @@ DAILY_EXPR = {
     "day_sales_amount": "cast(round(l_extendedprice) as bigint)",
     "add_volume": "l_orderkey % 1000",
     "add_amount": "l_orderkey % 10000",
-    "pt": "replace(cast(cast(l_shipdate as date) as string), '-', '')",
+    "pt": "case when l_orderkey % 503 = 0 then '' else replace(cast(cast(l_shipdate as date) as string), '-', '') end",
 }
 
 COMMENT_EXPR = {
-    "item_id": "o_custkey",
+    "item_id": "case when o_orderkey % 101 = 0 then null else o_custkey end",
     "seller_id": "o_custkey % 10",
     "comment_id": "o_orderkey",
     "comment_content": "o_orderstatus",
@@ -139,20 +140,9 @@ def _project(df: DataFrame, exprs: dict) -> DataFrame:
     return df.select(*[F.expr(e.format(ts="timestamp_ntz")).alias(c) for c, e in exprs.items()])
 
 
-_SCANS: dict = {}
-
-
-def _scan(spark: SparkSession, path: str) -> DataFrame:
-    """The (lazy) parquet scan of a read-only driver table, listed once per session."""
-    key = (id(spark), path)
-    if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(path)
-    return _SCANS[key]
-
-
 def fixture_sources(spark: SparkSession, sf_dir: str) -> Sources:
     """Lazily project the driver's parquet tables into the four source tables."""
     out = {}
     for view, table, exprs in VIEWS:
-        out[view] = _project(_scan(spark, f"{sf_dir}/{table}.parquet"), exprs)
+        out[view] = _project(spark.read.parquet(f"{sf_dir}/{table}.parquet"), exprs)
     return Sources(**out)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,29 +43,36 @@ def read_sources(spark: SparkSession, items: str, daily: str, comments: str, sho
     )
 
 
-def latest_partition_value(df: DataFrame, col: str = "pt") -> str | None:
-    """Largest value of the partition column (one value reaches the driver).
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # fixed value: the directory of rows without a partition value
 
-    For a directory-partitioned file source the value comes from the file listing alone
-    (``col=value`` path segments), as ``MAX_PT`` reads partition metadata; otherwise from an
-    aggregate.  The literal is then used as a static filter, so the scan prunes to one
-    directory.
+
+def partition_values(spark: SparkSession, root: str, col: str = "pt") -> list[str]:
+    """Values of ``col`` in the ``col=value`` directories right under ``root`` (one directory
+    level, not its files); rows without a value have none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in found if f.isDirectory()]
+    values = [unquote(n[len(col) + 1 :]) for n in names if n.startswith(f"{col}=")]
+    return sorted(v for v in values if v and v != NO_VALUE)
+
+
+def latest_partition_value(df: DataFrame, col: str = "pt", root: str | None = None) -> str | None:
+    """Largest value of the partition column; rows without one do not count.
+
+    With the table's ``root`` folder it is read from the directory names, as ``MAX_PT`` reads
+    partition metadata; otherwise from an aggregate of that one column.  The literal is then a
+    static filter, so the scan prunes to one directory.
     """
-    pattern = re.compile(rf"/{re.escape(col)}=([^/]+)/")
-    try:
-        files = df.inputFiles()
-    except Exception:
-        files = []
-    values = [m.group(1) for f in files if (m := pattern.search(f))]
-    if files and len(values) == len(files):
-        return unquote(max(values))
+    if root is not None:
+        values = partition_values(df.sparkSession, root, col)
+        return values[-1] if values else None
     row = df.agg(F.max(col).alias("m")).first()
     return row["m"] if row else None
 
 
-def latest_partition(df: DataFrame, col: str = "pt") -> DataFrame:
+def latest_partition(df: DataFrame, col: str = "pt", root: str | None = None) -> DataFrame:
     """Rows of the newest partition (``pt = MAX_PT(table)``)."""
-    value = latest_partition_value(df, col)
+    value = latest_partition_value(df, col, root)
     return df.where(F.col(col) == F.lit(value)) if value is not None else df.limit(0)
 
 

@@ -19,21 +19,18 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id long, g long, v long")
 
 
-@pytest.mark.parametrize("max_rows", [None, 0, 500])
-def test_number_within_matches_row_number(skewed, max_rows):
-    # None: every group by the window; 0: every group spread; 500: the hot group spread, the rest by window
+def test_number_within_matches_row_number(skewed):
     order = [F.col("v").asc_nulls_first(), F.col("id").asc()]
-    ours = number_within(skewed, ["g"], order, rn="rn", size="n", max_group_rows=max_rows).select("id", "rn", "n")
+    ours = number_within(skewed, ["g"], order, rn="rn", size="n").select("id", "rn", "n")
     w = Window.partitionBy("g").orderBy(*order)
     ref = skewed.select("id", F.row_number().over(w).cast("bigint").alias("rn"), F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n"))
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.collect()))
 
 
-@pytest.mark.parametrize("max_rows", [0, 500])
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 50])
-def test_equal_freq_band_matches_ntile(skewed, n, max_rows):
+def test_equal_freq_band_matches_ntile(skewed, n):
     order = [F.col("v").asc_nulls_first(), F.col("id").asc()]
-    ours = equal_freq_band(skewed, ["g"], order, n, out="b", max_group_rows=max_rows).select("id", "b")
+    ours = equal_freq_band(skewed, ["g"], order, n, out="b").select("id", "b")
     ref = equal_freq_band(skewed, ["g"], order, n, out="b", distributed=False).select("id", "b")
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.collect()))
 
@@ -42,19 +39,19 @@ def test_equal_freq_band_matches_ntile(skewed, n, max_rows):
 def test_global_ntile_matches_window(spark, rows):
     df = spark.range(rows).withColumn("v", (F.col("id") * 7919) % 13)
     order = [F.col("v").desc_nulls_last(), F.col("id").asc()]
-    ours = global_ntile(df, order, 3, out="b", max_group_rows=0).select("id", "b")
+    ours = global_ntile(df, order, 3, out="b").select("id", "b")
     ref = global_ntile(df, order, 3, out="b", distributed=False).select("id", "b")
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.collect()))
 
 
 def test_global_ntile_empty(spark):
     df = spark.range(0).withColumn("v", F.col("id"))
-    assert global_ntile(df, [F.col("v")], 3, max_group_rows=0).count() == 0
+    assert global_ntile(df, [F.col("v")], 3).count() == 0
 
 
 def test_global_ntile_has_no_single_partition_exchange(spark):
     df = spark.range(100).withColumn("v", F.col("id") % 10)
-    plan = global_ntile(df, [F.col("v").desc(), F.col("id")], 3, max_group_rows=0)._jdf.queryExecution().executedPlan().toString()
+    plan = global_ntile(df, [F.col("v").desc(), F.col("id")], 3)._jdf.queryExecution().executedPlan().toString()
     lines = plan.splitlines()
     # the only single-partition exchange carries the per-partition counts (one row per partition)
     for i, line in enumerate(lines):
@@ -65,7 +62,7 @@ def test_global_ntile_has_no_single_partition_exchange(spark):
 
 def test_exact_percentiles_match_percentile(skewed):
     ps = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p75": 0.75, "p99": 0.99, "p100": 1.0}
-    ours = exact_percentiles(skewed, "v", ps, max_group_rows=0).first().asDict()
+    ours = exact_percentiles(skewed, "v", ps).first().asDict()
     ref = skewed.agg(*[F.round(F.percentile("v", p), 6).alias(k) for k, p in ps.items()]).first().asDict()
     assert ours == ref
 
@@ -73,26 +70,28 @@ def test_exact_percentiles_match_percentile(skewed):
 def test_exact_percentiles_hot_value(spark):
     # one value holds most rows: still exact
     df = spark.createDataFrame([(5,)] * 500 + [(i,) for i in range(100)], "v long")
-    ours = exact_percentiles(df, "v", {"m": 0.5, "p": 0.9}, max_group_rows=0).first()
+    ours = exact_percentiles(df, "v", {"m": 0.5, "p": 0.9}).first()
     ref = df.agg(F.round(F.median("v"), 6).alias("m"), F.round(F.percentile("v", 0.9), 6).alias("p")).first()
     assert (ours.m, ours.p) == (ref.m, ref.p)
 
 
-@pytest.mark.parametrize("max_rows", [None, 0])
 @pytest.mark.parametrize("values", [[7] * 10, [3], [None, None, 1], [2, 2, 1, 1]])
-def test_bands_edge_cases(spark, values, max_rows):
+def test_bands_edge_cases(spark, values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v long").withColumn("g", F.lit(1))
     order = [F.col("v").asc_nulls_first(), F.col("id").asc()]
-    ours = equal_freq_band(df, ["g"], order, 4, out="b", max_group_rows=max_rows).select("id", "b")
+    ours = equal_freq_band(df, ["g"], order, 4, out="b").select("id", "b")
     ref = equal_freq_band(df, ["g"], order, 4, out="b", distributed=False).select("id", "b")
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.collect()))
 
 
-def test_group_threshold_from_session_conf(spark, skewed):
-    order = [F.col("v").asc_nulls_first(), F.col("id").asc()]
-    spark.conf.set("panelcraft.numbering.maxGroupRows", "500")
-    try:
-        plan = number_within(skewed, ["g"], order)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("panelcraft.numbering.maxGroupRows")
-    assert "Scan ExistingRDD" in plan  # the hot group took the spread path
+def test_percentiles_with_ties_are_even(spark):
+    """90 % of the rows share one value: it is one counted row, and no task gets the ties."""
+    from panelcraft.operators.aggregates import _cumulated_values
+
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("v"))
+    rows = _cumulated_values(df, "v")
+    assert rows.count() == 4001
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+    ours = exact_percentiles(df, "v", {"p": 0.95}).first().p
+    assert ours == df.agg(F.round(F.percentile("v", 0.95), 6).alias("p")).first().p

@@ -2,22 +2,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from panelcraft.operators import flag_in, ordered_head, replicate, window_join
+from panelcraft.operators import flag_in, groups_larger_than, replicate
 from panelcraft.sources import lookup
 
 
-def test_window_join_keeps_events_inside_window(spark):
-    events = spark.createDataFrame(
-        [(1, dt.date(2025, 1, 1)), (1, dt.date(2025, 3, 1)), (1, dt.date(2025, 5, 1)), (2, dt.date(2025, 3, 1))],
-        "item_id long, day date",
-    )
-    anchors = spark.createDataFrame([(1, dt.date(2025, 3, 10))], "item_id long, g date")
-    out = window_join(events, anchors, "item_id", "day", "g", 60, 60).select("_e.day").collect()
-    assert sorted(r.day for r in out) == [dt.date(2025, 3, 1), dt.date(2025, 5, 1)]
-    plan = window_join(events, anchors, "item_id", "day", "g", 60, 60)._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
-
-
 def test_replicate_repeats_rows(spark):
     df = spark.createDataFrame([(1, 3), (2, 1)], "id long, m long")
     assert sorted(r.id for r in replicate(df, "m").collect()) == [1, 1, 1, 2]
@@ -30,10 +18,15 @@ def test_flag_in_never_multiplies_rows(spark):
     assert out == [(1, 1), (2, 0), (3, 0)]
 
 
-def test_lookup_and_ordered_head(spark):
+def test_lookup(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(20)], "id long, k long")
     assert {r.id for r in lookup(df, k=1).collect()} == {i for i in range(20) if i % 3 == 1}
-    assert [r.id for r in ordered_head(df, [F.col("id").desc()], 3).collect()] == [19, 18, 17]
+
+
+def test_groups_larger_than_keeps_the_null_group(spark):
+    df = spark.createDataFrame([(None, i) for i in range(5)] + [(1, i) for i in range(5)] + [(2, 0)], "k long, id long")
+    out = groups_larger_than(df, "k", 3, [F.col("k").asc(), F.col("id").asc()], 100).collect()
+    assert [r.k for r in out] == [None] * 5 + [1] * 5 and {r.group_size for r in out} == {5}
 
 
 def test_equal_width_level_zero_and_flat(spark):

@@ -35,30 +35,3 @@ def test_entry_runs(spark):
     from panelcraft.plans.wide import WIDE_COLUMNS
 
     assert df.columns == WIDE_COLUMNS and len(df.columns) == 49
-
-
-SPREAD = ["eligible_universe", "shop_size_tercile", "sample_daily_history", "final_item", "fan_percentiles", "fan_distribution"]
-
-
-@pytest.mark.parametrize("name", SPREAD)
-def test_query_matches_oracle_with_every_group_spread(spark, con, name, monkeypatch):
-    """The same queries with the hot-group path forced for every group."""
-    from panelcraft.operators import numbering
-
-    monkeypatch.setattr(numbering, "SMALL_GROUP_ROWS", 0)
-    r = compare(spark, name, QUERIES[name], ORACLE[name], SF, con)
-    assert r["cols_match"] and r["spark_rows"] == r["oracle_rows"] and r["hash_match"]
-
-
-def test_universe_with_some_hot_categories_matches_oracle(spark):
-    """sf0.01 categories hold about 500 universe rows each; a 520-row threshold makes some of
-    them hot (spread path) and leaves the others on the plain window."""
-    sf = "/root/testdata/sf0.01"
-    sizes = [r["count"] for r in QUERIES["eligible_universe"](spark, sf).groupBy("category_id").count().collect()]
-    spark.conf.set("panelcraft.numbering.maxGroupRows", "520")
-    try:
-        assert any(n > 520 for n in sizes) and any(n <= 520 for n in sizes)
-        r = compare(spark, "eligible_universe", QUERIES["eligible_universe"], ORACLE["eligible_universe"], sf)
-    finally:
-        spark.conf.unset("panelcraft.numbering.maxGroupRows")
-    assert r["cols_match"] and r["spark_rows"] == r["oracle_rows"] and r["hash_match"]

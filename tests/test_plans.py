@@ -1,11 +1,14 @@
 """Plan-shape regressions over every registered query."""
 
+import datetime as dt
+
 import pytest
+from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+from panelcraft.plans import registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = registry.queries()
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas"]
 
 
@@ -20,10 +23,46 @@ def test_no_cross_joins_or_python_in_plan(spark, name):
         assert bad not in plan, bad
 
 
-@pytest.mark.parametrize("name", ["stratified_quota_sample", "sampled_shops", "sampled_cells_a", "sampled_cells_b", "two_stage_sample"])
-def test_draws_limit_before_the_shuffle(spark, name):
+def test_draws_limit_before_the_shuffle(spark):
     # sf0.01: at sf0.001 the ledger already holds every wide item, so the two-stage input is empty
-    assert "WindowGroupLimit" in _plan(QUERIES[name](spark, "/root/testdata/sf0.01"))
+    from panelcraft.params import FIXTURE_STUDY
+    from panelcraft.plans import cohort as co
+    from panelcraft.plans import study as st
+    from panelcraft.sources import fixture_sources
+
+    sf = "/root/testdata/sf0.01"
+    for name in ("stratified_quota_sample", "two_stage_sample"):
+        assert "WindowGroupLimit" in _plan(QUERIES[name](spark, sf))
+    study = st.Study(co.Cohort(fixture_sources(spark, sf), FIXTURE_STUDY))  # its steps are stored: plan them unstored
+    for zero in ("last", "unit"):
+        assert "WindowGroupLimit" in _plan(st.sample_cells(study.cells, study.sampled_shops, FIXTURE_STUDY, zero))
+    assert "WindowGroupLimit" in _plan(st.sample_items(study.c.universe, study.sampled_cells, study.c.treated, FIXTURE_STUDY))
+
+
+def test_final_item_day_scans(spark):
+    """The study reads the daily fact four times (panel sums, coverage, anchor days, final panel)
+    and the comments twice, however many tables are built from them."""
+    from panelcraft.params import FIXTURE_STUDY
+    from panelcraft.plans import cohort as co
+    from panelcraft.plans import study as st
+    from panelcraft.session import freeze
+    from panelcraft.sources import fixture_sources
+
+    src = fixture_sources(spark, SF)
+    scans = {"daily": 0, "comments": 0}
+
+    def keep(df):
+        count(df)
+        return freeze(df)
+
+    def count(df):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        for name, column in (("daily", "l_shipdate"), ("comments", "o_orderdate")):
+            scans[name] += sum("Relation [" in x and column in x for x in lines)
+
+    study = st.Study(co.Cohort(src, FIXTURE_STUDY, keep=keep), keep=keep)
+    count(study.final_item_day)
+    assert scans["daily"] <= 4 and scans["comments"] <= 2, scans
 
 
 def test_panel_scan_pushes_day_range_and_prunes_columns(spark):
@@ -32,9 +71,35 @@ def test_panel_scan_pushes_day_range_and_prunes_columns(spark):
     assert "FileScan parquet [l_partkey#" in plan and "ReadSchema: struct<l_partkey:bigint,l_quantity:double,l_extendedprice:double,l_returnflag:string" in plan
 
 
-def test_anchor_snapshot_streams_daily_through_a_broadcast(spark):
-    plan = _plan(QUERIES["anchor_snapshot"](spark, SF))
-    assert "BroadcastHashJoin" in plan and "GreaterThanOrEqual(l_shipdate" in plan
+def test_anchor_snapshot_prunes_partitions(spark, scratch):
+    """With a slack, only the partitions near the anchor days are read; without, no row is lost."""
+    from panelcraft.params import FIXTURE_STUDY
+    from panelcraft.plans.study import anchor_snapshot, crawl_rows_outside_slack
+    from panelcraft.sources import fixture_sources, write_partitioned
+
+    daily = fixture_sources(spark, SF).daily.where("pt <> '' and insert_time < timestamp '1992-03-01'")
+    write_partitioned(daily, f"{scratch}/daily")
+    stored = spark.read.parquet(f"{scratch}/daily").withColumn("pt", F.col("pt").cast("string"))
+    row = daily.orderBy("insert_time").first()
+    treated = spark.createDataFrame([(row.item_id, row.insert_time.date() + dt.timedelta(days=1))], "item_id long, g date")
+    sampled = spark.createDataFrame([(row.item_id, row.shop_id, 0, 1)], "item_id long, shop_id long, category_id long, price_band long")
+    p = FIXTURE_STUDY.with_(pt_slack_days=1)
+    assert crawl_rows_outside_slack(stored, p) == 0
+    snap = anchor_snapshot(sampled, treated, stored, p)
+    assert snap.where("anchor_price is not null").count() > 0
+    assert "PartitionFilters: [isnotnull(pt" in snap._jdf.queryExecution().toString()
+
+
+def test_no_date_bound_drops_rows(spark):
+    from panelcraft.params import StudyParams
+    from panelcraft.plans.cohort import item_day
+
+    p = StudyParams(start=dt.date(2026, 1, 1), end=dt.date(2027, 6, 30))
+    cols = "item_id long, shop_id long, insert_time timestamp, day_sales_volume long, cprice long, category_id long, root_category_id long, pt string"
+    rows = [(1, 1, dt.datetime(y, 1, 5), 1, 1, 1, 1, f"{y}0105") for y in (2026, 2027)]
+    daily = spark.createDataFrame(rows, cols)
+    assert item_day(daily, p).count() == 2
+    assert item_day(daily, p.with_(pt_slack_days=2)).count() == 2
 
 
 def test_anti_and_semi_joins(spark):

@@ -49,11 +49,6 @@ def test_quota_per_stratum_and_missing_stratum(items):
     assert set(counts) == {0, 1, 2}  # strata without a quota keep nothing
 
 
-def test_large_quota_raises_group_limit_threshold(spark, items):
-    sample_quota(items, "grp", {0: 5000}, 42, "q", ["item_id"])
-    assert int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) >= 5000
-
-
 def test_weighted_draw_favours_heavy_rows(spark):
     df = spark.createDataFrame([(i, 1 if i < 50 else 20) for i in range(100)], "item_id long, w long").withColumn("g", F.lit(1))
     heavy = 0
@@ -91,32 +86,16 @@ def test_pin_then_fill(items):
         assert sum(r.flag for r in rs) >= 2
 
 
-@pytest.mark.parametrize("margin", [2.0, 0.05])
-def test_large_k_prefilter_is_exact(spark, monkeypatch, margin):
-    """The key-threshold pre-filter gives the same draw; a tiny margin forces the fallback."""
-    from panelcraft.operators import sampling
+def test_large_quota_is_the_plain_draw(spark):
+    """The key histogram only drops rows that cannot be drawn."""
+    from panelcraft.operators.sampling import ranked
 
     rows = [(i, 0 if i % 2 else 1 + i % 3) for i in range(20000)]  # group 0 holds half the rows
     df = spark.createDataFrame(rows, "item_id long, grp long")
     quotas = {0: 2000, 1: 5, 2: 3000}
-    monkeypatch.setattr(sampling, "LARGE_K", 10**9)  # baseline without the pre-filter
-    plain = sorted(r.item_id for r in sample_topk(df, ["grp"], 1500, 9, "s", ["item_id"]).collect())
-    q_plain = sorted(r.item_id for r in sample_quota(df, "grp", quotas, 9, "q", ["item_id"]).collect())
-    monkeypatch.setattr(sampling, "LARGE_K", 100)
-    monkeypatch.setattr(sampling, "THRESHOLD_MARGIN", margin)
-    thinned = sorted(r.item_id for r in sample_topk(df, ["grp"], 1500, 9, "s", ["item_id"]).collect())
-    q_thin = sorted(r.item_id for r in sample_quota(df, "grp", quotas, 9, "q", ["item_id"]).collect())
-    assert thinned == plain and len(plain) == 4 * 1500
-    assert q_thin == q_plain
-
-
-def test_large_k_prefilter_keeps_null_group(spark, monkeypatch):
-    from panelcraft.operators import sampling
-
-    rows = [(i, None if i % 2 else 1) for i in range(6000)]
-    df = spark.createDataFrame(rows, "item_id long, grp long")
-    monkeypatch.setattr(sampling, "LARGE_K", 10**9)
-    plain = sorted(r.item_id for r in sample_topk(df, ["grp"], 1200, 5, "s", ["item_id"]).collect())
-    monkeypatch.setattr(sampling, "LARGE_K", 10)
-    thinned = sorted(r.item_id for r in sample_topk(df, ["grp"], 1200, 5, "s", ["item_id"]).collect())
-    assert thinned == plain and len(plain) == 2400
+    plain = ranked(df, ["grp"], [draw_key(9, "q", F.col("grp"), F.col("item_id")), F.col("item_id")]).collect()
+    expected = sorted(r.item_id for r in plain if r.grp in quotas and r.rn <= quotas[r.grp])
+    drawn = sample_quota(df, "grp", quotas, 9, "q", ["item_id"])
+    assert sorted(r.item_id for r in drawn.collect()) == expected
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert before == "10000"  # set with the session, not by a query

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from panelcraft.sources import append_into, create_table, latest_partition, materialize, read_daily, write_bucketed, write_partitioned
+from panelcraft.sources import append_into, create_table, latest_partition, latest_partition_value, materialize, read_daily, write_bucketed, write_partitioned
 from panelcraft.sources.schemas import DAILY
 
 
@@ -45,7 +45,10 @@ def test_partitioned_layout_and_latest_partition(spark, scratch):
     path = f"{scratch}/daily"
     write_partitioned(df, path, "pt")
     back = read_daily(spark, path)
-    latest = latest_partition(back, "pt")
+    spark.createDataFrame(rows[:1], DAILY).withColumn("pt", F.lit(None).cast("string")).write.mode("append").partitionBy("pt").parquet(path)
+    back = read_daily(spark, path)
+    assert latest_partition_value(back, "pt") == latest_partition_value(back, "pt", root=path) == "20250103"  # the null partition is none
+    latest = latest_partition(back, "pt", root=path)
     assert {r.pt for r in latest.collect()} == {"20250103"}
     plan = latest._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(pt" in plan

@@ -2,7 +2,7 @@
 
 from panelcraft.params import FIXTURE_STUDY, FIXTURE_WIDE
 from panelcraft.plans import registry
-from panelcraft.plans.workflow import run_sampling, run_study
+from panelcraft.plans.workflow import digest, run_sampling, run_study
 from panelcraft.sources import fixture_sources
 
 SF = "/root/testdata/sf0.001"
@@ -19,19 +19,26 @@ def test_run_study_equals_queries(spark):
     assert _rows(out["tmp_sampled_items"]) == _rows(q["sampled_items_a"](spark, SF))
     assert _rows(out["final_item_day"]) == _rows(q["final_item_day"](spark, SF))
     assert _rows(out["final_item_comment"]) == _rows(q["final_item_comment"](spark, SF))
-    # a second run with the default mode keeps the stored tables (CREATE TABLE IF NOT EXISTS)
-    again = run_study(src, FIXTURE_STUDY.with_(seed=7), prefix="ps_")
+    assert out["check_cells_per_shop"].count() == 0 and out["check_sample_size"].first().n_items > 0
+    # other parameters are other tables; the same ones resume from the stored tables
+    other = run_study(src, FIXTURE_STUDY.with_(seed=7, n_shops=3), prefix="ps_")
+    assert other["tmp_sampled_items"].select("shop_id").distinct().count() <= 3
+    again = run_study(src, FIXTURE_STUDY, prefix="ps_")
     assert _rows(again["tmp_sampled_items"]) == _rows(out["tmp_sampled_items"])
 
 
 def test_run_sampling_ledger_excludes_previous_draws(spark):
     src = fixture_sources(spark, SF)
-    out = run_sampling(src, FIXTURE_WIDE, prefix="pa_", pt_lo=FIXTURE_STUDY.pt_lo, pt_hi=FIXTURE_STUDY.pt_hi)
+    out = run_sampling(src, FIXTURE_WIDE, prefix="pa_")
     q = registry.queries()
     assert _rows(out["single"]) == _rows(q["stratified_quota_sample"](spark, SF))
     assert _rows(out["two_stage"]) == _rows(q["two_stage_sample"](spark, SF))
     drawn = {r.item_id for r in out["ledger"].collect()}
     assert drawn and not drawn & {r.item_id for r in out["two_stage"].collect()}
+    assert set(out) >= {"wide_3", "wide_7", "wide_14", "wide_30"}
+    assert dict(spark.table(f"pa_tmp_item_full_info_with_first_img_comment_3_{digest(FIXTURE_WIDE)}").dtypes)["item_id"] == "string"
+    again = run_sampling(src, FIXTURE_WIDE, prefix="pa_")  # a second run appends no id twice
+    assert again["ledger"].count() == len(drawn)
 
 
 def test_cli_study_on_fixture(spark):
@@ -39,7 +46,7 @@ def test_cli_study_on_fixture(spark):
 
     summary = main(["study", "--fixture-dir", SF, "--prefix", "cli_", "--mode", "overwrite"])
     assert summary["final_item_day"] > 0 and summary["tmp_sampled_items"] > 0
-    assert spark.table("cli_final_item_day").count() == summary["final_item_day"]
+    assert spark.table(f"cli_final_item_day_a_{digest(FIXTURE_STUDY)}").count() == summary["final_item_day"]
 
 
 def test_cli_sampling_on_fixture(spark):
@@ -56,7 +63,8 @@ def test_bucketed_panel_joins_without_shuffle(spark):
     out = run_study(src, FIXTURE_STUDY, prefix="pb_", mode="overwrite", buckets=4)
     q = registry.queries()
     assert _rows(out["tmp_eligible_treated"]) == _rows(q["eligible_treated"](spark, SF))
-    panel, t0, g = spark.table("pb_tmp_item_day_y1"), spark.table("pb_tmp_item_t0"), spark.table("pb_tmp_item_g")
+    end = f"_a_{digest(FIXTURE_STUDY)}"
+    panel, t0, g = (spark.table(f"pb_{n}{end}") for n in ("tmp_item_day_y1", "tmp_item_t0", "tmp_item_g"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = panel_coverage(g, t0, panel, FIXTURE_STUDY)._jdf.queryExecution().executedPlan().toString()
