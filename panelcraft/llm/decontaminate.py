@@ -31,7 +31,7 @@ from .tables import free_name, table
 from .words import U, word_blocks, words_hash
 
 N = 10
-BLOCK_WINDOWS = 2_000_000  # about 16 MB of hashes and at most 300 MB of window texts a block
+BLOCK_WINDOWS = 200_000  # about 60 MB in a task: hashes, window texts and item ids
 WINDOW_SCHEMA = "n int, hash long, words binary, item_id string"
 RANGE_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 SCAN_ARROW = pa.struct([("n_words", pa.int64()), ("hits", RANGE_TYPE), ("items", pa.list_(pa.string()))])

@@ -12,6 +12,7 @@ from .decontaminate import op3_decontaminate
 from .fingerprints import op6_fingerprints
 from .licenses import op8_licenses
 from .near_dedup import op1_dart_minhash
+from .oracle import ORACLE
 from .packing import op2_pack
 from .pii import op5_personal_data
 from .pseudo_likelihood import op4_pseudo_likelihood
@@ -47,5 +48,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB twins where SQL can express the operator; the others are tested by brute force."""
-    return {}
+    return dict(ORACLE)
