@@ -1,5 +1,3 @@
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from panelcraft.operators import flag_in, groups_larger_than, replicate
