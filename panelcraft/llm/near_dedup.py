@@ -16,7 +16,7 @@ Banded joining without all pairs: exact copies are collapsed first; texts that s
 value are a bucket; every member of a bucket is compared (exactly, by its elements) with the
 bucket's first ``leaders`` members, which covers all pairs of small buckets.  Members of larger
 buckets that are in no leader's component are dealt again by the bucket and one further band,
-until none is left.  Classes are the connected components of the verified links.
+with four times the leaders, until none is left.  Classes are the connected components of the verified links.
 
 With 20 bands of 5 rows a pair at similarity 0.8 shares a band with probability 0.9996 (more
 above).  Beyond that, a link can be missed only if every bucket that the two texts share is
@@ -25,7 +25,8 @@ other, and no other text connects them.
 
 Scale: texts are shuffled once (candidates only are shingled a second time); hot copies are
 collapsed by partial aggregation; buckets meet their leaders in a skew-splittable join;
-components are found by label propagation in checkpointed rounds, nothing is collected.
+components are found by label propagation in rounds stored in the shared checkpoint folder;
+nothing is collected, and all but the classes are deleted there at the end.
 
 Defined cases: a null text is an empty text; texts without words have no shingles and join
 only exact copies of themselves; a class is named by its smallest doc_id (null last, ties by
@@ -43,8 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import freeze
-from .tables import free_name, table
+from .tables import Scratch, free_name, table
 from .words import GRAM, U, WordBlock, mix, signed, word_blocks
 
 WORDS, SIMILARITY, BANDS, ROWS, LEADERS = 5, 0.8, 20, 5, 4
@@ -184,33 +184,38 @@ def near_duplicates(
 
     ``kept`` marks the class's smallest (doc_id, key).
     """
+    scratch, result = Scratch(docs.sparkSession, "near-duplicates"), Scratch(docs.sparkSession, "near-duplicate-classes")
+    keep = scratch.keep
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.md5(text).alias("key"), text.alias("text"))
-    sketch = freeze(base.mapInArrow(_sketch(bands, rows, words), f"doc_id {id_type}, key string, bands array<long>"))
+    sketch = keep(base.mapInArrow(_sketch(bands, rows, words), f"doc_id {id_type}, key string, bands array<long>"))
     named = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("named")
     reps = sketch.groupBy("key").agg(named, F.first("bands").alias("bands"))
-    reps = freeze(reps.select(F.monotonically_increasing_id().alias("rep"), "key", F.col("named.doc_id").alias("doc_id"), "bands"))
+    reps = keep(reps.select(F.monotonically_increasing_id().alias("rep"), "key", F.col("named.doc_id").alias("doc_id"), "bands"))
 
     members = reps.select("rep", F.explode("bands").alias("bucket")).withColumn("used", F.array("bucket"))
     elements = links = comps = None
     while True:
-        heads = _heads(members, leaders)
-        met = freeze(members.join(heads, "bucket"))
+        heads = keep(_heads(members, leaders))
+        met = keep(members.join(heads, "bucket"))
         if elements is None:
             wanted = met.select("rep").distinct().join(reps, "rep").select("rep", F.col("key").alias("k"), F.col("doc_id").alias("d"))
             texts = base.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
             elements = texts.select("rep", "text").mapInArrow(_elements(words), "rep long, elements array<int>")
-            elements = freeze(elements.groupBy("rep").agg(F.first("elements").alias("elements")))
+            elements = keep(elements.groupBy("rep").agg(F.first("elements").alias("elements")))
         pairs = met.select(F.col("rep").alias("a"), F.explode("leaders").alias("b")).where("b < a").distinct()
         if links is not None:
             pairs = pairs.join(links, ["a", "b"], "left_anti")
-        verified = freeze(_verify(pairs, elements, similarity))
+        verified = keep(_verify(pairs, elements, similarity))
         links = verified if links is None else links.unionByName(verified)
-        comps = components(links)
-        left = freeze(_apart(met, heads, comps))
+        comps = components(links, keep)
+        left = keep(_apart(met, heads, comps))
         if left.isEmpty():
-            return _classes(sketch, reps, comps)
+            classes = result.keep(_classes(sketch, reps, comps))
+            scratch.drop()
+            return classes
+        leaders *= 4
         deal = left.join(reps.select("rep", F.explode("bands").alias("band")), "rep").where(~F.array_contains("used", F.col("band")))
         deal = deal.select("rep", F.array_sort(F.array_append("used", F.col("band"))).alias("used")).distinct()
         members = deal.select("rep", F.xxhash64("used").alias("bucket"), "used")
@@ -222,14 +227,14 @@ def _heads(members: DataFrame, leaders: int) -> DataFrame:
     w = Window.partitionBy("bucket").orderBy("rep")
     heads = members.select("bucket", "rep", F.row_number().over(w).alias("rn")).where(F.col("rn") <= leaders + 2)
     heads = heads.groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("first")).where(F.size("first") > 1)
-    return freeze(heads.select("bucket", F.slice("first", 1, leaders).alias("leaders"), (F.size("first") > leaders + 1).alias("large")))
+    return heads.select("bucket", F.slice("first", 1, leaders).alias("leaders"), (F.size("first") > leaders + 1).alias("large"))
 
 
 def _apart(met: DataFrame, heads: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of large buckets that are in no leader's component."""
     named = comps.select(F.col("v").alias("leader"), F.col("comp"))
     of_leaders = heads.where("large").select("bucket", F.explode("leaders").alias("leader")).join(named, "leader", "left")
-    of_leaders = freeze(of_leaders.groupBy("bucket").agg(F.collect_set(F.coalesce("comp", "leader")).alias("taken")))
+    of_leaders = of_leaders.groupBy("bucket").agg(F.collect_set(F.coalesce("comp", "leader")).alias("taken"))
     rest = met.where("large").select("rep", "bucket", "used").join(comps.withColumnRenamed("v", "rep"), "rep", "left")
     rest = rest.join(of_leaders, "bucket").where(~F.array_contains("taken", F.coalesce("comp", "rep")))
     return rest.select("rep", "used")
@@ -243,19 +248,19 @@ def _verify(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataFra
     return both.where(common >= similarity * (F.size("ea") + F.size("eb") - common)).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep) -> DataFrame:
     """(v, comp): the smallest vertex of every vertex's connected component.
 
     Rounds of least label among the neighbours followed by one pointer jump, each round
-    checkpointed; the number of rounds grows with the logarithm of the longest chain.
+    stored by ``keep``; the number of rounds grows with the logarithm of the longest chain.
     """
-    edges = freeze(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = freeze(edges.groupBy(F.col("a").alias("v")).agg(F.least("a", F.min("b")).alias("comp")))
+    edges = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = keep(edges.groupBy(F.col("a").alias("v")).agg(F.least("a", F.min("b")).alias("comp")))
     while True:
         near = edges.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("near"))
         least = labels.join(near, "v").select("v", F.col("comp").alias("old"), F.least("comp", "near").alias("c"))
         jump = least.join(labels.select(F.col("v").alias("c"), F.col("comp").alias("up")), "c")
-        new = freeze(jump.select("v", F.least("c", "up").alias("comp"), (F.least("c", "up") < F.col("old")).alias("moved")))
+        new = keep(jump.select("v", F.least("c", "up").alias("comp"), (F.least("c", "up") < F.col("old")).alias("moved")))
         labels = new.drop("moved")
         if new.where("moved").isEmpty():
             return labels
@@ -265,8 +270,8 @@ def _classes(sketch: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
     placed = reps.drop("bands").join(comps.withColumnRenamed("v", "rep"), "rep", "left")
     placed = placed.select("key", "doc_id", F.coalesce("comp", "rep").alias("comp"))
     head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("head")
-    heads = freeze(placed.groupBy("comp").agg(head))
-    named = freeze(placed.drop("doc_id").join(heads, "comp").select("key", "head"))
+    heads = placed.groupBy("comp").agg(head)
+    named = placed.drop("doc_id").join(heads, "comp").select("key", "head")
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("key") == F.col("head.key"))
     return sketch.drop("bands").join(named, "key").select(
         "doc_id", "key", F.col("head.doc_id").alias("class_id"), F.col("head.key").alias("class_key"), kept.alias("kept")
@@ -275,7 +280,8 @@ def _classes(sketch: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without all but one of every class (its smallest doc_id)."""
-    kept = freeze(near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")))
+    classes = near_duplicates(docs, id_col, text_col, **options)
+    kept = classes.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
     key = free_name(docs, "text_key")
     keyed = docs.withColumn(key, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     on = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col(key) == F.col("kept_key"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -24,3 +28,27 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+class Scratch:
+    """Intermediate tables of one job in the shared checkpoint folder.
+
+    A table read back has no history: neither lineage nor the constraints that a checkpointed
+    plan carries along, which grow from round to round of an iterative job.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark, self.n = spark, 0
+        self.folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete all tables kept so far (nothing that is still to be computed may read them)."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
