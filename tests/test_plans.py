@@ -77,7 +77,7 @@ def test_anchor_snapshot_prunes_partitions(spark, scratch):
     from panelcraft.plans.study import anchor_snapshot, crawl_rows_outside_slack
     from panelcraft.sources import fixture_sources, write_partitioned
 
-    daily = fixture_sources(spark, SF).daily.where("pt <> '' and insert_time < timestamp '1992-03-01'")
+    daily = fixture_sources(spark, SF).daily.where("pt <> '' and insert_time < timestamp '1995-02-01'")
     write_partitioned(daily, f"{scratch}/daily")
     stored = spark.read.parquet(f"{scratch}/daily").withColumn("pt", F.col("pt").cast("string"))
     row = daily.orderBy("insert_time").first()
