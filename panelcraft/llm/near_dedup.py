@@ -15,8 +15,8 @@ for that document.  Two signatures agree in a coordinate with probability = simi
 Banded joining without all pairs: exact copies are collapsed first; texts that share a band
 value are a bucket; every member of a bucket is compared (exactly, by its elements) with the
 bucket's first ``leaders`` members, which covers all pairs of small buckets.  Members of larger
-buckets that are in no leader's component are dealt again by the bucket and one further band,
-with four times the leaders, until none is left.  Classes are the connected components of the verified links.
+buckets that are in no leader's component are dealt again by the bucket and one further large
+bucket of theirs, with four times the leaders, until none is left.  Classes are the connected components of the verified links.
 
 With 20 bands of 5 rows a pair at similarity 0.8 shares a band with probability 0.9996 (more
 above).  Beyond that, a link can be missed only if every bucket that the two texts share is
@@ -200,6 +200,8 @@ def near_duplicates(
         heads = keep(_heads(members, leaders))
         met = keep(members.join(heads, "bucket"))
         if elements is None:
+            # pairs that share a small bucket are compared already: only large ones are dealt on
+            large_bands = met.where("large").select("rep", F.col("bucket").alias("band"))
             wanted = met.select("rep").distinct().join(reps, "rep").select("rep", F.col("key").alias("k"), F.col("doc_id").alias("d"))
             texts = base.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
             elements = texts.select("rep", "text").mapInArrow(_elements(words), "rep long, elements array<int>")
@@ -216,7 +218,7 @@ def near_duplicates(
             scratch.drop()
             return classes
         leaders *= 4
-        deal = left.join(reps.select("rep", F.explode("bands").alias("band")), "rep").where(~F.array_contains("used", F.col("band")))
+        deal = left.join(large_bands, "rep").where(~F.array_contains("used", F.col("band")))
         deal = deal.select("rep", F.array_sort(F.array_append("used", F.col("band"))).alias("used")).distinct()
         members = deal.select("rep", F.xxhash64("used").alias("bucket"), "used")
 
