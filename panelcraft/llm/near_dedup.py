@@ -14,17 +14,22 @@ for that document.  Two signatures agree in a coordinate with probability = simi
 
 Banded joining without all pairs: exact copies are collapsed first; texts that share a band
 value are a bucket; every member of a bucket is compared (exactly, by its elements) with the
-bucket's first ``leaders`` members, which covers all pairs of small buckets.  Members of larger
-buckets that are in no leader's component are dealt again by the bucket and one further large
-bucket of theirs, with four times the leaders, until none is left.  Classes are the connected components of the verified links.
+bucket's first ``leaders`` members, which covers all pairs of small buckets.  A larger bucket
+whose members are in one component is done.  The members of all other large buckets are
+finished by an exact prefix-filter join: two texts that reach the similarity share one of their
+rarest elements, early enough in both texts' order from rare to common that what follows can
+still reach it.  Only pairs between different components are emitted; they are compared a few
+for each two components first, and what then lies in one component needs no comparing.
+Classes are the connected components of the verified links.
 
 With 20 bands of 5 rows a pair at similarity 0.8 shares a band with probability 0.9996 (more
-above).  Beyond that, a link can be missed only if every bucket that the two texts share is
-larger than ``leaders + 1``, in each of them one text joined a leader's component without the
-other, and no other text connects them.
+above).  A pair that shares a band is always compared, or found to be in one class without.
+Pairs between components are quadratic only for texts that share rare elements and lie in
+different classes all the same.
 
 Scale: texts are shuffled once (candidates only are shingled a second time); hot copies are
-collapsed by partial aggregation; buckets meet their leaders in a skew-splittable join;
+collapsed by partial aggregation; buckets meet their leaders, and rare elements their texts, in
+skew-splittable joins;
 components are found by label propagation in rounds stored in the shared checkpoint folder;
 nothing is collected, and all but the classes are deleted there at the end.
 
@@ -48,6 +53,7 @@ from .tables import Scratch, free_name, table
 from .words import GRAM, U, WordBlock, mix, signed, word_blocks
 
 WORDS, SIMILARITY, BANDS, ROWS, LEADERS = 5, 0.8, 20, 5, 4
+TAKE_ALL = 1024  # above so many pairs of two components, all that are left are compared
 STEP, PLACE, COORD, STRIP, COPY = (U(x) for x in (0x9E3779B97F4A7C15, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
@@ -194,33 +200,22 @@ def near_duplicates(
     reps = sketch.groupBy("key").agg(named, F.first("bands").alias("bands"))
     reps = keep(reps.select(F.monotonically_increasing_id().alias("rep"), "key", F.col("named.doc_id").alias("doc_id"), "bands"))
 
-    members = reps.select("rep", F.explode("bands").alias("bucket")).withColumn("used", F.array("bucket"))
-    elements = links = comps = None
-    while True:
-        heads = keep(_heads(members, leaders))
-        met = keep(members.join(heads, "bucket"))
-        if elements is None:
-            # pairs that share a small bucket are compared already: only large ones are dealt on
-            large_bands = met.where("large").select("rep", F.col("bucket").alias("band"))
-            wanted = met.select("rep").distinct().join(reps, "rep").select("rep", F.col("key").alias("k"), F.col("doc_id").alias("d"))
-            texts = base.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-            elements = texts.select("rep", "text").mapInArrow(_elements(words), "rep long, elements array<int>")
-            elements = keep(elements.groupBy("rep").agg(F.first("elements").alias("elements")))
-        pairs = met.select(F.col("rep").alias("a"), F.explode("leaders").alias("b")).where("b < a").distinct()
-        if links is not None:
-            pairs = pairs.join(links, ["a", "b"], "left_anti")
-        verified = keep(_verify(pairs, elements, similarity))
-        links = verified if links is None else links.unionByName(verified)
+    members = reps.select("rep", F.explode("bands").alias("bucket"))
+    met = keep(members.join(keep(_heads(members, leaders)), "bucket"))
+    wanted = met.select("rep").distinct().join(reps, "rep").select("rep", F.col("key").alias("k"), F.col("doc_id").alias("d"))
+    texts = base.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    elements = texts.select("rep", "text").mapInArrow(_elements(words), "rep long, elements array<int>")
+    elements = keep(elements.groupBy("rep").agg(F.first("elements").alias("elements")))
+    pairs = met.select(F.col("rep").alias("a"), F.explode("leaders").alias("b")).where("b < a").distinct()
+    links = keep(_verify(pairs, elements, similarity))
+    comps = components(links, keep)
+    apart = keep(_apart(met, comps))
+    if not apart.isEmpty():
+        links = links.unionByName(_close(keep(_candidates(apart, elements, similarity, keep)), elements, similarity, leaders, keep))
         comps = components(links, keep)
-        left = keep(_apart(met, heads, comps))
-        if left.isEmpty():
-            classes = result.keep(_classes(sketch, reps, comps))
-            scratch.drop()
-            return classes
-        leaders *= 4
-        deal = left.join(large_bands, "rep").where(~F.array_contains("used", F.col("band")))
-        deal = deal.select("rep", F.array_sort(F.array_append("used", F.col("band"))).alias("used")).distinct()
-        members = deal.select("rep", F.xxhash64("used").alias("bucket"), "used")
+    classes = result.keep(_classes(sketch, reps, comps))
+    scratch.drop()
+    return classes
 
 
 def _heads(members: DataFrame, leaders: int) -> DataFrame:
@@ -232,14 +227,70 @@ def _heads(members: DataFrame, leaders: int) -> DataFrame:
     return heads.select("bucket", F.slice("first", 1, leaders).alias("leaders"), (F.size("first") > leaders + 1).alias("large"))
 
 
-def _apart(met: DataFrame, heads: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of large buckets that are in no leader's component."""
-    named = comps.select(F.col("v").alias("leader"), F.col("comp"))
-    of_leaders = heads.where("large").select("bucket", F.explode("leaders").alias("leader")).join(named, "leader", "left")
-    of_leaders = of_leaders.groupBy("bucket").agg(F.collect_set(F.coalesce("comp", "leader")).alias("taken"))
-    rest = met.where("large").select("rep", "bucket", "used").join(comps.withColumnRenamed("v", "rep"), "rep", "left")
-    rest = rest.join(of_leaders, "bucket").where(~F.array_contains("taken", F.coalesce("comp", "rep")))
-    return rest.select("rep", "used")
+def _apart(met: DataFrame, comps: DataFrame) -> DataFrame:
+    """(rep, comp) of all members of the large buckets that lie in more than one component."""
+    large = met.where("large").select("rep", "bucket").join(comps.withColumnRenamed("v", "rep"), "rep", "left")
+    large = large.withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = large.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    return large.join(mixed, "bucket").select("rep", "comp").distinct()
+
+
+def _candidates(apart: DataFrame, elements: DataFrame, similarity: float, keep) -> DataFrame:
+    """(a, b, ca, cb, bound): the pairs between components that can reach the similarity.
+
+    Elements are ordered by the number of texts that have them.  Texts that reach the similarity
+    share at least ``similarity`` of the larger one's elements, so one of the first others; from
+    the first shared one on (``left`` elements), enough must be left in both.
+    """
+    own = apart.join(elements, "rep")
+    rows = own.select("rep", F.explode("elements").alias("element"))
+    shared = rows.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
+    order = rows.join(shared, "element").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("order"))
+    size, rest = F.size("elements"), F.size("order")  # elements of one text come first
+    first = rest - F.ceil(size * similarity - 1e-9).cast("int") + 1
+    cut = own.join(order, "rep").withColumn("first", F.slice("order", F.lit(1), F.greatest(first, F.lit(0))))
+    early = cut.select("rep", "comp", size.alias("size"), rest.alias("rest"), F.posexplode("first").alias("at", "e"))
+    early = keep(early.select("rep", "comp", "size", (F.col("rest") - F.col("at")).alias("left"), F.col("e.element").alias("element")))
+    # of two texts in different components, one at least is not in the element's largest component
+    held = early.groupBy("element", "comp").count().groupBy("element")
+    held = held.agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    early = keep(early.join(held, "element"))
+    x, y = early.where("comp <> major").alias("x"), early.alias("y")
+    bound = F.least("x.left", "y.left") - (F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity))
+    can = (F.col("x.element") == F.col("y.element")) & (F.col("x.comp") != F.col("y.comp"))
+    can &= (F.col("y.comp") == F.col("y.major")) | (F.col("y.rep") < F.col("x.rep"))
+    can &= (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * similarity - 1e-6) & (bound >= -1e-6)
+    ends = [F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")]
+    between = [F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb")]
+    return x.join(y, can).select(*ends, *between, bound.alias("bound")).groupBy("a", "b", "ca", "cb").agg(F.max("bound").alias("bound"))
+
+
+def _close(pairs: DataFrame, elements: DataFrame, similarity: float, take: int, keep) -> DataFrame:
+    """The links among the pairs that are needed for their components.
+
+    Of every two components the ``take`` likeliest pairs are compared, then more, then all that
+    are left; pairs whose components have been united meanwhile are not compared.
+    """
+    found = None
+    w = Window.partitionBy("ca", "cb").orderBy(F.desc("bound"), "a", "b")
+    while True:
+        last = take > TAKE_ALL
+        now = pairs if last else keep(pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= take).drop("rn"))
+        verified = keep(_verify(now.select("a", "b"), elements, similarity))
+        found = verified if found is None else found.unionByName(verified)
+        if last:
+            return found
+        united = verified.join(now, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        united = components(united, keep)
+        pairs = pairs.join(now.select("a", "b"), ["a", "b"], "left_anti")
+        for c in ("ca", "cb"):
+            new = united.select(F.col("v").alias(c), F.col("comp").alias("new"))
+            pairs = pairs.join(new, c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+        between = [F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")]
+        pairs = keep(pairs.where("ca <> cb").select("a", "b", *between, "bound"))
+        if pairs.isEmpty():
+            return found
+        take *= 16
 
 
 def _verify(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:

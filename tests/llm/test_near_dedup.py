@@ -60,6 +60,34 @@ def test_large_group_of_copies_and_chains(spark, sf):
     assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == brute_classes(docs)
 
 
+def edited(words, rng, n, name):
+    """The words with n of them replaced, far from each other, by new ones."""
+    words, step = list(words), len(words) // n
+    for i in range(n):
+        words[i * step + rng.randrange(step - 5)] = f"{name}n{i}"
+    return words
+
+
+def test_links_between_members_that_lead_no_bucket(spark, sf):
+    """Second copies like one text of a large group only, and two groups that only such texts connect."""
+    rng = random.Random(11)
+    docs = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(400)]
+        texts = [edited(base, rng, 1, f"g{g}c{i}") for i in range(40)]
+        for i in range(40):
+            a = edited(base, rng, 3, f"g{g}a{i}")
+            b = edited(a, rng, 6, f"g{g}b{i}")
+            texts += [a, b]
+            if i == 0:
+                texts += [edited(b, rng, 1, f"g{g}d{j}") for j in range(40)]
+        docs += [(g * 1000 + i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(docs)
+    expected = brute_classes(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == expected
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     element = rng.integers(1, 2**63, 120).astype(np.uint64)
