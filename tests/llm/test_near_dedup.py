@@ -88,6 +88,21 @@ def test_links_between_members_that_lead_no_bucket(spark, sf):
     assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == expected
 
 
+def test_pairs_in_a_family_below_the_similarity(spark, sf):
+    """Near duplicates all of whose buckets are large and full of texts of other classes."""
+    rng = random.Random(12)
+    base, docs = [f"w{i}" for i in range(400)], []
+    for i in range(300):
+        a = edited(base, rng, 12, f"a{i}")
+        docs.append((i, " ".join(a)))
+        if i % 5 == 0:
+            docs.append((1000 + i, " ".join(edited(a, rng, 7, f"b{i}"))))
+    expected = brute_classes(docs)
+    assert len(set(expected.values())) == 300
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(df, bands=6, leaders=1).collect()} == expected
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     element = rng.integers(1, 2**63, 120).astype(np.uint64)
