@@ -6,14 +6,18 @@ over the vocabulary.  A document's score is the sum of its words' conditional lo
 probabilities, and its mean per word.
 
 The vocabulary is counted over the whole corpus: the ``TOP`` most frequent words have ids of
-their own, every other word one of ``RARE`` hashed ids.  Training is data parallel over the
+their own, every other word one of ``RARE`` hashed classes.  The network predicts the class;
+a word's probability is its class's times its share of the class's occurrences in the corpus
+(every word keeps its count), so log probabilities are those of words.  As contexts, words of
+one class are alike.  Training is data parallel over the
 whole corpus: in each of ``ROUNDS`` rounds every partition starts from the common weights,
 takes a fixed share (1 / ``STRIDE``) of the target positions of all its texts, runs Adam in
 numpy, and the weights are averaged by the number of targets, in a tree of groups of
 ``FAN_IN`` partitions.
 
 Scale: word counts are combined per batch before their shuffle; a weight vector is about
-80 KB, so the driver only ever holds one of them; scoring is one pass without a shuffle.
+80 KB, so the driver only ever holds one of them; scoring is one pass over the texts, whose
+distinct words outside the ``TOP`` then meet their counts in a join (hash and number, no texts).
 
 Defined cases: a null or empty text, or one without words, has 0 words, sum 0 and mean 0;
 an empty corpus gives no rows; repeated rows are scored row by row.
@@ -37,6 +41,7 @@ TOP, RARE, WIDTH, DIM = 224, 32, 2, 16
 SIZE = TOP + RARE
 ROUNDS, STRIDE, BATCH, RATE, FAN_IN, CHUNK = 2, 8, 2048, 0.01, 8, 8192
 OFFSETS = [o for o in range(-WIDTH, WIDTH + 1) if o]
+RARE_TYPE = pa.list_(pa.struct([("hash", pa.int64()), ("times", pa.int64())]))
 ALL_WORDS = 0  # the key under which the number of all words is counted
 
 
@@ -143,9 +148,18 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame) -> tuple[Network, np.ndarray, np.ndarray] | None:
-    """The network of a corpus (doc_id, text), with the top words' hashes (sorted) and ids."""
-    top = count_words(docs).orderBy(F.desc("n"), "hash").limit(TOP + 1).collect()
+def log_shares(counts: DataFrame, top: np.ndarray) -> DataFrame:
+    """(hash, log_share): of every word that has no id of its own, the log of its share in its class."""
+    known = [ALL_WORDS, *top.view(np.int64).tolist()]
+    rare = counts.where(~F.col("hash").isin(known)).withColumn("class", F.col("hash").bitwiseAND(RARE - 1))
+    classes = rare.groupBy("class").agg(F.sum("n").alias("total"))
+    return rare.join(F.broadcast(classes), "class").select("hash", F.log(F.col("n") / F.col("total")).alias("log_share"))
+
+
+def train(docs: DataFrame, counts: DataFrame) -> tuple[Network, np.ndarray, np.ndarray] | None:
+    """The network of a corpus (doc_id, text) and its word counts, with the top words' hashes
+    (sorted) and ids."""
+    top = counts.orderBy(F.desc("n"), "hash").limit(TOP + 1).collect()
     total = sum(r["n"] for r in top if r["hash"] == ALL_WORDS)
     if not total:
         return None
@@ -220,8 +234,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, n_words, log_prob (sum) and mean_log_prob of every text, by a network trained on
     all of them."""
     picked = id_text(docs, id_col, text_col)
-    schema = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, n_words long, log_prob double, mean_log_prob double"
-    trained = train(picked)
+    counts = freeze(count_words(picked))
+    trained = train(picked, counts)
     if trained is None:
         return picked.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_prob"), F.lit(0.0).alias("mean_log_prob"))
     net, top, top_ids = trained
@@ -230,18 +244,41 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(np.frombuffer(flat, np.float32))
         for batch in batches:
-            sums, counts = [], []
-            for b in word_blocks(batch.column(1)):
-                ids = word_ids(b.hashes, top, top_ids)
-                log_p = own.log_probs(contexts(b, ids), ids)
-                sums.append(np.bincount(b.word_row(), log_p, b.rows))
-                counts.append(b.counts())
-            s, n = (np.concatenate(x) if x else np.zeros(0) for x in (sums, counts))
-            means = np.divide(s, n, out=np.zeros(len(s)), where=n > 0)
-            arrays = [batch.column(0), pa.array(n.astype(np.int64)), pa.array(np.round(s, 4)), pa.array(np.round(means, 6))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return picked.mapInArrow(run, schema)
+            sums, sizes, rare = [], [], []
+            for b in word_blocks(batch.column(2)):
+                ids, row = word_ids(b.hashes, top, top_ids), b.word_row()
+                sums.append(np.bincount(row, own.log_probs(contexts(b, ids), ids), b.rows))
+                sizes.append(b.counts())
+                rare.append(_rare_words(row[ids >= TOP], b.hashes[ids >= TOP], b.rows))
+            s, n = (np.concatenate(x) if x else np.zeros(0) for x in (sums, sizes))
+            lists = pa.concat_arrays(rare) if rare else pa.array([], RARE_TYPE)
+            arrays = [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(s, pa.float64()), lists]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n_words", "class_log_prob", "rare"])
+
+    numbered = picked.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    id_type = picked.schema["doc_id"].dataType.simpleString()
+    scored = freeze(
+        numbered.mapInArrow(run, f"doc_id {id_type}, row long, n_words long, class_log_prob double, rare array<struct<hash: long, times: long>>")
+    )
+    words = scored.select("row", F.explode("rare").alias("w")).select("row", "w.hash", "w.times")
+    within = words.join(log_shares(counts, top), "hash").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("within"))
+    total = F.col("class_log_prob") + F.coalesce("within", F.lit(0.0))
+    mean = F.when(F.col("n_words") > 0, total / F.col("n_words")).otherwise(0.0)
+    joined = scored.drop("rare").join(within, "row", "left")
+    return joined.select("doc_id", "n_words", F.round(total, 4).alias("log_prob"), F.round(mean, 6).alias("mean_log_prob"))
+
+
+def _rare_words(row: np.ndarray, h: np.ndarray, rows: int) -> pa.Array:
+    """Per row: its distinct words and how often each occurs."""
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(h)))
+    pairs = pa.StructArray.from_arrays([pa.array(signed(h[first]), pa.int64()), pa.array(times, pa.int64())], fields=list(RARE_TYPE.value_type))
+    at = np.searchsorted(row[first], np.arange(rows + 1))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pairs).cast(RARE_TYPE)
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

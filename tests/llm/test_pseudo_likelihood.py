@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 
 from panelcraft.llm import pseudo_likelihood as pl
+from panelcraft.llm.words import word_blocks
 
 
 def test_training_beats_word_frequencies(spark, monkeypatch):
@@ -30,6 +32,18 @@ def test_gradient_matches_differences():
         assert abs((up - down) / 0.1 - g[i]) < 2e-3
 
 
+def test_words_of_one_class_have_their_own_probabilities(spark):
+    """Two texts that differ in one rare word each, of one class, differ by the words' counts."""
+    names = [f"r{i}" for i in range(400)]
+    classes = next(word_blocks(pa.array([" ".join(names)]))).hashes % np.uint64(pl.RARE)
+    often, seldom = [n for n, c in zip(names, classes, strict=True) if c == classes[0]][:2]
+    frequent = " ".join(f"f{i}" for i in range(pl.TOP))
+    docs = [(i, frequent) for i in range(30)] + [(100, f"f1 f2 {often} f3 f4"), (101, f"f1 f2 {seldom} f3 f4")]
+    docs += [(200 + i, often) for i in range(19)]
+    got = {r.doc_id: r.log_prob for r in pl.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert abs(got[100] - got[101] - np.log(20)) < 1e-3
+
+
 def test_odd_documents(odd, empty):
     rows = {r.doc_id: r for r in pl.score(odd).collect()}
     assert pl.score(odd).count() == odd.count()
