@@ -11,8 +11,8 @@ a word's probability is its class's times its share of the class's occurrences i
 (every word keeps its count), so log probabilities are those of words.  As contexts, words of
 one class are alike.  Training is data parallel over the
 whole corpus: in each of ``ROUNDS`` rounds every partition starts from the common weights,
-takes a fixed share (1 / ``STRIDE``) of the target positions of all its texts, runs Adam in
-numpy, and the weights are averaged by the number of targets, in a tree of groups of
+takes every ``ROUNDS``-th target position of its texts, another one each round, so that all
+positions are learnt from once, runs Adam in numpy, and the weights are averaged by the number of targets, in a tree of groups of
 ``FAN_IN`` partitions.
 
 Scale: word counts are combined per batch before their shuffle; a weight vector is about
@@ -39,7 +39,7 @@ from .words import U, WordBlock, signed, word_blocks
 
 TOP, RARE, WIDTH, DIM = 224, 32, 2, 16
 SIZE = TOP + RARE
-ROUNDS, STRIDE, BATCH, RATE, FAN_IN, CHUNK = 2, 8, 2048, 0.01, 8, 8192
+ROUNDS, BATCH, RATE, FAN_IN, CHUNK = 2, 2048, 0.01, 8, 8192
 OFFSETS = [o for o in range(-WIDTH, WIDTH + 1) if o]
 RARE_TYPE = pa.list_(pa.struct([("hash", pa.int64()), ("times", pa.int64())]))
 ALL_WORDS = 0  # the key under which the number of all words is counted
@@ -198,7 +198,7 @@ def _local(docs: DataFrame, net: Network, top: np.ndarray, top_ids: np.ndarray,
         for batch in batches:
             for b in word_blocks(batch.column(0)):
                 ids = word_ids(b.hashes, top, top_ids)
-                pick = np.arange(round_ * STRIDE // ROUNDS, len(ids), STRIDE)
+                pick = np.arange(round_, len(ids), ROUNDS)
                 kept.append((contexts(b, ids)[:, pick], ids[pick]))
                 n += learn(32 * BATCH)
         n += learn(1)

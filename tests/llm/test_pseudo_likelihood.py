@@ -44,6 +44,13 @@ def test_words_of_one_class_have_their_own_probabilities(spark):
     assert abs(got[100] - got[101] - np.log(20)) < 1e-3
 
 
+def test_every_position_is_learnt_from(spark):
+    df = spark.createDataFrame([(i, "a b c") for i in range(40)] + [(99, "a b c d e f g " * 30)], "doc_id long, text string").repartition(3)
+    net, none = pl.Network.start(np.full(pl.SIZE, 1 / pl.SIZE, np.float32)), np.zeros(0, np.uint64)
+    learnt = [r.n for k in range(pl.ROUNDS) for r in pl._local(df, net, none, none.astype(np.int64), k).collect()]
+    assert sum(learnt) == 40 * 3 + 30 * 7
+
+
 def test_odd_documents(odd, empty):
     rows = {r.doc_id: r for r in pl.score(odd).collect()}
     assert pl.score(odd).count() == odd.count()
