@@ -36,4 +36,23 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length('### : </turn>') + 1 + {MARKED.format('role')} + {MARKED.format('text')})::BIGINT AS formatted_chars
 FROM said GROUP BY conv_id"""
 
-ORACLE = {"op3_decontaminate": DECONTAMINATE, "op9_chat_tree": CHAT}
+COLLOCATIONS = f"""WITH docs AS (SELECT coalesce(lang, 'und') AS lang, {LOWER} AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^ \\t]+') AS w FROM docs, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) u(p)),
+grams AS (
+  SELECT lang, w[i : i + k - 1] AS g, count(*) AS f
+  FROM pieces, unnest([1, 2, 3]) s(k), unnest(range(1, len(w) - k + 2)) v(i) GROUP BY lang, g),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE len(g) = 1 GROUP BY lang),
+cand AS (SELECT lang, g, f AS a FROM grams WHERE len(g) > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM cand c, unnest(range(1, len(c.g))) s(k)
+  JOIN grams x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN grams y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+covered AS (
+  SELECT DISTINCT c.lang, c.g FROM cand t, unnest([1, 2]) s(i), cand c
+  WHERE len(t.g) = 3 AND c.lang = t.lang AND c.g = t.g[i : i + 1] AND 100 * t.a >= 50 * c.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+  array_to_string(g, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+FROM lowest ANTI JOIN covered USING (lang, g) JOIN sizes USING (lang) QUALIFY rank <= 2000"""
+
+ORACLE = {"op3_decontaminate": DECONTAMINATE, "op9_chat_tree": CHAT, "op12_collocations": COLLOCATIONS}

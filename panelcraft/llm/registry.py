@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op9_chat_tree
+from .collocations import op12_collocations
 from .decontaminate import op3_decontaminate
 from .fingerprints import op6_fingerprints
 from .licenses import op8_licenses
@@ -31,6 +32,7 @@ QUERIES = [
     op8_licenses,
     op9_chat_tree,
     op10_toxicity,
+    op12_collocations,
 ]
 
 
