@@ -55,4 +55,21 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, a
   array_to_string(g, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
 FROM lowest ANTI JOIN covered USING (lang, g) JOIN sizes USING (lang) QUALIFY rank <= 2000"""
 
-ORACLE = {"op3_decontaminate": DECONTAMINATE, "op9_chat_tree": CHAT, "op12_collocations": COLLOCATIONS}
+HARD_NEGATIVES = """WITH whole AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = o.label AS same, o.vec_id, list_dot_product(a.v, o.v)::BIGINT AS score
+  FROM whole a JOIN whole o ON a.vec_id <> o.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+ORACLE = {"op11_hard_negatives": HARD_NEGATIVES, "op3_decontaminate": DECONTAMINATE, "op9_chat_tree": CHAT, "op12_collocations": COLLOCATIONS}

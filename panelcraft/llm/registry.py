@@ -11,6 +11,7 @@ from .chat import op9_chat_tree
 from .collocations import op12_collocations
 from .decontaminate import op3_decontaminate
 from .fingerprints import op6_fingerprints
+from .hard_negatives import op11_hard_negatives
 from .licenses import op8_licenses
 from .near_dedup import op1_dart_minhash
 from .oracle import ORACLE
@@ -32,6 +33,7 @@ QUERIES = [
     op8_licenses,
     op9_chat_tree,
     op10_toxicity,
+    op11_hard_negatives,
     op12_collocations,
 ]
 
