@@ -12,6 +12,7 @@ from .collocations import op12_collocations
 from .decontaminate import op3_decontaminate
 from .fingerprints import op6_fingerprints
 from .hard_negatives import op11_hard_negatives
+from .language_id import op13_language_id
 from .licenses import op8_licenses
 from .near_dedup import op1_dart_minhash
 from .oracle import ORACLE
@@ -35,6 +36,7 @@ QUERIES = [
     op10_toxicity,
     op11_hard_negatives,
     op12_collocations,
+    op13_language_id,
 ]
 
 
