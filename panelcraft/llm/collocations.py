@@ -1,12 +1,12 @@
 """Phrase collocations of two and three words by the stripes pattern.
 
-Method: every prefix (one word, then two) keys a stripe, an associative counter of the words
-that follow it.  Tasks combine their stripes before the shuffle, the shuffle brings the stripes
-of a prefix together, and they are merged element by element.  What follows a prefix without
+Method: every prefix (none, one word, two words) keys a stripe, an associative counter of the
+words that follow it.  Tasks combine their stripes before the shuffle, the shuffle brings the
+stripes of a prefix together, and they are merged element by element.  What follows a pair without
 being countable (the end of a piece, a word too rare for any candidate) is counted in one slot
-of the stripe, so its sum is the exact count of the prefix.  Extensions (the entries), prefix
-totals (the sums) and the counts that subsume a phrase (the greatest entries) all come from
-these stripes.
+of its stripe, so the sum of a stripe is the exact count of the pair.  Extensions (the entries),
+prefix totals (entries of the shorter prefix, or sums) and the counts that subsume a phrase (the
+greatest entries) all come from these stripes.
 
 Only prefixes that can matter have stripes: a phrase is as rare as its rarest part at least, so
 a first pass counts words, and a word, then a pair of words, below ``min_count`` opens no stripe.
@@ -37,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ from .tables import Scratch, table
 from .words import BLOCK_BYTES, U, _powers, mix, signed, text_bytes
 
 MIN_COUNT, SUBSUMED_PCT, TOP = 10, 50, 2000
-BITMAP_BITS, HOT_SHARE, SEGMENTS, FLUSH = 27, 1000, 64, 1_500_000
+BITMAP_BITS, HOT_SHARE, SEGMENTS, FLUSH = 27, 1000, 64, 1_000_000
 OTHER = 0  # the slot of a stripe for what cannot be part of a candidate
 PAIR = U(0xA24BAED4963EE407)
 
@@ -246,38 +247,27 @@ def _stripes(keys: list[np.ndarray], counts: np.ndarray, hot: np.ndarray) -> tup
     return [p[order[first]] for p in prefix], seg[order[first]], *lists
 
 
-STRIPE = "p1 long, p2 long, seg int, lang string, word string, next array<long>, n array<long>"
+STRIPE = "p1 long, p2 long, seg int, lang string, phrase string, next array<long>, n array<long>"
+NAMES = ["p1", "p2", "seg", "lang", "phrase", "next", "n"]
 
 
 def word_stripes(docs: DataFrame, seed: int, frequent, hot: np.ndarray) -> DataFrame:
-    """Stripes of one-word prefixes, with the word and its language, each task's own."""
+    """Stripes of one-word prefixes, each task's own; they have the frequent next words only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, named = frequent.value, Combiner(2), {}
+        known, held = frequent.value, Combiner(2)
 
         def out() -> pa.RecordBatch:
-            keys, counts = held.take()
-            (p,), seg, following, n = _stripes(keys, counts, hot)
-            names = [named[x] for x in p.tolist()]
-            named.clear()
-            cols = [pa.array(signed(p)), pa.array(np.zeros(len(p), np.int64)), pa.array(seg, pa.int32())]
-            cols += [pa.array([x[i] for x in names], pa.string()) for i in (0, 1)]
-            return pa.RecordBatch.from_arrays([*cols, following, n], names=["p1", "p2", "seg", "lang", "word", "next", "n"])
+            (p,), seg, following, n = _stripes(*held.take(), hot)
+            none = pa.nulls(len(p), pa.string())
+            cols = [pa.array(signed(p)), pa.array(np.zeros(len(p), np.int64)), pa.array(seg, pa.int32()), none, none, following, n]
+            return pa.RecordBatch.from_arrays(cols, names=NAMES)
 
         for batch in batches:
-            for b, langs in _blocks(batch, seed):
+            for b, _ in _blocks(batch, seed):
                 use = known.has(b.ids)
-                following = np.full(len(b.ids), OTHER, U)
-                pair = np.flatnonzero(b.joined[:-1] & use[1:])
-                following[pair] = b.ids[pair + 1]
-                at = np.flatnonzero(use)
-                ids, first = np.unique(b.ids[at], return_index=True)
-                new = np.array([i for i, x in enumerate(ids.tolist()) if x not in named], np.int64)
-                spots = at[first[new]]
-                for x, row, text in zip(ids[new].tolist(), b.row[spots].tolist(), b.texts(spots).to_pylist(), strict=True):
-                    named[x] = (langs[row], text)
-                keys, n = _summed([b.ids[at], following[at]], _ones(len(at)))
-                if held.add(keys, n):
+                at = np.flatnonzero(b.joined[:-1] & use[:-1] & use[1:])
+                if held.add(*_summed([b.ids[at], b.ids[at + 1]], _ones(len(at)))):
                     yield out()
         yield out()
 
@@ -285,29 +275,45 @@ def word_stripes(docs: DataFrame, seed: int, frequent, hot: np.ndarray) -> DataF
 
 
 def pair_stripes(docs: DataFrame, seed: int, frequent, hot: np.ndarray) -> DataFrame:
-    """Stripes of two-word prefixes, each task's own."""
+    """Stripes of two-word prefixes with the prefix's words and language, each task's own; the
+    slot ``OTHER`` counts the prefix's occurrences that no frequent pair goes on from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = frequent.value, Combiner(3)
+        known, held, named = frequent.value, Combiner(3), []
 
         def out() -> pa.RecordBatch:
-            keys, counts = held.take()
-            (p1, p2), seg, following, n = _stripes(keys, counts, hot)
-            none = pa.nulls(len(p1), pa.string())
-            cols = [pa.array(signed(p1)), pa.array(signed(p2)), pa.array(seg, pa.int32()), none, none, following, n]
-            return pa.RecordBatch.from_arrays(cols, names=["p1", "p2", "seg", "lang", "word", "next", "n"])
+            (p1, p2), seg, following, n = _stripes(*held.take(), hot)
+            if len(p1):
+                n1, n2 = (np.concatenate([x[i] for x in named]) for i in (0, 1))
+                order, first = _runs(n1, n2)
+                new = np.ones(len(p1), bool)
+                new[1:] = (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])
+                pick = pa.array(order[first][np.cumsum(new) - 1])
+                names = [pa.concat_arrays([x[i] for x in named]).take(pick) for i in (2, 3)]
+            else:
+                names = [pa.nulls(0, pa.string())] * 2
+            named.clear()
+            cols = [pa.array(signed(p1)), pa.array(signed(p2)), pa.array(seg, pa.int32()), *names, following, n]
+            return pa.RecordBatch.from_arrays(cols, names=NAMES)
 
         for batch in batches:
-            for b, _ in _blocks(batch, seed):
+            for b, langs in _blocks(batch, seed):
                 use = np.zeros(len(b.ids), bool)  # words i, i + 1 are a frequent pair
                 pair = np.flatnonzero(b.joined)
                 use[pair] = known.has(pair_hash(b.ids[pair], b.ids[pair + 1]))
                 at = np.flatnonzero(use)
+                if not len(at):
+                    continue
                 following = np.full(len(at), OTHER, U)
                 longer = use[np.minimum(at + 1, len(use) - 1)] & (at + 2 < len(use))
                 following[longer] = b.ids[at[longer] + 2]
-                keys, n = _summed([b.ids[at], b.ids[np.minimum(at + 1, len(use) - 1)], following], _ones(len(at)))
-                if held.add(keys, n):
+                p1, p2 = b.ids[at], b.ids[at + 1]
+                order, first = _runs(p1, p2)
+                spots = at[order[first]]
+                texts = [b.texts(spots + i).cast(pa.string()) for i in (0, 1)]
+                lang = pa.array(langs, pa.string()).take(pa.array(b.row[spots]))
+                named.append((b.ids[spots], b.ids[spots + 1], lang, pc.binary_join_element_wise(*texts, " ")))
+                if held.add(*_summed([p1, p2, following], _ones(len(at)))):
                     yield out()
         yield out()
 
@@ -349,7 +355,7 @@ def merge_stripes(stripes: DataFrame, min_count: int) -> DataFrame:
             yield _merged(left[0], left[1], np.zeros(len(left[2]), np.int64), left[2], left[3], min_count)
 
     dealt = stripes.repartition("p1", "p2", "seg").sortWithinPartitions("p1", "p2", "seg")
-    return dealt.mapInArrow(run, "p1 long, p2 long, lang string, word string, total long, next array<long>, n array<long>")
+    return dealt.mapInArrow(run, "p1 long, p2 long, lang string, phrase string, total long, next array<long>, n array<long>")
 
 
 def _merged(head: list, names: list, group: np.ndarray, following: np.ndarray, n: np.ndarray, min_count: int) -> pa.RecordBatch:
@@ -358,7 +364,7 @@ def _merged(head: list, names: list, group: np.ndarray, following: np.ndarray, n
     keep = (n >= min_count) & (following != OTHER)
     offsets = pa.array(np.searchsorted(group[keep], np.arange(rows + 1)), pa.int32())
     lists = [pa.ListArray.from_arrays(offsets, pa.array(x[keep])) for x in (following, n)]
-    return pa.RecordBatch.from_arrays([pa.array(head[0]), pa.array(head[1]), *names, pa.array(total), *lists], names=["p1", "p2", "lang", "word", "total", "next", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(head[0]), pa.array(head[1]), *names, pa.array(total), *lists], names=["p1", "p2", "lang", "phrase", "total", "next", "n"])
 
 
 def _entries(stripes: DataFrame, third: str) -> DataFrame:
@@ -392,35 +398,35 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, subsumed_pct: int
     hot = unsigned([r.id for r in words.where(F.col("n") >= hot_from).select("id").collect()])
     singles = store.keep(merge_stripes(word_stripes(docs, seed, frequent, hot), min_count))
 
-    # singles: total = count of the word; entries = the frequent pairs
+    # the entries of one-word stripes are the frequent pairs
     pairs = store.keep(_entries(singles, "w2").select(F.col("p1").alias("w1"), "w2", "a"))
     hashed = pairs.mapInArrow(_hash_pairs, "h long, a long")
     known = spark.sparkContext.broadcast(Bitmap(hashed))
     hot = unsigned([r.h for r in hashed.where(F.col("a") >= hot_from).collect()])
     doubles = store.keep(merge_stripes(pair_stripes(docs, seed, known, hot), min_count))
 
-    named = singles.groupBy(F.col("p1").alias("id")).agg(F.sum("total").alias("f"), F.first("lang").alias("lang"), F.first("word").alias("word"))
-    named = store.keep(named.where(F.col("f") >= min_count))
     triples = _entries(doubles, "w3").select(F.col("p1").alias("w1"), F.col("p2").alias("w2"), "w3", "a")
-    totals = doubles.groupBy(F.col("p1").alias("w1"), F.col("p2").alias("w2")).agg(F.sum("total").alias("a"), F.max(F.array_max("n")).alias("longer"))
-    totals = totals.where(F.col("a") >= min_count)
+    totals = doubles.groupBy(F.col("p1").alias("w1"), F.col("p2").alias("w2")).agg(
+        F.sum("total").alias("a"), F.first("lang").alias("lang"), F.first("phrase").alias("phrase"), F.max(F.array_max("n")).alias("longer")
+    )
+    totals = store.keep(totals.where(F.col("a") >= min_count))
 
-    word = lambda n, *cols: named.select(F.col("id").alias(f"w{n}"), F.col("f").alias(f"f{n}"), F.col("word").alias(f"t{n}"), *cols)
+    word = lambda n: words.where(F.col("n") >= min_count).select(F.col("id").alias(f"w{n}"), F.col("n").alias(f"f{n}"))
     # a pair is dropped for a triple that begins with it (its own stripe) or ends with it
     ending = triples.groupBy(F.col("w2").alias("w1"), F.col("w3").alias("w2")).agg(F.max("a").alias("before"))
     pair = totals.join(ending, ["w1", "w2"], "left")
     longest = F.greatest(F.coalesce("longer", F.lit(0)), F.coalesce("before", F.lit(0)))
     pair = pair.where(~((longest >= min_count) & (longest * 100 >= F.col("a") * subsumed_pct)))
-    pair = pair.join(word(1, "lang"), "w1").join(word(2), "w2")
-    two = pair.select("lang", F.concat_ws(" ", "t1", "t2").alias("phrase"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), _score("a", "f1", "f2").alias("score"))
+    pair = pair.join(word(1), "w1").join(word(2), "w2")
+    two = pair.select("lang", "phrase", "a", F.col("f1").alias("l"), F.col("f2").alias("r"), _score("a", "f1", "f2").alias("score"))
 
-    parts = totals.select("w1", "w2", F.col("a").alias("f12"))
-    triple = triples.join(parts, ["w1", "w2"]).join(parts.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("f12").alias("f23")), ["w2", "w3"])
-    triple = triple.join(word(1, "lang"), "w1").join(word(3), "w3").join(named.select(F.col("id").alias("w2"), F.col("word").alias("t2")), "w2")
+    begin = totals.select("w1", "w2", F.col("a").alias("f12"), "lang", F.col("phrase").alias("t12"))
+    end = totals.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("f23"), F.substring_index("phrase", " ", -1).alias("t3"))
+    triple = triples.join(begin, ["w1", "w2"]).join(end, ["w2", "w3"]).join(word(1), "w1").join(word(3), "w3")
     cuts = triple.withColumns({"s1": _score("a", "f1", "f23"), "s2": _score("a", "f12", "f3")})
     lower = F.col("s2") < F.col("s1")
     three = cuts.select(
-        "lang", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), "a", F.when(lower, F.col("f12")).otherwise(F.col("f1")).alias("l"),
+        "lang", F.concat_ws(" ", "t12", "t3").alias("phrase"), "a", F.when(lower, F.col("f12")).otherwise(F.col("f1")).alias("l"),
         F.when(lower, F.col("f3")).otherwise(F.col("f23")).alias("r"), F.least("s1", "s2").alias("score"),
     )
     best = store.keep(two.unionByName(three))
