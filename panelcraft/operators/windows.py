@@ -18,7 +18,7 @@ def rank_latest(df: DataFrame, key: str, order: list, out: str = "rn_desc") -> D
     A group may be arbitrarily large, so the numbering is spread over tasks
     (``number_within``) instead of a one-task-per-group window.
     """
-    return number_within(df, [key], _cols(order), rn=out, size="_n").drop("_n")
+    return number_within(df, [key], order, rn=out, size=None)
 
 
 def number_duplicates(df: DataFrame, key: str, order: list, limit: int, out: str = "rn") -> DataFrame:

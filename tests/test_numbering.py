@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelcraft.operators import equal_freq_band, exact_percentiles, global_ntile, number_within
+from panelcraft.operators import bands, equal_freq_band, exact_percentiles, global_ntile, number_within
+from panelcraft.operators.numbering import pieces
+from panelcraft.operators.ordering import sort_keys
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +97,62 @@ def test_percentiles_with_ties_are_even(spark):
     assert max(sizes) <= 2 * sum(sizes) / len(sizes)
     ours = exact_percentiles(df, "v", {"p": 0.95}).first().p
     assert ours == df.agg(F.round(F.percentile("v", 0.95), 6).alias("p")).first().p
+
+
+def test_hot_groups_are_cut_into_pieces(spark):
+    # group 1 holds two thirds of the rows, others are small; nulls and ties in the first key
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 3 > 0, F.lit(1)).otherwise(F.col("id") % 50 + 2).alias("g"),
+        F.when(F.col("id") % 11 == 0, None).otherwise((F.col("id") * 7919) % 40).alias("v"), "id",
+    )
+    _, cut = pieces(df, ["g"], ["-v", "id"])
+    assert len(cut) == 1 and len(cut[0]) > 30
+    for order in (["-v", "id"], ["v", "-id"]):
+        got = number_within(df, ["g"], order, rn="rn", size="n")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan and "Join" not in plan  # no store, no join back
+        w = Window.partitionBy("g").orderBy(*[k.column for k in sort_keys(order)])
+        want = df.select("id", F.row_number().over(w).alias("rn"), F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n"))
+        assert sorted(map(tuple, got.select("id", "rn", "n").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pieces_of_a_hot_group_are_even(spark):
+    df = spark.range(20000).select((F.col("id") % 2).alias("g"), F.expr("timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, 0, 0, cast(id % 5000 as int))").alias("t"), "id")
+    piece, cut = pieces(df, ["g"], ["t", "id"])
+    sizes = [r["count"] for r in df.groupBy(piece.alias("p")).count().collect()]
+    assert len(sizes) == sum(map(len, cut)) and max(sizes) < 4 * 20000 / len(sizes)
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_exact_selection_narrows_large_groups(spark, skewed, monkeypatch, by, n):
+    monkeypatch.setattr(bands, "FINISH", 20)  # groups of more rows are bracketed
+    monkeypatch.setattr(bands, "SHARE", 100_000)
+    monkeypatch.setattr(bands, "BRACKETS", 30)
+    order = ["-v", "id"]
+    got = equal_freq_band(skewed, by, order, n, out="b")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange range" not in plan and "Sort " not in plan
+    want = equal_freq_band(skewed, by, order, n, out="b", distributed=False)
+    assert sorted(map(tuple, got.select("id", "b").collect())) == sorted(map(tuple, want.select("id", "b").collect()))
+
+
+def test_bands_with_equal_keys_only(spark, monkeypatch):
+    """Rows that the order cannot tell apart stay together, and nothing loops for ever."""
+    monkeypatch.setattr(bands, "FINISH", 20)
+    monkeypatch.setattr(bands, "SHARE", 100_000)
+    df = spark.createDataFrame([(1,)] * 100, "v long")
+    assert {r.b for r in equal_freq_band(df, [], ["v"], 2, out="b").collect()} == {2}
+
+
+def test_bands_with_too_many_groups_are_numbered(spark, skewed, monkeypatch):
+    monkeypatch.setattr(bands, "MAX_GROUPS", 5)
+    order = [F.col("v").asc_nulls_first(), F.col("id").asc()]
+    got, want = (equal_freq_band(skewed, ["g"], order, 4, out="b", distributed=x).select("id", "b").collect() for x in (True, False))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_orders_must_be_plain_columns():
+    assert [k.descending for k in sort_keys(["-a", "b", F.col("c").desc()])] == [True, False, True]
+    with pytest.raises(ValueError):
+        sort_keys([F.abs("a").desc()])

@@ -59,7 +59,7 @@ def test_anchor_snapshot_keeps_every_crawl_of_the_day(spark):
         (3, dt.date(2001, 12, 30), None),
     ]
     # optional partition pruning gives the same rows
-    pruned = anchor_snapshot(sampled, treated, daily, p, pt_slack_days=1).collect()
+    pruned = anchor_snapshot(sampled, treated, daily, p.with_(pt_slack_days=1)).collect()
     assert sorted((r.item_id, r.anchor_date, r.anchor_price) for r in pruned) == got
 
 
