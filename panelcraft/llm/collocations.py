@@ -2,11 +2,9 @@
 
 Method: every prefix (none, one word, two words) keys a stripe, an associative counter of the
 words that follow it.  Tasks combine their stripes before the shuffle, the shuffle brings the
-stripes of a prefix together, and they are merged element by element.  What follows a pair without
-being countable (the end of a piece, a word too rare for any candidate) is counted in one slot
-of its stripe, so the sum of a stripe is the exact count of the pair.  Extensions (the entries),
-prefix totals (entries of the shorter prefix, or sums) and the counts that subsume a phrase (the
-greatest entries) all come from these stripes.
+stripes of a prefix together, and they are merged element by element.  Extensions (the entries),
+prefix totals (the prefix's own entry in the stripe of the shorter prefix) and the counts that
+subsume a phrase (the greatest entries) all come from these stripes.
 
 Only prefixes that can matter have stripes: a phrase is as rare as its rarest part at least, so
 a first pass counts words, and a word, then a pair of words, below ``min_count`` opens no stripe.
@@ -17,7 +15,8 @@ Exactness: words are 64-bit ids per language; the first pass also carries a seco
 word, and if two words ever share an id, all is done again with another seed.  Scores are
 computed in decimals of 38 digits.
 
-Scale: three passes over the texts, none of which shuffles them; a prefix with a thousandth of
+Scale: four passes over the texts (words, pairs, triples, and the spelling of the words that the
+first phrases need), none of which shuffles them; a prefix with a thousandth of
 all words or more (at most a thousand of them) has its stripe dealt over ``SEGMENTS`` tasks by the
 next word; the ranking is numbered across tasks.  Nothing but the bitmaps and the at most 1000 hot
 prefixes reaches the driver.
@@ -37,7 +36,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +45,9 @@ from .words import BLOCK_BYTES, U, _powers, mix, signed, text_bytes
 
 MIN_COUNT, SUBSUMED_PCT, TOP = 10, 50, 2000
 BITMAP_BITS, HOT_SHARE, SEGMENTS, FLUSH = 27, 1000, 64, 1_000_000
-OTHER = 0  # the slot of a stripe for what cannot be part of a candidate
+NONE = 0  # no word: the second word of a one-word prefix
 PAIR = U(0xA24BAED4963EE407)
+LANG = U(0xFFFFFFFF)
 
 
 def _kinds() -> np.ndarray:
@@ -73,7 +72,7 @@ class Spelled:
     ends: np.ndarray
     row: np.ndarray  # the block's row of every word
     ids: np.ndarray  # uint64, per language
-    check: np.ndarray  # second hash, empty unless asked for
+    check: np.ndarray  # second hash and the language's code, empty unless asked for
     joined: np.ndarray  # whether the next word stands in the same piece
 
     def texts(self, at: np.ndarray) -> pa.Array:
@@ -112,8 +111,10 @@ def spell(raw: np.ndarray, offsets: np.ndarray, langs: np.ndarray, seed: int, ch
     ends = np.flatnonzero(inside & (after | cut[1:])) + 1
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
     ids = mix(_hashes(low, starts, ends, 2 * seed) + langs[row])
-    ids[ids == OTHER] = U(1)
-    check = mix(_hashes(low, starts, ends, 2 * seed + 1) + langs[row]) if checked else np.zeros(0, U)
+    ids[ids == NONE] = U(1)
+    check = np.zeros(0, U)
+    if checked:  # half a second hash, half the language
+        check = (_hashes(low, starts, ends, 2 * seed + 1) & ~LANG) | (langs[row] & LANG)
     piece = np.cumsum(kind == 2, dtype=np.int64)[starts] if n else np.zeros(0, np.int64)
     joined = np.zeros(len(starts), bool)
     joined[:-1] = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
@@ -180,7 +181,7 @@ def _ones(n: int) -> np.ndarray:
 
 def count_words(docs: DataFrame, seed: int) -> DataFrame:
     """(id, n, lo, hi) of every word of every language; lo < hi where an id is not of one word.
-    Rows with a ``lang`` hold all words of that language instead of an id's."""
+    Rows with a ``lang`` hold all words of that language, and its code, instead of an id's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sizes = Combiner(2), Counter()
@@ -199,7 +200,8 @@ def count_words(docs: DataFrame, seed: int) -> DataFrame:
                     yield out()
         yield out()
         none = pa.array([0] * len(sizes), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.string()), none, none, pa.array(list(sizes.values()), pa.int64())], names=names)
+        codes = pa.array([lang_seed(x) & int(LANG) for x in sizes], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.string()), none, codes, pa.array(list(sizes.values()), pa.int64())], names=names)
 
     counted = docs.mapInArrow(run, "lang string, id long, check long, n long")
     return counted.groupBy("lang", "id").agg(F.sum("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
@@ -237,107 +239,72 @@ def _segments(hot: np.ndarray, prefix: np.ndarray, following: np.ndarray) -> np.
     return np.where(hot[at] == prefix, 1 + (following & U(SEGMENTS - 1)).astype(np.int64), 0)
 
 
-def _stripes(keys: list[np.ndarray], counts: np.ndarray, hot: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, pa.Array, pa.Array]:
-    """Entries (prefix words ..., next word) as stripes: the prefixes, segments, next words and counts."""
+STRIPE = "p1 long, p2 long, seg int, entries array<long>"
+
+
+def _stripes(keys: list[np.ndarray], counts: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    """Entries (prefix words ..., next word) as rows of stripes: next word, count, next word ..."""
     *prefix, following = keys
     seg = _segments(hot, prefix[0] if len(prefix) == 1 else pair_hash(*prefix), following)
     order, first = _runs(*prefix, seg.astype(U))
-    offsets = pa.array(np.append(first, len(order)), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (signed(following), counts)]
-    return [p[order[first]] for p in prefix], seg[order[first]], *lists
-
+    entries = np.column_stack([signed(following)[order], counts[order]]).reshape(-1)
+    lists = pa.ListArray.from_arrays(pa.array(2 * np.append(first, len(order)), pa.int32()), pa.array(entries))
+    words = [pa.array(signed(p[order[first]])) for p in prefix]
+    words += [pa.array(np.full(len(first), NONE, np.int64))] * (2 - len(prefix))
+    return pa.RecordBatch.from_arrays([*words, pa.array(seg[order[first]], pa.int32()), lists], names=["p1", "p2", "seg", "entries"])
 
-STRIPE = "p1 long, p2 long, seg int, lang string, phrase string, next array<long>, n array<long>"
-NAMES = ["p1", "p2", "seg", "lang", "phrase", "next", "n"]
 
-
-def word_stripes(docs: DataFrame, seed: int, frequent, hot: np.ndarray) -> DataFrame:
-    """Stripes of one-word prefixes, each task's own; they have the frequent next words only."""
+def stripes(docs: DataFrame, seed: int, frequent, hot: np.ndarray, width: int) -> DataFrame:
+    """Stripes of prefixes of ``width`` words (1 or 2), each task's own.  ``frequent`` has the words
+    (or the pairs) that a prefix and what extends it must consist of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = frequent.value, Combiner(2)
-
-        def out() -> pa.RecordBatch:
-            (p,), seg, following, n = _stripes(*held.take(), hot)
-            none = pa.nulls(len(p), pa.string())
-            cols = [pa.array(signed(p)), pa.array(np.zeros(len(p), np.int64)), pa.array(seg, pa.int32()), none, none, following, n]
-            return pa.RecordBatch.from_arrays(cols, names=NAMES)
-
+        known, held = frequent.value, Combiner(width + 1)
         for batch in batches:
             for b, _ in _blocks(batch, seed):
-                use = known.has(b.ids)
-                at = np.flatnonzero(b.joined[:-1] & use[:-1] & use[1:])
-                if held.add(*_summed([b.ids[at], b.ids[at + 1]], _ones(len(at)))):
-                    yield out()
-        yield out()
+                if width == 1:
+                    use = known.has(b.ids)
+                    at = np.flatnonzero(b.joined[:-1] & use[:-1] & use[1:])
+                else:
+                    use = np.zeros(len(b.ids), bool)  # words i, i + 1 are a frequent pair
+                    pair = np.flatnonzero(b.joined)
+                    use[pair] = known.has(pair_hash(b.ids[pair], b.ids[pair + 1]))
+                    at = np.flatnonzero(use[:-1] & use[1:])
+                if held.add(*_summed([b.ids[at + i] for i in range(width + 1)], _ones(len(at)))):
+                    yield _stripes(*held.take(), hot)
+        yield _stripes(*held.take(), hot)
 
     return docs.mapInArrow(run, STRIPE)
 
 
-def pair_stripes(docs: DataFrame, seed: int, frequent, hot: np.ndarray) -> DataFrame:
-    """Stripes of two-word prefixes with the prefix's words and language, each task's own; the
-    slot ``OTHER`` counts the prefix's occurrences that no frequent pair goes on from."""
+def spellings(docs: DataFrame, seed: int, wanted) -> DataFrame:
+    """(id, word) of the wanted ids, and of some others that share a bit with one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, named = frequent.value, Combiner(3), []
-
-        def out() -> pa.RecordBatch:
-            (p1, p2), seg, following, n = _stripes(*held.take(), hot)
-            if len(p1):
-                n1, n2 = (np.concatenate([x[i] for x in named]) for i in (0, 1))
-                order, first = _runs(n1, n2)
-                new = np.ones(len(p1), bool)
-                new[1:] = (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])
-                pick = pa.array(order[first][np.cumsum(new) - 1])
-                names = [pa.concat_arrays([x[i] for x in named]).take(pick) for i in (2, 3)]
-            else:
-                names = [pa.nulls(0, pa.string())] * 2
-            named.clear()
-            cols = [pa.array(signed(p1)), pa.array(signed(p2)), pa.array(seg, pa.int32()), *names, following, n]
-            return pa.RecordBatch.from_arrays(cols, names=NAMES)
-
+        known = wanted.value
         for batch in batches:
-            for b, langs in _blocks(batch, seed):
-                use = np.zeros(len(b.ids), bool)  # words i, i + 1 are a frequent pair
-                pair = np.flatnonzero(b.joined)
-                use[pair] = known.has(pair_hash(b.ids[pair], b.ids[pair + 1]))
-                at = np.flatnonzero(use)
-                if not len(at):
-                    continue
-                following = np.full(len(at), OTHER, U)
-                longer = use[np.minimum(at + 1, len(use) - 1)] & (at + 2 < len(use))
-                following[longer] = b.ids[at[longer] + 2]
-                p1, p2 = b.ids[at], b.ids[at + 1]
-                order, first = _runs(p1, p2)
-                spots = at[order[first]]
-                texts = [b.texts(spots + i).cast(pa.string()) for i in (0, 1)]
-                lang = pa.array(langs, pa.string()).take(pa.array(b.row[spots]))
-                named.append((b.ids[spots], b.ids[spots + 1], lang, pc.binary_join_element_wise(*texts, " ")))
-                if held.add(*_summed([p1, p2, following], _ones(len(at)))):
-                    yield out()
-        yield out()
+            for b, _ in _blocks(batch, seed):
+                at = np.flatnonzero(known.has(b.ids))
+                ids, first = np.unique(b.ids[at], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), b.texts(at[first]).cast(pa.string())], names=["id", "word"])
 
-    return docs.mapInArrow(run, STRIPE)
+    return docs.mapInArrow(run, "id long, word string").groupBy("id").agg(F.min("word").alias("word"))
 
 
 def merge_stripes(stripes: DataFrame, min_count: int) -> DataFrame:
-    """The stripes (or segments of hot ones) of every prefix merged element by element: ``total``,
-    the sum of all entries, and the entries of ``min_count`` or more."""
+    """The stripes (or segments of hot ones) of every prefix merged element by element; rows
+    (p1, p2, next, a) of the entries that reach ``min_count``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None  # merged so far of the last prefix, which the next batch may go on with
         for batch in batches:
-            p1, p2, seg = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            lists = [batch.column(i) for i in (5, 6)]
-            sizes = np.diff(lists[0].offsets.to_numpy())
-            following, n = (x.flatten().to_numpy() for x in lists)
-            head = [p1, p2, seg]
-            names = [batch.column(i) for i in (3, 4)]
+            head = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            sizes = np.diff(batch.column(3).offsets.to_numpy()) // 2
+            following, n = batch.column(3).flatten().to_numpy().reshape(-1, 2).T
             if left is not None:
                 head = [np.concatenate(x) for x in zip(left[0], head, strict=True)]
-                names = [pa.concat_arrays(x) for x in zip(left[1], names, strict=True)]
-                sizes = np.concatenate([[len(left[2])], sizes])
-                following, n = np.concatenate([left[2], following]), np.concatenate([left[3], n])
+                sizes = np.concatenate([[len(left[1])], sizes])
+                following, n = np.concatenate([left[1], following]), np.concatenate([left[2], n])
             if not len(sizes):
                 continue
             new = np.ones(len(sizes), bool)
@@ -347,30 +314,19 @@ def merge_stripes(stripes: DataFrame, min_count: int) -> DataFrame:
             (group, following), n = _summed([group.astype(U), following.view(U)], n)
             group, following = group.astype(np.int64), following.view(np.int64)
             cut = int(np.searchsorted(group, len(first) - 1))
-            done = first[:-1]
-            yield _merged([x[done] for x in head], [x.take(pa.array(done)) for x in names], group[:cut], following[:cut], n[:cut], min_count)
-            last = first[-1:]
-            left = ([x[last] for x in head], [x.take(pa.array(last)) for x in names], following[cut:], n[cut:])
+            yield _entries([x[first] for x in head], group[:cut], following[:cut], n[:cut], min_count)
+            left = ([x[first[-1:]] for x in head], following[cut:], n[cut:])
         if left is not None:
-            yield _merged(left[0], left[1], np.zeros(len(left[2]), np.int64), left[2], left[3], min_count)
+            yield _entries(left[0], np.zeros(len(left[1]), np.int64), left[1], left[2], min_count)
 
     dealt = stripes.repartition("p1", "p2", "seg").sortWithinPartitions("p1", "p2", "seg")
-    return dealt.mapInArrow(run, "p1 long, p2 long, lang string, phrase string, total long, next array<long>, n array<long>")
-
+    return dealt.mapInArrow(run, "p1 long, p2 long, next long, a long")
 
-def _merged(head: list, names: list, group: np.ndarray, following: np.ndarray, n: np.ndarray, min_count: int) -> pa.RecordBatch:
-    rows = len(head[0])
-    total = np.add.reduceat(n, np.searchsorted(group, np.arange(rows))) if rows else np.zeros(0, np.int64)
-    keep = (n >= min_count) & (following != OTHER)
-    offsets = pa.array(np.searchsorted(group[keep], np.arange(rows + 1)), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[keep])) for x in (following, n)]
-    return pa.RecordBatch.from_arrays([pa.array(head[0]), pa.array(head[1]), *names, pa.array(total), *lists], names=["p1", "p2", "lang", "phrase", "total", "next", "n"])
 
-
-def _entries(stripes: DataFrame, third: str) -> DataFrame:
-    """One row per extension: the prefix, the next word and the count ``a``."""
-    each = stripes.select("p1", "p2", F.explode(F.arrays_zip("next", "n")).alias("e"))
-    return each.select("p1", "p2", F.col("e.next").alias(third), F.col("e.n").alias("a"))
+def _entries(head: list, group: np.ndarray, following: np.ndarray, n: np.ndarray, min_count: int) -> pa.RecordBatch:
+    keep = np.flatnonzero(n >= min_count)
+    cols = [head[0][group[keep]], head[1][group[keep]], following[keep], n[keep]]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["p1", "p2", "next", "a"])
 
 
 def _score(a, left, right):
@@ -387,52 +343,59 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, subsumed_pct: int
     store = Scratch(spark, "collocations")
     while True:
         counted = store.keep(count_words(docs, seed))
-        words = counted.where("lang IS NULL")
+        words, sizes = counted.where("lang IS NULL"), counted.where("lang IS NOT NULL").select("lang", F.col("lo").alias("code"), "n")
         seen = words.agg(F.sum("n").alias("n"), F.max((F.col("lo") != F.col("hi")).cast("int")).alias("clash")).first()
-        if not seen.clash:
+        if not seen.clash and not sizes.groupBy("code").count().where("count > 1").limit(1).count():
             break
         seed += 1
+    words = words.where(F.col("n") >= min_count)
     hot_from = max(min_count, (seen.n or 0) // HOT_SHARE + 1)
     unsigned = lambda rows: np.sort(np.array(rows, np.int64).view(U))
-    frequent = spark.sparkContext.broadcast(Bitmap(words.where(F.col("n") >= min_count).select(F.col("id").alias("h"))))
-    hot = unsigned([r.id for r in words.where(F.col("n") >= hot_from).select("id").collect()])
-    singles = store.keep(merge_stripes(word_stripes(docs, seed, frequent, hot), min_count))
+    send = lambda ids: spark.sparkContext.broadcast(Bitmap(ids))
 
-    # the entries of one-word stripes are the frequent pairs
-    pairs = store.keep(_entries(singles, "w2").select(F.col("p1").alias("w1"), "w2", "a"))
+    # the entries of one-word stripes are the frequent pairs, those of two-word ones the triples
+    hot = unsigned([r.id for r in words.where(F.col("n") >= hot_from).select("id").collect()])
+    singles = stripes(docs, seed, send(words.select(F.col("id").alias("h"))), hot, 1)
+    pairs = store.keep(merge_stripes(singles, min_count).select(F.col("p1").alias("w1"), F.col("next").alias("w2"), "a"))
     hashed = pairs.mapInArrow(_hash_pairs, "h long, a long")
-    known = spark.sparkContext.broadcast(Bitmap(hashed))
     hot = unsigned([r.h for r in hashed.where(F.col("a") >= hot_from).collect()])
-    doubles = store.keep(merge_stripes(pair_stripes(docs, seed, known, hot), min_count))
-
-    triples = _entries(doubles, "w3").select(F.col("p1").alias("w1"), F.col("p2").alias("w2"), "w3", "a")
-    totals = doubles.groupBy(F.col("p1").alias("w1"), F.col("p2").alias("w2")).agg(
-        F.sum("total").alias("a"), F.first("lang").alias("lang"), F.first("phrase").alias("phrase"), F.max(F.array_max("n")).alias("longer")
-    )
-    totals = store.keep(totals.where(F.col("a") >= min_count))
-
-    word = lambda n: words.where(F.col("n") >= min_count).select(F.col("id").alias(f"w{n}"), F.col("n").alias(f"f{n}"))
-    # a pair is dropped for a triple that begins with it (its own stripe) or ends with it
-    ending = triples.groupBy(F.col("w2").alias("w1"), F.col("w3").alias("w2")).agg(F.max("a").alias("before"))
-    pair = totals.join(ending, ["w1", "w2"], "left")
-    longest = F.greatest(F.coalesce("longer", F.lit(0)), F.coalesce("before", F.lit(0)))
+    doubles = merge_stripes(stripes(docs, seed, send(hashed), hot, 2), min_count)
+    triples = store.keep(doubles.select(F.col("p1").alias("w1"), F.col("p2").alias("w2"), F.col("next").alias("w3"), "a"))
+
+    word = lambda n, *cols: words.select(F.col("id").alias(f"w{n}"), F.col("n").alias(f"f{n}"), *cols)
+    code = F.col("lo").bitwiseAND(F.lit(int(LANG))).alias("code")
+    # a pair is dropped for a triple that begins or ends with it
+    begun = triples.groupBy("w1", "w2").agg(F.max("a").alias("after"))
+    ended = triples.groupBy(F.col("w2").alias("w1"), F.col("w3").alias("w2")).agg(F.max("a").alias("before"))
+    pair = pairs.join(begun, ["w1", "w2"], "left").join(ended, ["w1", "w2"], "left")
+    longest = F.greatest(F.coalesce("after", F.lit(0)), F.coalesce("before", F.lit(0)))
     pair = pair.where(~((longest >= min_count) & (longest * 100 >= F.col("a") * subsumed_pct)))
-    pair = pair.join(word(1), "w1").join(word(2), "w2")
-    two = pair.select("lang", "phrase", "a", F.col("f1").alias("l"), F.col("f2").alias("r"), _score("a", "f1", "f2").alias("score"))
-
-    begin = totals.select("w1", "w2", F.col("a").alias("f12"), "lang", F.col("phrase").alias("t12"))
-    end = totals.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("f23"), F.substring_index("phrase", " ", -1).alias("t3"))
-    triple = triples.join(begin, ["w1", "w2"]).join(end, ["w2", "w3"]).join(word(1), "w1").join(word(3), "w3")
+    pair = pair.join(word(1, code), "w1").join(word(2), "w2")
+    number = ["code", "w1", "w2", "w3", "a"]
+    two = pair.withColumn("w3", F.lit(None).cast("long")).select(*number, F.col("f1").alias("l"), F.col("f2").alias("r"), _score("a", "f1", "f2").alias("score"))
+    begin = pairs.select("w1", "w2", F.col("a").alias("f12"))
+    end = pairs.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("f23"))
+    triple = triples.join(begin, ["w1", "w2"]).join(end, ["w2", "w3"]).join(word(1, code), "w1").join(word(3), "w3")
     cuts = triple.withColumns({"s1": _score("a", "f1", "f23"), "s2": _score("a", "f12", "f3")})
     lower = F.col("s2") < F.col("s1")
     three = cuts.select(
-        "lang", F.concat_ws(" ", "t12", "t3").alias("phrase"), "a", F.when(lower, F.col("f12")).otherwise(F.col("f1")).alias("l"),
-        F.when(lower, F.col("f3")).otherwise(F.col("f23")).alias("r"), F.least("s1", "s2").alias("score"),
+        *number, F.when(lower, F.col("f12")).otherwise(F.col("f1")).alias("l"), F.when(lower, F.col("f3")).otherwise(F.col("f23")).alias("r"),
+        F.least("s1", "s2").alias("score"),
     )
     best = store.keep(two.unionByName(three))
-    ranked = number_within(best, ["lang"], [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()], rn="rank", size="_all")
-    sizes = counted.where("lang IS NOT NULL").select("lang", "n")
-    return ranked.where(F.col("rank") <= top).join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+    # the phrases at or above the score and count of the last rank are spelled out and ranked
+    last = number_within(best.select("code", "score", "a"), ["code"], ["-score", "-a"], rn="rank", size=None).where(F.col("rank") == top)
+    last = last.select("code", F.col("score").alias("least"), F.col("a").alias("least_a"))
+    near = F.col("least").isNull() | (F.struct("score", "a") >= F.struct("least", "least_a"))
+    first = store.keep(best.join(last, "code", "left").where(near).drop("least", "least_a"))
+    ids = first.select(F.explode(F.array("w1", "w2", "w3")).alias("h")).where("h IS NOT NULL")
+    spelled = store.keep(spellings(docs, seed, send(ids)))
+    for i in (1, 2, 3):
+        first = first.join(spelled.select(F.col("id").alias(f"w{i}"), F.col("word").alias(f"t{i}")), f"w{i}", "left")
+    named = first.withColumn("phrase", F.concat_ws(" ", "t1", "t2", "t3")).join(sizes, "code")
+    ranked = number_within(store.keep(named.select("lang", "phrase", "a", "l", "r", "n", "score")), ["lang"], ["-score", "-a", "phrase"], rn="rank", size=None)
+    return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def _hash_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
