@@ -1,26 +1,31 @@
 """Document scores by masked pseudo-likelihood.
 
 Method: a small window network predicts every word from the two words on either side of it
-(the word itself is masked): hidden = tanh(sum of position-wise embeddings + bias), softmax
-over the vocabulary.  A document's score is the sum of its words' conditional log
-probabilities, and its mean per word.
-
-The vocabulary is counted over the whole corpus: the ``TOP`` most frequent words have ids of
-their own, every other word one of ``RARE`` hashed classes.  The network predicts the class;
-a word's probability is its class's times its share of the class's occurrences in the corpus
-(every word keeps its count), so log probabilities are those of words.  As contexts, words of
-one class are alike.  Training is data parallel over the
-whole corpus: in each of ``ROUNDS`` rounds every partition starts from the common weights,
-takes every ``ROUNDS``-th target position of its texts, another one each round, so that all
-positions are learnt from once, runs Adam in numpy, and the weights are averaged by the number of targets, in a tree of groups of
-``FAN_IN`` partitions.
+(the word itself is masked): hidden = tanh(sum of position-wise embeddings + bias), then a softmax
+in two levels, over ``CLUSTERS`` clusters of the vocabulary and over the ``LEAVES`` classes of the
+word's own cluster, which multiply to an exact, normalised probability.  A document's score is the
+sum of its words' conditional log probabilities, and its mean per word.
+
+The vocabulary is counted over the whole corpus: the ``TOP`` most frequent words are classes of
+their own, by frequency in the first clusters, every other word is in one of ``RARE`` hashed
+classes, the last cluster.  A word's probability is its class's times its share of the class's
+occurrences in the corpus (every word keeps its count), so log probabilities are those of words.
+As contexts, words of one class are alike.  Training is data parallel over the whole corpus: in
+each of ``ROUNDS`` rounds every partition starts from the common weights, takes every ``ROUNDS``-th
+target position of its texts, another one each round, so that all positions are learnt from, runs
+Adam in numpy, and the weights are averaged by the number of targets, in a tree of groups of
+``FAN_IN`` partitions.  A step takes ``BATCH`` targets; a partition that has fewer than ``STEPS``
+such steps takes smaller ones, and its targets several times, until it has made ``STEPS``.
 
 Scale: word counts are combined per batch before their shuffle; a weight vector is about
-80 KB, so the driver only ever holds one of them; scoring is one pass over the texts, whose
-distinct words outside the ``TOP`` then meet their counts in a join (hash and number, no texts).
+1.3 MB, so the driver only ever holds one of them; scoring is one pass over the texts, whose
+distinct words outside the ``TOP`` meet their counts in a join (hash and number, no texts)
+and are summed per document without being stored.
 
 Defined cases: a null or empty text, or one without words, has 0 words, sum 0 and mean 0;
-an empty corpus gives no rows; repeated rows are scored row by row.
+an empty corpus gives no rows; repeated rows are scored row by row, and count as often in
+training; of words of equal frequency those of smaller hash have a class of their own; a very long
+text is a block of its own; only the id and the text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -34,21 +39,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import freeze
-from .tables import id_text, table
-from .words import U, WordBlock, signed, word_blocks
-
-TOP, RARE, WIDTH, DIM = 224, 32, 2, 16
-SIZE = TOP + RARE
-ROUNDS, BATCH, RATE, FAN_IN, CHUNK = 2, 2048, 0.01, 8, 8192
+from .tables import Scratch, id_text, table
+from .words import U, WordBlock, mix, signed, word_blocks
+
+CLUSTERS, LEAVES, WIDTH, DIM = 64, 64, 2, 16
+SIZE = CLUSTERS * LEAVES
+RARE = LEAVES  # the last cluster
+TOP = SIZE - RARE
+ROUNDS, BATCH, LEAST, STEPS, RATE, FAN_IN, CHUNK = 2, 8192, 64, 150, 0.01, 8, 32_768
 OFFSETS = [o for o in range(-WIDTH, WIDTH + 1) if o]
-RARE_TYPE = pa.list_(pa.struct([("hash", pa.int64()), ("times", pa.int64())]))
 ALL_WORDS = 0  # the key under which the number of all words is counted
 
 
 class Network:
     """Weights of the window network as views of one float32 vector."""
 
-    SHAPES = [(len(OFFSETS), SIZE + 1, DIM), (DIM,), (DIM, SIZE), (SIZE,)]
+    SHAPES = [(len(OFFSETS), SIZE + 1, DIM), (DIM,), (DIM, CLUSTERS), (CLUSTERS,), (CLUSTERS, DIM, LEAVES), (CLUSTERS, LEAVES)]
 
     def __init__(self, flat: np.ndarray) -> None:
         self.flat, self.parts, at = flat, [], 0
@@ -56,15 +62,17 @@ class Network:
             n = int(np.prod(shape))
             self.parts.append(flat[at : at + n].reshape(shape))
             at += n
-        self.embed, self.hidden_bias, self.out, self.out_bias = self.parts
+        self.embed, self.hidden_bias, self.out, self.out_bias, self.leaf, self.leaf_bias = self.parts
 
     @classmethod
     def start(cls, share: np.ndarray) -> Network:
-        """Small random embeddings; the output bias is the log share of every word."""
+        """Small random embeddings; the biases are the log shares of clusters and their classes."""
         n = sum(int(np.prod(s)) for s in cls.SHAPES)
         net = cls(np.random.default_rng(7).normal(0, 0.1, n).astype(np.float32))
         net.hidden_bias[:] = 0
-        net.out_bias[:] = np.log(share)
+        mass = share.reshape(CLUSTERS, LEAVES).sum(axis=1)
+        net.out_bias[:] = np.log(mass)
+        net.leaf_bias[:] = np.log(share.reshape(CLUSTERS, LEAVES) / mass[:, None])
         return net
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
@@ -76,30 +84,56 @@ class Network:
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target), np.float32)
         for i in range(0, len(target), CHUNK):
-            t = target[i : i + CHUNK]
-            logits = self.hidden(context[:, i : i + CHUNK]) @ self.out + self.out_bias
-            top = logits.max(axis=1)
-            own = logits[np.arange(len(t)), t] - top
-            logits -= top[:, None]
-            out[i : i + CHUNK] = own - np.log(np.exp(logits, out=logits).sum(axis=1))
+            h, t = self.hidden(context[:, i : i + CHUNK]), target[i : i + CHUNK]
+            cluster, part = t // LEAVES, out[i : i + CHUNK]
+            part[:] = _log_softmax(h @ self.out + self.out_bias, cluster)
+            for c, rows in _by_cluster(cluster):
+                part[rows] += _log_softmax(h[rows] @ self.leaf[c] + self.leaf_bias[c], t[rows] % LEAVES)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Gradient of the mean negative log probability."""
         n = len(target)
-        h = self.hidden(context)
-        p = h @ self.out + self.out_bias
-        p -= p.max(axis=1)[:, None]
-        np.exp(p, out=p)
-        p /= p.sum(axis=1)[:, None]
-        p[np.arange(n), target] -= 1
-        p /= n
-        back = (p @ self.out.T) * (1 - h * h)
+        h, cluster = self.hidden(context), target // LEAVES
+        p = _excess(h @ self.out + self.out_bias, cluster, n)
+        back = p @ self.out.T
+        leaf, leaf_bias = np.zeros(self.leaf.shape, np.float32), np.zeros(self.leaf_bias.shape, np.float32)
+        for c, rows in _by_cluster(cluster):
+            q = _excess(h[rows] @ self.leaf[c] + self.leaf_bias[c], target[rows] % LEAVES, n)
+            back[rows] += q @ self.leaf[c].T
+            leaf[c], leaf_bias[c] = h[rows].T @ q, q.sum(axis=0)
+        back *= 1 - h * h
         embed = np.zeros(self.SHAPES[0], np.float32)
         for j in range(len(OFFSETS)):
-            for d in range(DIM):
-                embed[j, :, d] = np.bincount(context[j], back[:, d], SIZE + 1)
-        return np.concatenate([embed.reshape(-1), back.sum(axis=0), (h.T @ p).reshape(-1), p.sum(axis=0)])
+            order = np.argsort(context[j], kind="stable")
+            ids = context[j][order]
+            first = np.flatnonzero(np.diff(ids, prepend=-1))
+            embed[j, ids[first]] = np.add.reduceat(back[order], first, axis=0)
+        parts = [embed, back.sum(axis=0), h.T @ p, p.sum(axis=0), leaf, leaf_bias]
+        return np.concatenate([x.reshape(-1) for x in parts])
+
+
+def _by_cluster(cluster: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(cluster.astype(np.int16), kind="stable")
+    ends = np.cumsum(np.bincount(cluster, minlength=CLUSTERS))
+    for c in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+        yield c, order[ends[c - 1] if c else 0 : ends[c]]
+
+
+def _log_softmax(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    logits -= logits.max(axis=1)[:, None]
+    mine = logits[np.arange(len(own)), own]
+    return mine - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+
+def _excess(logits: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """(softmax - one at the own class) / n."""
+    logits -= logits.max(axis=1)[:, None]
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1)[:, None]
+    logits[np.arange(len(own)), own] -= 1
+    logits /= n
+    return logits
 
 
 class Adam:
@@ -178,10 +212,10 @@ def train(docs: DataFrame, counts: DataFrame) -> tuple[Network, np.ndarray, np.n
 
 def _local(docs: DataFrame, net: Network, top: np.ndarray, top_ids: np.ndarray, round_: int) -> DataFrame:
     """One row per partition: part, targets learnt from, weights after them."""
-    start = net.flat.tobytes()
+    start = docs.sparkSession.sparkContext.broadcast(net.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(np.frombuffer(start, np.float32).copy())
+        own = Network(start.value.copy())
         adam, n, kept = Adam(len(own.flat)), 0, []
 
         def learn(least: int) -> int:
@@ -190,17 +224,19 @@ def _local(docs: DataFrame, net: Network, top: np.ndarray, top_ids: np.ndarray,
             context, target = np.concatenate([c for c, _ in kept], axis=1), np.concatenate([t for _, t in kept])
             kept.clear()
             # neighbours in a text are alike: deal them to different steps
-            steps = max(1, len(target) // BATCH)
-            for s in range(steps):
-                adam.step(own.flat, own.gradient(context[:, s::steps], target[s::steps]))
-            return len(target)
+            steps = max(1, len(target) // BATCH, min(STEPS - adam.t, len(target) // LEAST))
+            while True:
+                for s in range(steps):
+                    adam.step(own.flat, own.gradient(context[:, s::steps], target[s::steps]))
+                if adam.t >= STEPS:
+                    return len(target)
 
         for batch in batches:
             for b in word_blocks(batch.column(0)):
                 ids = word_ids(b.hashes, top, top_ids)
                 pick = np.arange(round_, len(ids), ROUNDS)
                 kept.append((contexts(b, ids)[:, pick], ids[pick]))
-                n += learn(32 * BATCH)
+                n += learn(16 * BATCH)
         n += learn(1)
         if n:
             part = TaskContext.get().partitionId()
@@ -234,51 +270,62 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, n_words, log_prob (sum) and mean_log_prob of every text, by a network trained on
     all of them."""
     picked = id_text(docs, id_col, text_col)
-    counts = freeze(count_words(picked))
+    store = Scratch(docs.sparkSession, "pseudo-likelihood")
+    counts = store.keep(count_words(picked))
     trained = train(picked, counts)
     if trained is None:
         return picked.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_prob"), F.lit(0.0).alias("mean_log_prob"))
     net, top, top_ids = trained
-    flat = net.flat.tobytes()
+    flat = docs.sparkSession.sparkContext.broadcast(net.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(np.frombuffer(flat, np.float32))
+        own = Network(flat.value)
         for batch in batches:
-            sums, sizes, rare = [], [], []
             for b in word_blocks(batch.column(2)):
                 ids, row = word_ids(b.hashes, top, top_ids), b.word_row()
-                sums.append(np.bincount(row, own.log_probs(contexts(b, ids), ids), b.rows))
-                sizes.append(b.counts())
-                rare.append(_rare_words(row[ids >= TOP], b.hashes[ids >= TOP], b.rows))
-            s, n = (np.concatenate(x) if x else np.zeros(0) for x in (sums, sizes))
-            lists = pa.concat_arrays(rare) if rare else pa.array([], RARE_TYPE)
-            arrays = [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(s, pa.float64()), lists]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n_words", "class_log_prob", "rare"])
+                sums = np.bincount(row, own.log_probs(contexts(b, ids), ids), b.rows)
+                doc = [batch.column(i).slice(b.first, b.rows) for i in (0, 1)]
+                yield _rows(*doc, sums, b.counts(), *_rare_words(row[ids >= TOP], b.hashes[ids >= TOP]))
 
+    # one row a document (times 0) and one for each of its distinct rare words
     numbered = picked.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     id_type = picked.schema["doc_id"].dataType.simpleString()
-    scored = freeze(
-        numbered.mapInArrow(run, f"doc_id {id_type}, row long, n_words long, class_log_prob double, rare array<struct<hash: long, times: long>>")
+    told = numbered.mapInArrow(run, f"doc_id {id_type}, row long, n_words long, class_log_prob double, hash long, times int")
+    met = told.join(log_shares(counts, top), "hash", "left")
+    scored = met.groupBy("row").agg(
+        F.max(F.struct("n_words", "doc_id")).alias("doc"), F.sum("class_log_prob").alias("class_log_prob"), F.sum(F.col("times") * F.col("log_share")).alias("within")
     )
-    words = scored.select("row", F.explode("rare").alias("w")).select("row", "w.hash", "w.times")
-    within = words.join(log_shares(counts, top), "hash").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("within"))
+    words = F.col("doc.n_words")
     total = F.col("class_log_prob") + F.coalesce("within", F.lit(0.0))
-    mean = F.when(F.col("n_words") > 0, total / F.col("n_words")).otherwise(0.0)
-    joined = scored.drop("rare").join(within, "row", "left")
-    return joined.select("doc_id", "n_words", F.round(total, 4).alias("log_prob"), F.round(mean, 6).alias("mean_log_prob"))
+    mean = F.when(words > 0, total / words).otherwise(0.0)
+    return scored.select("doc.doc_id", words.alias("n_words"), F.round(total, 4).alias("log_prob"), F.round(mean, 6).alias("mean_log_prob"))
 
 
-def _rare_words(row: np.ndarray, h: np.ndarray, rows: int) -> pa.Array:
-    """Per row: its distinct words and how often each occurs."""
+def _rare_words(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, occurrences) of the distinct words of every row."""
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(h)))
-    pairs = pa.StructArray.from_arrays([pa.array(signed(h[first]), pa.int64()), pa.array(times, pa.int64())], fields=list(RARE_TYPE.value_type))
-    at = np.searchsorted(row[first], np.arange(rows + 1))
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pairs).cast(RARE_TYPE)
+    return row[first], h[first], np.diff(np.append(first, len(h)))
+
+
+def _rows(doc_id: pa.Array, row: pa.Array, sums: np.ndarray, sizes: np.ndarray, at: np.ndarray, h: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """The documents, each under a hash that spreads them, and their rare words."""
+    docs, words = len(sizes), len(at)
+    numbers = row.to_numpy()
+    spread = signed(mix(numbers.view(U) + U(1)))
+    null = lambda kind: pa.nulls(words, kind)
+    cols = [
+        pa.concat_arrays([doc_id, null(doc_id.type)]),
+        pa.array(np.concatenate([numbers, numbers[at]])),
+        pa.concat_arrays([pa.array(sizes.astype(np.int64)), null(pa.int64())]),
+        pa.concat_arrays([pa.array(sums.astype(np.float64)), null(pa.float64())]),
+        pa.array(np.concatenate([spread, signed(h)])),
+        pa.array(np.concatenate([np.zeros(docs, np.int64), times]).astype(np.int32)),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_words", "class_log_prob", "hash", "times"])
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
