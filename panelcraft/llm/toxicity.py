@@ -10,14 +10,17 @@ below zero (when it does, the step goes up its gradient instead).  ``prior`` is
 toxic rows among the labels that may be learnt from.  Features are presences of words and word
 beginnings whose document frequency differs significantly between the two samples.
 
-What is learnt from is bounded by two documented parameters: at most ``POSITIVES`` positives and
-``UNLABELLED`` other texts, those of smallest id hash over the whole tables; rows whose
-crc32(doc_id as text) mod 3 is 1 are never learnt from.  Every text is scored whole, in one
+What is learnt from is bounded by documented parameters: at most ``POSITIVES`` positives and
+``UNLABELLED`` other texts, those of smallest id hash over the whole tables (rows that repeat an id
+with its text are one), and the ``MAX_FEATURES`` features that tell the samples apart most; rows
+whose crc32(doc_id as text) mod 3 is 1 are never learnt from.  Every text is scored whole, in one
 pass without a shuffle.
 
 Defined cases: a null or empty text has no features and gets the score of the bias alone;
 null labels are no labels; a null doc_id is never learnt from and counts as held out; without
-any positive every score is 0; repeated rows are scored row by row.
+any positive every score is 0; repeated rows are scored row by row and learnt from once; ids of
+equal hash are taken by id, then by text; a very long text is a block of its own; a column of the
+score's name keeps its values in ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -127,13 +130,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not prior:
         return None
     confirmed = learn.where("toxic = 1").select("doc_id").distinct()
-    others = docs.where(learnable(F.col("doc_id"))).select("doc_id")
+    # the different texts of an id: the limits count these, however often a row repeats
+    texts = docs.where(learnable(F.col("doc_id"))).select("doc_id", F.xxhash64("text").alias("digest"), F.col("text"))
+    each = texts.select("doc_id", "digest").distinct()
     # bounded by the two parameters, so the ids are broadcast
     ids = [
-        confirmed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).withColumn("part", F.lit(1)),
-        others.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled).withColumn("part", F.lit(0)),
+        each.join(confirmed, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(positives).withColumn("part", F.lit(1)),
+        each.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "digest").limit(unlabelled).withColumn("part", F.lit(0)),
     ]
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").select("part", "text")
+    picked = texts.join(F.broadcast(ids[0].unionByName(ids[1])), ["doc_id", "digest"])
+    picked = picked.groupBy("part", "doc_id", "digest").agg(F.min("text").alias("text")).select("part", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -71,3 +71,16 @@ def test_odd_documents(spark, odd, empty, corpus):
     assert tx.train(odd, none) is None and tx.drop_toxic(odd, none).count() == odd.count()
     clash = odd.withColumnsRenamed({"lang": "toxicity"})
     assert tx.drop_toxic(clash, labels).columns == clash.columns
+
+
+def test_a_repeated_id_is_learnt_from_once(spark, corpus, monkeypatch):
+    """An id in very many rows neither fills the sample nor reaches the driver row by row."""
+    docs, labels = corpus
+    hot = docs.where("doc_id = 5").crossJoin(spark.range(20_000).select()).unionByName(docs)
+    taken = []
+    fit = tx.fit_nnpu
+    monkeypatch.setattr(tx, "fit_nnpu", lambda p, u, prior: taken.append((p, u)) or fit(p, u, prior))
+    a, b = tx.train(docs, labels, 50, 100), tx.train(hot, labels, 50, 100)
+    (p1, u1), (p2, u2) = taken
+    assert len(p2) <= 50 and len(u2) <= 100 and [len(p1), len(u1)] == [len(p2), len(u2)]
+    assert (a.hashes == b.hashes).all() and (a.weights == b.weights).all()
