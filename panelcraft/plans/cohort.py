@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import add_days, date_between, day_range, gap_at_least, has_image
@@ -42,17 +42,29 @@ def first_sale(panel: DataFrame) -> DataFrame:
 
 
 def item_shop_stats(panel: DataFrame, p: StudyParams) -> DataFrame:
-    """One pass over the panel per (item, shop): first sale, rows, price sum and count, and the
-    rows and sales of the last ``recent_days`` days - all that the cohort and the shop and
-    cell sales need of the panel."""
+    """One pass over the panel per (item, shop): first sale, rows, price sum and count, the rows
+    and sales of the last ``recent_days`` days, and the day index - all that the cohort and the
+    shop and cell sales need of the panel.
+
+    Rows are first combined per day, so the day index ``days`` (sorted days, each with its panel
+    rows) has at most one entry a day of the study, however many rows an item has.
+    """
     recent = date_between("pt", p.end - dt.timedelta(days=p.recent_days - 1), p.end)
-    return panel.groupBy("item_id", "shop_id").agg(
-        F.min(F.when(F.col("day_sales_volume") > 0, F.col("pt"))).alias("t0"),
-        F.count(F.lit(1)).cast("bigint").alias("day_rows"),
+    by_day = panel.groupBy("item_id", "shop_id", "pt").agg(
+        F.max(F.coalesce(F.col("day_sales_volume") > 0, F.lit(False))).alias("sold"),
+        F.count(F.lit(1)).cast("bigint").alias("n"),
         F.sum("cprice").alias("price_sum"),
         F.count("cprice").alias("price_rows"),
-        count_where(recent).alias("recent_rows"),
-        sum_or_zero(F.when(recent, F.col("day_sales_volume"))).alias("recent_sales"),
+        sum_or_zero("day_sales_volume").alias("sales"),
+    )
+    return by_day.groupBy("item_id", "shop_id").agg(
+        F.min(F.when(F.col("sold"), F.col("pt"))).alias("t0"),
+        F.sum("n").cast("bigint").alias("day_rows"),
+        F.sum("price_sum").alias("price_sum"),
+        F.sum("price_rows").alias("price_rows"),
+        F.sum(F.when(recent, F.col("n")).otherwise(0)).cast("bigint").alias("recent_rows"),
+        F.sum(F.when(recent, F.col("sales")).otherwise(0)).cast("bigint").alias("recent_sales"),
+        F.array_sort(F.collect_list(F.struct("pt", "n"))).alias("days"),
     )
 
 
@@ -65,9 +77,14 @@ def item_panel_stats(item_shop: DataFrame) -> DataFrame:
     )
 
 
-def count_days(panel: DataFrame) -> DataFrame:
+def _indexed_days(item_shop: DataFrame) -> DataFrame:
+    """(item_id, pt) of every distinct panel day, from the day index."""
+    return item_shop.select("item_id", F.explode("days.pt").alias("pt")).distinct()
+
+
+def count_days(item_shop: DataFrame) -> DataFrame:
     """Per item, its distinct panel days (in place of its rows, quirk Q9)."""
-    return panel.select("item_id", "pt").distinct().groupBy("item_id").agg(F.count(F.lit(1)).cast("bigint").alias("day_rows"))
+    return _indexed_days(item_shop).groupBy("item_id").agg(F.count(F.lit(1)).cast("bigint").alias("day_rows"))
 
 
 def first_image(comments: DataFrame, p: StudyParams) -> DataFrame:
@@ -78,15 +95,28 @@ def first_image(comments: DataFrame, p: StudyParams) -> DataFrame:
     return c.groupBy("item_id").agg(F.min(F.to_date("comment_time")).alias("g"))
 
 
-def panel_coverage(g: DataFrame, t0: DataFrame, panel: DataFrame, p: StudyParams) -> DataFrame:
-    """Per item with g and t0: panel rows (days, with ``p.distinct_days``) in [g-W, g-1] (pre_days) and [g, g+W] (post_days)."""
+def _rows_between(first: Column, last: Column) -> Column:
+    """Panel rows of a day index on the days from ``first`` to ``last``."""
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate("days", zero, lambda n, d: n + F.when(d["pt"].between(first, last), d["n"]).otherwise(zero))
+
+
+def panel_coverage(g: DataFrame, t0: DataFrame, item_shop: DataFrame, p: StudyParams) -> DataFrame:
+    """Per item with g and t0: panel rows (days, with ``p.distinct_days``) in [g-W, g-1] (pre_days) and [g, g+W] (post_days).
+
+    Both counts come from the day index of ``item_shop_stats``, an item-level table: the daily
+    facts are not read or joined again.
+    """
     base = g.join(t0, "item_id")
-    days = panel.select("item_id", "pt")
-    rows = base.join(days.distinct() if p.distinct_days else days, "item_id")
     gc = F.col("g")
-    pre = F.col("pt").between(add_days(gc, -p.window), add_days(gc, -1))
-    post = F.col("pt").between(gc, add_days(gc, p.window))
-    return rows.groupBy("item_id", "g", "t0").agg(count_where(pre).alias("pre_days"), count_where(post).alias("post_days"))
+    pre, post = (add_days(gc, -p.window), add_days(gc, -1)), (gc, add_days(gc, p.window))
+    if p.distinct_days:
+        rows = base.join(_indexed_days(item_shop), "item_id")
+        counts = [count_where(F.col("pt").between(*x)) for x in (pre, post)]
+    else:
+        rows = base.join(item_shop.select("item_id", "days"), "item_id")
+        counts = [F.sum(_rows_between(*x)).cast("bigint") for x in (pre, post)]
+    return rows.groupBy("item_id", "g", "t0").agg(counts[0].alias("pre_days"), counts[1].alias("post_days"))
 
 
 def eligible_treated(coverage: DataFrame, p: StudyParams) -> DataFrame:
@@ -183,7 +213,7 @@ class Cohort:
     def stats(self) -> DataFrame:
         stats = item_panel_stats(self.item_shop)
         if self.p.distinct_days:
-            stats = stats.drop("day_rows").join(count_days(self.panel), "item_id")
+            stats = stats.drop("day_rows").join(count_days(self.item_shop), "item_id")
         return self.keep(stats)
 
     @cached_property
@@ -196,7 +226,7 @@ class Cohort:
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return panel_coverage(self.g, self.t0, self.panel, self.p)
+        return panel_coverage(self.g, self.t0, self.item_shop, self.p)
 
     @cached_property
     def treated(self) -> DataFrame:

@@ -125,8 +125,9 @@ def anchor_snapshot(sampled: DataFrame, treated: DataFrame, daily: DataFrame, p:
     Every crawl row of the anchor day is kept (quirk Q3), or one row per item with
     ``p.dedupe``.  The daily table first meets the distinct (item, anchor day) keys in an inner
     join (broadcast if their counted number is small); the outer join then runs between two
-    small tables.  With ``p.pt_slack_days`` only the partitions around the anchor days are
-    read.
+    small tables.  With ``p.pt_slack_days`` the partitions of the anchor days alone (and of the
+    slack around each) are read: the daily table is semi-joined on ``pt`` to those days, which
+    Spark turns into dynamic partition pruning.
     """
     base = sampled.join(treated.select("item_id", "g"), "item_id", "left").select(
         "item_id",
@@ -137,23 +138,24 @@ def anchor_snapshot(sampled: DataFrame, treated: DataFrame, daily: DataFrame, p:
         F.when(F.col("g").isNotNull(), add_days("g", -1)).otherwise(F.lit(p.end - dt.timedelta(days=1))).alias("anchor_date"),
     )
     keys = base.select("item_id", "anchor_date").distinct()
+    small = broadcast_if_small(keys)
     # The join only matches crawl days between the earliest and latest anchor day: that range,
     # written on the raw timestamp, is implied by the join (so exact) and reaches the scan,
     # where file statistics skip everything outside it.
-    bounds = keys.agg(F.min("anchor_date").alias("lo"), F.max("anchor_date").alias("hi")).first()
+    bounds = small.agg(F.min("anchor_date").alias("lo"), F.max("anchor_date").alias("hi")).first()
     d = daily
     if bounds is not None and bounds["lo"] is not None:
         d = d.where(day_range("insert_time", bounds["lo"], bounds["hi"]))
         pt = p.pt_range(bounds["lo"], bounds["hi"])
         if pt:
-            d = d.where(F.col("pt").between(*pt))
+            d = d.join(F.broadcast(anchor_partitions(small, p.pt_slack_days, pt)), "pt", "left_semi")
     hits = d.select(
         "item_id",
         F.to_date("insert_time").alias("anchor_date"),
         F.col("cprice").alias("anchor_price"),
         F.col("day_30_sales_volume").alias("day_30_sales_volume_gm1"),
         F.col("add_volume").alias("add_volume_gm1"),
-    ).join(broadcast_if_small(keys), ["item_id", "anchor_date"])
+    ).join(small, ["item_id", "anchor_date"])
     snap = base.join(hits, ["item_id", "anchor_date"], "left")
     snap = snap.select(
         "item_id", "shop_id", "category_id", "g", "anchor_date", "anchor_price", "day_30_sales_volume_gm1", "add_volume_gm1"
@@ -165,6 +167,14 @@ def anchor_snapshot(sampled: DataFrame, treated: DataFrame, daily: DataFrame, p:
     return one.select("item_id", *[F.col(f"_one.{c}") for c in rest])
 
 
+def anchor_partitions(keys: DataFrame, slack: int, pt: tuple[str, str]) -> DataFrame:
+    """The partition days (yyyymmdd) that can hold crawls of the anchor days: at most as many rows
+    as the study has days and twice the slack."""
+    around = F.sequence(F.date_sub("anchor_date", slack), F.date_add("anchor_date", slack))
+    days = keys.select("anchor_date").distinct().select(F.explode(around).alias("day"))
+    return days.select(F.date_format("day", "yyyyMMdd").alias("pt")).where(F.col("pt").between(*pt)).distinct()
+
+
 def crawl_rows_outside_slack(daily: DataFrame, p: StudyParams) -> int:
     """Daily rows whose partition lies further than ``p.pt_slack_days`` from their crawl day (or
     is not a day): 0 means that pruning partitions by the slack loses nothing."""
@@ -242,20 +252,26 @@ def final_item_comment(comments: DataFrame, fi: DataFrame, treated: DataFrame, i
     """Comments of sampled treated items within g +- W, with item review statistics.
 
     The sampled treated items are reduced to one row per (item, g) with its multiplicity,
-    joined to the comments (broadcast if their counted number is small), and the multiplicity is
-    restored afterwards - the same rows as joining the duplicated list.
+    joined to the comments by item and interval bin (broadcast if their counted number is small),
+    and the multiplicity is restored afterwards - the same rows as joining the duplicated list.
     """
     ts = fi.select("item_id").join(treated.select("item_id", "g"), "item_id")
-    ts = broadcast_if_small(ts.groupBy("item_id", "g").agg(F.count(F.lit(1)).alias("_m")))
+    ts = ts.groupBy("item_id", "g").agg(F.count(F.lit(1)).alias("_m"))
+    # interval bins: a day's bin is its number div W, an event meets the three bins that its window
+    # touches, so the comments of a much reviewed item are dealt over many tasks
+    width = max(window, 1)
+    bin_of = lambda day: F.floor(F.unix_date(day) / F.lit(width)).cast("int")
+    bins = F.sequence(bin_of(add_days("g", -window)), bin_of(add_days("g", window)))
+    ts = broadcast_if_small(ts.withColumn("_bin", F.explode(bins)))
     # exact range implied by the window condition, pushed to the comment scan
     bounds = ts.agg(F.min("g").alias("lo"), F.max("g").alias("hi")).first()
     if bounds is not None and bounds["lo"] is not None:
         comments = comments.where(
             day_range("comment_time", bounds["lo"] - dt.timedelta(days=window), bounds["hi"] + dt.timedelta(days=window))
         )
-    c = comments.join(ts, "item_id").where(
-        F.to_date("comment_time").between(add_days("g", -window), add_days("g", window))
-    )
+    day = F.to_date("comment_time")
+    c = comments.withColumn("_bin", bin_of(day)).join(ts, ["item_id", "_bin"])
+    c = c.where(day.between(add_days("g", -window), add_days("g", window)))
     c = replicate(c, "_m")
     stats = keep_in(items, ts.select("item_id"), "item_id").select(
         "item_id", F.col("comment_count").alias("rcomment_count"), "max_bad_rate", "bad_rate"

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..params import TABLE_NAMES as N
 from ..params import StudyParams, WideParams
-from ..sources import Sources, append_into, cast_to, create_table, materialize, overwrite_into, typed_schema
+from ..session import freeze
+from ..sources import Sources, cast_to, create_table, materialize, overwrite_into, record_run, typed_schema
 from ..sources.schemas import WIDE_TABLE_TYPES
 from . import cohort as co
 from . import sample as sa
@@ -45,9 +46,9 @@ def run_study(
     """Cohort, then the multistage sample with its post-condition checks, then the final study
     tables, each stored in turn; returned by step name.
 
-    ``buckets``: store the panel, t0 and g bucketed by item with that many buckets, so the
-    coverage join and the per-item aggregates over the (fact-level) panel run without a
-    shuffle of the panel.
+    ``buckets``: store the panel, the per-item sums with their day index, t0 and g bucketed by item
+    with that many buckets, so the coverage join and later reads of the (fact-level) panel by item
+    run without a shuffle.
     """
     if p.pt_slack_days is not None and (far := st.crawl_rows_outside_slack(src.daily, p)):
         raise ValueError(f"{far} daily rows lie more than {p.pt_slack_days} days from their partition")
@@ -60,16 +61,16 @@ def run_study(
         return out[N[name]]
 
     panel = step("panel", co.item_day(src.daily, p), buckets)
-    item_shop = step("item_shop", co.item_shop_stats(panel, p))
+    item_shop = step("item_shop", co.item_shop_stats(panel, p), buckets)
     stats = co.item_panel_stats(item_shop)
     if p.distinct_days:
-        stats = stats.drop("day_rows").join(co.count_days(panel), "item_id")
+        stats = stats.drop("day_rows").join(co.count_days(item_shop), "item_id")
     t0 = step("t0", stats.where(F.col("t0").isNotNull()).select("item_id", "t0"), buckets)
     g = step("g", co.first_image(src.comments, p), buckets)
-    treated = step("treated", co.eligible_treated(co.panel_coverage(g, t0, panel, p), p))
+    treated = step("treated", co.eligible_treated(co.panel_coverage(g, t0, item_shop, p), p))
     control = step("control", co.eligible_control(stats, p, treated))
-    universe = step("universe", co.eligible_universe(treated, control, src.items, stats, p.bands))
-    shops = step("sampled_shops", st.sample_shops(st.shop_size(st.shop_sales(item_shop, universe)), p))
+    universe = step("universe", co.eligible_universe(treated, control, src.items, stats, p.bands, keep=freeze))
+    shops = step("sampled_shops", st.sample_shops(st.shop_size(freeze(st.shop_sales(item_shop, universe))), p))
     cells = step("cells", st.shop_cells(item_shop, universe, treated))
     picked_cells = step("sampled_cells", st.sample_cells(cells, shops, p, zero=zero))
     items = step("sampled_items", st.sample_items(universe, picked_cells, treated, p))
@@ -77,7 +78,7 @@ def run_study(
     step("check_cells_per_shop", st.check_count(picked_cells, ["shop_id"], p.cells_per_shop, "n_cells"))
     step("check_items_per_cell", st.check_count(items, st.CELL, p.pin + p.fill, "n_items"))
     snapshot = step("snapshot", st.anchor_snapshot(items, treated, src.daily, p))
-    fi = step("final_item", st.final_item(snapshot, src.items, p.final_bands))
+    fi = step("final_item", st.final_item(snapshot, src.items, p.final_bands, keep=freeze))
     step("final_shop", st.final_shop(fi, src.shops))
     step("final_item_comment", st.final_item_comment(src.comments, fi, treated, src.items, p.window))
     step("final_item_day", st.final_item_day(panel, t0, g, src.comments, fi, snapshot, p))
@@ -94,12 +95,15 @@ def load_wide(df: DataFrame, name: str, mode: str) -> DataFrame:
     return cast_to(spark.table(name), dict(df.dtypes))
 
 
-def run_sampling(src: Sources, wp: WideParams, mode: str = "ignore", prefix: str = "", ledger: str = N["ledger"]) -> dict[str, DataFrame]:
+def run_sampling(
+    src: Sources, wp: WideParams, mode: str = "ignore", prefix: str = "", ledger: str = N["ledger"], run: str | None = None
+) -> dict[str, DataFrame]:
     """Wide tables, single-stage sample with history and comments, ledger append, two-stage sample.
 
     The single-stage sample is drawn from the wide table of ``wp.min_days``.  The ledger is the
     only state carried between runs: its ids are excluded from the two-stage draw, and this
-    run's single-stage sample is appended to it (ids that it already has are not repeated).
+    run's single-stage sample is one partition of it, named ``run`` (by default after the
+    parameters): a repeated or half-finished run replaces its own partition and adds nothing else.
     """
     spark = src.items.sparkSession
     suffix = f"_{digest(wp)}"
@@ -112,9 +116,8 @@ def run_sampling(src: Sources, wp: WideParams, mode: str = "ignore", prefix: str
     ids = sa.sampled_ids(single)
     history = store(sa.daily_history(src.daily, ids, wp.history), N["sample_history"])
     comments = store(sa.comments_of(src.comments, ids), N["sample_comments"])
-    create_table(spark, prefix + ledger, ids.schema, comment="item ids already drawn")
-    append_into(sa.ledger_rows(single).join(spark.table(prefix + ledger), "item_id", "left_anti"), prefix + ledger)
-    excluded = spark.table(prefix + ledger)
+    record_run(sa.ledger_rows(single), prefix + ledger, f"{wp.min_days}_{digest(wp)}" if run is None else run)
+    excluded = spark.table(prefix + ledger).select("item_id")
     two = store(sa.two_stage(wide[30], excluded, wp), N["two_stage_sample"].format(n=30) + "_two_stage")
     control = store(wi.control_items(src, wp), N["control_wide"])
     out = {f"wide_{n}": df for n, df in wide.items()}

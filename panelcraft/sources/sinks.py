@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,8 @@ def materialize(
     result instead of recomputing the lineage.  ``buckets``/``key`` store it hash-clustered
     on ``key``: tables bucketed alike join and aggregate on ``key`` without a shuffle.
     """
+    if buckets:
+        df = df.repartition(buckets, F.col(key))  # one file a bucket
     w = df.write.mode(mode).format(fmt)
     if buckets:
         w = w.bucketBy(buckets, key).sortBy(key)
@@ -65,14 +69,52 @@ def append_into(df: DataFrame, name: str) -> None:
     df.write.mode("append").insertInto(name)
 
 
+_MODE = "spark.sql.sources.partitionOverwriteMode"
+_mode_lock = threading.Lock()
+
+
+def overwrite_partitions(df: DataFrame, name: str) -> None:
+    """Replace the partitions of table ``name`` that ``df`` has rows of, when the write commits;
+    other partitions stay.  (An insert takes the mode from the session, so it is set for the
+    length of the write, one such write at a time.)"""
+    conf = df.sparkSession.conf
+    with _mode_lock:
+        before = conf.get(_MODE)
+        conf.set(_MODE, "dynamic")
+        try:
+            df.write.mode("overwrite").insertInto(name)
+        finally:
+            conf.set(_MODE, before)
+
+
+def record_run(ids: DataFrame, name: str, run: str, column: str = "run") -> None:
+    """Write the ids of one run to its own partition of a ledger table, created if it is absent.
+
+    Ids that other runs hold are left out, so an id stands in the ledger once.  The partition is
+    replaced as a whole when the write commits (dynamic partition overwrite): a repeated, killed
+    or restarted run adds nothing twice, and runs that write at the same time touch different
+    partitions.
+    """
+    spark = ids.sparkSession
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema.fields), f"`{column}` STRING"]
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(fields)}) USING parquet PARTITIONED BY ({column}) COMMENT 'item ids already drawn'")
+    others = spark.table(name).where(F.col(column) != run).select(*ids.columns)
+    overwrite_partitions(ids.join(others, ids.columns, "left_anti").withColumn(column, F.lit(run)), name)
+
+
 def write_bucketed(df: DataFrame, name: str, n: int = 1024, key: str = "shop_id", fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Hash-clustered, sorted layout so joins and aggregations on ``key`` skip the shuffle."""
-    df.write.mode(mode).format(fmt).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    """Hash-clustered, sorted layout so joins and aggregations on ``key`` skip the shuffle; one
+    file a bucket, as the rows are first dealt to the buckets' tasks."""
+    df.repartition(n, F.col(key)).write.mode(mode).format(fmt).bucketBy(n, key).sortBy(key).saveAsTable(name)
 
 
 def write_partitioned(df: DataFrame, path_or_name: str, col: str = "pt", fmt: str = "parquet", mode: str = "overwrite", table: bool = False) -> None:
-    """Directory-partitioned layout on a ``yyyymmdd`` text column (static pruning on read)."""
-    w = df.repartition(col).write.mode(mode).format(fmt).partitionBy(col)
+    """Directory-partitioned layout on a ``yyyymmdd`` text column (static pruning on read).
+
+    Rows are rebalanced by ``col``: small days share a task, and a day of more than the advisory
+    partition size is split over several, so no day is one task's work or one file.
+    """
+    w = df.hint("rebalance", F.col(col)).write.mode(mode).format(fmt).partitionBy(col)
     if table:
         w.saveAsTable(path_or_name)
     else:

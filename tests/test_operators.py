@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from panelcraft.operators import flag_in, groups_larger_than, replicate
+from panelcraft.operators import exclude, flag_in, groups_larger_than, replicate
 from panelcraft.sources import lookup
 
 
@@ -53,3 +53,44 @@ def test_image_and_no_image_partition_all_comments(spark):
     c = fixture_sources(spark, "/root/testdata/sf0.001").comments
     t = comment_image_stats(c).agg(F.sum("img_comment_cnt").alias("a"), F.sum("no_img_comment_cnt").alias("b")).first()
     assert t.a + t.b == c.count()
+
+
+def test_bloom_anti_join_is_exact(spark):
+    """The filter only decides which rows meet the ids; with few bits, false positives are many."""
+    from panelcraft.operators.bloom import bloom_table, exclude_filtered, maybe_in, merge_blooms
+
+    df = spark.range(20_000).select((F.col("id") - 5).alias("item_id"), F.lit(1).alias("bucket")).unionByName(spark.createDataFrame([(None, 2)], "item_id long, bucket int"))
+    ids = spark.range(0, 20_000, 7).toDF("item_id").unionByName(spark.createDataFrame([(None,)], "item_id long"))
+    want = sorted(map(tuple, exclude(df, ids, "item_id").collect()), key=str)
+    for buckets in (1, 64):
+        half = [bloom_table(ids.where(F.col("item_id") % 2 == i), "item_id", buckets) for i in (0, 1)]
+        bloom = merge_blooms(half[0].unionByName(half[1]))
+        assert bloom.count() <= buckets
+        told = maybe_in(df, bloom, "item_id", "maybe", buckets)
+        assert told.join(ids, "item_id").where("not maybe").count() == 0  # no id is missed
+        passed = told.where("maybe").count()
+        assert passed < 4500 if buckets == 64 else passed >= 2857
+        assert sorted(map(tuple, exclude_filtered(df, ids, "item_id", bloom, buckets).collect()), key=str) == want
+    empty = ids.limit(0)
+    assert exclude_filtered(df, empty, "item_id", bloom_table(empty, "item_id")).count() == df.count()
+
+
+def test_comments_of_a_hot_item_are_dealt_by_bins(spark):
+    """One item with nearly all comments: the join spreads them over tasks, rows as before."""
+    import datetime as dt
+
+    from panelcraft.plans.study import final_item_comment
+
+    n = 6000
+    comments = spark.range(n).select(
+        F.when(F.col("id") % 50 == 0, F.col("id") % 9).otherwise(F.lit(100)).alias("item_id"), F.col("id").alias("comment_id"), F.lit("u").alias("comment_seller_name"),
+        (F.lit(dt.datetime(2020, 1, 1)) + F.make_dt_interval((F.col("id") % 700).cast("int"))).alias("comment_time"), F.lit("[]").alias("comment_images"), F.lit("x").alias("comment_content"),
+    )
+    events = [(100, dt.date(2020, 3, 1)), (100, dt.date(2021, 2, 1)), (3, dt.date(2020, 6, 1))]
+    treated = spark.createDataFrame(events, "item_id long, g date")
+    fi = spark.createDataFrame([(100,), (3,), (4,)], "item_id long")
+    items = spark.createDataFrame([(100, 1, 0.1, 0.2)], "item_id long, comment_count long, bad_rate double, max_bad_rate double")
+    got = final_item_comment(comments, fi, treated, items, 60)
+    rows = comments.select("item_id", "comment_id", F.to_date("comment_time").alias("d")).collect()
+    want = sorted((r.item_id, r.comment_id) for r in rows for i, g in events if r.item_id == i and abs((r.d - g).days) <= 60)
+    assert sorted((r.item_id, r.comment_id) for r in got.collect()) == want

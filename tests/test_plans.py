@@ -40,8 +40,8 @@ def test_draws_limit_before_the_shuffle(spark):
 
 
 def test_final_item_day_scans(spark):
-    """The study reads the daily fact four times (panel sums, coverage, anchor days, final panel)
-    and the comments twice, however many tables are built from them."""
+    """The study reads the daily fact three times (panel sums with the day index, anchor days, final
+    panel) and the comments twice, however many tables are built from them."""
     from panelcraft.params import FIXTURE_STUDY
     from panelcraft.plans import cohort as co
     from panelcraft.plans import study as st
@@ -62,7 +62,7 @@ def test_final_item_day_scans(spark):
 
     study = st.Study(co.Cohort(src, FIXTURE_STUDY, keep=keep), keep=keep)
     count(study.final_item_day)
-    assert scans["daily"] <= 4 and scans["comments"] <= 2, scans
+    assert scans["daily"] <= 3 and scans["comments"] <= 2, scans
 
 
 def test_panel_scan_pushes_day_range_and_prunes_columns(spark):
@@ -87,7 +87,46 @@ def test_anchor_snapshot_prunes_partitions(spark, scratch):
     assert crawl_rows_outside_slack(stored, p) == 0
     snap = anchor_snapshot(sampled, treated, stored, p)
     assert snap.where("anchor_price is not null").count() > 0
-    assert "PartitionFilters: [isnotnull(pt" in snap._jdf.queryExecution().toString()
+    assert "dynamicpruning" in snap._jdf.queryExecution().toString()
+
+
+def test_anchor_snapshot_reads_the_anchor_days_only(spark, scratch):
+    """Two anchor days far apart: the days between them are not read."""
+    from panelcraft.params import FIXTURE_STUDY
+    from panelcraft.plans.study import anchor_snapshot
+
+    day = dt.date(1996, 1, 1)
+    rows = [(i, dt.datetime.combine(day + dt.timedelta(days=d), dt.time(5)), d, 1, 1, f"{day + dt.timedelta(days=d):%Y%m%d}") for d in range(60) for i in (1, 2)]
+    columns = "item_id long, insert_time timestamp, cprice long, day_30_sales_volume long, add_volume long, pt string"
+    spark.createDataFrame(rows, columns).write.partitionBy("pt").parquet(f"{scratch}/daily")
+    stored = spark.read.schema(columns).parquet(f"{scratch}/daily")
+    treated = spark.createDataFrame([(1, day + dt.timedelta(days=3)), (2, day + dt.timedelta(days=51))], "item_id long, g date")
+    sampled = spark.createDataFrame([(1, 1, 0, 1), (2, 1, 0, 1)], "item_id long, shop_id long, category_id long, price_band long")
+    snap = anchor_snapshot(sampled, treated, stored, FIXTURE_STUDY.with_(pt_slack_days=1))
+    assert sorted((r.item_id, r.anchor_price) for r in snap.collect()) == [(1, 2), (2, 50)]
+    scans = snap._jdf.queryExecution().executedPlan().collectLeaves()
+    plan = snap._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and scans.size() > 0
+    assert files_read(snap) == 6  # two anchor days, a day of slack on either side
+
+
+def files_read(df) -> int:
+    """Files that the partitioned scans of a finished query read, from its metrics."""
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "TableCacheQueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if name == "FileSourceScanExec" and "dynamicpruning" in node.toString():
+            found += node.metrics().apply("numFiles").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
 
 
 def test_no_date_bound_drops_rows(spark):

@@ -64,10 +64,54 @@ def test_bucketed_panel_joins_without_shuffle(spark):
     q = registry.queries()
     assert _rows(out["tmp_eligible_treated"]) == _rows(q["eligible_treated"](spark, SF))
     end = f"_a_{digest(FIXTURE_STUDY)}"
-    panel, t0, g = (spark.table(f"pb_{n}{end}") for n in ("tmp_item_day_y1", "tmp_item_t0", "tmp_item_g"))
+    item_shop, t0, g = (spark.table(f"pb_{n}{end}") for n in ("tmp_item_shop_stats", "tmp_item_t0", "tmp_item_g"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = panel_coverage(g, t0, panel, FIXTURE_STUDY)._jdf.queryExecution().executedPlan().toString()
+        plan = panel_coverage(g, t0, item_shop, FIXTURE_STUDY)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_ledger_survives_repeated_and_killed_runs(spark):
+    """A run replaces its own partition: repeats add nothing, other runs' ids are left alone."""
+    from panelcraft.sources import record_run
+
+    spark.sql("DROP TABLE IF EXISTS t_runs")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "item_id bigint")
+    record_run(ids(1, 2, 3), "t_runs", "a")
+    record_run(ids(3, 4), "t_runs", "b")  # 3 stands in the ledger already
+    assert sorted(map(tuple, spark.table("t_runs").collect())) == [(1, "a"), (2, "a"), (3, "a"), (4, "b")]
+    record_run(ids(1, 2, 3), "t_runs", "a")  # a repeat
+    record_run(ids(3, 4), "t_runs", "b")
+    assert sorted(map(tuple, spark.table("t_runs").collect())) == [(1, "a"), (2, "a"), (3, "a"), (4, "b")]
+
+    def dies(batches):
+        yield from batches
+        raise RuntimeError("lost")
+
+    try:  # a run that dies while it writes leaves the ledger as it was
+        record_run(ids(1, 9).mapInArrow(dies, "item_id bigint"), "t_runs", "a")
+        raise AssertionError("the run should have failed")
+    except Exception as e:
+        assert "lost" in str(e)
+    spark.catalog.refreshTable("t_runs")
+    assert sorted(map(tuple, spark.table("t_runs").collect())) == [(1, "a"), (2, "a"), (3, "a"), (4, "b")]
+    record_run(ids(1, 9), "t_runs", "a")
+    assert sorted(map(tuple, spark.table("t_runs").collect())) == [(1, "a"), (4, "b"), (9, "a")]
+    spark.sql("DROP TABLE t_runs")
+
+
+def test_two_writers_of_the_ledger(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from panelcraft.sources import record_run
+
+    spark.sql("DROP TABLE IF EXISTS t_two")
+    record_run(spark.createDataFrame([(0,)], "item_id bigint"), "t_two", "first")
+    with ThreadPoolExecutor(2) as pool:
+        done = [pool.submit(record_run, spark.range(i * 100, i * 100 + 50).toDF("item_id"), "t_two", f"run{i}") for i in (1, 2)]
+        [x.result() for x in done]
+    spark.catalog.refreshTable("t_two")
+    assert spark.table("t_two").count() == 101 and spark.table("t_two").select("item_id").distinct().count() == 101
+    spark.sql("DROP TABLE t_two")
