@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import in_partitions
+from .sketches import LG, K
 
 
 def _c(col) -> Column:
@@ -32,8 +33,12 @@ def row_count(df: DataFrame, out: str = "row_count") -> DataFrame:
     return df.agg(F.count(F.lit(1)).cast("bigint").alias(out))
 
 
-def count_distinct(df: DataFrame, col: str, by: list | None = None, out: str = "n_distinct") -> DataFrame:
+def count_distinct(df: DataFrame, col: str, by: list | None = None, out: str = "n_distinct", exact: bool = True) -> DataFrame:
+    """Distinct values; ``exact=False`` estimates them by one HyperLogLog sketch a group (see
+    ``sketches`` for its error, and for sketches kept per day)."""
     g = df.groupBy(*by) if by else df
+    if not exact:
+        return g.agg(F.hll_sketch_estimate(F.hll_sketch_agg(col, F.lit(LG))).cast("bigint").alias(out))
     return g.agg(F.countDistinct(col).cast("bigint").alias(out))
 
 
@@ -84,14 +89,19 @@ def _percentile_aggs(ps: dict[str, float], scale: int) -> tuple[Column, list[Col
     return wanted, out
 
 
-def exact_percentiles(df: DataFrame, col: str, ps: dict[str, float], scale: int = 6) -> DataFrame:
-    """One row with the exact (interpolated) percentile of ``col`` for each ``name: p``.
+def exact_percentiles(df: DataFrame, col: str, ps: dict[str, float], scale: int = 6, exact: bool = True) -> DataFrame:
+    """One row with the exact (interpolated) percentile of ``col`` for each ``name: p``; with
+    ``exact=False`` those of one KLL sketch of the integer column (see ``sketches``).
 
     Same definition as SQL ``PERCENTILE``/``quantile_cont``: position ``h = p * (n - 1)``,
     interpolate between the values at ranks ``floor(h)`` and ``ceil(h)``, read off the
     cumulated value counts; only the values at the needed ranks reach the final one-row
     aggregation.  Results are rounded to ``scale`` decimals.
     """
+    if not exact:
+        sketch = df.agg(F.kll_sketch_agg_bigint(F.col(col).cast("bigint"), F.lit(K)).alias("kll"))
+        some = F.kll_sketch_get_n_bigint("kll") > 0
+        return sketch.select(*[F.when(some, F.kll_sketch_get_quantile_bigint("kll", F.lit(float(p)))).cast("double").alias(n) for n, p in ps.items()])
     wanted, aggs = _percentile_aggs(ps, scale)
     return _cumulated_values(df, col).where(wanted).agg(*aggs)
 

@@ -30,7 +30,7 @@ from .ordering import SortKey, literal, precedes, sort_keys, sorted_rows
 _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position in partition
 _POS_MASK = (1 << _POS_BITS) - 1
 PIECES, SAMPLE = 64, 4096
-CUT_BY = 2  # leading order columns that the bounds are made of
+CUT_BY = 3  # leading order columns that the bounds are made of
 
 
 def in_partitions(df: DataFrame, sort_cols: list[Column]) -> DataFrame:

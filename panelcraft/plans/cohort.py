@@ -15,12 +15,12 @@ from ..session import freeze
 from ..sources import Sources, partition_range
 
 
-def item_day(daily: DataFrame, p: StudyParams) -> DataFrame:
+def item_day(daily: DataFrame, p: StudyParams, keep: list[str] | None = None) -> DataFrame:
     """One-year item-day panel: crawl day as ``pt`` (DATE), sales, price, categories.
 
     Every crawl row is kept (an item may have several rows on a day, quirk Q9).  The day
     range is written on the raw timestamp so it reaches the scan as a pushed filter; with
-    ``p.pt_slack_days`` a ``pt`` text range around it prunes partitions.
+    ``p.pt_slack_days`` a ``pt`` text range around it prunes partitions.  ``keep``: further columns.
     """
     pt = p.pt_range(p.start, p.end)
     d = partition_range(daily, *pt) if pt else daily
@@ -33,6 +33,7 @@ def item_day(daily: DataFrame, p: StudyParams) -> DataFrame:
         "cprice",
         "category_id",
         "root_category_id",
+        *(keep or []),
     )
 
 

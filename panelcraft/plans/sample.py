@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import range_label, range_labels
 from ..operators import equal_width_level, exclude, keep_in, rank_latest, sample_quota, two_stage_sample, value_range
+from ..operators.bloom import exclude_filtered
 from ..params import WideParams
 from ..sources import partition_range
 
@@ -71,8 +72,9 @@ def ledger_rows(sample: DataFrame) -> DataFrame:
     return sampled_ids(sample)
 
 
-def _eligible_for_levels(wide: DataFrame, ledger: DataFrame) -> DataFrame:
-    return exclude(wide, ledger, "item_id").where(
+def _eligible_for_levels(wide: DataFrame, ledger: DataFrame, bloom: DataFrame | None = None) -> DataFrame:
+    left = exclude(wide, ledger, "item_id") if bloom is None else exclude_filtered(wide, ledger, "item_id", bloom)
+    return left.where(
         F.col("fans_num_no_unit").isNotNull()
         & (F.col("fans_num_no_unit") >= 0)
         & F.col("item_id").isNotNull()
@@ -85,17 +87,18 @@ def fan_bounds(wide: DataFrame, ledger: DataFrame) -> DataFrame:
     return value_range(_eligible_for_levels(wide, ledger), "fans_num_no_unit", "min_fan", "max_fan")
 
 
-def items_with_level(wide: DataFrame, ledger: DataFrame, levels: int, zero_to_one: bool = False) -> DataFrame:
-    """Equal-width fan level of every row not yet sampled; the one-row bounds become literals."""
-    eligible = _eligible_for_levels(wide, ledger)
+def items_with_level(wide: DataFrame, ledger: DataFrame, levels: int, zero_to_one: bool = False, bloom: DataFrame | None = None) -> DataFrame:
+    """Equal-width fan level of every row not yet sampled; the one-row bounds become literals.
+    ``bloom``: a filter of the ledger's ids (``operators.bloom``), so that few rows meet a long ledger."""
+    eligible = _eligible_for_levels(wide, ledger, bloom)
     b = value_range(eligible, "fans_num_no_unit", "lo", "hi").first()
     if b is None or b["lo"] is None:
         return eligible.withColumn("fan_level", F.lit(None).cast("bigint"))
     return eligible.withColumn("fan_level", equal_width_level(F.col("fans_num_no_unit"), b["lo"], b["hi"], levels, zero_to_one))
 
 
-def two_stage(wide: DataFrame, ledger: DataFrame, wp: WideParams) -> DataFrame:
+def two_stage(wide: DataFrame, ledger: DataFrame, wp: WideParams, bloom: DataFrame | None = None) -> DataFrame:
     """Per fan level ``shops_per_level`` random shops, then ``items_per_shop`` random items per shop."""
-    lv = items_with_level(wide, ledger, wp.levels, wp.zero_to_one)
+    lv = items_with_level(wide, ledger, wp.levels, wp.zero_to_one, bloom)
     return two_stage_sample(lv, "fan_level", "item_shop_id", wp.shops_per_level, wp.items_per_shop, wp.seed, ["item_id"])
 

@@ -15,10 +15,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.bloom import bloom_table, merge_blooms
 from ..params import TABLE_NAMES as N
 from ..params import StudyParams, WideParams
 from ..session import freeze
-from ..sources import Sources, cast_to, create_table, materialize, overwrite_into, record_run, typed_schema
+from ..sources import Sources, cast_to, create_by_run, create_table, materialize, overwrite_into, overwrite_partitions, record_run, typed_schema
+from ..sources.refresh import refresh
 from ..sources.schemas import WIDE_TABLE_TYPES
 from . import cohort as co
 from . import sample as sa
@@ -85,6 +87,21 @@ def run_study(
     return out
 
 
+def refresh_panel(src: Sources, daily_root: str, p: StudyParams, name: str) -> list[str]:
+    """Bring the stored item-day panel up to date with the daily table under ``daily_root``: only the
+    source partitions that changed are read and rewritten (``sources.refresh``).  Returns them.
+
+    The panel is stored by source partition (``src_pt``); a crawl row belongs to one, so rebuilding
+    some of them equals a full run.
+    """
+
+    def build(daily: DataFrame) -> DataFrame:
+        return co.item_day(daily.withColumn("src_pt", F.col("pt")), p, keep=["src_pt"])
+
+    daily = src.daily.withColumn("src_pt", F.col("pt"))
+    return refresh(daily, daily_root, name, build, col="src_pt", root_col="pt")
+
+
 def load_wide(df: DataFrame, name: str, mode: str) -> DataFrame:
     """``INSERT OVERWRITE`` into the typed wide table (ids STRING, money DOUBLE), created if it is
     absent; returned with the source's types, in which the later steps join."""
@@ -116,9 +133,16 @@ def run_sampling(
     ids = sa.sampled_ids(single)
     history = store(sa.daily_history(src.daily, ids, wp.history), N["sample_history"])
     comments = store(sa.comments_of(src.comments, ids), N["sample_comments"])
-    record_run(sa.ledger_rows(single), prefix + ledger, f"{wp.min_days}_{digest(wp)}" if run is None else run)
+    run = f"{wp.min_days}_{digest(wp)}" if run is None else run
+    drawn = sa.ledger_rows(single)
+    record_run(drawn, prefix + ledger, run)
     excluded = spark.table(prefix + ledger).select("item_id")
-    two = store(sa.two_stage(wide[30], excluded, wp), N["two_stage_sample"].format(n=30) + "_two_stage")
+    # each run keeps a Bloom filter of its ids, so the ledger is never read again to extend it
+    blooms = f"{prefix}{ledger}__bloom"
+    bits = bloom_table(drawn, "item_id")
+    create_by_run(bits, blooms)
+    overwrite_partitions(bits.withColumn("run", F.lit(run)), blooms)
+    two = store(sa.two_stage(wide[30], excluded, wp, merge_blooms(spark.table(blooms))), N["two_stage_sample"].format(n=30) + "_two_stage")
     control = store(wi.control_items(src, wp), N["control_wide"])
     out = {f"wide_{n}": df for n, df in wide.items()}
     return out | {

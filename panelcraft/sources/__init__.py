@@ -12,7 +12,19 @@ from .readers import (
     read_shops,
     read_sources,
 )
-from .sinks import append_into, cast_to, create_table, materialize, overwrite_into, record_run, typed_schema, write_bucketed, write_partitioned
+from .sinks import (
+    append_into,
+    cast_to,
+    create_by_run,
+    create_table,
+    materialize,
+    overwrite_into,
+    overwrite_partitions,
+    record_run,
+    typed_schema,
+    write_bucketed,
+    write_partitioned,
+)
 
 __all__ = [
     "Sources",
@@ -26,6 +38,8 @@ __all__ = [
     "materialize",
     "overwrite_into",
     "partition_range",
+    "create_by_run",
+    "overwrite_partitions",
     "record_run",
     "read_comments",
     "read_daily",

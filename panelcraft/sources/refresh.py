@@ -54,9 +54,10 @@ def _overwrite_partitions(df: DataFrame, name: str, col: str) -> None:
     overwrite_partitions(df.select(*[c for c in df.columns if c != col], col).hint("rebalance", F.col(col)), name)
 
 
-def refresh(source: DataFrame, root: str, name: str, build: Callable[[DataFrame], DataFrame], col: str = "pt") -> list[str]:
-    """Bring table ``name`` up to date with ``source``, stored under ``root`` by ``col``; returns
-    the partition values that were rebuilt or dropped.
+def refresh(source: DataFrame, root: str, name: str, build: Callable[[DataFrame], DataFrame], col: str = "pt", root_col: str | None = None) -> list[str]:
+    """Bring table ``name`` up to date with ``source``, stored under ``root`` by ``col`` (in the folders
+    named by ``root_col``, if that is another name); returns the partition values that were rebuilt
+    or dropped.
 
     ``build`` maps rows of the source to rows of the table, partition by partition: it must keep
     ``col`` and never combine rows of different partitions, so that rebuilding some of them equals
@@ -64,7 +65,7 @@ def refresh(source: DataFrame, root: str, name: str, build: Callable[[DataFrame]
     """
     spark = source.sparkSession
     stored = f"{name}__manifest"
-    now = manifest(spark, root, col)
+    now = manifest(spark, root, root_col or col)
     known = {r["value"]: r["digest"] for r in spark.table(stored).collect()} if spark.catalog.tableExists(stored) else {}
     changed = sorted(v for v, digest in now.items() if known.get(v) != digest)
     gone = sorted(v for v in known if v not in now)

@@ -96,12 +96,17 @@ def record_run(ids: DataFrame, name: str, run: str, column: str = "run") -> None
     partitions.
     """
     spark = ids.sparkSession
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema.fields), f"`{column}` STRING"]
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(fields)}) USING parquet PARTITIONED BY ({column}) COMMENT 'item ids already drawn'")
+    create_by_run(ids, name, column)
     others = spark.table(name).where(F.col(column) != run).select(*ids.columns)
     overwrite_partitions(ids.join(others, ids.columns, "left_anti").withColumn(column, F.lit(run)), name)
 
 
+def create_by_run(rows: DataFrame, name: str, column: str = "run") -> None:
+    """Create a table of ``rows``' columns, partitioned by run, if it is absent."""
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), f"`{column}` STRING"]
+    rows.sparkSession.sql(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(fields)}) USING parquet PARTITIONED BY ({column}) COMMENT 'by run'")
+
+
 def write_bucketed(df: DataFrame, name: str, n: int = 1024, key: str = "shop_id", fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Hash-clustered, sorted layout so joins and aggregations on ``key`` skip the shuffle; one
     file a bucket, as the rows are first dealt to the buckets' tasks."""

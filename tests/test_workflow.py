@@ -115,3 +115,40 @@ def test_two_writers_of_the_ledger(spark):
     spark.catalog.refreshTable("t_two")
     assert spark.table("t_two").count() == 101 and spark.table("t_two").select("item_id").distinct().count() == 101
     spark.sql("DROP TABLE t_two")
+
+
+def test_refreshed_panel_equals_a_full_run(spark, scratch):
+    """One changed day: one partition is rewritten, and the panel is that of a full run."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from panelcraft.plans.cohort import item_day
+    from panelcraft.plans.workflow import refresh_panel
+    from panelcraft.sources import Sources
+
+    for t in ("pr_panel", "pr_panel__manifest"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    root = f"{scratch}/daily"
+    whole = fixture_sources(spark, SF).daily.where("insert_time < timestamp'1995-02-15' AND insert_time >= timestamp'1994-12-20'")
+    whole.write.partitionBy("pt").parquet(root)
+
+    def src():
+        daily = spark.read.schema(whole.schema).parquet(root).select(*whole.columns)
+        return Sources(items=None, daily=daily, comments=None, shops=None)
+
+    def full():
+        return sorted(map(tuple, item_day(src().daily, FIXTURE_STUDY).collect()), key=repr)
+
+    def stored():
+        spark.catalog.refreshTable("pr_panel")
+        return sorted(map(tuple, spark.table("pr_panel").drop("src_pt").collect()), key=repr)
+
+    first = refresh_panel(src(), root, FIXTURE_STUDY, "pr_panel")
+    assert len(first) > 20 and stored() == full() and stored()
+    day = whole.where("pt = '19950110'").limit(1).withColumn("cprice", F.lit(123456).cast("bigint"))
+    day.write.mode("append").partitionBy("pt").parquet(root)
+    assert refresh_panel(src(), root, FIXTURE_STUDY, "pr_panel") == ["19950110"]
+    assert stored() == full() and any(123456 in r for r in stored())
+    assert refresh_panel(src(), root, FIXTURE_STUDY, "pr_panel") == []
+    assert dt.date(1995, 1, 10) in {r[2] for r in stored()}
