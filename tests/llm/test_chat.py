@@ -75,3 +75,51 @@ def test_turns_are_reversible(role, text):
     found = chat.TURN.fullmatch(formatted)
     assert (chat.unescape(found[1]), chat.unescape(found[2])) == (role, text)
     assert formatted.count("</turn>") == 1
+
+
+def test_token_units(spark, sf):
+    """Offsets, positions and intervals in tokens; equal turns have equal ids, which spell the text."""
+    from tokenizers import Tokenizer
+
+    from panelcraft.llm.packing import default_tokenizer
+
+    tok = Tokenizer.from_file(default_tokenizer())
+    rows = chat.prefix_tree(spark.createDataFrame(shared(), CONV).repartition(3)).where("NOT ended").orderBy("shard", "seq").collect()
+    path, stream = [], {}
+    for r in rows:
+        path[r.depth :] = [r]
+        assert r.ids == tok.encode(r.text, add_special_tokens=False).ids
+        assert r.token_position == sum(len(p.ids) for p in path[:-1])
+        assert r.token_start == stream.get(r.shard, 0)
+        covered = [i for a in r.token_ancestors for i in range(a.start, a.stop)]
+        assert covered == [i for p in path[:-1] for i in range(p.token_start, p.token_start + len(p.ids))]
+        stream[r.shard] = r.token_start + len(r.ids)
+
+
+def test_hot_and_null_conversations(spark, sf, monkeypatch):
+    """A conversation (and a null conv_id) with a third of all rows, over several blocks of turns."""
+    monkeypatch.setattr(chat, "BLOCK", 100)
+    rows = [(7, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(700)] + [(None, i % 300, "user", f"x{i % 9}") for i in range(600)]
+    rows += [(8, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(650)]  # a prefix of 7
+    rows += [(1000 + c, t, "assistant", f"{c} {t}") for c in range(200) for t in range(3)]
+    df = spark.createDataFrame(rows, CONV).repartition(4)
+    nodes = chat.prefix_tree(df)
+    assert got_rows(chat.read_back(nodes)) == expected_rows(rows)
+    paths = chat.paths_of(chat.turns_of(df)).collect()
+    assert max(len(r.path) for r in paths) <= chat.DEEP + 32
+    plan = chat.turns_of(df)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_prefix_digests_do_not_depend_on_blocks(spark, sf, monkeypatch):
+    rows = [(c, i, "user", f"t{i % 7}") for c in (1, 2) for i in range(50)] + [(3, 0, "user", "t0"), (3, 1, "user", "t0")]
+    df = spark.createDataFrame(rows, CONV)
+    want = sorted(map(tuple, chat.turns_of(df).collect()))
+    assert len({r[4:] for r in want if r[0] == 1}) == 50 and [r[1:] for r in want if r[0] == 1] == [r[1:] for r in want if r[0] == 2]
+    monkeypatch.setattr(chat, "BLOCK", 7)
+    assert sorted(map(tuple, chat.turns_of(df).collect())) == want
+
+
+def test_a_long_text(spark, sf):
+    rows = [(1, 0, "user", "<#:\\ " * 20_000), (1, 1, "assistant", "y" * 50_000)]
+    assert got_rows(chat.read_back(chat.prefix_tree(spark.createDataFrame(rows, CONV)))) == expected_rows(rows)
