@@ -5,15 +5,18 @@ become a sorted array of 64-bit hashes with the windows' words; every document's
 rolled and looked up in it, each hash hit is verified word by word, and the words covered by
 verified hits are removed as spans, or their documents dropped.
 
-Scale: one pass over the documents, no shuffle of texts.  The benchmark's window set is
-counted first; while it exceeds ``block_windows`` it is processed in blocks of that many
-windows by hash range (one scan per block, hit ranges united per document), so what is
-broadcast has a fixed bound whatever the benchmark's size.
+Scale: one pass over the documents, no shuffle of texts.  The benchmark's different windows are
+counted first; while they exceed ``block_windows`` they are processed in blocks of that many
+by hash range (one scan per block, hit ranges united per document), so what is broadcast has a
+fixed bound whatever the benchmark's size and however many items share a window.  Which items a
+window belongs to stays in Spark: where items are asked for, the windows found in a document meet
+them in a join.
 
 Defined cases: a null or empty text has no words and is never hit; a null or word-less item
 has no window; repeated items count once per item_id (a null item_id is named ``null``);
-repeated documents are reported once per row; other columns pass through untouched in
-``remove_documents``/``remove_spans``.
+repeated documents are reported once per row; items are listed in the order of their ids as
+strings; a very long text is a block of its own; other columns, also of clashing names, pass through
+untouched in ``remove_documents``/``remove_spans``; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
@@ -27,15 +30,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import freeze
 from .tables import free_name, table
 from .words import U, word_blocks, words_hash
 
 N = 10
-BLOCK_WINDOWS = 200_000  # about 60 MB in a task: hashes, window texts and item ids
-WINDOW_SCHEMA = "n int, hash long, words binary, item_id string"
+BLOCK_WINDOWS = 200_000  # about 50 MB in a task: hashes and window texts
+WINDOW_SCHEMA = "n int, hash long, check long, words binary, item_id string"
+WINDOW_ID = ["n", "hash", "check"]  # the words' number and two hashes of them
 RANGE_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-SCAN_ARROW = pa.struct([("n_words", pa.int64()), ("hits", RANGE_TYPE), ("items", pa.list_(pa.string()))])
-SCAN_TYPE = "struct<n_words: long, hits: array<struct<start: int, stop: int>>, items: array<string>>"
+FOUND_TYPE = pa.list_(pa.struct([("n", pa.int32()), ("hash", pa.int64()), ("check", pa.int64())]))
+SCAN_ARROW = pa.struct([("n_words", pa.int64()), ("hits", RANGE_TYPE), ("windows", FOUND_TYPE)])
+SCAN_TYPE = "struct<n_words: long, hits: array<struct<start: int, stop: int>>, windows: array<struct<n: int, hash: long, check: long>>>"
 
 
 def item_windows(benchmark: DataFrame, n: int = N, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -54,16 +60,20 @@ def item_windows(benchmark: DataFrame, n: int = N, id_col: str = "item_id", text
                         rows.add((k, b" ".join(words[i : i + k]), ids[b.first + r]))
             if rows:
                 k, words, items = zip(*sorted(rows, key=str), strict=True)
-                hashes = [signed64(words_hash(w)) for w in words]
+                hashes, checks = [signed64(words_hash(w)) for w in words], [check_hash(w) for w in words]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k, pa.int32()), pa.array(hashes, pa.int64()), pa.array(words, pa.binary()), pa.array(items, pa.string())],
-                    names=["n", "hash", "words", "item_id"],
+                    [pa.array(k, pa.int32()), pa.array(hashes, pa.int64()), pa.array(checks, pa.int64()), pa.array(words, pa.binary()), pa.array(items, pa.string())],
+                    names=["n", "hash", "check", "words", "item_id"],
                 )
 
     picked = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")))
     return picked.mapInArrow(windows, WINDOW_SCHEMA).distinct()
 
 
+def check_hash(words: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
+
+
 def signed64(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
@@ -71,28 +81,28 @@ def signed64(h: int) -> int:
 class _WindowSet:
     """Windows of one block, looked up by (length, hash) and verified by their words."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes, str]]) -> None:
-        by_hash: dict[tuple[int, int], dict[bytes, list[str]]] = {}
-        for n, h, words, item in rows:
-            by_hash.setdefault((n, h % (1 << 64)), {}).setdefault(words, []).append(item)
+    def __init__(self, rows: list[tuple[int, int, bytes]]) -> None:
+        by_hash: dict[tuple[int, int], set[bytes]] = {}
+        for n, h, words in rows:
+            by_hash.setdefault((n, h % (1 << 64)), set()).add(words)
         self.by_hash = by_hash
         self.sorted = {k: np.sort(np.array([h for n, h in by_hash if n == k], U)) for k in {n for n, _ in by_hash}}
 
-    def find(self, b, k: int) -> Iterator[tuple[int, list[str]]]:
-        """(start word, items) of every verified window of k words in the block."""
+    def find(self, b, k: int) -> Iterator[tuple[int, tuple[int, int, int]]]:
+        """(start word, window id) of every verified window of k words in the block."""
         known = self.sorted[k]
         start, h = b.grams(k)
         at = np.searchsorted(known, h)
         for i in np.flatnonzero(known[np.minimum(at, len(known) - 1)] == h):
             w = int(start[i])
-            items = self.by_hash[k, int(h[i])].get(b.words(w, w + k))
-            if items:
-                yield w, items
+            words = b.words(w, w + k)
+            if words in self.by_hash[k, int(h[i])]:
+                yield w, (k, signed64(int(h[i])), check_hash(words))
 
 
 def scan(docs: DataFrame, windows: DataFrame, out: str, text_col: str, keep_text: bool = True) -> DataFrame:
-    """Add ``out`` (n_words, hits as merged word ranges, items) for one block of windows."""
-    rows = [(r["n"], r["hash"], bytes(r["words"]), r["item_id"]) for r in windows.collect()]
+    """Add ``out`` (n_words, hits as merged word ranges, ids of the windows) for one block of windows."""
+    rows = [(r["n"], r["hash"], bytes(r["words"])) for r in windows.collect()]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
     kept = [c for c in docs.columns if keep_text or c != text_col]
 
@@ -102,15 +112,16 @@ def scan(docs: DataFrame, windows: DataFrame, out: str, text_col: str, keep_text
             got: list[dict] = []
             for b in word_blocks(batch.column(text_col)):
                 hits: list[dict[int, int]] = [{} for _ in range(b.rows)]
-                items: list[set] = [set() for _ in range(b.rows)]
+                seen: list[set] = [set() for _ in range(b.rows)]
                 for k in index.sorted:
                     for w, found in index.find(b, k):
                         r = int(np.searchsorted(b.bounds, w, "right")) - 1
                         at = w - int(b.bounds[r])
                         hits[r][at] = max(hits[r].get(at, 0), at + k)
-                        items[r].update(found)
-                for n_words, h, i in zip(b.counts().tolist(), hits, items, strict=True):
-                    got.append({"n_words": n_words, "hits": merge_ranges(sorted(h.items())), "items": sorted(i)})
+                        seen[r].add(found)
+                for n_words, h, i in zip(b.counts().tolist(), hits, seen, strict=True):
+                    windows = [dict(zip(WINDOW_ID, x, strict=True)) for x in sorted(i)]
+                    got.append({"n_words": n_words, "hits": merge_ranges(sorted(h.items())), "windows": windows})
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(got, SCAN_ARROW)], names=[*kept, out])
 
     schema = T.StructType([*docs.select(kept).schema.fields, T.StructField(out, T._parse_datatype_string(SCAN_TYPE))])
@@ -136,22 +147,41 @@ def find_benchmark(
     block_windows: int = BLOCK_WINDOWS,
     text_col: str = "text",
     keep_text: bool = True,
+    items: bool = True,
 ) -> DataFrame:
-    """``docs`` with a struct column ``out``: n_words, hits (merged word ranges), items."""
-    windows = item_windows(benchmark, n)
-    blocks = max(1, -(-windows.count() // block_windows))
-    if blocks == 1:
-        return scan(docs, windows, out, text_col, keep_text)
+    """``docs`` with a struct column ``out``: n_words, hits (merged word ranges) and, unless they are
+    not wanted, items."""
+    windows = freeze(item_windows(benchmark, n))
+    different = windows.select("n", "hash", "words").distinct()
+    blocks = max(1, -(-different.count() // block_windows))
     # blocks by hash range: each block is collected, broadcast and scanned by itself
     names = [f"{out}{b}" for b in range(blocks)]
     for b, name in enumerate(names):
-        block = windows.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b)
+        block = different.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b)
         docs = scan(docs, block, name, text_col, keep_text or b + 1 < blocks)
-    united = F.sort_array(F.flatten(F.array(*[F.col(c)["hits"] for c in names])))
-    merged = F.aggregate(united, F.expr("cast(array() as array<struct<start: int, stop: int>>)"), _join_range)
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(c)["items"] for c in names]))))
-    found = F.struct(F.col(names[0])["n_words"].alias("n_words"), merged.alias("hits"), items.alias("items"))
-    return docs.withColumn(out, found).drop(*names)
+    if blocks == 1:
+        found = docs.withColumnRenamed(names[0], out)
+    else:
+        united = F.sort_array(F.flatten(F.array(*[F.col(c)["hits"] for c in names])))
+        merged = F.aggregate(united, F.expr("cast(array() as array<struct<start: int, stop: int>>)"), _join_range)
+        each = F.flatten(F.array(*[F.col(c)["windows"] for c in names]))  # a window is in one block
+        found = docs.withColumn(out, F.struct(F.col(names[0])["n_words"].alias("n_words"), merged.alias("hits"), each.alias("windows"))).drop(*names)
+    return _with_items(found, windows, out) if items else found
+
+
+def _with_items(found: DataFrame, windows: DataFrame, out: str) -> DataFrame:
+    """The ids of the windows in ``out`` replaced by the distinct, sorted items that have them.
+
+    A document goes along with one row of its own, whose key meets nothing, so it is read once."""
+    cols = [c for c in found.columns if c != out]
+    own = F.struct(F.lit(0).alias("n"), F.xxhash64("row").alias("hash"), F.lit(0).cast("long").alias("check"))
+    told = found.select(F.monotonically_increasing_id().alias("row"), F.struct(*cols).alias("doc"), F.col(out).alias("scan"))
+    each = told.select("row", "doc", "scan", F.posexplode(F.concat(F.array(own), "scan.windows")).alias("i", "w"))
+    each = each.select("row", F.when(F.col("i") == 0, F.struct("doc", "scan")).alias("kept"), *[F.col(f"w.{c}") for c in WINDOW_ID])
+    met = each.join(windows.select(*WINDOW_ID, "item_id"), WINDOW_ID, "left")
+    rows = met.groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    scan_ = F.struct(F.col("kept.scan.n_words").alias("n_words"), F.col("kept.scan.hits").alias("hits"), F.col("items"))
+    return rows.select(*[F.col("kept.doc")[c].alias(c) for c in cols], scan_.alias(out))
 
 
 def _join_range(acc, x):
@@ -169,14 +199,14 @@ def hit_words(out: str):
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = N, max_hit_share: float = 0.0, text_col: str = "text") -> DataFrame:
     """Drop the documents of which more than ``max_hit_share`` of the words are hit."""
     out = free_name(docs, "benchmark_scan")
-    found = find_benchmark(docs, benchmark, out, n, text_col=text_col)
+    found = find_benchmark(docs, benchmark, out, n, text_col=text_col, items=False)
     return found.where(hit_words(out) <= F.col(out)["n_words"] * F.lit(max_hit_share)).drop(out)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text") -> DataFrame:
     """Cut the hit words (with what stands between them) out of the texts."""
     out = free_name(docs, "benchmark_scan")
-    found = find_benchmark(docs, benchmark, out, n, text_col=text_col)
+    found = find_benchmark(docs, benchmark, out, n, text_col=text_col, items=False)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,28 +242,3 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("scan.items", ","), 256).alias("items_sha256"),
         (hit_words("scan") > 0).alias("contaminated"),
     )
-
-
-def brute_force(docs: list[tuple], items: list[tuple], n: int = N) -> list[tuple]:
-    """The contract read literally, for tests: (doc_id, n_words, n_hit, n_items, sha256)."""
-    import re
-
-    def words(t):
-        low = (t or "").translate({c: c + 32 for c in range(65, 91)})
-        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
-
-    wins = {}
-    for i, t in items:
-        w = words(t)
-        for s in range(max(1, len(w) - n + 1) if w else 0):
-            wins.setdefault(tuple(w[s : s + n]), set()).add(str(i) if i is not None else "null")
-    out = []
-    for d, t in docs:
-        w, hit, got = words(t), set(), set()
-        for k in {len(x) for x in wins}:
-            for s in range(len(w) - k + 1):
-                if tuple(w[s : s + k]) in wins:
-                    hit.update(range(s, s + k))
-                    got |= wins[tuple(w[s : s + k])]
-        out.append((d, len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest()))
-    return out
