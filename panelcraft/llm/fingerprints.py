@@ -8,25 +8,30 @@ changes the chunks near it only.  The fingerprint is the sorted list ``digest:le
 of the different chunks; the likeness of one fingerprint to another is the share of its length
 whose chunks the other contains.
 
-Neighbours: ``with_next`` gives every text the next one in the order of doc_id without a global
-sort in one task: ranges of doc_id from approximate quantiles, one shuffle of the texts, and
-the first row of every range handed to the range before it.
+Neighbours: ``with_next`` gives every text the next one in the order of doc_id (of any ordered type)
+without a global sort in one task: ranges of doc_id from a sample of the ids, one shuffle of the
+texts, and the first row of every range handed to the range before it.  An id that holds several
+ranges' worth of rows is cut further, by the beginnings of its texts.
 
 Scale: one shuffle of the texts, streamed within sorted partitions; what reaches the driver is
-a bounded number of quantiles and the first id of every range.
+a bounded sample of ids (and of the ``PREFIX`` first characters of a hot id's texts) and the first
+id of every range.
 
 Defined cases: a null text is empty, an empty text has the empty fingerprint, which is like
 another empty one only (1) and like no other (0); a null doc_id sorts first, rows of equal
-doc_id by text; the only row of a table is its own next.
+doc_id by text (so of repeated rows each is the next of the one before); the only row of a table
+is its own next; a very long text is held by one task; extra columns are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +44,7 @@ from .words import U, mix
 
 LEAST, NORMAL, LARGEST = 16, 64, 256
 STRICT_BITS, LOOSE_BITS = 7, 5
-RANGES = 4096
+RANGES, SAMPLED, PREFIX = 4096, 8, 256
 #: Gear table by rule: the upper half of the mixed byte value.
 GEAR = (mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) >> U(32)).astype(np.uint32)
 
@@ -103,24 +108,46 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
+def _bounds(base: DataFrame, ranges: int) -> list[tuple]:
+    """Sorted first places (named, doc_id, beginning of the text) of all ranges but the first."""
+    share = min(1.0, SAMPLED * ranges / max(1, base.count()))
+    ids = sorted((x is not None, x) for x in base.select("doc_id").sample(share, seed=7).toArrow().column(0).to_pylist())
+    picks = Counter(ids[len(ids) * i // ranges] for i in range(1, ranges) if ids)
+    hot = [i[1] for i, n in picks.items() if n > 1]
+    out = {(*i, "") for i in picks}
+    if hot:
+        mine = F.col("doc_id").isin([x for x in hot if x is not None])
+        mine = mine | F.col("doc_id").isNull() if None in hot else mine
+        got = base.where(mine).select("doc_id", F.left("text", F.lit(PREFIX)).alias("begins")).sample(share, seed=8).toArrow()
+        texts = defaultdict(list)
+        for x, begins in zip(*(c.to_pylist() for c in got.columns), strict=True):
+            texts[x is not None, x].append(begins)
+        for i, each in texts.items():
+            each.sort()
+            out |= {(*i, each[len(each) * k // picks[i]]) for k in range(1, picks[i])}
+    return sorted(out)
+
+
 def ranged(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     """(bucket, guest, doc_id, text): the rows of every range of doc_id, and as ``guest`` the
     first row of the range after it (of the first range, after the last one)."""
     base = id_text(docs)
-    number = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = np.unique(base.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", shares, 0.5 / ranges))
+    bounds = _bounds(base, ranges)
+    cut = [b[1] for b in bounds if b[2]]
+    begins = F.when(F.col("doc_id").isNull() | F.col("doc_id").isin([x for x in cut if x is not None]), F.left("text", F.lit(PREFIX))).otherwise("")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    @F.pandas_udf("int")
-    def place(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, x.to_numpy(), "right").astype(np.int32))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            found = [bisect_right(bounds, (x is not None, x, b)) for x, b in keys]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], names=["doc_id", "text", "bucket"])
 
-    rows = base.withColumn("bucket", place(number))
+    rows = base.select("doc_id", "text", begins.alias("begins")).mapInArrow(place, f"doc_id {id_type}, text string, bucket int")
     order = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id")
-    firsts = sorted(rows.groupBy("bucket").agg(F.min(order).alias("o")).select("bucket", "o.doc_id").collect())
-    # at most ``ranges`` rows: the driver only pairs each range with the one before it
+    firsts = sorted((r.bucket, r.doc_id) for r in rows.groupBy("bucket").agg(F.min(order).alias("o")).select("bucket", "o.doc_id").collect())
+    # at most a few rows a range: the driver only pairs each range with the one before it
     guests = [(b, d, firsts[i - 1][0]) for i, (b, d) in enumerate(firsts)]
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     named = docs.sparkSession.createDataFrame(guests, f"b int, d {id_type}, host int")
     same = (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d"))
     heads = rows.join(F.broadcast(named), same).groupBy("host", "doc_id").agg(F.min("text").alias("text"))
