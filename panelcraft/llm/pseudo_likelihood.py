@@ -46,7 +46,8 @@ CLUSTERS, LEAVES, WIDTH, DIM = 64, 64, 2, 16
 SIZE = CLUSTERS * LEAVES
 RARE = LEAVES  # the last cluster
 TOP = SIZE - RARE
-ROUNDS, BATCH, LEAST, STEPS, RATE, FAN_IN, CHUNK = 2, 8192, 64, 150, 0.01, 8, 32_768
+ROUNDS, BATCH, LEAST, STEPS, RATE, FAN_IN, CHUNK = 2, 8192, 64, 150, 0.01, 8, 16_384
+PART_WORDS = 2_000_000
 OFFSETS = [o for o in range(-WIDTH, WIDTH + 1) if o]
 ALL_WORDS = 0  # the key under which the number of all words is counted
 
@@ -85,54 +86,75 @@ class Network:
         out = np.empty(len(target), np.float32)
         for i in range(0, len(target), CHUNK):
             h, t = self.hidden(context[:, i : i + CHUNK]), target[i : i + CHUNK]
-            cluster, part = t // LEAVES, out[i : i + CHUNK]
-            part[:] = _log_softmax(h @ self.out + self.out_bias, cluster)
-            for c, rows in _by_cluster(cluster):
-                part[rows] += _log_softmax(h[rows] @ self.leaf[c] + self.leaf_bias[c], t[rows] % LEAVES)
+            cluster = t // LEAVES
+            part = _log_softmax(h @ self.out + self.out_bias, cluster)
+            order, runs = _by_cluster(cluster)
+            part[order] += _log_softmax(self._leaf_logits(h[order], runs), t[order] % LEAVES)
+            out[i : i + CHUNK] = part
+        return out
+
+    def _leaf_logits(self, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits of every row's own cluster's classes; the rows are in runs of a cluster."""
+        out = np.empty((len(h), LEAVES), np.float32)
+        for c, a, b in runs:
+            np.matmul(h[a:b], self.leaf[c], out=out[a:b])
+            out[a:b] += self.leaf_bias[c]
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Gradient of the mean negative log probability."""
-        n = len(target)
         h, cluster = self.hidden(context), target // LEAVES
-        p = _excess(h @ self.out + self.out_bias, cluster, n)
+        p = _excess(h @ self.out + self.out_bias, cluster)
         back = p @ self.out.T
         leaf, leaf_bias = np.zeros(self.leaf.shape, np.float32), np.zeros(self.leaf_bias.shape, np.float32)
-        for c, rows in _by_cluster(cluster):
-            q = _excess(h[rows] @ self.leaf[c] + self.leaf_bias[c], target[rows] % LEAVES, n)
-            back[rows] += q @ self.leaf[c].T
-            leaf[c], leaf_bias[c] = h[rows].T @ q, q.sum(axis=0)
+        order, runs = _by_cluster(cluster)
+        near = h[order]
+        q = _excess(self._leaf_logits(near, runs), target[order] % LEAVES)
+        ends = np.empty_like(near)
+        for c, a, b in runs:
+            np.matmul(q[a:b], self.leaf[c].T, out=ends[a:b])
+            leaf[c], leaf_bias[c] = near[a:b].T @ q[a:b], q[a:b].sum(axis=0)
+        back[order] += ends
         back *= 1 - h * h
-        embed = np.zeros(self.SHAPES[0], np.float32)
-        for j in range(len(OFFSETS)):
-            order = np.argsort(context[j], kind="stable")
-            ids = context[j][order]
-            first = np.flatnonzero(np.diff(ids, prepend=-1))
-            embed[j, ids[first]] = np.add.reduceat(back[order], first, axis=0)
-        parts = [embed, back.sum(axis=0), h.T @ p, p.sum(axis=0), leaf, leaf_bias]
-        return np.concatenate([x.reshape(-1) for x in parts])
-
-
-def _by_cluster(cluster: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cluster.astype(np.int16), kind="stable")
+        at, weights = np.arange(DIM), back.reshape(-1).astype(np.float64)
+        embed = [np.bincount((c[:, None] * DIM + at).reshape(-1), weights, (SIZE + 1) * DIM) for c in context]
+        parts = [*embed, back.sum(axis=0), h.T @ p, p.sum(axis=0), leaf, leaf_bias]
+        g = np.concatenate([x.reshape(-1) for x in parts], dtype=np.float32, casting="same_kind")
+        g /= len(target)
+        return g
+
+
+def _by_cluster(cluster: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order by cluster, (cluster, first, after the last) of every run in it)."""
+    order = np.argsort(cluster.astype(np.int16), kind="stable")  # two bytes: a radix sort
     ends = np.cumsum(np.bincount(cluster, minlength=CLUSTERS))
-    for c in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
-        yield c, order[ends[c - 1] if c else 0 : ends[c]]
+    return order, [(c, int(ends[c - 1]) if c else 0, int(ends[c])) for c in np.flatnonzero(np.diff(ends, prepend=0)).tolist()]
+
+
+SAFE = 60.0  # a spread of logits at which exp neither overflows nor vanishes in float32
+
+
+def _exp(logits: np.ndarray) -> np.ndarray | float:
+    """exp of the logits in place, less a shift; returns the shift, of all or of every row."""
+    shift = logits.max() if logits.size else np.float32(0)
+    if logits.size and shift - logits.min() > SAFE:
+        shift = logits.max(axis=1)[:, None]
+    logits -= shift
+    np.exp(logits, out=logits)
+    return shift
 
 
 def _log_softmax(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1)[:, None]
     mine = logits[np.arange(len(own)), own]
-    return mine - np.log(np.exp(logits, out=logits).sum(axis=1))
+    shift = _exp(logits)
+    return mine - np.log(logits @ np.ones(logits.shape[1], np.float32)) - (shift[:, 0] if np.ndim(shift) else shift)
 
 
-def _excess(logits: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    """(softmax - one at the own class) / n."""
-    logits -= logits.max(axis=1)[:, None]
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1)[:, None]
+def _excess(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """softmax - one at the own class."""
+    _exp(logits)
+    logits *= (1 / (logits @ np.ones(logits.shape[1], np.float32)))[:, None]
     logits[np.arange(len(own)), own] -= 1
-    logits /= n
     return logits
 
 
@@ -205,6 +227,8 @@ def train(docs: DataFrame, counts: DataFrame) -> tuple[Network, np.ndarray, np.n
     order = np.argsort(hashes)
     hashes, ids = hashes[order], order.astype(np.int64)
     net = Network.start((share / share.sum()).astype(np.float32))
+    # small partitions are read together, so that none of them has to repeat its few targets
+    docs = docs.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_WORDS)))
     for round_ in range(ROUNDS):
         net = Network(_average(_local(docs, net, hashes, ids, round_)))
     return net, hashes, ids
