@@ -385,7 +385,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, subsumed_pct: int
     best = store.keep(two.unionByName(three))
 
     # the phrases at or above the score and count of the last rank are spelled out and ranked
-    last = number_within(best.select("code", "score", "a"), ["code"], ["-score", "-a"], rn="rank", size=None).where(F.col("rank") == top)
+    last = number_within(best.select("code", "score", "a", "w1", "w2"), ["code"], ["-score", "-a", "w1", "w2"], rn="rank", size=None).where(F.col("rank") == top)
     last = last.select("code", F.col("score").alias("least"), F.col("a").alias("least_a"))
     near = F.col("least").isNull() | (F.struct("score", "a") >= F.struct("least", "least_a"))
     first = store.keep(best.join(last, "code", "left").where(near).drop("least", "least_a"))
