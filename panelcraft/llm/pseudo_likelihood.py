@@ -11,14 +11,14 @@ their own, by frequency in the first clusters, every other word is in one of ``R
 classes, the last cluster.  A word's probability is its class's times its share of the class's
 occurrences in the corpus (every word keeps its count), so log probabilities are those of words.
 As contexts, words of one class are alike.  Training is data parallel over the whole corpus: in
-each of ``ROUNDS`` rounds every partition starts from the common weights, takes every ``ROUNDS``-th
-target position of its texts, another one each round, so that all positions are learnt from, runs
+each of ``ROUNDS`` rounds every partition starts from the common weights, takes all positions of
+every ``ROUNDS``-th text, other texts each round, so that all positions are learnt from, runs
 Adam in numpy, and the weights are averaged by the number of targets, in a tree of groups of
 ``FAN_IN`` partitions.  A step takes ``BATCH`` targets; a partition that has fewer than ``STEPS``
 such steps takes smaller ones, and its targets several times, until it has made ``STEPS``.
 
 Scale: word counts are combined per batch before their shuffle; a weight vector is about
-1.3 MB, so the driver only ever holds one of them; scoring is one pass over the texts, whose
+0.7 MB, so the driver only ever holds one of them; scoring is one pass over the texts, whose
 distinct words outside the ``TOP`` meet their counts in a join (hash and number, no texts)
 and are summed per document without being stored.
 
@@ -42,7 +42,7 @@ from ..session import freeze
 from .tables import Scratch, id_text, table
 from .words import U, WordBlock, mix, signed, word_blocks
 
-CLUSTERS, LEAVES, WIDTH, DIM = 64, 64, 2, 16
+CLUSTERS, LEAVES, WIDTH, DIM = 64, 32, 2, 16
 SIZE = CLUSTERS * LEAVES
 RARE = LEAVES  # the last cluster
 TOP = SIZE - RARE
@@ -255,11 +255,13 @@ def _local(docs: DataFrame, net: Network, top: np.ndarray, top_ids: np.ndarray,
                 if adam.t >= STEPS:
                     return len(target)
 
+        seen = 0
         for batch in batches:
-            for b in word_blocks(batch.column(0)):
+            mine = np.arange(seen, seen + batch.num_rows) % ROUNDS == round_
+            seen += batch.num_rows
+            for b in word_blocks(batch.column(0).filter(pa.array(mine))):
                 ids = word_ids(b.hashes, top, top_ids)
-                pick = np.arange(round_, len(ids), ROUNDS)
-                kept.append((contexts(b, ids)[:, pick], ids[pick]))
+                kept.append((contexts(b, ids), ids))
                 n += learn(16 * BATCH)
         n += learn(1)
         if n:
