@@ -7,14 +7,18 @@ fixture parameters (``params.FIXTURE_*``).
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import count_distinct
 from ..params import FIXTURE_STUDY, FIXTURE_STUDY_B, FIXTURE_WIDE
-from ..sources import Sources, fixture_sources
+from ..session import ensure_checkpoint_dir
+from ..sources import Sources, fixture_sources, read_daily, write_partitioned
+from ..sources.schemas import DAILY
 from . import cohort as co
 from . import profile as pr
 from . import sample as sa
@@ -51,6 +55,17 @@ def _ledger(src: Sources) -> DataFrame:
     return sa.ledger_rows(_single(src))
 
 
+def _stored_daily(src: Sources) -> DataFrame:
+    """The daily table written by day (hot days rebalanced) and read back with its declared types;
+    an empty partition value comes back as null.  Stored in the shared checkpoint folder."""
+    spark = src.daily.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/daily-{uuid.uuid4().hex}"
+    typed = src.daily.select(*[F.col(f.name).cast(f.dataType) for f in DAILY.fields])
+    write_partitioned(typed, path, "pt")
+    return read_daily(spark, path)
+
+
 def _study(src: Sources, design: str = "A") -> st.Study:
     p = FIXTURE_STUDY if design == "A" else FIXTURE_STUDY_B
     return st.Study(co.Cohort(src, p), design)
@@ -68,6 +83,7 @@ QUERIES: dict[str, Callable[[Sources], DataFrame]] = {
     # source column subsets
     "item_master_columns": lambda s: wi.item_master_columns(s.items),
     "shop_columns": lambda s: wi.shop_columns(s.shops),
+    "stored_daily": _stored_daily,
     "comments_with_images": lambda s: wi.comments_with_images(s.comments),
     # timing counts and wide tables
     "date_mismatch_count": lambda s: wi.date_mismatch_count(s),
