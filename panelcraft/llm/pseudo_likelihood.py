@@ -230,7 +230,8 @@ def train(docs: DataFrame, counts: DataFrame) -> tuple[Network, np.ndarray, np.n
     # small partitions are read together, so that none of them has to repeat its few targets
     docs = docs.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_WORDS)))
     for round_ in range(ROUNDS):
-        net = Network(_average(_local(docs, net, hashes, ids, round_)))
+        mean = _average(_local(docs, net, hashes, ids, round_))
+        net = net if mean is None else Network(mean)  # a round may have no text
     return net, hashes, ids
 
 
@@ -273,8 +274,8 @@ def _local(docs: DataFrame, net: Network, top: np.ndarray, top_ids: np.ndarray,
     return freeze(docs.select("text").mapInArrow(run, "part long, n long, weights binary"))
 
 
-def _average(rows: DataFrame) -> np.ndarray:
-    """Mean weights by number of targets, over a tree of groups of FAN_IN rows."""
+def _average(rows: DataFrame) -> np.ndarray | None:
+    """Mean weights by number of targets, over a tree of groups of FAN_IN rows; None without rows."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("part")
@@ -288,7 +289,8 @@ def _average(rows: DataFrame) -> np.ndarray:
         group = F.lit(0).cast("long") if last else F.floor(F.col("part") / FAN_IN).cast("long")
         rows = rows.groupBy(group.alias("group")).applyInArrow(run, "part long, n long, weights binary")
         if last:
-            return np.frombuffer(rows.first()["weights"], np.float32).copy()
+            mean = rows.first()
+            return None if mean is None else np.frombuffer(mean["weights"], np.float32).copy()
         rows = freeze(rows)
 
 

@@ -63,3 +63,58 @@ def test_query_scores_every_document(spark, sf, documents):
     rows = pl.op4_pseudo_likelihood(spark, sf).collect()
     assert sorted(r.doc_id for r in rows) == sorted(d for d, _ in documents)
     assert all(r.log_prob <= 0 for r in rows)
+
+
+def plain_sum(text, net, known, counts):
+    """A text's summed log probability word by word, from the definition."""
+    words = next(word_blocks(pa.array([text])))
+    hashes = words.hashes.tolist()
+    number = lambda h: known[h] if h in known else pl.TOP + h % pl.RARE
+    in_class = {}
+    for h, n in counts.items():
+        in_class[number(h)] = in_class.get(number(h), 0) + n
+    total = 0.0
+    for i, h in enumerate(hashes):
+        hidden = net.hidden_bias.astype(float)
+        for j, o in enumerate(pl.OFFSETS):
+            at = i + o
+            hidden = hidden + net.embed[j, number(hashes[at]) if 0 <= at < len(hashes) else pl.SIZE]
+        hidden = np.tanh(hidden)
+        cluster, leaf = divmod(number(h), pl.LEAVES)
+        for weights, bias, own in ((net.out, net.out_bias, cluster), (net.leaf[cluster], net.leaf_bias[cluster], leaf)):
+            logits = [sum(hidden[d] * float(weights[d, c]) for d in range(pl.DIM)) + float(bias[c]) for c in range(weights.shape[1])]
+            total += logits[own] - np.log(sum(np.exp(x) for x in logits))
+        total += np.log(counts[h] / in_class[number(h)]) if h not in known else 0
+    return total
+
+
+def test_scores_match_a_plain_computation(spark, sf, monkeypatch):
+    """Every document's sum, of a small corpus with more words than there are classes."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 4000) for _ in range(150)] + ["only", "", "two words"]
+    kept = []
+    real = pl.train
+    monkeypatch.setattr(pl, "train", lambda *a: kept.append(real(*a)) or kept[0])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.log_prob for r in pl.score(df).collect()}
+    net, top, ids = kept[0]
+    known = dict(zip(top.tolist(), ids.tolist(), strict=True))
+    counts = {}
+    for b in word_blocks(pa.array(texts)):
+        for h in b.hashes.tolist():
+            counts[h] = counts.get(h, 0) + 1
+    for d in [0, 1, 75, 149, 150, 151, 152]:
+        assert abs(got[d] - plain_sum(texts[d], net, known, counts)) < 1e-2
+
+
+def test_class_probabilities_sum_to_one():
+    rng = np.random.default_rng(4)
+    net = pl.Network.start(np.full(pl.SIZE, 1 / pl.SIZE, np.float32))
+    net.flat[:] = rng.normal(0, 0.5, len(net.flat))
+    context = np.repeat(rng.integers(0, pl.SIZE + 1, (len(pl.OFFSETS), 1)), pl.SIZE, axis=1)
+    assert abs(np.exp(net.log_probs(context, np.arange(pl.SIZE)).astype(float)).sum() - 1) < 1e-4
+
+
+def test_clashing_columns(spark, sf):
+    df = spark.createDataFrame([(1, "a b", 5, 6, "x")], "doc_id long, text string, row long, n_words long, hash string")
+    assert pl.score(df).first().n_words == 2
