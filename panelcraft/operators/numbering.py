@@ -13,7 +13,9 @@ moves *all* rows to one task.  ``number_within`` cuts such groups into pieces by
 4. the window runs per (group, piece), and the rows before the piece are added.
 
 Groups are cut by their share of the rows, never by the table's size.  Without such a group the
-plan is the plain window, with no join, store or second shuffle in any case.
+plan is the plain window, with no join, store or second shuffle in any case.  Bounds are made of the
+first ``CUT_BY`` order columns; time stamps with a zone, binary and nested columns are left out of
+them (as literals they would depend on the session), so rows that differ in these alone stay together.
 """
 
 from __future__ import annotations
