@@ -25,9 +25,10 @@ def equal_freq_band(df: DataFrame, by: list[str], order, n: int, out: str = "ban
     keys of what is left, and of small groups, are numbered and the rows at the ranks read off.
     The bands then follow by comparing each row with its group's cut rows, a broadcast of at
     most ``MAX_GROUPS`` rows: the banded rows themselves are neither sorted, shuffled nor stored.
-    With more groups than that the rows are numbered by ``number_within``.
+    With more groups than that, and where a band begins among rows of equal order keys (copies of a
+    row), the rows are numbered by ``number_within``.
 
-    ``order`` should be total (see ``ordering``); ``df`` is read several times, so store it
+    ``df`` is read several times, so store it
     first if it is costly.  ``distributed=False`` is the plain window, kept as the test double.
     """
     keys = sort_keys(order)
@@ -71,7 +72,8 @@ def _first_ranks(size: int, n: int) -> dict[int, int]:
 
 
 def _cut_rows(df: DataFrame, by: list[str], keys: list[SortKey], n: int) -> dict[tuple, dict[int, tuple]] | None:
-    """Per group, band -> order keys of the band's first row; None if the groups are too many."""
+    """Per group, band -> order keys of the band's first row; None if the groups are too many, or if
+    a band begins among rows of equal keys, which keys cannot tell apart."""
     names = [k.name for k in keys]
     rows = df.select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], *[F.col(c) for c in dict.fromkeys(names)])
     group = [f"_g{i}" for i in range(len(by))]
@@ -88,10 +90,15 @@ def _cut_rows(df: DataFrame, by: list[str], keys: list[SortKey], n: int) -> dict
         order = w.orderBy(*[k.column for k in keys])
         numbered = small.withColumns({"_at": F.row_number().over(order), "_n": F.count(F.lit(1)).over(w)})
         band = ntile_of(F.col("_at"), F.col("_n"), n)
-        begins = numbered.withColumn("_band", band).withColumn("_before", ntile_of(F.col("_at") - 1, F.col("_n"), n))
-        for r in begins.where("_at > 1 AND _band <> _before").select(*group, *names, "_band").collect():
+        same = reduce(lambda a, b: a & b, [F.lag(c).over(order).eqNullSafe(F.col(c)) for c in names])
+        begins = numbered.withColumns({"_band": band, "_before": ntile_of(F.col("_at") - 1, F.col("_n"), n), "_tied": same})
+        for r in begins.where("_at > 1 AND _band <> _before").select(*group, *names, "_band", "_tied").collect():
+            if r["_tied"]:
+                return None
             out[tuple(r[g] for g in group)][r["_band"]] = tuple(r[c] for c in names)
-    for g, band, row in _select(rows, group, keys, {g: _first_ranks(size, n) for g, size in large.items()}, large, few):
+    for g, band, row, tied in _select(rows, group, keys, {g: _first_ranks(size, n) for g, size in large.items()}, large, few):
+        if tied:
+            return None
         out[g][band] = row
     return out
 
@@ -105,7 +112,8 @@ def _with_groups(rows: DataFrame, group: list[str], wanted: list[tuple]) -> Data
 
 
 def _select(rows: DataFrame, group: list[str], keys: list[SortKey], ranks: dict, sizes: dict, few: int):
-    """(group, band, order keys) of the rows at the ``ranks`` of large groups.
+    """(group, band, order keys, whether the row before has the same) of the rows at the ``ranks``
+    of large groups.
 
     A cut's state is a bracket: rows at or after ``lo`` and before ``hi`` (None: open), the rank
     of the row sought among them, and their number.  At most ``SHARE`` groups are large, so the
@@ -149,9 +157,12 @@ def _select(rows: DataFrame, group: list[str], keys: list[SortKey], ranks: dict,
         return
     inside = _bracketed(rows, group, keys, state)
     numbered = number_within(inside.select("_cut", "_rank", *names), ["_cut"], [k.column for k in keys], rn="_at", size=None)
-    for r in numbered.where(F.col("_at") - 1 == F.col("_rank")).collect():
-        g, band = cuts[r["_cut"]]
-        yield g, band, tuple(r[c] for c in names)
+    near = numbered.where((F.col("_at") - 1 == F.col("_rank")) | (F.col("_at") == F.col("_rank"))).collect()
+    before = {r["_cut"]: tuple(r[c] for c in names) for r in near if r["_at"] == r["_rank"]}
+    for r in near:
+        if r["_at"] - 1 == r["_rank"]:
+            row = tuple(r[c] for c in names)
+            yield *cuts[r["_cut"]], row, before.get(r["_cut"]) == row
 
 
 def _state_table(rows: DataFrame, group: list[str], keys: list[SortKey], state: dict) -> DataFrame:

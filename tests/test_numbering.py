@@ -137,12 +137,16 @@ def test_exact_selection_narrows_large_groups(spark, skewed, monkeypatch, by, n)
     assert sorted(map(tuple, got.select("id", "b").collect())) == sorted(map(tuple, want.select("id", "b").collect()))
 
 
-def test_bands_with_equal_keys_only(spark, monkeypatch):
-    """Rows that the order cannot tell apart stay together, and nothing loops for ever."""
-    monkeypatch.setattr(bands, "FINISH", 20)
+@pytest.mark.parametrize("finish", [20, 100_000])
+def test_bands_that_begin_among_equal_keys(spark, monkeypatch, finish):
+    """Copies of a row are split between bands like any other rows, in the numbers that NTILE gives."""
+    monkeypatch.setattr(bands, "FINISH", finish)
     monkeypatch.setattr(bands, "SHARE", 100_000)
-    df = spark.createDataFrame([(1,)] * 100, "v long")
-    assert {r.b for r in equal_freq_band(df, [], ["v"], 2, out="b").collect()} == {2}
+    for rows in ([(1, 1)] * 100, [(1, i // 7) for i in range(100)], [(i % 2, i // 30) for i in range(90)]):
+        df = spark.createDataFrame(rows, "g long, v long")
+        for by in ([], ["g"]):
+            got, want = (equal_freq_band(df, by, ["v"], 3, out="b", distributed=x) for x in (True, False))
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_bands_with_too_many_groups_are_numbered(spark, skewed, monkeypatch):
