@@ -4,7 +4,6 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from .test_decontaminate import brute_force
-from panelcraft.llm import decontaminate as dc
 from panelcraft.llm import registry, toxicity
 from panelcraft.llm.packing import default_tokenizer
 
