@@ -3,31 +3,35 @@
 Method: high-recall generators (regular expressions over whole texts) propose overlapping
 candidate spans; every candidate gets format features (length, digit groups, separators,
 checksum, character classes) and context features (the characters around it, the density of
-digits near it); gradient-boosted trees trained on a bounded sample score the candidates, and
-a threshold per generator, calibrated for precision on the held-out fifth of the sample,
-selects the redactions.  No labels of personal data are given, so the trees learn from weak
-labels (a candidate is positive when a strict format rule of its generator holds); the rules
-themselves are not features.
+digits near it); gradient-boosted trees trained on all candidates of the table score them, and
+a threshold per generator selects the redactions.  Thresholds are calibrated for precision over
+all candidates as well, each scored by trees that were trained without its fold.  No labels of
+personal data are given, so the trees learn from weak labels (a candidate is positive when a
+strict format rule of its generator holds); the rules themselves are not features.
 
 Base spans (fixed rules per kind) always stay; the boosted ones are added to them.
 
 Scale: a text is scanned by a pattern only if it meets the pattern's cheap guard; a document's candidates stay in an array of
 its row and the trees are applied there as one SQL expression, so applying the model needs no
-shuffle and no join.  Training writes the candidates (not the texts) once and takes a bounded
-sample of them.  Patterns use possessive quantifiers and anchor at run starts, so a long run
+shuffle and no join.  Training shuffles the candidates (not the texts) once and keeps their
+different feature vectors with how often each occurs; trees and thresholds use these counts as
+weights, which loses no candidate.  Patterns use possessive quantifiers and anchor at run starts, so a long run
 of digits or letters costs linear time and no recursion.
 
 Defined cases: a null text has no spans (its redaction stays null); repeated rows are handled
-row by row; overlapping spans are redacted as one, named by the first.
+row by row, but candidates alike in match, place and context are learnt from once; overlapping
+spans are redacted as one, named by the first.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
+from math import isqrt
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import freeze
@@ -65,7 +69,12 @@ GUARDS = {
     ("candidates", "card"): r"[0-9]{4}",
     ("candidates", "phone"): r"[0-9]{3}[ .-][0-9]{3}",
 }
-SAMPLE, TREES, DEPTH, PRECISION, FEW, CONTEXT = 400, 12, 3, 0.9, 20, 24
+TREES, DEPTH, LEAF, FOLDS, PRECISION, FEW, CONTEXT = 12, 3, 5, 5, 0.9, 20, 24
+#: The candidates of a (kind, weak label) train with equal weights that sum to this at most, so
+#: that a frequent one does not drown the others; thresholds count every candidate as one.
+BALANCE = 400
+#: Feature vectors a task when trees are trained.
+PART = 20_000
 SPAN = "struct<start: int, kind_no: int, kind: string, stop: int, match: string>"
 NO_SPANS = f"cast(array() as array<{SPAN}>)"
 
@@ -202,26 +211,50 @@ class SpanModel:
         self.margin, self.thresholds = margin, thresholds
 
     @classmethod
-    def train(cls, docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> SpanModel | None:
-        """Fit on the ``sample`` candidates of smallest hash per (kind, weak label) over the whole
-        table, of which a fifth only calibrates.  None when there is nothing to learn."""
+    def train(cls, docs: DataFrame, text_col: str = "text") -> SpanModel | None:
+        """Fit and calibrate on all different candidates of the table.  None when there is
+        nothing to learn."""
         text = F.coalesce(F.col("row")[text_col], F.lit(""))
         rows = with_spans(docs.select(text_col), text_col).where(F.size("candidates") > 0)
-        rows = rows.select(F.explode(with_context(F.col("candidates"), text)).alias("c"))
-        rows = rows.select("c", F.col("c.span.kind").alias("kind"), weak_label(F.col("c.span")).cast("double").alias("label"), F.xxhash64("c").alias("hash"))
-        first = Window.partitionBy("kind", "label").orderBy("hash")
-        rows = rows.distinct().withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= sample)
-        picked = freeze(rows.select("kind", "label", "hash", *[v.alias(k) for k, v in features(F.col("c")).items()]))
-        held = F.pmod("hash", F.lit(5)) == 0
-        names = [c for c in picked.columns if c not in ("kind", "label", "hash")]
-        data = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(picked)
-        if data.where(~held).select("label").distinct().count() < 2:
+        rows = rows.select(F.explode(with_context(F.col("candidates"), text)).alias("c")).distinct()
+        values = features(F.col("c"))
+        names = list(values)
+        fold = F.pmod(F.xxhash64("c"), F.lit(FOLDS)).alias("fold")
+        rows = rows.select(F.col("c.span.kind").alias("kind"), weak_label(F.col("c.span")).cast("double").alias("label"), fold, *[v.alias(k) for k, v in values.items()])
+        counted = freeze(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")))
+        groups = counted.groupBy("kind", "label", "fold").agg(F.sum("n").alias("n"), F.count("*").alias("vectors")).collect()
+        if len({g["label"] for g in groups}) < 2:
             return None
-        trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=5, seed=7).fit(data.where(~held))
-        margin = as_sql(trees, names)
-        score = probability(margin(lambda name: F.col(name)))
-        bins = data.where(held).groupBy("kind", F.floor(score * 20).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("hits")).collect()
-        return cls(margin, calibrate(bins))
+        sizes = Counter()
+        for g in groups:
+            sizes[g["kind"], g["label"]] += g["n"]
+        each = {of: min(1.0, BALANCE / n) for of, n in sizes.items()}
+        weight = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("label") == y), F.lit(w)) for (k, y), w in each.items()])
+        data = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(counted.withColumn("weight", F.col("n") * weight))
+        vectors = sum(g["vectors"] for g in groups)
+        # trees take many short passes: as many tasks as the vectors need, not as the shuffle had
+        data = freeze(data.coalesce(vectors // PART + 1))
+        # Spark ML looks for split points in maxBins ** 2 rows: in all of them
+        splits = max(32, isqrt(vectors) + 1)
+
+        def fit(without: int | None = None):
+            used = [g for g in groups if g["fold"] != without]
+            if len({g["label"] for g in used}) < 2:
+                return None
+            total = sum(g["n"] * each[g["kind"], g["label"]] for g in used)
+            # a leaf needs the weight of LEAF candidates
+            shape = {"maxIter": TREES, "maxDepth": DEPTH if total >= 2 * LEAF else 0, "maxBins": splits, "minWeightFractionPerNode": min(LEAF / total, 0.49)}
+            trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=7, **shape)
+            return as_sql(trees.fit(data if without is None else data.where(F.col("fold") != without)), names)
+
+        bins = []
+        for held in sorted({g["fold"] for g in groups}):
+            margin = fit(held)
+            if margin is not None:
+                score = probability(margin(lambda name: F.col(name)))
+                counts = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("hits")]
+                bins += data.where(F.col("fold") == held).groupBy("kind", F.floor(score * 20).alias("bin")).agg(*counts).collect()
+        return cls(fit(), calibrate(bins))
 
     def chosen(self, candidates: Column) -> Column:
         """The spans of the candidates (with context) whose score reaches their kind's threshold."""
@@ -240,16 +273,20 @@ def probability(margin: Column) -> Column:
 
 
 def calibrate(bins: list) -> dict[str, float]:
-    """Per kind the lowest score (in steps of 1/20) above which PRECISION of the held-out
+    """Per kind the lowest score (in steps of 1/20) above which PRECISION of all its
     candidates are positive; kinds with fewer than FEW of them take the one of all kinds
     together, and a kind that reaches the precision nowhere selects nothing."""
 
     def lowest(rows: list) -> float | None:
+        n_of, hits_of = Counter(), Counter()
+        for r in rows:  # a bin comes once per fold and kind
+            n_of[r["bin"]] += r["n"]
+            hits_of[r["bin"]] += r["hits"]
         best, n, hits = None, 0, 0
-        for r in sorted(rows, key=lambda r: -r["bin"]):
-            n, hits = n + r["n"], hits + r["hits"]
+        for step in sorted(n_of, reverse=True):
+            n, hits = n + n_of[step], hits + hits_of[step]
             if hits >= PRECISION * n:
-                best = r["bin"] / 20
+                best = step / 20
         return best
 
     own = {k: [r for r in bins if r["kind"] == k] for k in ALL_KINDS}
@@ -287,9 +324,9 @@ def personal_data(docs: DataFrame, text_col: str = "text", model: SpanModel | No
     return near.select("row", "base", F.array_sort(F.array_union("base", model.chosen(F.col("near")))).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in brackets."""
-    found = personal_data(docs, text_col, SpanModel.train(docs, text_col, sample))
+    found = personal_data(docs, text_col, SpanModel.train(docs, text_col))
     text, last = F.col("row")[text_col], F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -88,6 +88,23 @@ def test_model_adds_what_the_base_drops(noted):
         assert not without.base and not without.spans
 
 
+def test_thresholds_count_every_candidate(spark):
+    """95 % of the phone candidates are well formed and look like the others to the trees; among
+    at most 400 candidates of each label only 80 % would be."""
+    rows = [(i, f"call 555-{'2011-1' if i % 20 == 0 else '201-11'}{i % 90 + 10} now {i:06d}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.SpanModel.train(docs)
+    assert "phone" in model.thresholds
+    assert all(r.text.startswith("call [PHONE] now ") for r in pii.redact(docs).collect())
+
+
+def test_calibration_sums_the_rows_of_a_bin():
+    row = lambda kind, step, n, hits: {"kind": kind, "bin": step, "n": n, "hits": hits}
+    bins = [row("phone", 19, 50, 50), row("phone", 19, 50, 30), row("phone", 12, 900, 870)]
+    assert pii.calibrate(bins) == pii.calibrate(bins[::-1]) == dict.fromkeys(pii.ALL_KINDS, 12 / 20)
+    assert pii.calibrate(bins[:2]) == {}
+
+
 def test_redaction_leaves_the_rest(noted, odd, empty):
     clean = {r.doc_id: r.text for r in pii.redact(noted).collect()}
     assert clean[0] == "call [PHONE] [CARD] or mail [EMAIL] from [IP]"
