@@ -7,6 +7,7 @@ from .test_decontaminate import brute_force
 from panelcraft.llm import registry, toxicity
 from panelcraft.llm.packing import default_tokenizer
 
+from .conftest import DOC
 from .test_near_dedup import brute_classes
 from .test_pii import plain_spans
 
@@ -55,5 +56,12 @@ def test_stages_on_odd_and_empty_documents(spark, sf, odd, empty, name, stage):
     assert name == "packing" or out.columns == [*odd.columns, "extra"]
 
 
+def test_personal_data_stage_learns_from_all_candidates(spark, sf):
+    """95 % of the phone candidates are well formed; among at most 400 of each label only 80 % would be."""
+    rows = [(i, f"call 555-{'2011-1' if i % 20 == 0 else '201-11'}{i % 90 + 10} now {i:06d}", "en", "s", 1) for i in range(2000)]
+    out = corpus_pipeline.personal_data(spark, spark.createDataFrame(rows, DOC), sf).collect()
+    assert {r.doc_id: (r.text, r.n_chars) for r in out} == {i: (f"call [PHONE] now {i:06d}", 23) for i in range(2000)}
+
+
 def test_one_query_per_operator():
     assert sorted(int(q[2:].split("_")[0]) for q in registry.queries()) == list(range(1, 14))
