@@ -239,8 +239,8 @@ class SpanModel:
 
         def fit(without: int | None = None):
             used = [g for g in groups if g["fold"] != without]
-            if len({g["label"] for g in used}) < 2:
-                return None
+            if not used:  # all candidates are of one fold: nothing is known of them
+                return lambda get: F.lit(0.0)
             total = sum(g["n"] * each[g["kind"], g["label"]] for g in used)
             # a leaf needs the weight of LEAF candidates
             shape = {"maxIter": TREES, "maxDepth": DEPTH if total >= 2 * LEAF else 0, "maxBins": splits, "minWeightFractionPerNode": min(LEAF / total, 0.49)}
@@ -249,11 +249,9 @@ class SpanModel:
 
         bins = []
         for held in sorted({g["fold"] for g in groups}):
-            margin = fit(held)
-            if margin is not None:
-                score = probability(margin(lambda name: F.col(name)))
-                counts = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("hits")]
-                bins += data.where(F.col("fold") == held).groupBy("kind", F.floor(score * 20).alias("bin")).agg(*counts).collect()
+            score = probability(fit(held)(lambda name: F.col(name)))
+            counts = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("hits")]
+            bins += data.where(F.col("fold") == held).groupBy("kind", F.floor(score * 20).alias("bin")).agg(*counts).collect()
         return cls(fit(), calibrate(bins))
 
     def chosen(self, candidates: Column) -> Column:

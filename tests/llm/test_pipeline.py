@@ -4,7 +4,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from .test_decontaminate import brute_force
-from panelcraft.llm import registry, toxicity
+from panelcraft.llm import pii, registry, toxicity
 from panelcraft.llm.packing import default_tokenizer
 
 from .conftest import DOC
@@ -63,5 +63,16 @@ def test_personal_data_stage_learns_from_all_candidates(spark, sf):
     assert {r.doc_id: (r.text, r.n_chars) for r in out} == {i: (f"call [PHONE] now {i:06d}", 23) for i in range(2000)}
 
 
+@pytest.mark.parametrize("well_formed", [9, 1])
+def test_personal_data_stage_counts_candidates_of_a_label_in_one_fold(spark, sf, monkeypatch, well_formed):
+    """Without the fold of the only ill-formed one all candidates have the same label: they count all the same."""
+    rows = [(i, f"call 555-{'2011-1' if i == 0 else '201-11'}{i + 10} now", "en", "s", 1) for i in range(well_formed + 1)]
+    bins, calibrate = [], pii.calibrate
+    monkeypatch.setattr(pii, "calibrate", lambda found: bins.extend(found) or calibrate(found))
+    out = corpus_pipeline.personal_data(spark, spark.createDataFrame(rows, DOC), sf)
+    assert out.count() == len(rows)
+    assert (sum(r["n"] for r in bins), sum(r["hits"] for r in bins)) == (well_formed + 1, well_formed)
+
+
 def test_one_query_per_operator():
     assert sorted(int(q[2:].split("_")[0]) for q in registry.queries()) == list(range(1, 14))
